@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["graphs", "relational"]
+MODULES = ["graphs", "relational", "dataflow"]
 
 
 def _load():
