@@ -127,11 +127,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that come first in their near-duplicate group.
 
     Order and identity of rows are those of ``rows.numbered``: of rows with an
-    equal id and equal text one stays too. All columns pass through.
+    equal id and equal text one stays too. All columns pass through. Those
+    that go are looked up, not those that stay: they are fewer, so texts are
+    often not shuffled.
     """
     name = fresh(docs, "ord")
     numbers = numbered(docs, id_col, text_col, name)
     rows = stash(simhash(numbers, name, text_col, shingle), "fingerprints")
-    first = stash(components(rows, radius).select(F.col("component_id").alias("ord")).distinct(), "kept")
-    kept = numbers.join(first, numbers[name] == first["ord"], "left_semi")
+    group = components(rows, radius)
+    gone = rows.join(group, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("ord")).distinct()
+    gone = stash(gone, "near-copies")
+    kept = numbers.join(gone, numbers[name] == gone["ord"], "left_anti")
     return (kept if unique_ids(docs, id_col) else kept.dropDuplicates([name])).select(*docs.columns)
