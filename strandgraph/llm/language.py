@@ -37,22 +37,23 @@ def trigrams(text: str | None) -> np.ndarray:
     return (b[:-2] * 9973 + b[1:-1] * 131 + b[2:]) % SLOTS
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, bytes_per_row: int = 20_000) -> TextModel:
-    """A model from at most ``rows_per_language`` rows of each language, those
-    of least text hash, of which counts are made in the tasks.
-
-    The sample's bound is that parameter times the number of labels. Labels
-    are compared in lower case without blanks; null and empty ones are left out.
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, languages: int = 64) -> TextModel:
+    """A model from about ``rows_per_language`` different texts of each of the
+    ``languages`` commonest labels; trigrams are counted in the tasks.
+
+    The sample's bound is the product of the two. A text is in it if its hash
+    is under a limit that follows from the number of different texts, so no
+    task gathers a language's rows, and copies count once. Labels are compared
+    in lower case without blanks; null and empty ones are left out.
     """
     lang = F.lower(F.trim(F.col(lang_col)))
     rows = labelled.select(lang.alias("lang"), F.col(text_col).alias("text")).where("lang <> '' and text is not null").withColumn("h", F.xxhash64("text"))
-    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    parts = [rows.where(F.col("lang") == n).orderBy("h").limit(rows_per_language) for n in names]
-    if not parts:
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    names = sorted(r.lang for r in found)
+    if not names:
         return TextModel([], np.zeros((SLOTS, 0), np.float32))
-    sample = parts[0]
-    for p in parts[1:]:
-        sample = sample.union(p)
+    limits = [x for r in found for x in (F.lit(r.lang), F.lit(min((1 << 63) - 1, rows_per_language * (1 << 64) // r.texts - (1 << 63))))]
+    sample = rows.where(F.col("h") <= F.try_element_at(F.create_map(*limits), F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
