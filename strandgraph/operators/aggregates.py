@@ -105,6 +105,14 @@ def family_conflicts(df: DataFrame, keys: list[str], family: str) -> DataFrame:
     return known.groupBy(*keys).agg(F.array_sort(F.collect_set(family)).alias("families")).where(F.size("families") > 1)
 
 
+def observations(statements: DataFrame, constructs: DataFrame, kind: str, program: str) -> DataFrame:
+    """``constructs`` with the occurrences of their kind and the programs that
+    hold it; constructs may share a kind, and one that is never seen has zeros."""
+    seen = statements.groupBy(kind).agg(F.count("*").alias("o_"), F.count_distinct(program).alias("p_"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return constructs.join(seen, kind, "left").withColumns({"occurrences": zero(F.col("o_")), "programs": zero(F.col("p_"))}).drop("o_", "p_")
+
+
 def ladder(*steps: tuple[Column, str], otherwise: str | None = None) -> Column:
     """The name of the first condition that holds."""
     out = F.when(F.coalesce(steps[0][0], F.lit(False)), steps[0][1])

@@ -221,15 +221,15 @@ def x36_expectations(t: Tables) -> DataFrame:
     return X.match_expectations(e, rows, ["p_brand"], ["metal"], "p_partkey")[0].select("expectation_id", "found", "matched")
 
 
-@query("""
-SELECT c_custkey, o_orderpriority, 'x' AS side FROM customer JOIN orders ON o_custkey = c_custkey WHERE false
-UNION ALL SELECT c_nationkey, c_mktsegment, 'y' FROM customer WHERE false
+@query(r"""
+WITH d AS (
+  SELECT source, doc_id, unnest(list_distinct(list_concat(regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b'), regexp_extract_all(regexp_replace(text, '\b\d{4}-\d{2}-\d{2}\b', ' ', 'g'), '\d+(?:\.\d+)?')))) AS token FROM documents
+), held AS (SELECT DISTINCT source, token FROM d WHERE doc_id % 2 = 0)
+SELECT d.source, doc_id, d.token FROM d LEFT JOIN held ON held.source = d.source AND held.token = d.token WHERE held.token IS NULL
 """)
 def x38_unsupported_tokens(t: Tables) -> DataFrame:
-    """Every number that a turn states is in its own conversation: nothing is unsupported."""
-    c = t.conversations
-    out = X.unsupported_tokens(c, c, "conv_id", "turn", "text", "text")
-    return out.select(F.col("conv_id").alias("c_custkey"), F.col("token").alias("o_orderpriority"), F.lit("x").alias("side"))
+    """Numbers and dates that no even document of the source holds."""
+    return X.unsupported_tokens(t.documents, t.documents.where("doc_id % 2 = 0"), "source", "doc_id", "text", "text")
 
 
 @query("""
