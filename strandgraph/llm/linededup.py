@@ -21,15 +21,35 @@ def line_sequences(docs: DataFrame) -> DataFrame:
     return d.select("ord", "pos", F.col("x.line").alias("line"), F.length("x.t").alias("chars"), F.xxhash64("x.t").alias("id1"), F.xxhash64("x.t", F.lit(1)).alias("id2"))
 
 
+#: No task of a join gets more than about one in SHARES of all suffixes by one key.
+SHARES = 1000
+
+
+def _meet(suffixes: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Join with a written table of one row, and the number ``n`` of suffixes, per key.
+
+    A key with more than one in SHARES of all suffixes is dealt over as many
+    salts as it has such shares. Fewer than SHARES keys are that common, which
+    bounds what is broadcast, and the salted rows add less than SHARES in all.
+    """
+    total = per_key.agg(F.sum("n")).first()[0] or 1
+    dealt = per_key.withColumn("parts", F.ceil(F.col("n") * SHARES / F.lit(total)).cast("int")).drop("n")
+    common = F.broadcast(dealt.where("parts > 1").select(*keys, "parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("ord", "pos"), F.col("parts")), F.lit(0)).cast("int")
+    left = suffixes.join(common, keys, "left").withColumn("salt", salt).drop("parts")
+    right = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
 def _rank(suffixes: DataFrame, a: str, b: str) -> DataFrame:
     """Suffixes with the rank of (a, b) among all; those alone with theirs go.
 
     Ranks come from one range-sorted table of the distinct pairs, counted
     before the shuffle; their values rise with (a, b) and need not be dense.
     """
-    ranks = suffixes.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(a, b)
+    ranks = suffixes.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1")
     ranks = stash(ranks.orderBy(a, b).withColumn("rank", F.monotonically_increasing_id()), "ranks")
-    return suffixes.join(ranks, [a, b]).drop(a, b)
+    return _meet(suffixes, ranks, [a, b]).drop(a, b)
 
 
 def suffix_ranks(lines: DataFrame, depth: int, ranked: DataFrame | None = None) -> DataFrame:
@@ -53,8 +73,8 @@ def suffix_ranks(lines: DataFrame, depth: int, ranked: DataFrame | None = None)
 
 def _later(suffixes: DataFrame) -> DataFrame:
     """Suffixes that are not the first of their rank by (ord, pos)."""
-    first = suffixes.groupBy("rank").agg(F.min(F.struct("ord", "pos")).alias("first"))
-    return suffixes.join(first, "rank").where((F.col("ord") != F.col("first.ord")) | (F.col("pos") != F.col("first.pos")))
+    first = stash(suffixes.groupBy("rank").agg(F.min(F.struct("ord", "pos")).alias("first"), F.count("*").alias("n")), "firsts")
+    return _meet(suffixes, first, ["rank"]).where((F.col("ord") != F.col("first.ord")) | (F.col("pos") != F.col("first.pos")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_chars: int = 100) -> DataFrame:
