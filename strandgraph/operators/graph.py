@@ -271,3 +271,30 @@ def grouped_consistency(members: DataFrame, edges: DataFrame, node: str, values:
     for c in one[1:]:
         same = same & c
     return out.groupBy("component").agg(F.array_sort(F.collect_set(node)).alias("members"), same.alias("consistent"))
+
+
+def leads_to(start: DataFrame, hops: list[tuple[DataFrame, str, str]], goal: DataFrame, last: str, goal_key: str) -> DataFrame:
+    """``start`` rows from which the hops (table, left key, right key) lead to a
+    ``goal``. Semi joins from the goal back, so no path multiplies rows."""
+    held, key = goal, goal_key
+    for i in range(len(hops) - 1, -1, -1):
+        table, left, right = hops[i]
+        ends = held.select(F.col(key).alias("k_")).distinct()
+        held, key = table.join(ends, F.col(last) == F.col("k_"), "left_semi"), right
+        last = left
+    ends = held.select(F.col(key).alias("k_")).distinct()
+    return start.join(ends, F.col(last) == F.col("k_"), "left_semi")
+
+
+def under(pairs: DataFrame, tree: DataFrame, node: str = "node", above: str = "above", parent: str = "parent") -> DataFrame:
+    """``pairs`` with ``under``: whether ``above`` is the node itself or on its way up."""
+    up = ancestors(tree, node, parent).select(F.col(node), F.col("ancestor").alias(above)).distinct().withColumn("under", F.lit(True))
+    return pairs.join(up, [node, above], "left").withColumn("under", F.coalesce("under", F.lit(False)))
+
+
+def generations(rows: DataFrame, group: str, newest_first: list[Column], confirmed: Column, fallback: Column) -> DataFrame:
+    """``rows`` with their generation: ORPHAN if not confirmed, else ACTIVE for
+    the newest, PREVIOUS for the next, then FALLBACK where one may be, else HISTORICAL."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*newest_first))
+    g = F.when(~confirmed, "ORPHAN").when(F.col("place_") == 1, "ACTIVE").when(F.col("place_") == 2, "PREVIOUS").when(fallback, "FALLBACK").otherwise("HISTORICAL")
+    return rows.withColumn("place_", place).withColumn("generation", g).drop("place_")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["graphs", "relational", "dataflow", "programs"]
+MODULES = ["graphs", "relational", "dataflow", "programs", "context"]
 
 
 def _load():
