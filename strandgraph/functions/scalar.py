@@ -131,6 +131,12 @@ def json_path(text: Column | str, path: str) -> tuple[Column, Column]:
     return v.isNotNull(), F.try_variant_get(F.try_parse_json(_col(text)), path, "string")
 
 
+def strict_object(text: Column | str) -> Column:
+    """A JSON object as a variant; null for other values, repeated keys and text that is no JSON."""
+    v = F.try_parse_json(_col(text))
+    return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
+
+
 def numbers(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
 
@@ -139,6 +145,13 @@ def iso_dates(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0))
 
 
+def ambiguous_date(text: Column | str) -> Column:
+    """Whether a dd/mm or mm/dd date is one either way round, with different days."""
+    p = r"^(\d{1,2})/(\d{1,2})/\d{4}$"
+    a, b = (F.regexp_extract(_col(text), p, i).try_cast("int") for i in (1, 2))
+    return F.coalesce((a != b) & a.between(1, 12) & b.between(1, 12), F.lit(False))
+
+
 def double_quoted(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit('"([^"]*)"'), F.lit(1))
 
@@ -156,7 +169,8 @@ def utc_text(ts: Column | str) -> Column:
 
 
 def seconds_between(start: Column | str, end: Column | str) -> Column:
-    return F.unix_micros(_col(end)) / 1e6 - F.unix_micros(_col(start)) / 1e6
+    """Also of times without a zone, which count as the session's."""
+    return (F.unix_micros(_col(end).cast("timestamp")) - F.unix_micros(_col(start).cast("timestamp"))) / 1e6
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

@@ -20,6 +20,11 @@ def counts_by(df: DataFrame, *sets: list[str]) -> DataFrame:
     return d.select("set_no", *keep).groupBy("set_no", *names).agg(F.count("*").alias("n"))
 
 
+def resolved_counts(df: DataFrame, keys: list[str], resolved: Column) -> DataFrame:
+    """(keys, n, resolved, unresolved): what is not surely resolved is unresolved."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(resolved).alias("resolved")).withColumn("unresolved", F.col("n") - F.col("resolved"))
+
+
 def sampled_groups(df: DataFrame, keys: list[str], order: list[str], reference: str, n: int) -> DataFrame:
     """Counts per key with the first ``n`` references in ``order``. Ranks are
     taken before collecting, so a group's list never holds more than ``n``."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +108,37 @@ def numbered_decisions(statements: DataFrame, kinds: list[str]) -> DataFrame:
     """Decisions with their ordinal in the paragraph by execution order."""
     w = Window.partitionBy("program", "paragraph").orderBy("pos")
     return statements.where(F.col("kind").isin(kinds)).withColumn("ordinal", F.row_number().over(w))
+
+
+def hierarchy(levels: list[tuple[str, DataFrame, str, str, str, str | None, str | None]]) -> DataFrame:
+    """(id, label, name, parent) of all levels of a containment tree.
+
+    Each level is (label, table, id prefix, key, name, parent's prefix, parent's key).
+    """
+    null = F.lit(None).cast("string")
+    made = lambda prefix, key: F.concat(F.lit(prefix), F.col(key).cast("string"))
+    parts = [d.select(made(p, key).alias("id"), F.lit(label).alias("label"), F.col(name).alias("name"), (made(up, above) if up else null).alias("parent")) for label, d, p, key, name, up, above in levels]
+    return reduce(DataFrame.union, parts)
+
+
+def variable_events(statements: DataFrame, items: DataFrame, scope: list[str], name: str, id_col: str, writes: str = "writes", reads: str = "reads") -> tuple[DataFrame, DataFrame]:
+    """Names that statements write and read, as rows of items, with ``written``;
+    and the names that no item or several have, with the reason."""
+    both = F.concat(
+        F.transform(F.coalesce(writes, F.array()), lambda x: F.struct(x.alias("token"), F.lit(True).alias("written"))),
+        F.transform(F.coalesce(reads, F.array()), lambda x: F.struct(x.alias("token"), F.lit(False).alias("written"))),
+    )
+    tokens = statements.select(*[c for c in statements.columns if c not in (writes, reads)], F.inline(both))
+    index = items.select(*scope, F.lit(None).cast("string").alias("q_"), F.col(name).alias("s_"), F.col(id_col).alias("i_"))
+    r = resolve_names(tokens, index, "token", scope, "q_", "s_", "i_")
+    found = F.col("target").isNotNull()
+    return r.where(found).withColumnRenamed("target", id_col).drop("resolution"), r.where(~found).withColumnRenamed("resolution", "reason").drop("target")
+
+
+def mapped_edges(facts: DataFrame, nodes: DataFrame, key: str, node: str) -> DataFrame:
+    """``facts`` whose ``key`` is a node's; the job fails at a key that is no
+    node, within the same join, so no other pass over the facts is needed."""
+    ids = nodes.select(F.col(node).alias("n_")).distinct()
+    j = facts.join(ids, F.col(key) == F.col("n_"), "left")
+    checked = F.when(F.col("n_").isNotNull(), F.col("n_")).otherwise(F.raise_error(F.concat(F.lit(f"no node for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return j.select(*[checked.cast(facts.schema[c].dataType).alias(c) if c == key else F.col(c) for c in facts.columns])

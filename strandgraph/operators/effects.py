@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandgraph.operators.resolve import normal_name
+
 EFFECT = "struct<kind string, target string, source string, literal string, support string>"
 
 #: Statement kinds that compute, that end a program, and that only branch.
@@ -215,3 +217,12 @@ def exit_facts(observed: DataFrame, partition: list[str], order: list[str], lite
     same = F.min(literal).over(w) == F.max(literal).over(w)
     ok = F.coalesce(same & F.col(literal).isNotNull(), F.lit(False))
     return observed.withColumn("exit", F.when(ok, F.col(literal))).withColumn("status", F.when(ok, "PROPAGATED").otherwise("INVALIDATED"))
+
+
+def call_sites(sites: DataFrame, programs: DataFrame, called: str, name: str, id_col: str, actuals: str, formals: str) -> DataFrame:
+    """``sites`` with (target, status): DYNAMIC without a name, UNRESOLVED or
+    AMBIGUOUS by it, else BOUND where actuals and formals are as many, or COUNT_DIFFERS."""
+    one = programs.groupBy(normal_name(F.col(name)).alias("k_")).agg(F.count("*").alias("n_"), F.min(id_col).alias("target"), F.min(formals).alias("formals_"))
+    j = sites.join(one, normal_name(F.col(called)) == F.col("k_"), "left")
+    status = F.when(F.col(called).isNull(), "DYNAMIC").when(F.col("n_").isNull(), "UNRESOLVED").when(F.col("n_") > 1, "AMBIGUOUS").when(F.col(actuals) == F.col("formals_"), "BOUND").otherwise("COUNT_DIFFERS")
+    return j.select(*[sites[c] for c in sites.columns], F.when(F.col("n_") == 1, F.col("target")).alias("target"), status.alias("status"))
