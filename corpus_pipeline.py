@@ -38,11 +38,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages make up a twentieth of, or more, go."""
-    found = find_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = stash(found.where("contaminated").select("ord").distinct(), "contaminated")
+    """Documents that benchmark passages make up a twentieth of, or more, go.
+
+    Documents are numbered once: numbers of repeated or null ids depend on how
+    a sort is dealt, so a second numbering could name other documents.
+    """
     name = fresh(docs, "ord")
-    return without(numbered(docs, name=name), bad, name)
+    rows = numbered(docs, name=name)
+    found = find_passages(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=name)
+    bad = stash(found.where("contaminated").select(F.col("doc_id").alias("ord")).distinct(), "contaminated")
+    return without(rows, bad, name)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,23 @@ def test_awkward_documents(spark):
     empty = df.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_decontamination_numbers_documents_once(spark, tmp_path):
+    passage = " ".join(f"answer{i}" for i in range(13))
+    spark.createDataFrame([("q", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit(passage + " "), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("plain text "), F.col("doc_id").cast("string")))
+    more = [(7, "another text with a repeated id"), (50, passage), (50, passage), (None, passage), (None, "no id")]
+    docs = spark.range(20_000).withColumnRenamed("id", "doc_id").withColumn("text", text).union(spark.createDataFrame(more, "doc_id long, text string"))
+    dealt = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in dealt}
+    try:
+        for k, v in dealt.items():
+            spark.conf.set(k, v)
+        out = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        left = out.select(F.count("*"), F.count(F.when(F.col("text").contains(passage), 1))).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tuple(left) == (20_000 - 400 + 2, 0)
