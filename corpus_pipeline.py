@@ -18,9 +18,16 @@ from strandgraph.llm.simhash import one_of_each
 from strandgraph.store import stash
 
 
+#: The languages that the corpus is meant to hold.
+TARGET_LANGUAGES = ["de", "en", "es", "fr"]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labels know, with a probability of one half or more."""
-    return reject_languages(docs, train(docs))
+    """Documents in a target language, with a probability of one half or more and a text that is usual for it.
+
+    All labels are in the model, so that a text in another labelled language is told from the targets.
+    """
+    return reject_languages(docs, train(docs, languages=None), allowed=TARGET_LANGUAGES)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,10 +22,22 @@ SLOTS = 1 << 14
 
 @dataclass
 class TextModel:
-    """Log likelihoods of hashed byte trigrams, one column per language."""
+    """Log likelihoods of hashed byte trigrams, one column per language.
+
+    ``limits``: the mean log likelihood under which a long text is in none of
+    the languages, by language; None where it was not asked for.
+    """
 
     languages: list[str]
     logs: np.ndarray
+    limits: np.ndarray | None = None
+
+    def least_mean(self, grams: np.ndarray) -> np.ndarray:
+        """The limit for texts of so many trigrams, a row per text: three standard errors lower, as the mean of few trigrams varies."""
+        p = np.exp(self.logs.astype(np.float64))
+        p /= p.sum(axis=0)
+        deviation = np.sqrt((p * self.logs**2).sum(axis=0) - (p * self.logs).sum(axis=0) ** 2)
+        return self.limits - 3 * deviation / np.sqrt(np.maximum(grams, 1))[:, None]
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -37,9 +49,10 @@ def trigrams(text: str | None) -> np.ndarray:
     return (b[:-2] * 9973 + b[1:-1] * 131 + b[2:]) % SLOTS
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, languages: int = 64) -> TextModel:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, languages: int | None = 64, limits: bool = True) -> TextModel:
     """A model from about ``rows_per_language`` different texts of each of the
-    ``languages`` commonest labels; trigrams are counted in the tasks.
+    ``languages`` commonest labels (None: of all labels); trigrams are counted
+    in the tasks. With ``limits``, all rows are scored for ``text_limits``.
 
     The sample's bound is the product of the two. A text is in it if its hash
     is under a limit that follows from the number of different texts, so no
@@ -48,12 +61,13 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     """
     lang = F.lower(F.trim(F.col(lang_col)))
     rows = labelled.select(lang.alias("lang"), F.col(text_col).alias("text")).where("lang <> '' and text is not null").withColumn("h", F.xxhash64("text"))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang")
+    found = (found if languages is None else found.limit(languages)).collect()
     names = sorted(r.lang for r in found)
     if not names:
         return TextModel([], np.zeros((SLOTS, 0), np.float32))
-    limits = [x for r in found for x in (F.lit(r.lang), F.lit(min((1 << 63) - 1, rows_per_language * (1 << 64) // r.texts - (1 << 63))))]
-    sample = rows.where(F.col("h") <= F.try_element_at(F.create_map(*limits), F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    bounds = [x for r in found for x in (F.lit(r.lang), F.lit(min((1 << 63) - 1, rows_per_language * (1 << 64) // r.texts - (1 << 63))))]
+    sample = rows.where(F.col("h") <= F.try_element_at(F.create_map(*bounds), F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,7 +83,30 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     total = np.full((SLOTS, len(names)), 0.05)
     for r in counts:
         total[r.slot, names.index(r.lang)] += r.n
-    return TextModel(names, np.log(total / total.sum(axis=0)).astype(np.float32))
+    model = TextModel(names, np.log(total / total.sum(axis=0)).astype(np.float32))
+    if limits:
+        model.limits = text_limits(model, rows)
+    return model
+
+
+def text_limits(model: TextModel, rows: DataFrame, tail: float = 0.05, times: float = 3.0, spread: float = 0.5) -> np.ndarray:
+    """The limits of a model's languages from all labelled ``rows`` (lang, text).
+
+    A text's score is the mean log likelihood of its trigrams under its label.
+    The limit is ``times`` as far under the label's median score as the lowest
+    ``tail`` of its texts begins, which counts as ``spread`` at least; so
+    wrong labels and junk do not move it while they are fewer than the tail.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {x: i for i, x in enumerate(model.languages)}
+        for b in chunks(batches, "text"):
+            out = [(n, float(model.logs[slots, at[n]].mean(dtype=np.float64))) for n, t in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True) if n in at and len(slots := trigrams(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["lang", "score"])
+
+    found = rows.select("lang", "text").mapInArrow(score, "lang string, score double").groupBy("lang").agg(F.percentile_approx("score", [0.5, tail], 10_000).alias("q")).collect()
+    by_name = {r.lang: r.q[0] - times * max(spread, r.q[0] - r.q[1]) for r in found}
+    return np.array([by_name.get(x, -np.inf) for x in model.languages])
 
 
 def _log_likelihoods(model: TextModel, weight: int):
@@ -190,8 +227,10 @@ def reject_languages(docs: DataFrame, model: TextModel, allowed: list[str] | Non
     """The rows of ``docs`` in an allowed language (default: any of the model).
 
     A document goes if its text has no trigram of a word with a letter, if
-    the most probable language is not allowed, or if its probability is under
-    ``least``. The source stands for the host. The source priors are a small
+    the most probable language is not allowed, if its probability is under
+    ``least``, or if the text is less likely in that language than the model's
+    limit: one of the languages is always the most probable, also for noise
+    and for a language that no label names. The source stands for the host. The source priors are a small
     table; texts are scored again while they pass, so no text is shuffled
     unless that table is large. Null source is a source of its own; null text
     goes; rows pass with all their columns, repeated rows as often as they are.
@@ -210,20 +249,21 @@ def reject_languages(docs: DataFrame, model: TextModel, allowed: list[str] | Non
     return joined.where(verdict(docs[text_col], known[0], priors["own"], priors["p2"])).select(*[docs[c] for c in docs.columns])
 
 
-def _evidence(model: TextModel, texts, declared, declared_weight: float = 0.8, weight: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Log evidence of text and declared language, a row per document, and the number of trigrams."""
+def _evidence(model: TextModel, texts, declared, declared_weight: float = 0.8, weight: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log evidence of text and declared language, a row per document, the number of trigrams, and their mean log likelihoods."""
     n = len(model.languages)
     sure, other = np.log(declared_weight), np.log((1 - declared_weight) / max(1, n - 1))
-    out, grams = np.zeros((len(texts), n)), np.zeros(len(texts), np.int64)
+    out, grams, means = np.zeros((len(texts), n)), np.zeros(len(texts), np.int64), np.zeros((len(texts), n))
     for i, (t, d) in enumerate(zip(texts, declared, strict=True)):
         slots = trigrams(t)
         grams[i] = len(slots)
         if len(slots):
-            out[i] = model.logs[slots].mean(axis=0, dtype=np.float64) * min(len(slots), weight)
+            means[i] = model.logs[slots].mean(axis=0, dtype=np.float64)
+            out[i] = means[i] * min(len(slots), weight)
         d = d.strip().lower() if isinstance(d, str) else None
         if d in model.languages:
             out[i] += [sure if x == d else other for x in model.languages]
-    return out, grams
+    return out, grams, means
 
 
 def _normal(logs: np.ndarray) -> np.ndarray:
@@ -242,10 +282,14 @@ def _responsibility(model: TextModel):
 def _verdict(model: TextModel, allowed: list[str], least: float, strength: float = 5.0):
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series, declared: pd.Series, own: pd.Series, above: pd.Series) -> pd.Series:
-        logs, grams = _evidence(model, texts, declared)
+        logs, grams, means = _evidence(model, texts, declared)
         prior = np.maximum(np.stack(own) - _normal(logs), 0) + strength * np.stack(above)
         post = _normal(logs + np.log(prior))
-        right = np.isin(np.array(model.languages)[post.argmax(axis=1)], allowed)
+        best = post.argmax(axis=1)
+        right = np.isin(np.array(model.languages)[best], allowed)
+        if model.limits is not None:
+            each = np.arange(len(best))
+            right &= means[each, best] >= model.least_mean(grams)[each, best]
         return pd.Series((grams > 0) & right & (post.max(axis=1) >= least))
 
     return keep

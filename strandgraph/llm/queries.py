@@ -52,7 +52,7 @@ def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_pages(_table(spark, sf_dir, "pages"), train(_table(spark, sf_dir, "documents")))
+    return identify_pages(_table(spark, sf_dir, "pages"), train(_table(spark, sf_dir, "documents"), limits=False))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,6 +275,24 @@ def test_language_pages_and_rejection(spark):
     assert language.reject_languages(odd.limit(0), model).count() == 0
 
 
+def test_texts_in_no_known_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(40))
+    strange = [
+        "La mattina presto il vecchio pescatore prende la sua barca e va verso il mare aperto per cercare qualche pesce da vendere al mercato della piazza",
+        "Wczesnym rankiem stary rybak bierze swoją łódź i płynie na otwarte morze aby złowić kilka ryb które sprzeda na rynku",
+        "Рано утром старый рыбак берёт свою лодку и выходит в открытое море чтобы поймать рыбу для продажи на рынке", "清晨老渔夫带着他的船去大海里捕鱼然后在市场上出售", noise,
+    ]
+    odd = spark.createDataFrame([(-1 - i, t, lang, "web") for i, t in enumerate(strange) for lang in ("en", None)], docs.schema)
+    stray = spark.createDataFrame([(-100 - i, " ".join(rng.choice(["zzyx", "qwykk", "xxolv", "jjupt"]) for _ in range(30)), "xx", "web") for i in range(20)], docs.schema)
+    from corpus_pipeline import language_id
+
+    kept = [r.doc_id for r in language_id(spark, docs.union(odd).union(stray), "").select("doc_id").collect()]
+    assert min(kept) >= 0
+    assert len(kept) >= 0.99 * docs.count()
+
+
 def test_evidence_beside_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.train(docs, rows_per_language=40)
