@@ -31,8 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; so do documents that lose all lines by that."""
-    out = dedup_lines(docs)
+    """Later copies of repeated line runs, and of lines of three words or more in three documents or more, go; so do documents that lose all lines by that."""
+    out = dedup_lines(docs, min_docs=3)
     removed, left = out.columns[-2], out.columns[-1]
     out = out.where((F.col(removed) == 0) | (F.col(left) > 0))
     n_chars = [F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]

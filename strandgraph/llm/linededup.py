@@ -9,8 +9,8 @@ from strandgraph.llm.rows import fresh, numbered
 from strandgraph.store import stash
 
 
-def line_sequences(docs: DataFrame) -> DataFrame:
-    """(ord, pos, line, chars, id1, id2) of every line that is not blank.
+def line_sequences(docs: DataFrame, words: bool = False) -> DataFrame:
+    """(ord, pos, line, chars, id1, id2) of every line that is not blank; with ``words`` also the line's number of words.
 
     ``line`` is the line's index in its text, ``pos`` its index among lines
     that are not blank; ids hash the line without blanks at its ends.
@@ -18,7 +18,8 @@ def line_sequences(docs: DataFrame) -> DataFrame:
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(" \t\r\f\x0b")).alias("t")))
     kept = F.filter(lines, lambda x: x["t"] != "")
     d = docs.select("ord", F.posexplode(kept).alias("pos", "x"))
-    return d.select("ord", "pos", F.col("x.line").alias("line"), F.length("x.t").alias("chars"), F.xxhash64("x.t").alias("id1"), F.xxhash64("x.t", F.lit(1)).alias("id2"))
+    more = [F.size(F.split("x.t", "[ \t\r\f\x0b]+")).alias("words")] if words else []
+    return d.select("ord", "pos", F.col("x.line").alias("line"), F.length("x.t").alias("chars"), *more, F.xxhash64("x.t").alias("id1"), F.xxhash64("x.t", F.lit(1)).alias("id2"))
 
 
 #: No task of a join gets more than about one in SHARES of all suffixes by one key.
@@ -71,23 +72,31 @@ def suffix_ranks(lines: DataFrame, depth: int, ranked: DataFrame | None = None)
     return now
 
 
-def _later(suffixes: DataFrame) -> DataFrame:
-    """Suffixes that are not the first of their rank by (ord, pos)."""
-    first = stash(suffixes.groupBy("rank").agg(F.min(F.struct("ord", "pos")).alias("first"), F.count("*").alias("n")), "firsts")
-    return _meet(suffixes, first, ["rank"]).where((F.col("ord") != F.col("first.ord")) | (F.col("pos") != F.col("first.pos")))
+def _later(suffixes: DataFrame, spread: bool = False) -> DataFrame:
+    """Suffixes that are not the first of their rank by (ord, pos); with ``spread`` also ``docs``, the number of documents that have the rank."""
+    place = F.min(F.struct("ord", "pos")).alias("first")
+    if spread:
+        once = suffixes.groupBy("rank", "ord").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
+        first = once.groupBy("rank").agg(place, F.sum("n").alias("n"), F.count("*").alias("docs"))
+    else:
+        first = suffixes.groupBy("rank").agg(place, F.count("*").alias("n"))
+    return _meet(suffixes, stash(first, "firsts"), ["rank"]).where((F.col("ord") != F.col("first.ord")) | (F.col("pos") != F.col("first.pos")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_chars: int = 100) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_chars: int = 100, min_docs: int | None = None, min_words: int = 3) -> DataFrame:
     """``docs`` with later copies of repeated line runs cut from the text, and
     n_lines, n_removed and n_left (lines that are not blank and stay).
 
     A run repeats if the same lines stand in the same order elsewhere; it is
     cut where a smaller id, or an earlier place in the same document, has it
     too, if it has ``min_lines`` lines or is one line of ``min_chars``
-    characters. Maximal runs are the unions of overlapping such runs, so
-    suffixes need sorting only to depth ``min_lines``. Runs are judged on the
-    input. Lines end at a line feed; blanks at a line's ends do not count in
-    comparing; blank lines are passed over and stay.
+    characters. With ``min_docs``, it is cut also if it is one line of
+    ``min_words`` words that stands in so many different documents, however
+    short: boilerplate shows by its spread. Maximal runs are the unions of
+    overlapping such runs, so suffixes need sorting only to depth
+    ``min_lines``. Runs are judged on the input. Lines end at a line feed;
+    blanks at a line's ends do not count in comparing; blank lines are passed
+    over and stay.
 
     Null text stays null and has no lines. Null ids come last; rows with equal
     id and text are one document and keep equal text; rows with an equal id
@@ -96,12 +105,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ord_ = fresh(docs, "ord")
     rows = numbered(docs, id_col, text_col, ord_)
-    lines = stash(line_sequences(rows.select(F.col(ord_).alias("ord"), F.col(text_col).alias("text"))), "lines")
+    lines = stash(line_sequences(rows.select(F.col(ord_).alias("ord"), F.col(text_col).alias("text")), min_docs is not None), "lines")
     base = suffix_ranks(lines, 1)
-    long_lines = _later(base.where(F.col("chars") >= min_chars)).select("ord", "line")
+    long = F.col("chars") >= min_chars
+    if min_docs is None:
+        single = _later(base.where(long)).select("ord", "line")
+    else:
+        single = _later(base.where(long | (F.col("words") >= min_words)), spread=True).where(long | (F.col("docs") >= min_docs)).select("ord", "line")
     deep = _later(suffix_ranks(lines, min_lines, base)).select("ord", F.explode(F.sequence("pos", F.col("pos") + min_lines - 1)).alias("pos"))
     covered = lines.select("ord", "pos", "line").join(deep.distinct(), ["ord", "pos"]).select("ord", "line")
-    gone = long_lines.union(covered).groupBy("ord").agg(F.collect_set("line").alias("gone"))
+    gone = single.union(covered).groupBy("ord").agg(F.collect_set("line").alias("gone"))
     gone = gone.select(F.col("ord").alias("o_"), F.col("gone").alias("g_"))
     out = rows.join(gone, F.col(ord_) == F.col("o_"), "left")
     cut = F.split(rows[text_col], "\n")

@@ -158,6 +158,21 @@ def test_line_runs(spark, min_lines):
     same(got, brute.line_runs(lines_corpus(), min_lines))
 
 
+def test_widespread_lines_go(spark):
+    planted = ["Please read our terms of use here.", "All rights reserved by the owner of this page, and no part may be copied without leave, as ever."]
+    rows = [(i, "\n".join(x for p in (*planted, "Les.", "Two words") for x in (f"own line {i} before {p}", p))) for i in range(5)]
+    rows += [(9, "\n".join(["own start", "only in two documents", "own middle", planted[0], "own tail", planted[0], "own end"])), (10, "x\nonly in two documents\ny")]
+    assert all(30 <= len(p) < 100 for p in planted)
+    from corpus_pipeline import line_dedup
+
+    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup(spark, df, "").collect()}
+    assert got[0] == rows[0][1].split("\n")
+    for i in range(1, 5):
+        assert got[i] == [x for x in rows[i][1].split("\n") if x not in planted]
+    assert got[9] == ["own start", "only in two documents", "own middle", "own tail", "own end"] and got[10] == ["x", "only in two documents", "y"]
+
+
 def test_line_runs_with_repeated_and_null_ids(spark):
     rows = [(1, "a b\nc d\ne"), (1, "a b\nc d\ne"), (None, "a b\nc d\nf"), (1, "zz\nyy")]
     out = linededup.dedup_lines(frame(spark, rows))
