@@ -40,17 +40,43 @@ NOTICES = {
 }
 
 
-def template_grams(spark: SparkSession, phrases: dict[str, str], notices: dict[str, list[str]], k: int) -> DataFrame:
-    """(gram, template, at, base, label, total): hashes of the templates' k-grams."""
+def _gnu(name: str, short: str, versions: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Names of a GNU licence with its version, in words, by label."""
+    return {
+        f"{short}-{label}": [x for v in written for x in (f"gnu {name}public license version {v}", f"gnu {name}public license v{v}", f"gnu {short} version {v}", f"gnu {short} v{v}", f"the {short} version {v}", f"the {short} v{v}", f"under {short} version {v}", f"under {short} v{v}")]
+        for label, written in versions.items()
+    }
+
+
+#: Names of licences as short grants give them. Names of two
+#: versions share most k-grams, so all words must stand there, in a row.
+GRANTS = {
+    **_gnu("general ", "gpl", {"2": ["2"], "3": ["3"]}), **_gnu("lesser general ", "lgpl", {"2.1": ["2 1"], "3": ["3"]}), **_gnu("affero general ", "agpl", {"3": ["3"]}),
+    "bsd": ["bsd 2 clause", "bsd 3 clause", "2 clause bsd", "3 clause bsd", "two clause bsd", "three clause bsd", "under the bsd license", "new bsd license", "modified bsd license", "simplified bsd license"],
+    "mpl-2": ["mozilla public license version 2", "mozilla public license v2", "mozilla public license 2 0", "mpl version 2", "mpl v2 0", "mpl 2 0"],
+    "apache-2": ["apache license v2", "apache license 2 0", "apache 2 0 license"],
+    "mit": ["the mit license", "under mit license", "licensed under mit"],
+    "cc-by": ["cc by 2", "cc by 3", "cc by 4", "creative commons attribution license", *(f"creative commons attribution {v}" for v in (2, 3, 4))],
+    "cc-by-sa": ["cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"],
+    "cc-by-nd": ["cc by nd", "creative commons attribution noderivatives", "creative commons attribution noderivs", "creative commons attribution no derivatives"],
+    "cc-by-nc-sa": ["cc by nc sa", "creative commons attribution noncommercial sharealike", "creative commons attribution non commercial share alike"],
+    "cc-by-nc-nd": ["cc by nc nd", "creative commons attribution noncommercial noderivatives", "creative commons attribution noncommercial noderivs", "creative commons attribution non commercial no derivatives"],
+    "cc0": ["cc0 1 0", "under cc0 license", "creative commons zero", "creative commons cc0"],
+}
+
+
+def template_grams(spark: SparkSession, phrases: dict[str, str], notices: dict[str, list[str]], k: int, grants: dict[str, list[str]] | None = None) -> DataFrame:
+    """(gram, template, at, base, exact, label, total): hashes of the templates' k-grams; phrases and grants are exact."""
     rows, number = [], 0
-    for base, label, text in [(True, v, p) for p, v in phrases.items()] + [(False, v, t) for v, ts in notices.items() for t in ts]:
+    fuzzy = [(False, False, v, t) for v, ts in notices.items() for t in ts]
+    for base, exact, label, text in [(True, True, v, p) for p, v in phrases.items()] + fuzzy + [(False, True, v, t) for v, ts in (grants or {}).items() for t in ts]:
         words = plain_words(text)
         grams = window_hashes(word_hashes(words), k).view(np.int64).tolist()
         if not grams:
             raise ValueError(f"template of fewer than {k} words: {text}")
-        rows += [(g, number, i, base, label, len(grams)) for i, g in enumerate(grams)]
+        rows += [(g, number, i, base, exact, label, len(grams)) for i, g in enumerate(grams)]
         number += 1
-    return spark.createDataFrame(rows, "gram long, template int, at int, base boolean, label string, total int")
+    return spark.createDataFrame(rows, "gram long, template int, at int, base boolean, exact boolean, label string, total int")
 
 
 def _grams(k: int):
@@ -80,14 +106,15 @@ def _grams(k: int):
 
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None,
-    notices: dict[str, list[str]] | None = None, k: int = 3, drift: int = 3, least: float = 0.6,
+    notices: dict[str, list[str]] | None = None, k: int = 3, drift: int = 3, least: float = 0.6, grants: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) per row.
 
     All rolling k-gram hashes join the template positions (a few hundred rows
     of given text, so they are broadcast). Hits vote for diagonals (position
     in the text less position in the template). A phrase stands at a place
-    where one diagonal holds all its k-grams. For notices, diagonals of one
+    where one diagonal holds all its k-grams; so does a grant, which gives a
+    label but no base label. For notices, diagonals of one
     template within ``drift`` of the next are merged; a merged span holds the
     notice if its distinct template k-grams are at least the share ``least``
     of all, which also bounds what a chance hit can do. score is the largest
@@ -98,24 +125,24 @@ def scan_licenses(
     included. Other columns are not read.
     """
     spark = docs.sparkSession
-    templates = template_grams(spark, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices, k)
+    templates = template_grams(spark, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices, k, GRANTS if grants is None else grants)
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     grams = d.mapInArrow(_grams(k), f"rid long, doc_id {kind}, pos long, gram long")
     hits = grams.join(F.broadcast(templates), "gram", "left").where("gram is null or template is not null")
     hits = hits.withColumn("diagonal", F.col("pos") - F.col("at"))
-    by_diagonal = hits.groupBy("rid", "template", "base", "label", "total", "diagonal").agg(
+    by_diagonal = hits.groupBy("rid", "template", "base", "exact", "label", "total", "diagonal").agg(
         F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("doc_id").alias("doc_id"), F.max("pos").alias("n")
     )
     near = Window.partitionBy("rid", "template").orderBy("diagonal")
-    apart = F.coalesce((F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(near) > drift)).cast("int"), F.lit(1))
+    apart = F.coalesce((F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(near) > drift)).cast("int"), F.lit(1))
     merged = by_diagonal.withColumn("apart", apart).withColumn("span", F.sum("apart").over(near))
-    merged = merged.groupBy("rid", "template", "base", "label", "total", "span").agg(
+    merged = merged.groupBy("rid", "template", "base", "exact", "label", "total", "span").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.min("diagonal").alias("diagonal"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("doc_id").alias("doc_id"), F.max("n").alias("n")
     )
     share = F.when(F.col("template").isNotNull(), F.col("votes") / F.col("total"))
     is_base = F.col("base") & (F.col("votes") == F.col("total"))
-    is_notice = ~F.col("base") & (share >= least)
+    is_notice = ~F.col("base") & (share >= F.when(F.col("exact"), 1.0).otherwise(least))
     out = merged.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.max(F.when(F.col("template").isNull(), F.col("n"))).alias("n_words"),

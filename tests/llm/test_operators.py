@@ -378,6 +378,17 @@ def test_license_base_labels(spark):
     assert licenses.scan_licenses(frame(spark, license_rows()).limit(0)).count() == 0
 
 
+def test_license_grants(spark):
+    rows = [
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"), ("Licensed under the GNU General Public License, version 2.", "gpl-2"), ("under the GNU Lesser General Public License v3", "lgpl-3"),
+        ("GNU LGPL version 2.1 or later", "lgpl-2.1"), ("under the GNU Affero General Public License, Version 3", "agpl-3"), ("released under the BSD 3-Clause License", "bsd"), ("Mozilla Public License, version 2.0", "mpl-2"),
+        ("licensed under CC BY-SA 4.0", "cc-by-sa"), ("licensed under CC BY 4.0", "cc-by"), ("This work is licensed under the laws of the land, version 3.", ""), ("the GNU General Public License", ""), (None, ""),
+    ]
+    out = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in out} == {i: x for i, (_, x) in enumerate(rows)}
+    assert all(r.n_base == 0 and r.base_labels == "" for r in out) and all(r.score == 1 for r in out if r.labels)
+
+
 # --- contamination --------------------------------------------------------------------------
 
 
