@@ -13,11 +13,14 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandgraph.store import stash
+
 #: Fields of the URL record line of either ARC version.
 ARC_FIELDS = {
     "1": ["url", "ip", "date", "mime", "length"],
@@ -25,18 +28,19 @@ ARC_FIELDS = {
 }
 _NAMES = {"1": "URL IP-address Archive-date Content-type Archive-length", "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 
-RECORD = "file string, at long, kind string, url string, ip string, date string, mime string, key string, digest string, payload_bytes long, head binary, payload binary"
+RECORD = "file string, at long, kind string, url string, ip string, date string, mime string, key string, digest string, payload_bytes long, problem string, head binary, payload binary"
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "19700101000000", file_bytes: int = 64 << 20) -> None:
     """Write a record per row into gzipped ARC files of about ``file_bytes``
     before compression, version 1 and 2 in turn by partition.
 
-    The key column travels as an ``X-Page-Id`` header of the stored response;
-    a null key has no such header. Null html is an empty payload. Blanks in an
+    The key column travels as an ``X-Page-Id`` header of the stored response,
+    percent-encoded, so that line ends in a key add no header; a null key has
+    no such header. Null html is an empty payload. Blanks in an
     address are percent-encoded; a null or empty one becomes ``urn:unknown``.
     """
-    p = pages.select(F.col(id_col).cast("string").alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    p = pages.select(F.url_encode(F.col(id_col).cast("string")).alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     total = p.agg(F.sum(F.octet_length("html") + 400)).first()[0] or 0
     files = -(-total // file_bytes) or 1
     if files > p.rdd.getNumPartitions():
@@ -68,7 +72,11 @@ def _bytes(content: bytes) -> bytes:
     out, rest = [], content
     while rest:
         member = zlib.decompressobj(31)
-        out.append(member.decompress(rest))
+        try:
+            out.append(member.decompress(rest))
+        except zlib.error:  # what follows the last member is no gzip: it stays as it is
+            out.append(rest)
+            break
         rest = member.unused_data
     return b"".join(out)
 
@@ -87,48 +95,89 @@ def _split_http(block: bytes) -> tuple[bytes, bytes]:
 
 def _header(head: bytes, name: bytes) -> str | None:
     found = re.search(rb"(?im)^" + re.escape(name) + rb":[ \t]*([^\r\n]*)", head)
-    return found[1].decode("utf-8", "replace") if found else None
+    return unquote_plus(found[1].decode("utf-8", "replace")) if found else None
+
+
+_URL, _IP, _DATE = r"([A-Za-z][A-Za-z0-9+.-]*:.*?)", r"([0-9A-Fa-f.:]+)", r"([0-9]{4,14})"
+#: Record lines with blanks in the address or the type still fit: the address
+#: ends before the first thing that can be an IP address and a date.
+_LINES = {
+    "1": re.compile(f"{_URL} {_IP} {_DATE} (.*) ([0-9]+)"),
+    "2": re.compile(f"{_URL} {_IP} {_DATE} (.*) ([0-9]+|-) ([^ ]+) ([^ ]+) ([0-9]+|-) ([^ ]+) ([0-9]+)"),
+}
+#: No record line is longer; bytes without a line feed are not searched further.
+LINE_BYTES = 1 << 16
+
+
+def record_line(line: bytes, version: str) -> dict[str, str] | None:
+    """The fields of a record line, or None if it isn't one."""
+    text = line.decode("utf-8", "replace").strip("\r\n \t")
+    names = ARC_FIELDS[version]
+    parts = text.split(" ")
+    if len(parts) == len(names) and parts[-1].isdecimal() and parts[2].isdecimal():
+        return dict(zip(names, parts, strict=True))
+    found = _LINES[version].fullmatch(text)
+    return dict(zip(names, found.groups(), strict=True)) if found else None
+
+
+def _next_record(data: bytes, at: int, version: str) -> int:
+    """The start of the first line after the one at ``at`` that fits, or the end of the data."""
+    while (at := data.find(b"\n", at) + 1) > 0:
+        end = data.find(b"\n", at, at + LINE_BYTES)
+        line = data[at:end] if end >= 0 else b""
+        if (fields := record_line(line, version)) and re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", fields["url"]):
+            return at
+    return len(data)
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, fields, block) of each record, by declared lengths.
+def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes, str | None]]:
+    """(offset, fields, block, problem) of each record, by declared lengths.
 
     The first record names the version, whose fields the other record lines
-    have. A line that does not fit ends the file; a block cut short by the end
-    of the file is what is there.
+    have. Where a line does not fit, the bytes up to the next line that does
+    are a record of their own: no bytes are lost, its fields are empty, and
+    its problem is ``no record line``. A block cut short by the end of the
+    file is what is there, with the problem ``cut short``.
     """
     at, version = 0, "1"
     while at < len(data):
-        while data[at : at + 1] in (b"\n", b"\r"):
+        if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
-        end = data.find(b"\n", at)
-        if end < 0:
-            return
-        parts = data[at:end].decode("utf-8", "replace").strip().split(" ")
-        names = ARC_FIELDS[version]
-        if parts[0].startswith("filedesc:"):
-            names = ARC_FIELDS["2" if len(parts) == len(ARC_FIELDS["2"]) else "1"]
-        if len(parts) != len(names) or not parts[-1].isdecimal():
-            return
-        fields = dict(zip(names, parts, strict=True))
-        block = data[end + 1 : end + 1 + int(fields["length"])]
-        if parts[0].startswith("filedesc:"):
-            version = block[:1].decode("ascii", "replace") if block[:1] in (b"1", b"2") else "1"
-        yield at, fields, block
-        at = end + 1 + int(fields["length"])
+            continue
+        end = data.find(b"\n", at, at + LINE_BYTES)
+        line = data[at:end] if end >= 0 else data[at : at + LINE_BYTES]
+        if line.startswith(b"filedesc:"):
+            version = "2" if len(line.split(b" ")) == len(ARC_FIELDS["2"]) else "1"
+        fields = record_line(line, version) if end >= 0 else None
+        if fields is None:
+            to = _next_record(data, at, version)
+            yield at, {}, data[at:to], "no record line"
+            at = to
+            continue
+        length = int(fields["length"])
+        block = data[end + 1 : end + 1 + length]
+        if line.startswith(b"filedesc:") and block[:1] in (b"1", b"2"):
+            version = block[:1].decode("ascii")
+        yield at, fields, block, None if len(block) == length else "cut short"
+        at = end + 1 + length
 
 
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row per record of the ARC files at ``path``, RECORD's columns."""
+    """One row per record of the ARC files at ``path``, RECORD's columns.
+
+    Bytes between records that are none are rows of kind ``malformed`` with
+    null fields, so ``groupBy("kind", "problem").count()`` tells how much of
+    an archive could not be read as it should.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, content in zip(b["path"].to_pylist(), b["content"], strict=True):
                 rows, held = [], 0
-                for at, f, block in parse_arc(_bytes(content.as_py())):
-                    head, payload = _split_http(block)
-                    kind = "warcinfo" if f["url"].startswith("filedesc:") else "response" if head else "resource"
-                    rows.append((file, at, kind, f["url"], f["ip"], f["date"], f["mime"], _header(head, b"X-Page-Id"), base32_sha1(payload), len(payload), head if payloads else None, payload if payloads else None))
+                for at, f, block, problem in parse_arc(_bytes(content.as_py())):
+                    head, payload = _split_http(block) if f else (b"", block)
+                    kind = "malformed" if not f else "warcinfo" if f["url"].startswith("filedesc:") else "response" if head else "resource"
+                    rows.append((file, at, kind, *(f.get(x) for x in ("url", "ip", "date", "mime")), _header(head, b"X-Page-Id"), base32_sha1(payload), len(payload), problem, head if payloads else None, payload if payloads else None))
                     held += len(block) * payloads + 200
                     if held > 4 << 20:
                         yield _record_batch(rows)
@@ -139,7 +188,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
 
 
 def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), *[pa.string()] * 7, pa.int64(), pa.binary(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 7, pa.int64(), pa.string(), pa.binary(), pa.binary()]
     names = [x.split()[0] for x in RECORD.split(", ")]
     cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -167,28 +216,36 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: i
     key (numbers by value, then others, null last; then file and offset) is
     stored; the others become revisits that name it and keep their HTTP header
     alone. The smallest key of each digest is found by an aggregation that
-    combines before its shuffle.
+    combines before its shuffle; it comes back to the light rows first and
+    meets the payloads by file and offset, so a frequent payload is no hot key.
+
+    Malformed bytes become ``metadata`` records with their offset in the
+    address; a record that was cut short is marked ``WARC-Truncated``.
     """
-    light = read_arc(spark, arc_path, payloads=False).where("kind <> 'warcinfo'").where(F.col("payload_bytes") >= min_bytes)
+    plain = F.col("kind").isin("response", "resource") & (F.col("payload_bytes") >= min_bytes)
+    light = stash(read_arc(spark, arc_path, payloads=False).where(plain).drop("head", "payload", "mime", "ip", "kind"), "arc-records")
     number = F.expr("try_cast(key as decimal(38,0))")
-    order = F.struct(F.col("key").isNull().alias("k0"), number.isNull().alias("k1"), number.alias("k2"), "key", "file", "at")
-    firsts = light.groupBy("digest").agg(F.min(F.struct(*[order[c].alias(c) for c in ("k0", "k1", "k2", "key", "file", "at")], "url", "date")).alias("f"), F.count("*").alias("copies"))
-    firsts = firsts.where("copies > 1").select(F.col("digest").alias("d_"), F.col("f.file").alias("f_"), F.col("f.at").alias("a_"), F.col("f.url").alias("u_"), F.col("f.date").alias("t_"))
-    records = read_arc(spark, arc_path)
-    r = records.join(firsts, (F.col("digest") == F.col("d_")) & (F.col("kind") != "warcinfo") & (F.col("payload_bytes") >= min_bytes), "left")
-    revisit = F.col("d_").isNotNull() & ((F.col("file") != F.col("f_")) | (F.col("at") != F.col("a_")))
+    order = F.struct(F.col("key").isNull().alias("k0"), number.isNull().alias("k1"), number.alias("k2"), "key", "file", "at", "url", "date")
+    firsts = light.groupBy("digest").agg(F.min(order).alias("f"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = firsts.select("digest", *[F.col(f"f.{c}").alias(f"first_{c}") for c in ("file", "at", "url", "date")])
+    copies = light.select("file", "at", "digest").join(firsts, "digest").drop("digest").where("file <> first_file or at <> first_at")
+    r = read_arc(spark, arc_path).join(copies, ["file", "at"], "left")
+    revisit = F.col("first_at").isNotNull()
     crlf = "\r\n"
-    kind = F.when(revisit, "revisit").otherwise(F.col("kind"))
-    mime = F.when(F.col("kind") == "response", "application/http; msgtype=response").when(F.col("kind") == "warcinfo", "application/warc-fields").otherwise(F.col("mime"))
+    broken = F.col("kind") == "malformed"
+    kind = F.when(revisit, "revisit").when(broken, "metadata").otherwise(F.col("kind"))
+    mime = F.when(F.col("kind") == "response", "application/http; msgtype=response").when(F.col("kind") == "warcinfo", "application/warc-fields").when(broken, "application/octet-stream").otherwise(F.col("mime"))
     block = F.when(revisit, F.col("head")).otherwise(F.concat("head", "payload"))
     since = F.concat(
-        F.lit(crlf + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + crlf + "WARC-Refers-To: <"), _urn("f_", "a_"),
-        F.lit(">" + crlf + "WARC-Refers-To-Target-URI: "), "u_", F.lit(crlf + "WARC-Refers-To-Date: "), _iso(F.col("t_")),
+        F.lit(crlf + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + crlf + "WARC-Refers-To: <"), _urn("first_file", "first_at"),
+        F.lit(">" + crlf + "WARC-Refers-To-Target-URI: "), "first_url", F.lit(crlf + "WARC-Refers-To-Date: "), _iso(F.col("first_date")),
     )
+    uri = F.concat(F.lit("WARC-Target-URI: "), F.when(broken, F.concat(F.lit("urn:arc:malformed:"), F.col("at").cast("string"))).otherwise(F.col("url")), F.coalesce(F.concat(F.lit(crlf + "WARC-IP-Address: "), "ip"), F.lit("")))
     header = F.concat(
-        F.lit("WARC/1.1" + crlf + "WARC-Type: "), kind, F.lit(crlf + "WARC-Record-ID: <"), _urn("file", "at"), F.lit(">" + crlf + "WARC-Date: "), _iso(F.col("date")),
-        F.lit(crlf), F.when(F.col("kind") == "warcinfo", F.concat(F.lit("WARC-Filename: "), F.regexp_replace("url", "^filedesc:/*", ""))).otherwise(F.concat(F.lit("WARC-Target-URI: "), "url", F.lit(crlf + "WARC-IP-Address: "), "ip")),
-        F.lit(crlf + "WARC-Payload-Digest: sha1:"), "digest", F.when(revisit, since).otherwise(""), F.lit(crlf + "Content-Type: "), mime, F.lit(crlf + "Content-Length: "), F.octet_length(block).cast("string"), F.lit(crlf + crlf),
+        F.lit("WARC/1.1" + crlf + "WARC-Type: "), kind, F.lit(crlf + "WARC-Record-ID: <"), _urn("file", "at"), F.lit(">" + crlf + "WARC-Date: "), _iso(F.coalesce("date", F.lit("1970"))),
+        F.lit(crlf), F.when(F.col("kind") == "warcinfo", F.concat(F.lit("WARC-Filename: "), F.regexp_replace("url", "^filedesc:/*", ""))).otherwise(uri),
+        F.lit(crlf + "WARC-Payload-Digest: sha1:"), "digest", F.when(revisit, since).otherwise(""), F.when(F.col("problem") == "cut short", crlf + "WARC-Truncated: unspecified").otherwise(""),
+        F.lit(crlf + "Content-Type: "), mime, F.lit(crlf + "Content-Length: "), F.octet_length(block).cast("string"), F.lit(crlf + crlf),
     )
     r.select(F.concat(header.cast("binary"), block).cast("string").alias("value")).write.option("lineSep", crlf + crlf).option("compression", "gzip").text(warc_path)
 
@@ -210,8 +267,10 @@ def parse_warc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, kind, url, date, key, digest, payload_bytes, refers, intact) per record.
 
-    Of a revisit, payload_bytes is what its HTTP header declares; intact tells
-    whether a stored payload has the digest that its header names.
+    Digest and size of a stored payload are those of the bytes read back;
+    intact tells whether the header names the same digest. A revisit stores no
+    payload: its digest is the one its header names, payload_bytes what its
+    HTTP header declares, and intact is null.
     """
     names = ["record_id", "kind", "url", "date", "key", "digest", "payload_bytes", "refers", "intact"]
     kinds = [*[pa.string()] * 6, pa.int64(), pa.string(), pa.bool_()]
@@ -226,7 +285,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     declared = _header(head, b"Content-Length")
                     digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
                     size = len(payload) if stored else int(declared) if declared and declared.isdecimal() else None
-                    rows.append((h.get("warc-record-id", "").strip("<>"), kind, h.get("warc-target-uri"), h.get("warc-date"), _header(head, b"X-Page-Id"), digest, size, h.get("warc-refers-to", "").strip("<>") or None, base32_sha1(payload) == digest if stored else None))
+                    there = base32_sha1(payload) if stored else digest
+                    rows.append((h.get("warc-record-id", "").strip("<>"), kind, h.get("warc-target-uri"), h.get("warc-date"), _header(head, b"X-Page-Id"), there, size, h.get("warc-refers-to", "").strip("<>") or None, there == digest if stored else None))
                 cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -238,7 +298,9 @@ def archive_pages(pages: DataFrame, arc_path: str, warc_path: str, min_bytes: in
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) read
     back from the WARC files made of the ARC files made of ``pages``.
 
-    refers_to is the key of the response that a revisit names. Null html is an
+    refers_to is the key of the response that a revisit names; size and digest
+    are recomputed from that response's payload, and intact tells whether all
+    that is written about a payload agrees with it. Null html is an
     empty payload; a null id stays null and yields to others in being stored;
     repeated rows are records of their own. An empty table gives no rows.
     Other columns are not read.
@@ -247,7 +309,13 @@ def archive_pages(pages: DataFrame, arc_path: str, warc_path: str, min_bytes: in
     write_arc(pages, arc_path, id_col, url_col, html_col)
     arc_to_warc(spark, arc_path, warc_path, min_bytes)
     kind = pages.schema[id_col].dataType.simpleString()
-    records = read_warc(spark, warc_path).where("kind <> 'warcinfo'")
-    ids = read_warc(spark, warc_path).where("kind = 'response'").select(F.col("record_id").alias("r_"), F.col("key").alias("k_"))
+    records = stash(read_warc(spark, warc_path).where("kind <> 'warcinfo'"), "warc-records")
+    named = records.where("refers is not null").select(F.col("refers").alias("record_id")).distinct()
+    ids = records.where("kind = 'response'").join(named, "record_id", "left_semi")
+    ids = ids.select(F.col("record_id").alias("r_"), F.col("key").alias("k_"), F.col("digest").alias("d_"), F.col("payload_bytes").alias("b_"))
     out = records.join(ids, F.col("refers") == F.col("r_"), "left")
-    return out.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("k_").cast(kind).alias("refers_to"), "url", "intact")
+    intact = F.coalesce("intact", (F.col("digest") == F.col("d_")) & (F.col("payload_bytes") == F.col("b_")), F.lit(False))
+    return out.select(
+        F.col("key").cast(kind).alias("page_id"), F.coalesce("b_", "payload_bytes").alias("payload_bytes"), F.coalesce("d_", "digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"), F.col("k_").cast(kind).alias("refers_to"), "url", intact.alias("intact"),
+    )

@@ -106,3 +106,23 @@ def line_runs(rows, min_lines=2, min_chars=100):
         (d, len(c or []), len(gone[d]), len(filled[d]) - len(gone[d]), None if c is None else "\n".join(x for i, x in enumerate(c) if i not in gone[d]))
         for d, c in cut.items()
     ]
+
+
+def maximal_runs(rows, min_lines):
+    """(id, first line, last line, lines) of runs that stand elsewhere too and can't be made longer at either end."""
+    f = {d: [(i, x.strip(" \t\r\f\x0b")) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\f\x0b")] for d, t in rows}
+    places = [(d, p) for d in f for p in range(len(f[d]))]
+    out = []
+    for d, lines in f.items():
+        held = -1
+        for p in range(len(lines)):
+            best = 0
+            for e, q in places:
+                n = 0
+                while (e, q) != (d, p) and p + n < len(lines) and q + n < len(f[e]) and lines[p + n][1] == f[e][q + n][1]:
+                    n += 1
+                best = max(best, n)
+            if p + best > held and best >= min_lines:
+                out.append((d, lines[p][0], lines[p + best - 1][0], best))
+            held = max(held, p + best)
+    return out

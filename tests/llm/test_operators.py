@@ -104,7 +104,7 @@ def pages(spark):
 def test_pages_round_trip(spark, tmp_path):
     df = pages(spark)
     out = archives.archive_pages(df, f"{tmp_path}/arc", f"{tmp_path}/warc").collect()
-    assert all(r.intact in (True, None) for r in out)
+    assert all(r.intact for r in out)
     html = {1: "<p>é</p>", 2: "<p>é</p>", 3: "", 4: "", 5: df.where("page_id = 5").first().html, 6: "z" * 200_000, None: "<p>é</p>"}
     for r in out:
         b = html[r.page_id].encode()
@@ -137,6 +137,35 @@ def test_arc_versions_dates_and_cut_files(spark, tmp_path):
     assert dates["dns:h"] == "2001-02-01T00:00:00Z"
 
 
+def test_arc_goes_on_after_bytes_that_are_no_record(spark, tmp_path):
+    head = b"filedesc://a.arc 0.0.0.0 20010203 text/plain 13\n1 0 somebody\n\n"
+    rec = lambda url, mime, body: b"%s 1.2.3.4 20010203040506 %s %d\n%s\n" % (url, mime, len(body), body)
+    data = head + rec(b"http://h/1", b"text/html", b"one") + rec(b"http://h/with blank", b"text/html; charset=x", b"two") + b"garbage that\nis no record 12\n" + rec(b"http://h/3", b"text/html", b"three") + b"http://h/4 1.2.3.4 20010203040506 text/html 99\nstump"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.arc").write_bytes(data)
+    got = collected(archives.read_arc(spark, f"{tmp_path}/in"), "kind", "url", "payload_bytes", "problem")
+    want = [("warcinfo", "filedesc://a.arc", 13, None), ("resource", "http://h/1", 3, None), ("resource", "http://h/with blank", 3, None), ("malformed", None, 29, "no record line"), ("resource", "http://h/3", 5, None), ("resource", "http://h/4", 5, "cut short")]
+    same(got, want)
+    parsed = list(archives.parse_arc(data))
+    assert b"".join(b for _, f, b, _ in parsed if not f) == b"garbage that\nis no record 12\n"
+    archives.arc_to_warc(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    raw = b"".join(archives._bytes(p.read_bytes()) for p in (tmp_path / "out").glob("part-*"))
+    assert raw.count(b"WARC-Truncated: unspecified") == 1 and b"urn:arc:malformed:" in raw
+    assert archives.read_warc(spark, f"{tmp_path}/out").count() == 6
+
+
+def test_keys_with_line_ends_and_changed_payloads(spark, tmp_path):
+    odd = "a\r\nX-Page-Id: b & c%"
+    df = spark.createDataFrame([(odd, "http://x/", "text"), ("z", "http://y/", "text")], "page_id string, url string, html string")
+    out = {r.page_id: r for r in archives.archive_pages(df, f"{tmp_path}/arc", f"{tmp_path}/warc").collect()}
+    assert set(out) == {odd, "z"} and out["z"].refers_to == odd
+    block = b"HTTP/1.1 200 OK\r\n\r\nother"
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block))
+    r = archives.read_warc(spark, f"{tmp_path}/bad").first()
+    assert r.digest == archives.base32_sha1(b"other") and r.intact is False
+
+
 # --- lines and spans -------------------------------------------------------------
 
 
@@ -149,7 +178,32 @@ def lines_corpus():
     ]
 
 
-@pytest.mark.parametrize("min_lines", [2, 3, 5])
+def test_second_hash_is_not_made_from_the_first(spark):
+    from strandgraph.llm.rows import text_hashes
+
+    one, two = spark.createDataFrame([("some line",)], "t string").select(*text_hashes(F.col("t"))).first()
+    seed = spark.range(1).select(F.xxhash64(F.lit(1))).first()[0]
+    import xxhash
+
+    digest = lambda s: (xxhash.xxh64_intdigest("some line", s % (1 << 64)) + (1 << 63)) % (1 << 64) - (1 << 63)
+    assert (one, two) == (digest(42), digest(seed))
+
+
+def test_maximal_line_runs(spark):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c d e", "", f" u{rng.randint(0, 99)}"]) for _ in range(rng.randint(0, 12)))) for i in range(25)]
+    rows += [(100, rows[3][1]), (101, rows[4][1] + "\n" + rows[5][1]), (102, None), *[(103 + i, "\n".join(f"z{j}" for j in range(11))) for i in range(3)]]
+    same([tuple(r) for r in linededup.repeated_runs(frame(spark, rows)).collect()], brute.maximal_runs(rows, 2))
+
+
+def test_texts_of_many_lines(spark):
+    many = "\n".join(f"line {i} of many" for i in range(200_000))
+    df = spark.createDataFrame([(1, many), (2, "x\nline 5 of many\nline 6 of many\ny"), (3, "a\n" * 500)], "doc_id long, text string")
+    out = {r.doc_id: r for r in linededup.dedup_lines(df).collect()}
+    assert out[1].text == many and out[2].text == "x\ny" and out[3].n_removed == 499 and out[3].text == "a\n"
+
+
+@pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
 def test_line_runs(spark, min_lines):
     df = frame(spark, lines_corpus())
     out = linededup.dedup_lines(df, min_lines=min_lines)
