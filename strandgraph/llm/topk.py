@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -10,22 +12,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandgraph.llm.rows import unique_ids
 from strandgraph.store import stash
 
+#: The most pivots: what a task holds of them is bounded by it.
+PIVOTS = 2048
+#: Vectors that are compared with all pivots, or queries with a block, at once.
+STEP = 256
+
 
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, as whole numbers.
+    """(row, vec_id, v): floor(scale * x) of each component, as whole numbers.
 
     Vectors that are null, empty, or hold null or non-finite components are
-    left out, as are null ids and vectors not of the commonest length.
+    left out. ``row`` numbers rows in order of vec_id, null last; it is fixed
+    once the table is written.
     """
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x")).where("vec_id is not null and size(x) > 0")
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x")).where("size(x) > 0")
     odd = F.exists("x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(~odd).select("vec_id", F.transform("x", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
-    lengths = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    v = v.where(F.size("v") == (lengths.n if lengths else 0))
-    return v if unique_ids(v, "vec_id") else v.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return v.orderBy(F.col("vec_id").asc_nulls_last(), "v").withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "v")
 
 
 def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
@@ -44,28 +49,30 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _assign(pivots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norms = (pivots**2).sum(axis=1)
-        for b in batches:
-            x = _matrix(b["v"])
-            d2 = (x**2).sum(axis=1)[:, None] + norms - 2 * x @ pivots.T
-            g = d2.argmin(axis=1)
-            far = np.sqrt(np.maximum(d2[np.arange(len(x)), g], 0)) + 1e-6
-            yield pa.RecordBatch.from_arrays([b["vec_id"], b["v"], pa.array(g.astype(np.int32)), pa.array(far), pa.array(np.sqrt((x**2).sum(axis=1)) + 1e-6)], ["vec_id", "v", "g", "far", "norm"])
+        for batch in batches:
+            for at in range(0, len(batch), STEP):
+                b = batch.slice(at, STEP)
+                x = _matrix(b["v"])
+                d2 = (x**2).sum(axis=1)[:, None] + norms - 2 * x @ pivots.T
+                g = d2.argmin(axis=1)
+                far = np.sqrt(np.maximum(d2[np.arange(len(x)), g], 0)) + 1e-3
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in ("row", "vec_id", "v")), pa.array(g.astype(np.int32)), pa.array(far), pa.array(np.sqrt((x**2).sum(axis=1)) + 1e-3)], ["row", "vec_id", "v", "g", "far", "norm"])
 
     return run
 
 
 def _solve(k: int):
-    """Best k of a block of a group's vectors for each of a block of its queries."""
+    """Best k of a block of a group's vectors for each of a part of its queries; rows stand in order of vec_id."""
 
     def run(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if data.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        data = data.sort_values("vec_id", kind="stable")
-        ids, x = data["vec_id"].to_numpy(), _matrix(data["v"])
+            return pd.DataFrame({"query": [], "row": [], "score": []}).astype("int64")
+        data = data.sort_values("row", kind="stable")
+        ids, x = data["row"].to_numpy(), _matrix(data["v"])
         out = []
-        for at in range(0, len(queries), 256):
-            part = queries.iloc[at : at + 256]
-            asked = part["vec_id"].to_numpy()
+        for at in range(0, len(queries), STEP):
+            part = queries.iloc[at : at + STEP]
+            asked = part["row"].to_numpy()
             s = _scores(_matrix(part["v"]), x)
             own = asked[:, None] == ids
             s[own] = np.iinfo(np.int64).min
@@ -76,14 +83,14 @@ def _solve(k: int):
             row, col = row[order], col[order]
             rank = np.arange(len(row)) - np.searchsorted(row, row)
             row, col = row[rank < k], col[rank < k]
-            out.append(pd.DataFrame({"query_id": asked[row], "vec_id": ids[col], "score": s[row, col]}))
+            out.append(pd.DataFrame({"query": asked[row], "row": ids[col], "score": s[row, col]}))
         return pd.concat(out)
 
     return run
 
 
-def _reach(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, norm: np.ndarray, blocks: np.ndarray, own: bool):
-    """Queries to the blocks of groups that may hold one of their best.
+def _reach(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, norm: np.ndarray):
+    """(query row, g): the groups that may hold one of a query's best, but for its own.
 
     A group's vectors lie within ``radius`` of its pivot and have at most
     length ``norm``. With c the pivot, q.x is at most q.c + |q| radius, and at
@@ -91,80 +98,102 @@ def _reach(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, norm: np.
     distance to the pivot less the radius and by the distance to the plane
     between the query's pivot and the group's.
     """
-    apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2), 1e-12))
+    norms = (pivots**2).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            q, home, least = _matrix(b["v"]), b["g"].to_numpy(), b["least"].to_numpy()
-            if own:
-                take = np.zeros((len(q), len(pivots)), bool)
-                take[np.arange(len(q)), home] = True
-            else:
-                length = np.sqrt((q**2).sum(axis=1))[:, None]
-                dist = np.sqrt(np.maximum(((q[:, None] - pivots[None]) ** 2).sum(axis=2), 0))
-                plane = (dist**2 - dist[np.arange(len(q)), home][:, None] ** 2) / (2 * apart[home])
-                lower = np.maximum(np.maximum(dist - radius, plane), 0)
-                bound = np.minimum(q @ pivots.T + length * radius, (length**2 + norm**2 - lower**2) / 2)
-                take = (counts > 0) & (bound + 1e-3 >= least[:, None])
-                take[np.arange(len(q)), home] = False
-            row, g = np.nonzero(take)
-            n = blocks[g]
-            row, g = np.repeat(row, n), np.repeat(g, n)
-            block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(block.astype(np.int32)), b["vec_id"].take(pick), b["v"].take(pick), b["least"].take(pick)], ["g", "block", "vec_id", "v", "least"])
+        for batch in batches:
+            for at in range(0, len(batch), STEP):
+                b = batch.slice(at, STEP)
+                q, home, least = _matrix(b["v"]), b["g"].to_numpy(), b["least"].to_numpy()
+                length2, each = (q**2).sum(axis=1)[:, None], np.arange(len(q))
+                dots = q @ pivots.T
+                d2 = np.maximum(length2 + norms - 2 * dots, 0)
+                apart = np.sqrt(np.maximum(norms[home][:, None] + norms - 2 * pivots[home] @ pivots.T, 1e-12))
+                plane = (d2 - d2[each, home][:, None]) / (2 * apart)
+                lower = np.maximum(np.maximum(np.sqrt(d2) - radius, plane) - 1e-3, 0)
+                bound = np.minimum(dots + np.sqrt(length2) * radius, (length2 + norm**2 - lower**2) / 2)
+                take = (counts > 0) & (bound + 1 >= least[:, None])
+                take[each, home] = False
+                row, g = np.nonzero(take)
+                yield pa.RecordBatch.from_arrays([b["row"].take(pa.array(row)), pa.array(g.astype(np.int32))], ["row", "g"])
 
     return run
 
 
-def nearest(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, pivots: int = 64, block_rows: int = 4096, query_rows: int = 4096) -> DataFrame:
+def deal(data: DataFrame, sent: DataFrame, counts: np.ndarray, block_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Data and queries of each group, dealt into a grid of blocks and parts.
+
+    A group of n vectors that is asked by q queries is ceil(n / block_rows)
+    blocks by ceil(q / query_rows) parts, so no task holds more than about one
+    block and one part. Queries go to the blocks of the groups that they reach
+    alone, and vectors to the parts of their group alone; groups that nobody
+    asks stay behind.
+    """
+    asked = np.zeros(len(counts), np.int64)
+    for r in sent.groupBy("g").count().collect():  # a row per pivot at most
+        asked[r.g] = r["count"]
+    blocks, parts = np.maximum(1, -(-counts // block_rows)), -(-asked // query_rows)
+    per = lambda n: F.get(F.array(*[F.lit(int(x)) for x in n]), F.col("g"))
+    cells = lambda n: F.explode(F.sequence(F.lit(0), per(n) - 1))
+    some = F.col("g").isin([int(g) for g in np.flatnonzero(asked)])
+    data = data.where(some).select("g", F.pmod(F.xxhash64("row"), per(blocks)).cast("int").alias("block"), cells(parts).alias("part"), "row", "v")
+    sent = sent.select("g", cells(blocks).alias("block"), F.pmod(F.xxhash64(F.lit(1), "row"), per(parts)).cast("int").alias("part"), "row", "v", "least")
+    return data, sent
+
+
+def nearest(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, pivots: int | None = None, block_rows: int = 4096, query_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest inner products of each
     asked-for vector with all others, ties to the smaller id.
 
     ``asked`` is a condition on vec_id. Vectors and queries are grouped by the
     nearest of ``pivots`` vectors (those of least id hash: a bounded sample
-    that only shapes the groups). A first join, inside the query's own group,
+    that only shapes the groups; by default as many as the root of the number
+    of vectors, 16 to PIVOTS). A first join, inside the query's own group,
     gives a score that its k-th best must reach. Group summaries (count,
-    radius, greatest length: ``pivots`` rows) then bound what any vector of a
-    group can score, and a query is sent only to groups that may reach it.
-    Groups are cut into blocks of about ``block_rows`` vectors and queries into
-    blocks of about ``query_rows``, so a hot pivot is many tasks.
-
-    Left out: null ids, and vectors that are null, empty, of an uncommon
-    length, or hold null or non-finite components. Rows that share an id count
-    once, with the smallest vector. Fewer than k others give all. Other
-    columns are not read.
+    radius, greatest length: a row per pivot) then bound what any vector of a
+    group can score, and a query is sent only to groups that may reach it; see
+    ``deal``. A hot pivot is many tasks.
+
+    Left out are vectors that are null, empty, or hold null or non-finite
+    components. Vectors of one length are scored among themselves, each length
+    on its own (a search per length). Rows are told apart even where ids
+    repeat: each is a candidate for all others, and a query of its own with
+    ranks of its own. A null id is a candidate, after all others in ties, and
+    asks where ``asked`` says so. Fewer than k others give all. Other columns
+    are not read.
     """
     v = stash(whole_vectors(vectors, id_col, vector_col, scale), "vectors")
-    seeds = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("v").collect()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not seeds:
-        return v.sparkSession.createDataFrame([], schema)
+    sizes = sorted((r[0], r[1]) for r in v.groupBy(F.size("v").alias("n")).count().collect())
+    found = [_nearest(v.where(F.size("v") == n), total, asked, k, pivots, block_rows, query_rows) for n, total in sizes]
+    if not found:
+        return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(v: DataFrame, total: int, asked: Column, k: int, pivots: int | None, block_rows: int, query_rows: int) -> DataFrame:
+    """The search among ``total`` vectors of one length."""
+    seeds = v.orderBy(F.xxhash64("vec_id", "row"), "row").limit(pivots or min(PIVOTS, max(16, isqrt(total)))).select("v").collect()
     p = np.unique(np.array([r.v for r in seeds], np.float64), axis=0)
-    v = stash(v.mapInArrow(_assign(p), "vec_id long, v array<long>, g int, far double, norm double"), "groups")
+    v = stash(v.mapInArrow(_assign(p), "row long, vec_id long, v array<long>, g int, far double, norm double"), "groups")
     counts, radius, norm = np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros(len(p))
     for r in v.groupBy("g").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect():
         counts[r.g], radius[r.g], norm[r.g] = r.n, r.far, r.norm
-    blocks = np.maximum(1, -(-counts // block_rows))
-    per_group = F.array(*[F.lit(int(x)) for x in blocks])
-    data = v.select("g", F.pmod(F.xxhash64("vec_id"), F.get(per_group, F.col("g"))).cast("int").alias("block"), "vec_id", "v")
-    questions = v.where(asked)
-    parts = max(1, -(-questions.count() // query_rows))
-
-    def search(questions: DataFrame, own: bool) -> DataFrame:
-        sent = questions.mapInArrow(_reach(p, counts, radius, norm, blocks, own), "g int, block int, vec_id long, v array<long>, least long")
-        sent = sent.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int"))
-        each = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else data.withColumn("part", F.lit(0))
+    questions = v.where(asked).select("row", "vec_id", "v", "g")
+
+    def search(sent: DataFrame) -> DataFrame:
+        data, queries = deal(v, sent, counts, block_rows, query_rows)
         keys = ["g", "block", "part"]
-        return each.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_solve(k), "query_id long, vec_id long, score long")
+        return data.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_solve(k), "query long, row long, score long")
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "row")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    lowest = -(1 << 62)
-    near = stash(ranked(search(questions.select("vec_id", "v", "g", F.lit(lowest).cast("long").alias("least")), True)), "near")
-    least = near.where(F.col("rank") == k).select(F.col("query_id").alias("q_"), F.col("score").alias("s_"))
-    rest = questions.join(least, F.col("vec_id") == F.col("q_"), "left").select("vec_id", "v", "g", F.coalesce("s_", F.lit(lowest).cast("long")).alias("least"))
-    found = search(rest, False).unionByName(near.select("query_id", "vec_id", "score"))
-    return ranked(found).select("query_id", "rank", "vec_id", "score")
+    lowest = F.lit(-(1 << 62)).cast("long")
+    near = stash(ranked(search(questions.select("row", "v", "g", lowest.alias("least")))), "near")
+    least = near.where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("least"))
+    rest = stash(questions.join(least, "row", "left").select("row", "v", "g", F.coalesce("least", lowest).alias("least")), "questions")
+    reached = rest.mapInArrow(_reach(p, counts, radius, norm), "row long, g int")
+    reached = stash(reached.join(rest.drop("g"), "row"), "reached")
+    found = ranked(search(reached).unionByName(near.select("query", "row", "score")))
+    ids = v.select("row", "vec_id")
+    found = found.join(ids, "row").join(questions.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query")
+    return found.select("query_id", "rank", "vec_id", "score")

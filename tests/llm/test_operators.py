@@ -380,34 +380,63 @@ def test_evidence_beside_text(spark):
 
 
 def top(rows, k):
-    rows = {i: v for i, v in rows if v and i is not None and all(x is not None and np.isfinite(x) for x in v)}
-    v = {i: np.floor(np.array(x, np.float64) * 64).astype(np.int64) for i, x in rows.items()}
+    """Every valid row, null and repeated ids included, against all other rows of its length."""
+    rows = [(i, np.floor(np.array(v, np.float64) * 64).astype(np.int64)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in v:
-        if q % 3 == 0:
-            best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:k]
-            out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
+    for at, (q, v) in enumerate(rows):
+        if q is not None and q % 3 == 0:
+            best = sorted((-int(v @ x), c is None, c or 0) for n, (c, x) in enumerate(rows) if n != at and len(x) == len(v))[:k]
+            out += [(q, i + 1, None if none else c, -s) for i, (s, none, c) in enumerate(best)]
     return out
 
 
-@pytest.mark.parametrize("block_rows,query_rows,pivots", [(4096, 4096, 64), (5, 4, 6), (50, 10, 1)])
+@pytest.mark.parametrize("block_rows,query_rows,pivots", [(4096, 4096, None), (5, 4, 6), (50, 10, 1)])
 def test_top_k_is_exact(spark, block_rows, query_rows, pivots):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(120)]
     rows += [(200 + i, rows[0][1]) for i in range(40)]
     rows += [(300, None), (303, [float("nan")] + [0.0] * 7), (306, [float("inf")] * 8), (None, rows[1][1])]
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows] + [(309, [None] + [0.0] * 7, 1), (312, [], 1), (315, [1.0], 1)], "vec_id long, embedding array<double>, score int")
+    rows += [(309, [None] + [0.0] * 7), (312, []), (315, [1.0]), (318, [2.0, 1.0]), (321, [1.0, 3.0]), (322, [0.5, 0.5]), (3, rows[7][1]), (4, rows[8][1])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
     out = topk.nearest(df, F.col("vec_id") % 3 == 0, k=7, pivots=pivots, block_rows=block_rows, query_rows=query_rows)
     same(collected(out, "query_id", "rank", "vec_id", "score"), top(rows, 7))
 
 
+def test_top_k_replicates_what_is_needed(spark):
+    """Of 20,000 vectors in far-apart bundles, with 100 queries a part, few are sent anywhere twice."""
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(100, 16)) * 40
+    v = np.concatenate([c + rng.normal(size=(200, 16)) for c in centers])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    dealt, plain = [], topk.deal
+
+    def counted(data, sent, *how):
+        out = plain(data, sent, *how)
+        dealt.append(tuple(x.count() for x in out))
+        return out
+
+    topk.deal = counted
+    try:
+        got = topk.nearest(df, F.col("vec_id") % 20 == 0, k=5, query_rows=100)
+        assert got.count() == 5000
+    finally:
+        topk.deal = plain
+    assert dealt[0][0] <= 20_000 and dealt[0][1] == 1000
+    assert dealt[1][0] <= 2 * 20_000 and dealt[1][1] <= 10 * 1000
+    w = np.floor(v * 64).astype(np.int64)
+    for r in got.where("rank = 1 and query_id % 1000 = 0").collect():
+        s = w[r.query_id] @ w.T
+        s[r.query_id] = np.iinfo(np.int64).min
+        assert r.score == s.max()
+
+
 def test_top_k_small_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<float>")
     same(collected(topk.nearest(df, F.col("vec_id") == 0), "query_id", "rank", "vec_id", "score"), [(0, 1, 1, 64 * 64 * 11)])
     assert topk.nearest(df.limit(0), F.lit(True)).count() == 0
     assert topk.nearest(df.limit(1), F.lit(True)).count() == 0
     twice = df.union(df)
-    assert topk.nearest(twice, F.col("vec_id") == 0).count() == 1
+    assert topk.nearest(twice, F.col("vec_id") == 0).count() == 6
 
 
 # --- licenses ---------------------------------------------------------------------------
