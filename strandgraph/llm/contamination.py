@@ -3,9 +3,9 @@
 The index is a table of postings (term, document, position). Of each test
 window the rarest terms, by their count over all training texts, are looked
 up; their posting lists are shifted by the terms' places in the window and
-intersected. Where all lists meet, the rarest term's posting also carries the
-hash of the words around it, which tells an exact phrase from words that only
-stand at the right distances.
+intersected. Where all lists meet, the words that stand there are compared
+with the window's: equal ones are an exact phrase, others stand at the right
+distances only.
 """
 
 from __future__ import annotations
@@ -17,30 +17,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandgraph.llm.rows import ordered
-from strandgraph.llm.words import chunks, plain_words, window_hashes, word_hashes
+from strandgraph.llm.rows import ordered, salted_join
+from strandgraph.llm.words import chunks, plain_words, word_hashes
 from strandgraph.store import stash
 
+#: Rows of a table that is sent to all tasks, at most.
+HELD = 1 << 20
+
 
 def test_windows(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(item_id, phrase, length, terms) per window; terms are word hashes in order."""
+    """(item_id, phrase, terms) per window: its words joined by blanks, and their hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 200_000):
             out = []
             for item, text in zip(b["item_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                h = word_hashes(plain_words(text))
-                n = min(size, len(h))
-                signed = h.view(np.int64).tolist()
-                out += [(item, p, n, signed[i : i + n]) for i, p in enumerate(window_hashes(h, n).view(np.int64).tolist())] if n else []
+                words = plain_words(text)
+                n, h = min(size, len(words)), word_hashes(words).view(np.int64).tolist()
+                out += [(item, b" ".join(words[i : i + n]).decode("utf-8", "surrogatepass"), h[i : i + n]) for i in range(len(words) - n + 1)] if n else []
             for at in range(0, len(out), 4096):
                 cols = list(zip(*out[at : at + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int64()))], ["item_id", "phrase", "length", "terms"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int64()))], ["item_id", "phrase", "terms"])
 
-    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null")
-    return items.mapInArrow(run, "item_id string, phrase long, length int, terms array<long>")
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
+    return items.mapInArrow(run, "item_id string, phrase string, terms array<long>")
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -53,71 +53,77 @@ def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(words).view(np.int64), np.array(counts, np.int64)
 
 
-def _find(sorted_terms: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where h holds one of the terms, and which one."""
-    at = np.minimum(np.searchsorted(sorted_terms, h), len(sorted_terms) - 1)
-    where = np.flatnonzero(sorted_terms[at] == h)
-    return where, at[where]
+class Wanted:
+    """A filter of at most HELD entries that lets all wanted terms pass.
+
+    Of more terms it holds leading bits, as many as HELD entries tell apart:
+    some other terms pass too, and the join that follows drops them.
+    """
+
+    def __init__(self, terms: DataFrame) -> None:
+        """``terms``: distinct (term long)."""
+        bits = 64 if terms.limit(HELD + 1).count() <= HELD else HELD.bit_length() - 1
+        self.shift = 64 - bits
+        found = terms.select(F.shiftright("term", self.shift).alias("x")).distinct().collect()
+        self.some = np.sort(np.array([r.x for r in found], np.int64))
+
+    def where(self, h: np.ndarray) -> np.ndarray:
+        x = h >> np.int64(self.shift) if self.shift else h
+        if not len(self.some):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.some, x), len(self.some) - 1)
+        return np.flatnonzero(self.some[at] == x)
 
 
-def term_counts(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """(term, n): how often each of the sorted ``terms`` occurs in all texts."""
+def term_counts(docs: DataFrame, wanted: Wanted) -> DataFrame:
+    """(term, n): how often terms that pass the filter occur in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(terms), np.int64)
-        for b in chunks(batches, "text"):
-            total += np.bincount(_find(terms, _flat(b)[0])[1], minlength=len(terms))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(terms[some]), pa.array(total[some])], ["term", "n"])
+        for b in chunks(batches, "text", 16_000_000):
+            h = _flat(b)[0]
+            term, n = np.unique(h[wanted.where(h)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def _postings(lead: np.ndarray, places: np.ndarray, lengths: np.ndarray, rest: np.ndarray):
-    """Rows (ord, term, start, place, length, phrase) of one text.
-
-    For the rarest terms (``lead``, sorted, with the place and length of each
-    window they lead) start is where that window would begin and phrase the
-    hash of its words; for the others (``rest``) start is the posting's own
-    position and phrase is null. A row without a term per text holds its
-    number of words in start.
-    """
+def postings(docs: DataFrame, wanted: Wanted) -> DataFrame:
+    """(ord, term, pos, n_words) of each place of a term that passes the filter,
+    and a row without a term per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             h, n = _flat(b)
-            ends = np.cumsum(n)
-            begins = ends - n
+            begins = np.cumsum(n) - n
             owner = np.repeat(np.arange(len(n)), n)
-            ord_ = b["ord"].to_numpy()
+            at = wanted.where(h)
+            who, ord_ = owner[at], b["ord"].to_numpy()
             nothing = pa.nulls(len(n), pa.int64())
-            parts = [(ord_, nothing, n, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int32()), nothing)]
-            if len(h) and len(lead):
-                where, _ = _find(np.unique(lead), h)
-                lo, hi = np.searchsorted(lead, h[where], "left"), np.searchsorted(lead, h[where], "right")
-                use = np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())
-                start = np.repeat(where, hi - lo) - places[use]
-                who = np.repeat(owner[where], hi - lo)
-                fits = (start >= begins[who]) & (start + lengths[use] <= ends[who])
-                start, who, use = start[fits], who[fits], use[fits]
-                phrase = np.zeros(len(start), np.int64)
-                for size in np.unique(lengths[use]).tolist():
-                    of = lengths[use] == size
-                    phrase[of] = window_hashes(h.view(np.uint64), size).view(np.int64)[start[of]]
-                parts.append((ord_[who], pa.array(lead[use]), start - begins[who], pa.array(places[use]), pa.array(lengths[use]), pa.array(phrase)))
-            if len(h) and len(rest):
-                where, at = _find(rest, h)
-                who, none = owner[where], pa.nulls(len(where), pa.int32())
-                parts.append((ord_[who], pa.array(rest[at]), where - begins[who], none, none, pa.nulls(len(where), pa.int64())))
-            for o, term, start, place, length, phrase in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(o), term, pa.array(start), place, length, phrase], ["ord", "term", "start", "place", "length", "phrase"])
-
-    return run
+            yield pa.RecordBatch.from_arrays([pa.array(ord_), nothing, nothing, pa.array(n)], ["ord", "term", "pos", "n_words"])
+            yield pa.RecordBatch.from_arrays([pa.array(ord_[who]), pa.array(h[at]), pa.array(at - begins[who]), pa.array(n[who])], ["ord", "term", "pos", "n_words"])
+
+    return docs.select("ord", "text").mapInArrow(run, "ord long, term long, pos long, n_words long")
+
+
+def _compared(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (ord, phrase, start, length) with ``exact``: whether the phrase's very words stand there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            for i, text in enumerate(b["text"].to_pylist()):
+                words, spots = plain_words(text), b["places"][i].values
+                start, length, phrase = (spots.field(c) for c in ("start", "length", "phrase"))
+                exact = [b" ".join(words[a : a + n]) == p.encode("utf-8", "surrogatepass") for a, n, p in zip(start.to_pylist(), length.to_pylist(), phrase.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([b["ord"][i].as_py()] * len(exact), pa.int64()), phrase, start, length, pa.array(exact)], ["ord", "phrase", "start", "length", "exact"])
+
+    lists = places.groupBy("ord").agg(F.collect_list(F.struct("start", "length", "phrase")).alias("places"))
+    some = docs.select(F.col("ord").alias("o_"), "text").join(lists, F.col("o_") == F.col("ord")).dropDuplicates(["ord"]).select("ord", "text", "places")
+    return some.mapInArrow(run, "ord long, phrase string, start long, length long, exact boolean")
 
 
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-    size: int = 13, rarest: int = 3, block: int = 100_000, share: int = 20,
+    size: int = 13, rarest: int = 3, share: int = 20,
 ) -> DataFrame:
     """(doc_id, ord, n_words, n_hit, n_items, items_sha256, contaminated, n_near, passages) per row.
 
@@ -129,76 +135,84 @@ def find_passages(
     matches); they do not count as hits. contaminated: n_hit > 0 and ``share``
     * n_hit >= n_words.
 
-    What a task holds of the benchmark is bounded: windows go in blocks of
-    ``block`` distinct windows, and each block is looked up in all texts.
-    Postings of all other terms are not made, since no window would ask.
-
-    Null text has no words; a null item id is left out; equal windows of many
-    items count for each. Null ids and rows with one id are kept apart as
-    ``rows.numbered`` tells; rows that repeat wholly repeat in the result. An
-    empty benchmark hits nothing. Other columns are not read.
+    Texts are read twice for the index, once to count terms and once to make
+    the postings of the windows' rarest terms, however large the benchmark is;
+    texts in which such lists meet are read again to compare the words. Terms
+    are filtered by a table of HELD entries at most (see ``Wanted``). Postings
+    meet the windows in a join by term whose common terms are dealt over salts.
+
+    Null text has no words. Items with a null id count as one item, which
+    items_sha256 does not name. Equal windows of many items count for each.
+    Null ids and rows with one id are kept apart as ``rows.numbered`` tells;
+    rows that repeat wholly repeat in the result. An empty benchmark hits
+    nothing. Other columns are not read.
     """
-    spark = docs.sparkSession
     d = ordered(docs, id_col, text_col)
     windows = stash(test_windows(benchmark, item_id_col, item_text_col, size), "test-windows")
-    distinct = windows.groupBy("phrase", "length").agg(F.first("terms").alias("terms"))
-    distinct = stash(distinct.orderBy("phrase", "length").withColumn("window", F.monotonically_increasing_id()), "distinct-windows")
-    blocks = -(-distinct.count() // block) or 1
-    passages = None
-    for number in range(blocks):
-        found, words = _look_up(d, distinct.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == number), rarest, number == 0)
-        passages = found if passages is None else passages.union(found)
-        words_of = words if number == 0 else words_of  # noqa: F821
-    if blocks > 1:
-        passages = stash(passages, "passages")
-    of_item = windows.join(distinct, ["phrase", "length"]).select("item_id", F.col("window").alias("w_")).distinct()
-    exact = passages.where("exact")
-    items = exact.select("ord", "window").join(of_item, F.col("window") == F.col("w_")).select("ord", "item_id").distinct()
+    distinct = windows.groupBy("phrase").agg(F.first("terms").alias("terms"))
+    terms = stash(windows.select(F.explode("terms").alias("term")).groupBy("term").count().select("term", F.col("count").alias("uses")), "terms")
+    counts = stash(terms.join(term_counts(d, Wanted(terms.select("term"))), "term"), "term-counts")
+    plan = stash(_plan(distinct, counts, rarest), "plan")
+    leads = plan.select("term").distinct()
+    rows = stash(postings(d, Wanted(leads)), "postings")
+    words_of = rows.where("term is null").select("ord", "n_words").distinct()
+
+    met = _meet(rows.where("term is not null"), plan, counts)
+    start = F.col("pos") - F.col("place")
+    met = met.select("ord", "phrase", start.alias("start"), "length", F.expr("shiftleft(1, rank)").alias("bit"), "lists", "n_words").where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words")))
+    met = met.groupBy("ord", "phrase", "start", "length", "lists").agg(F.bit_or("bit").alias("bits")).where(F.bit_count("bits") == F.col("lists"))
+    found = stash(_compared(d, met.select("ord", "phrase", "start", "length")), "places")
+
+    exact = found.where("exact")
+    items = exact.select("ord", "phrase").distinct().join(windows.select("item_id", "phrase").distinct(), "phrase").select("ord", "item_id").distinct()
     items = items.groupBy("ord").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
-    spans = exact.select("ord", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
-    spans = spans.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("raw"))
-    nothing = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-
-    def join_on(done, x):
-        last = F.element_at(done, -1)
-        overlaps = (F.size(done) > 0) & (x["start"] <= F.get(done, F.size(done) - 1)["end"])
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when(overlaps, longer).otherwise(F.concat(done, F.array(x)))
-
-    spans = spans.select("ord", F.aggregate("raw", nothing, join_on).alias("passages"))
-    near = passages.where("not exact").groupBy("ord").agg(F.count("*").alias("n_near"))
+    spans = exact.select("ord", "start", (F.col("start") + F.col("length")).alias("end")).groupBy("ord", "start").agg(F.max("end").alias("end"))
+    by_start = Window.partitionBy("ord").orderBy("start")
+    opens = F.col("start") > F.coalesce(F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    spans = spans.withColumn("opens", opens.cast("int")).withColumn("span", F.sum("opens").over(by_start))
+    spans = spans.groupBy("ord", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("passages"), F.sum(F.col("end") - F.col("start")).alias("n_hit"))
+    near = found.where("not exact").groupBy("ord").agg(F.count("*").alias("n_near"))
     ids = d.select(F.col("ord").alias("o_"), "doc_id")
     out = ids.join(words_of, F.col("o_") == F.col("ord")).drop("ord").withColumnRenamed("o_", "ord")
     for part in (items, spans, near):
         out = out.join(part, "ord", "left")
-    n_hit = F.aggregate(F.coalesce("passages", nothing), F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    out = out.withColumn("n_hit", n_hit)
+    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
     return out.select(
         "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "passages", "ord",
     )
 
 
-def _look_up(d: DataFrame, windows: DataFrame, rarest: int, first: bool) -> tuple[DataFrame, DataFrame]:
-    """(ord, window, start, length, exact) of a block's windows, and (ord, n_words)."""
-    places = windows.select("window", "phrase", "length", F.posexplode("terms").alias("place", "term"))
-    terms = np.array(sorted(r[0] for r in places.select("term").distinct().collect()), np.int64)  # bounded by the block
-    counts = term_counts(d, terms) if len(terms) else places.select("term", F.lit(0).cast("long").alias("n")).limit(0)
-    by_count = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "term", "place")
-    plan = places.join(counts, "term", "left").withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= rarest)
-    plan = plan.select("term", "window", "place", "length", "rank", F.col("phrase").alias("wanted"), F.least("length", F.lit(rarest)).alias("lists"))
-    plan = stash(plan, "plan")
-    leads = sorted({(r.term, r.place, r.length) for r in plan.where("rank = 1").select("term", "place", "length").collect()})
-    rest = np.array(sorted(r[0] for r in plan.where("rank > 1").select("term").distinct().collect()), np.int64)
-    lead, at, length = (np.array([x[i] for x in leads], t) for i, t in enumerate((np.int64, np.int32, np.int32)))
-    rows = stash(d.select("ord", "text").mapInArrow(_postings(lead, at, length, rest), "ord long, term long, start long, place int, length int, phrase long"), "postings")
-    words = rows.where("term is null").select("ord", F.col("start").alias("n_words")).distinct() if first else None
-    p = plan.select("window", F.col("term").alias("t_"), F.col("place").alias("p_"), F.col("length").alias("l_"), "rank", "wanted", "lists")
-    led = (F.col("rank") == 1) & (F.col("place") == F.col("p_")) & (F.col("length") == F.col("l_"))
-    other = (F.col("rank") > 1) & F.col("place").isNull()
-    met = rows.where("term is not null").join(F.broadcast(p), (F.col("term") == F.col("t_")) & (led | other))
-    start = F.when(F.col("rank") == 1, F.col("start")).otherwise(F.col("start") - F.col("p_"))
-    met = met.select("ord", "window", start.alias("start"), F.col("l_").alias("length"), F.expr("shiftleft(1, rank)").alias("bit"), "lists", (F.col("phrase") == F.col("wanted")).alias("same"))
-    met = met.groupBy("ord", "window", "start", "length", "lists").agg(F.bit_or("bit").alias("bits"), F.max("same").alias("exact"))
-    found = met.where(F.bit_count("bits") == F.col("lists")).select("ord", "window", "start", F.col("length").cast("long").alias("length"), "exact")
-    return found, words
+def _plan(distinct: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
+    """(term, phrase, place, length, rank, lists) of the rarest terms of each
+    window. Windows with a word that no text has occur nowhere and go.
+
+    The counts of the benchmark's own terms are sent to all tasks where they
+    are HELD at most; else they meet the windows in a salted join, as nearly
+    every window has the commonest words.
+    """
+    places = distinct.select("phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
+    if counts.count() <= HELD:
+        known = places.join(F.broadcast(counts.select("term", "n")), "term")
+    else:
+        uses = counts.agg(F.sum("uses")).first()[0]
+        known = salted_join(places, counts.select("term", F.col("n").alias("often"), F.col("uses").alias("n")), ["term"], ["phrase", "place"], uses).withColumnRenamed("often", "n")
+    by_window = known.groupBy("phrase", "length").agg(F.sort_array(F.collect_list(F.struct("n", "term", "place"))).alias("all")).where("size(all) = length")
+    ranked = by_window.select("phrase", "length", F.posexplode(F.slice("all", 1, rarest)).alias("rank", "x"))
+    return ranked.select(F.col("x.term").alias("term"), "phrase", F.col("x.place").alias("place"), F.col("length").cast("long"), "rank", F.least("length", F.lit(rarest)).alias("lists"))
+
+
+def _meet(rows: DataFrame, plan: DataFrame, counts: DataFrame) -> DataFrame:
+    """Postings with the windows that ask for their term.
+
+    A plan of HELD rows or fewer is sent to all tasks. A larger one is joined
+    by term: windows of a term come as one list, and postings of common terms
+    are dealt over salts.
+    """
+    if plan.count() <= HELD:
+        return rows.join(F.broadcast(plan), "term")
+    asked = plan.groupBy("term").agg(F.collect_list(F.struct("phrase", "place", "length", "rank", "lists")).alias("all"))
+    asked = stash(asked.join(counts.select("term", "n"), "term"), "asked")
+    total = asked.agg(F.sum("n")).first()[0]
+    return salted_join(rows, asked, ["term"], ["ord", "pos"], total).select("ord", "pos", "n_words", F.inline("all"))

@@ -76,7 +76,7 @@ def contamination(rows, items, size=13):
         w = PLAIN.findall(lower(t))
         n = min(size, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            windows[tuple(w[i : i + n])].add(str(item))
+            windows[tuple(w[i : i + n])].add(None if item is None else str(item))
     lengths = sorted({len(w) for w in windows})
     out = []
     for d, t in rows:
@@ -86,7 +86,7 @@ def contamination(rows, items, size=13):
                 if (of := windows.get(tuple(w[i : i + n]))) is not None:
                     hit |= set(range(i, i + n))
                     found |= of
-        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), 0 < len(hit) and 20 * len(hit) >= len(w)))
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), 0 < len(hit) and 20 * len(hit) >= len(w)))
     return out
 
 
