@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
+from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandgraph.llm.rows import ordered
 from strandgraph.llm.words import chunks, plain_words, window_hashes, word_hashes
+from strandgraph.store import stash
 
 #: Phrases whose places are the base labels.
 PHRASES = {
@@ -65,22 +71,51 @@ GRANTS = {
 }
 
 
-def template_grams(spark: SparkSession, phrases: dict[str, str], notices: dict[str, list[str]], k: int, grants: dict[str, list[str]] | None = None) -> DataFrame:
-    """(gram, template, at, base, exact, label, total): hashes of the templates' k-grams; phrases and grants are exact."""
-    rows, number = [], 0
-    fuzzy = [(False, False, v, t) for v, ts in notices.items() for t in ts]
-    for base, exact, label, text in [(True, True, v, p) for p, v in phrases.items()] + fuzzy + [(False, True, v, t) for v, ts in (grants or {}).items() for t in ts]:
-        words = plain_words(text)
-        grams = window_hashes(word_hashes(words), k).view(np.int64).tolist()
-        if not grams:
-            raise ValueError(f"template of fewer than {k} words: {text}")
-        rows += [(g, number, i, base, exact, label, len(grams)) for i, g in enumerate(grams)]
-        number += 1
-    return spark.createDataFrame(rows, "gram long, template int, at int, base boolean, exact boolean, label string, total int")
+#: Words per hashed gram: of short templates and of whole licence texts, whose
+#: shorter grams stand in any prose.
+SHORT, WHOLE = 3, 6
 
 
-def _grams(k: int):
-    """A row per rolling k-gram, and one without a gram per document that holds its number of words."""
+@dataclass
+class Template:
+    """A text to be found. ``exact``: all its words must stand in a row; ``base``: its places are base labels."""
+
+    label: str
+    words: list[bytes]
+    k: int
+    exact: bool = False
+    base: bool = False
+
+
+def whole_texts() -> dict[str, list[str]]:
+    """The public licence texts that come with this module, by label."""
+    return {p.stem: [p.read_text(encoding="utf-8")] for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+
+
+def templates(phrases: dict[str, str] | None = None, notices: dict[str, list[str]] | None = None, grants: dict[str, list[str]] | None = None, texts: dict[str, list[str]] | None = None) -> list[Template]:
+    """All templates; None stands for the ones of this module."""
+    found = [Template(label, plain_words(p), SHORT, True, True) for p, label in (PHRASES if phrases is None else phrases).items()]
+    found += [Template(label, plain_words(t), SHORT) for label, ts in (NOTICES if notices is None else notices).items() for t in ts]
+    found += [Template(label, plain_words(t), SHORT, True) for label, ts in (GRANTS if grants is None else grants).items() for t in ts]
+    found += [Template(label, plain_words(t), WHOLE) for label, ts in (whole_texts() if texts is None else texts).items() for t in ts]
+    for t in found:
+        if len(t.words) < t.k:
+            raise ValueError(f"template of fewer than {t.k} words: {t.label}")
+    return found
+
+
+def template_grams(spark: SparkSession, found: list[Template]) -> DataFrame:
+    """(gram, template, at, exact, total): hashes of the templates' k-grams."""
+    parts = []
+    for number, t in enumerate(found):
+        grams = window_hashes(word_hashes(t.words), t.k).view(np.int64)
+        parts.append(pd.DataFrame({"gram": grams, "template": number, "at": np.arange(len(grams)), "exact": t.exact, "total": len(grams)}))
+    schema = "gram long, template int, at int, exact boolean, total int"
+    return spark.createDataFrame(pd.concat(parts), schema) if parts else spark.createDataFrame([], schema)
+
+
+def _grams(sizes: list[int]):
+    """A row per rolling gram of each size, and one without a gram per document that holds its number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
@@ -90,68 +125,114 @@ def _grams(k: int):
                 words += w
                 counts.append(len(w))
             n = np.array(counts, np.int64)
-            grams = window_hashes(word_hashes(words), k).view(np.int64)
-            owner = np.repeat(np.arange(len(n)), n)[: len(grams)]
-            pos = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)[: len(grams)]
-            whole = pos + k <= n[owner]
-            rid = b["rid"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(rid), b["doc_id"], pa.array(n), pa.nulls(len(n), pa.int64())], ["rid", "doc_id", "pos", "gram"])
-            for at in range(0, len(grams), 1 << 18):
-                keep = whole[at : at + (1 << 18)]
-                who = owner[at : at + (1 << 18)][keep]
-                yield pa.RecordBatch.from_arrays([pa.array(rid[who]), pa.nulls(len(who), b["doc_id"].type), pa.array(pos[at : at + (1 << 18)][keep]), pa.array(grams[at : at + (1 << 18)][keep])], ["rid", "doc_id", "pos", "gram"])
+            ord_ = b["ord"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ord_), pa.array(n), pa.nulls(len(n), pa.int64())], ["ord", "pos", "gram"])
+            h = word_hashes(words)
+            owner = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            for k in sizes:
+                grams = window_hashes(h, k).view(np.int64)
+                for at in range(0, len(grams), 1 << 18):
+                    who, p = owner[: len(grams)][at : at + (1 << 18)], pos[: len(grams)][at : at + (1 << 18)]
+                    keep = p + k <= n[who]
+                    yield pa.RecordBatch.from_arrays([pa.array(ord_[who[keep]]), pa.array(p[keep]), pa.array(grams[at : at + (1 << 18)][keep])], ["ord", "pos", "gram"])
+
+    return run
+
+
+def _verify(found: list[Template], least: float):
+    """Documents with voted spans to (ord, label, base, start, end, share) of the spans whose words are the template's.
+
+    The words on the span's diagonals, from the first to the last vote of
+    each, are compared with those of the template. All must be equal for exact
+    templates, else the share ``least``. Of overlapping spans of templates that
+    are not exact, the one with the most equal words stands, or of these the
+    greatest share: licence texts hold parts of one another.
+    """
+
+    def words_of(spans: list[dict], words: list[bytes]) -> Iterator[tuple]:
+        loose = []
+        for s in spans:
+            t = found[s["template"]]
+            equal = np.zeros(len(t.words), bool)
+            for d in s["diagonals"]:
+                a, z = d["first"], min(d["last"] + t.k, len(words))
+                at = d["diagonal"]
+                equal[a - at : z - at] |= [x == y for x, y in zip(words[a:z], t.words[a - at : z - at], strict=True)]
+            share, start, end = equal.mean(), min(d["first"] for d in s["diagonals"]), max(d["last"] for d in s["diagonals"]) + t.k
+            if t.exact and share == 1:
+                yield t.label, t.base, start, end, 1.0
+            elif not t.exact and share >= least:
+                loose.append((-int(equal.sum()), -share, t.label, start, end))
+        taken: list[tuple[int, int]] = []
+        for _, share, label, start, end in sorted(loose):
+            i = bisect(taken, (start, end))
+            if not (i and taken[i - 1][1] > start) and not (i < len(taken) and taken[i][0] < end):
+                taken.insert(i, (start, end))
+                yield label, False, start, end, -share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            out = [(o, *r) for o, t, s in zip(b["ord"].to_pylist(), b["text"].to_pylist(), b["spans"].to_pylist(), strict=True) for r in words_of(s, plain_words(t))]
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["ord", "label", "base", "start", "end", "share"])
 
     return run
 
 
 def scan_licenses(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None,
-    notices: dict[str, list[str]] | None = None, k: int = 3, drift: int = 3, least: float = 0.6, grants: dict[str, list[str]] | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, notices: dict[str, list[str]] | None = None,
+    drift: int = 3, least: float = 0.6, grants: dict[str, list[str]] | None = None, texts: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) per row.
 
-    All rolling k-gram hashes join the template positions (a few hundred rows
-    of given text, so they are broadcast). Hits vote for diagonals (position
-    in the text less position in the template). A phrase stands at a place
-    where one diagonal holds all its k-grams; so does a grant, which gives a
-    label but no base label. For notices, diagonals of one
-    template within ``drift`` of the next are merged; a merged span holds the
-    notice if its distinct template k-grams are at least the share ``least``
-    of all, which also bounds what a chance hit can do. score is the largest
-    share of any template, phrases included.
+    All rolling gram hashes join the template positions (those of given text,
+    so they are broadcast). Hits vote for diagonals (position in the text less
+    position in the template). Phrases and grants stand at a place where one
+    diagonal holds all their grams; a grant gives a label but no base label.
+    For notices and whole licence texts, diagonals of one template within
+    ``drift`` of the next are merged, and a merged span with the share
+    ``least`` of the template's grams may hold it. The words of such spans are
+    then compared with the template's (``_verify``); only texts with a span
+    are read again for that. score is the largest share of votes of any
+    template, phrases included.
 
     Null text is empty; an empty text has no labels, null first_word and
     score 0. Each input row gets one row, repeated rows and null ids
     included. Other columns are not read.
     """
     spark = docs.sparkSession
-    templates = template_grams(spark, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices, k, GRANTS if grants is None else grants)
-    d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    grams = d.mapInArrow(_grams(k), f"rid long, doc_id {kind}, pos long, gram long")
-    hits = grams.join(F.broadcast(templates), "gram", "left").where("gram is null or template is not null")
+    found = templates(phrases, notices, grants, texts)
+    d = ordered(docs, id_col, text_col)
+    grams = d.select("ord", "text").mapInArrow(_grams(sorted({t.k for t in found})), "ord long, pos long, gram long")
+    hits = grams.join(F.broadcast(template_grams(spark, found)), "gram", "left").where("gram is null or template is not null")
     hits = hits.withColumn("diagonal", F.col("pos") - F.col("at"))
-    by_diagonal = hits.groupBy("rid", "template", "base", "exact", "label", "total", "diagonal").agg(
-        F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("doc_id").alias("doc_id"), F.max("pos").alias("n")
-    )
-    near = Window.partitionBy("rid", "template").orderBy("diagonal")
+    by_diagonal = hits.groupBy("ord", "template", "exact", "total", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    near = Window.partitionBy("ord", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(near) > drift)).cast("int"), F.lit(1))
     merged = by_diagonal.withColumn("apart", apart).withColumn("span", F.sum("apart").over(near))
-    merged = merged.groupBy("rid", "template", "base", "exact", "label", "total", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.min("diagonal").alias("diagonal"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("doc_id").alias("doc_id"), F.max("n").alias("n")
+    merged = merged.groupBy("ord", "template", "exact", "total", "span").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.max("last").alias("n"), F.collect_list(F.struct("diagonal", "first", "last")).alias("diagonals")
     )
     share = F.when(F.col("template").isNotNull(), F.col("votes") / F.col("total"))
-    is_base = F.col("base") & (F.col("votes") == F.col("total"))
-    is_notice = ~F.col("base") & (share >= F.when(F.col("exact"), 1.0).otherwise(least))
-    out = merged.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max(F.when(F.col("template").isNull(), F.col("n"))).alias("n_words"),
-        F.count(F.when(is_base, 1)).alias("n_base"),
-        F.min(F.when(is_base, F.col("diagonal"))).alias("first_word"),
-        F.max(F.when(is_base, F.col("diagonal"))).alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(is_base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(is_base | is_notice, F.col("label")))), ",").alias("labels"),
-        F.coalesce(F.max(share), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(is_base | is_notice, F.struct(F.col("first"), (F.col("last") + k).alias("end"), "label")))).alias("spans"),
+    may = share >= F.when(F.col("exact"), 1.0).otherwise(least)
+    voted = merged.groupBy("ord").agg(
+        F.max(F.when(F.col("template").isNull(), F.col("n"))).alias("n_words"), F.coalesce(F.max(share), F.lit(0.0)).alias("score"),
+        F.collect_list(F.when(may, F.struct("template", "diagonals"))).alias("spans"),
+    )
+    voted = stash(voted, "votes")
+    some = voted.where("size(spans) > 0").select(F.col("ord").alias("o_"), "spans")
+    some = d.select("ord", "text").join(some, F.col("ord") == F.col("o_")).dropDuplicates(["ord"]).select("ord", "text", "spans")
+    right = some.mapInArrow(_verify(found, least), "ord long, label string, base boolean, start long, end long, share double")
+    right = right.groupBy("ord").agg(
+        F.count(F.when(F.col("base"), 1)).alias("n_base"),
+        F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
+        F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
+        F.array_sort(F.collect_list(F.struct("start", "end", "label", "share"))).alias("spans"),
     )
-    return out.drop("rid")
+    out = d.select(F.col("ord").alias("o_"), "doc_id").join(voted.drop("spans"), F.col("o_") == F.col("ord")).drop("o_").join(right, "ord", "left")
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", empty("base_labels"), empty("labels"), "score", "spans")

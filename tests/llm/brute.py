@@ -126,3 +126,40 @@ def maximal_runs(rows, min_lines):
                 out.append((d, lines[p][0], lines[p + best - 1][0], best))
             held = max(held, p + best)
     return out
+
+
+def license_labels(rows, templates, drift=3, least=0.6):
+    """(id, labels, score): votes of each diagonal, merged spans and their words, template by template."""
+    out = []
+    for d, text in rows:
+        w, labels, loose, score = PLAIN.findall(lower(text)), set(), [], 0.0
+        w = [x.encode() for x in w]
+        for t in templates:
+            grams, votes = defaultdict(list), defaultdict(set)
+            for i in range(len(t.words) - t.k + 1):
+                grams[tuple(t.words[i : i + t.k])].append(i)
+            for p in range(len(w) - t.k + 1):
+                for i in grams.get(tuple(w[p : p + t.k]), ()):
+                    votes[p - i].add(i)
+            spans = []
+            for g in sorted(votes):
+                if spans and not t.exact and g - spans[-1][-1] <= drift:
+                    spans[-1].append(g)
+                else:
+                    spans.append([g])
+            for span in spans:
+                share = len(set().union(*(votes[g] for g in span))) / (len(t.words) - t.k + 1)
+                score = max(score, share)
+                if share >= (1 if t.exact else least):
+                    equal = {i for g in span for i in range(min(votes[g]), max(votes[g]) + t.k) if w[g + i] == t.words[i]}
+                    if t.exact:
+                        labels.add(t.label)
+                    elif len(equal) / len(t.words) >= least:
+                        loose.append((-len(equal), -len(equal) / len(t.words), t.label, min(g + min(votes[g]) for g in span), max(g + max(votes[g]) for g in span) + t.k))
+        taken = []
+        for x in sorted(loose):
+            if all(x[4] <= a or b <= x[3] for a, b in taken):
+                taken.append((x[3], x[4]))
+                labels.add(x[2])
+        out.append((d, ",".join(sorted(labels)), score))
+    return out

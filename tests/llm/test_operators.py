@@ -472,6 +472,21 @@ def test_license_grants(spark):
     assert all(r.n_base == 0 and r.base_labels == "" for r in out) and all(r.score == 1 for r in out if r.labels)
 
 
+def test_license_texts_and_scores(spark):
+    rng = random.Random(8)
+    texts = {k: v[0] for k, v in licenses.whole_texts().items()}
+    w = {k: v.split() for k, v in texts.items()}
+    typo = ["changed" if rng.random() < 0.03 else x for x in w["mit"]]
+    rows = [*license_rows(), *[(100 + i, t) for i, t in enumerate(texts.values())]]
+    rows = [(i, t) for i, t in rows if i is not None]
+    rows += [(200, " ".join(typo)), (201, " ".join(w["gfdl-1.3"][: len(w["gfdl-1.3"]) // 3])), (202, texts["mit"] + prose(rng, 40) + texts["bsd-3"] + texts["mit"]), (203, texts["bsd-2"] + "\nunder the mit license"), (204, prose(rng, 3000) + " " + texts["mpl-2"]), (205, " ".join(x for x in w["bsd-3"] if rng.random() > 0.4))]
+    got = collected(licenses.scan_licenses(frame(spark, rows)), "doc_id", "labels", "score")
+    same(got, brute.license_labels(rows, licenses.templates()))
+    labels = {i: set(x.split(",")) for i, x, _ in got}
+    assert all(k in labels[100 + i] for i, k in enumerate(texts))
+    assert "bsd-2" not in labels[100 + list(texts).index("bsd-3")] and "bsd-3" not in labels[203] and "mit" in labels[200] and labels[201] == {""} and {"mit", "bsd-3"} <= labels[202]
+
+
 # --- contamination --------------------------------------------------------------------------
 
 
