@@ -17,6 +17,8 @@ from strandgraph.store import stash
 
 #: Blanks at a line's ends do not count in comparing.
 BLANKS = " \t\r\f\x0b"
+#: A round makes the ranked prefix so many times as long: two doublings.
+RADIX = 4
 
 
 def line_sequences(docs: DataFrame, words: bool = False) -> DataFrame:
@@ -39,14 +41,14 @@ def suffix_array(lines: DataFrame) -> DataFrame:
 
     A line that stands once in the corpus, and the end of a text, part the
     sequences: no repeated run goes across. ``left`` is the number of lines up
-    to there. ``ranks`` holds the suffix's rank by its first 1, 2, 4, ... lines:
-    the number of suffixes before it in the order, plus 1. A round joins the
-    rank of a suffix to that of the suffix as many lines further on, and ranks
-    the pairs (0 where the sequence has ended, so shorter ones come first); a
-    suffix leaves when it is alone in its rank or ranked by all its lines, and
-    its last rank is its place in the suffix array (suffixes that are equal to
-    their ends share it). Rounds go on until none is left,
-    so there are as many as the longest repeated run has doublings.
+    to there. ``ranks`` holds the suffix's rank by its first 1, 4, 16, ... lines:
+    the number of suffixes before it in the order, plus 1. A round doubles the
+    ranked prefix twice: it ranks a suffix by its own rank and those of the
+    suffixes one, two and three prefixes further on (0 where the sequence has
+    ended, so shorter ones come first). A suffix leaves when it is alone in its
+    rank or ranked by all its lines, and its last rank is its place in the
+    suffix array (suffixes that are equal to their ends share it). Rounds go
+    on until none is left, so two for each factor of 16 in the longest run.
     """
     ids = lines.groupBy("id1", "id2").agg(F.count("*").alias("n")).where("n > 1")
     ids = stash(running(ids, ["id1", "id2"], "n", "line-ids").withColumn("rank", F.col("before") + 1).drop("before"), "line-ranks")
@@ -64,21 +66,25 @@ def suffix_array(lines: DataFrame) -> DataFrame:
         total = active.count()
         if not total:
             return reduce(DataFrame.unionByName, settled)
-        last = F.element_at("ranks", -1)
-        ranked = reduce(DataFrame.unionByName, [x.select("ord", "pos", last.alias("b")) for x in [active, *settled]])
-        ahead = ranked.select("ord", (F.col("pos") - width).alias("pos"), "b")
-        pairs = stash(active.withColumn("a", last).join(ahead, ["ord", "pos"], "left").fillna(0, ["b"]), "pairs")
-        each = running(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], "n", "counted-pairs")
-        start = each.groupBy("a").agg(F.min("before").alias("start"))
-        each = each.join(start, "a").select("a", "b", "n", (F.col("a") + F.col("before") - F.col("start")).alias("rank"), F.col("n").alias("members"))
-        now = salted_join(pairs, each, ["a", "b"], ["ord", "pos"], total).withColumn("ranks", F.concat("ranks", F.array("rank")))
-        now, width = stash(now.drop("a", "b", "rank").withColumnRenamed("members", "n"), "suffixes"), 2 * width
+        # Settled suffixes are looked up by place alone; a document's suffixes meet in one window.
+        idle = [x.select("ord", "pos", F.element_at("ranks", -1).alias("key0")) for x in settled]
+        ranked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [active.withColumn("key0", F.element_at("ranks", -1)), *idle])
+        for i in range(1, RADIX):
+            there = F.first("key0").over(Window.partitionBy("ord").orderBy("pos").rangeBetween(i * width, i * width))
+            ranked = ranked.withColumn(f"key{i}", F.coalesce(F.when(F.col("left") > i * width, there), F.lit(0)))
+        keys = [f"key{i}" for i in range(RADIX)]
+        tuples = stash(ranked.where("ranks is not null"), "tuples")
+        each = running(tuples.groupBy(*keys).agg(F.count("*").alias("n")), keys, "n", "counted-tuples")
+        start = each.groupBy("key0").agg(F.min("before").alias("start"))
+        each = each.join(start, "key0").select(*keys, "n", (F.col("key0") + F.col("before") - F.col("start")).alias("rank"), F.col("n").alias("members"))
+        now = salted_join(tuples, each, keys, ["ord", "pos"], total).withColumn("ranks", F.concat("ranks", F.array("rank")))
+        now, width = stash(now.drop(*keys, "rank").withColumnRenamed("members", "n"), "suffixes"), RADIX * width
 
 
 def _agree(p: Column, q: Column) -> Column:
     """Lines that two suffixes surely share by their ranks: the largest width at which they are equal, or 0."""
     same = F.size(F.filter(F.zip_with(p, q, lambda x, y: x == y), lambda e: e))
-    return F.when(same > 0, F.pow(F.lit(2), same - 1)).otherwise(0).cast("long")
+    return F.when(same > 0, F.pow(F.lit(RADIX), same - 1)).otherwise(0).cast("long")
 
 
 def prefix_lengths(suffixes: DataFrame, enough: int | None = None) -> DataFrame:
