@@ -150,17 +150,19 @@ def find_passages(
     d = ordered(docs, id_col, text_col)
     windows = stash(test_windows(benchmark, item_id_col, item_text_col, size), "test-windows")
     distinct = windows.groupBy("phrase").agg(F.first("terms").alias("terms"))
+    distinct = stash(distinct.withColumn("window", F.monotonically_increasing_id()), "distinct-windows")
     terms = stash(windows.select(F.explode("terms").alias("term")).groupBy("term").count().select("term", F.col("count").alias("uses")), "terms")
     counts = stash(terms.join(term_counts(d, Wanted(terms.select("term"))), "term"), "term-counts")
-    plan = stash(_plan(distinct, counts, rarest), "plan")
+    plan = stash(_plan(distinct.drop("phrase"), counts, rarest), "plan")
     leads = plan.select("term").distinct()
     rows = stash(postings(d, Wanted(leads)), "postings")
     words_of = rows.where("term is null").select("ord", "n_words").distinct()
 
     met = _meet(rows.where("term is not null"), plan, counts)
     start = F.col("pos") - F.col("place")
-    met = met.select("ord", "phrase", start.alias("start"), "length", F.expr("shiftleft(1, rank)").alias("bit"), "lists", "n_words").where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words")))
-    met = met.groupBy("ord", "phrase", "start", "length", "lists").agg(F.bit_or("bit").alias("bits")).where(F.bit_count("bits") == F.col("lists"))
+    met = met.withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words")))
+    met = met.groupBy("ord", "window", "start", "lists").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("bits")).where(F.bit_count("bits") == F.col("lists"))
+    met = met.select("ord", "window", "start").join(distinct.select("window", "phrase", F.size("terms").cast("long").alias("length")), "window")
     found = stash(_compared(d, met.select("ord", "phrase", "start", "length")), "places")
 
     exact = found.where("exact")
@@ -185,22 +187,22 @@ def find_passages(
 
 
 def _plan(distinct: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
-    """(term, phrase, place, length, rank, lists) of the rarest terms of each
+    """(term, window, place, length, rank, lists) of the rarest terms of each
     window. Windows with a word that no text has occur nowhere and go.
 
     The counts of the benchmark's own terms are sent to all tasks where they
     are HELD at most; else they meet the windows in a salted join, as nearly
     every window has the commonest words.
     """
-    places = distinct.select("phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
+    places = distinct.select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
     if counts.count() <= HELD:
         known = places.join(F.broadcast(counts.select("term", "n")), "term")
     else:
         uses = counts.agg(F.sum("uses")).first()[0]
-        known = salted_join(places, counts.select("term", F.col("n").alias("often"), F.col("uses").alias("n")), ["term"], ["phrase", "place"], uses).withColumnRenamed("often", "n")
-    by_window = known.groupBy("phrase", "length").agg(F.sort_array(F.collect_list(F.struct("n", "term", "place"))).alias("all")).where("size(all) = length")
-    ranked = by_window.select("phrase", "length", F.posexplode(F.slice("all", 1, rarest)).alias("rank", "x"))
-    return ranked.select(F.col("x.term").alias("term"), "phrase", F.col("x.place").alias("place"), F.col("length").cast("long"), "rank", F.least("length", F.lit(rarest)).alias("lists"))
+        known = salted_join(places, counts.select("term", F.col("n").alias("often"), F.col("uses").alias("n")), ["term"], ["window", "place"], uses).withColumnRenamed("often", "n")
+    by_window = known.groupBy("window", "length").agg(F.sort_array(F.collect_list(F.struct("n", "term", "place"))).alias("all")).where("size(all) = length")
+    ranked = by_window.select("window", "length", F.posexplode(F.slice("all", 1, rarest)).alias("rank", "x"))
+    return ranked.select(F.col("x.term").alias("term"), "window", F.col("x.place").alias("place"), F.col("length").cast("long"), "rank", F.least("length", F.lit(rarest)).alias("lists"))
 
 
 def _meet(rows: DataFrame, plan: DataFrame, counts: DataFrame) -> DataFrame:
@@ -212,7 +214,7 @@ def _meet(rows: DataFrame, plan: DataFrame, counts: DataFrame) -> DataFrame:
     """
     if plan.count() <= HELD:
         return rows.join(F.broadcast(plan), "term")
-    asked = plan.groupBy("term").agg(F.collect_list(F.struct("phrase", "place", "length", "rank", "lists")).alias("all"))
+    asked = plan.groupBy("term").agg(F.collect_list(F.struct("window", "place", "length", "rank", "lists")).alias("all"))
     asked = stash(asked.join(counts.select("term", "n"), "term"), "asked")
     total = asked.agg(F.sum("n")).first()[0]
     return salted_join(rows, asked, ["term"], ["ord", "pos"], total).select("ord", "pos", "n_words", F.inline("all"))
