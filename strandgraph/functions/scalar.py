@@ -37,11 +37,18 @@ def collapse_space(text: Column | str) -> Column:
 
 
 def markdown_safe(text: Column | str) -> Column:
-    """One line with markup characters escaped, for Markdown and HTML."""
-    t = collapse_space(text)
+    """One line with markup characters escaped, for Markdown and HTML.
+
+    Line ends and tabs become visible; a full stop is escaped only where
+    digits before it would open a list, so decimals and dates stay readable.
+    """
+    t = F.regexp_replace(_col(text), r"\r\n?", "\n")
+    t = F.regexp_replace(t, r"^[ \t]+|[ \t]+$", "")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.regexp_replace(t, r"([\\`*_{}\[\]()#+\-.!|])", r"\\$1")
+    t = F.regexp_replace(t, r"([\\`#*_\[\]()!|{}+-])", r"\\$1")
+    t = F.replace(F.replace(t, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    return F.regexp_replace(t, r"^(\d{1,9})\.(?=[ \t]|$)", r"$1\\.")
 
 
 def is_numeric_picture(pic: Column | str) -> Column:
@@ -71,35 +78,83 @@ def stable_bucket(key: Column | str, buckets: int = 100) -> Column:
     return (F.conv(F.substring(F.sha2(_col(key), 256), 1, 8), 16, 10).cast("long") % buckets).cast("long")
 
 
-def canary(denied: Column, allowed: Column, bucket: Column, percent: int) -> Column:
-    """Why a key is or is not selected: deny before allow before bucket."""
-    return F.when(denied, "denylisted").when(allowed, "allowlisted").when(bucket < percent, "bucket").otherwise("not_selected")
+#: The ways of choosing keys.
+BY_LIST, BY_BUCKET, BY_EITHER = "EXPLICIT_ALLOWLIST", "PACKAGE_HASH_BUCKET", "ALLOWLIST_OR_HASH_BUCKET"
+
+
+def canary(denied: Column, allowed: Column, key: Column, percent: int, strategy: Column) -> Column:
+    """(selected, bucket, reason, matched_allowlist, matched_denylist) of a key.
+
+    Denied keys are never selected and have no bucket. Otherwise the strategy
+    says whether the allowlist counts, the bucket (of a hundred, ``percent`` of
+    which are in), either, or neither; the allowlist counts first.
+    """
+    listed, hashed = strategy.isin(BY_LIST, BY_EITHER), strategy.isin(BY_BUCKET, BY_EITHER)
+    listed, hashed = F.coalesce(listed, F.lit(False)), F.coalesce(hashed, F.lit(False))
+    bucket = F.when(hashed & ~denied, stable_bucket(key, 100))
+    reason = (
+        F.when(denied, "denylisted").when(listed & allowed, "allowlisted").when(hashed & (bucket < percent), "bucket_selected")
+        .when(hashed, "bucket_not_selected").when(listed, "not_allowlisted").otherwise("strategy_never_selects_without_match")
+    )
+    return F.struct(
+        reason.isin("allowlisted", "bucket_selected").alias("selected"), bucket.alias("bucket"), reason.alias("reason"),
+        F.when(denied, allowed).otherwise(listed & allowed).alias("matched_allowlist"), denied.alias("matched_denylist"),
+    )
 
 
 # --- predicates -----------------------------------------------------------
 
 
+def _bare(text: Column) -> Column:
+    """Text without the parentheses around all of it, however many."""
+
+    def step(p, _):
+        depths = F.aggregate(
+            F.split(F.left(p, F.length(p) - 1), ""), F.struct(F.lit(0).alias("d"), F.lit(False).alias("closed")),
+            lambda s, c: F.struct((s["d"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("d"), (s["closed"] | ((c == ")") & (s["d"] == 1))).alias("closed")),
+        )
+        whole = F.startswith(p, F.lit("(")) & F.endswith(p, F.lit(")")) & ~depths["closed"]
+        return F.when(whole, F.trim(F.substring(p, 2, F.length(p) - 2))).otherwise(p)
+
+    t = F.trim(text)
+    opening = F.length(F.regexp_replace(F.regexp_extract(t, r"^[( ]*", 0), " ", ""))
+    return F.aggregate(F.sequence(F.lit(0), opening), t, step)
+
+
 def conjuncts(predicate: Column | str, strip_where: bool = False) -> Column:
-    """The parts of a predicate between top-level ANDs, quotes and one level of
-    parentheses kept whole; null for null or blank text."""
+    """The parts of a predicate between top-level ANDs; quoted text (with
+    doubled quotes) and what is in parentheses stay whole, parentheses around
+    all of it or all of a part go. Null for null or blank text."""
     p = F.trim(_col(predicate))
     if strip_where:
         p = F.regexp_replace(p, r"(?i)^where\s+", "")
-    p = F.regexp_replace(p, r"^\(((?:[^()']|'[^']*')*)\)$", "$1")
-    piece = r"(?i)((?:'[^']*'|\((?:'[^']*'|[^()'])*\)|(?!\sAND\s)[^'()])+)(?:\sAND\s|$)"
-    return F.when(p != "", F.transform(F.regexp_extract_all(p, F.lit(piece), F.lit(1)), lambda x: F.trim(x)))
+    tokens = F.regexp_extract_all(_bare(p), F.lit(r"(?is)'(?:[^']|'')*'|'.*| and |[()]|[^'() ]+| "), F.lit(0))
+    start = F.struct(F.lit(0).alias("d"), F.lit("").alias("now"), F.expr("cast(array() as array<string>)").alias("parts"))
+
+    def step(s, t):
+        ends = (F.lower(t) == " and ") & (s["d"] == 0)
+        return F.struct(
+            (s["d"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("d"), F.when(ends, "").otherwise(F.concat(s["now"], t)).alias("now"),
+            F.when(ends, F.concat(s["parts"], F.array(s["now"]))).otherwise(s["parts"]).alias("parts"),
+        )
+
+    parts = F.aggregate(tokens, start, step, lambda s: F.concat(s["parts"], F.array(s["now"])))
+    return F.when(p != "", F.transform(parts, _bare))
 
 
-_COMPARISON = r"^([A-Za-z_][A-Za-z0-9_.]*)\s*=\s*('(?:[^']*)'|[+-]?\d+(?:\.\d+)?)$"
+#: A column, perhaps quoted, equals a quoted text or a number.
+_COMPARISON = r"^\s*\(?\s*(\"[A-Za-z_][A-Za-z0-9_]*\"|[A-Za-z_][A-Za-z0-9_]*)\s*=\s*('(?:[^']|'')*'|[+-]?\d+(?:\.\d+)?)\s*\)?\s*$"
 
 
 def comparisons(parts: Column) -> Column:
-    """(column, literal, number) of each ``column = literal``; number is null for quoted text."""
+    """(column, literal, number) of each ``column = literal``; number is null for quoted text, in which doubled quotes are one."""
 
     def one(x):
         raw = F.regexp_extract(x, _COMPARISON, 2)
         quoted = F.startswith(raw, F.lit("'"))
-        return F.struct(F.upper(F.regexp_extract(x, _COMPARISON, 1)).alias("column"), F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw).alias("literal"), F.when(~quoted, raw.try_cast("double")).alias("number"))
+        text = F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit("''"), F.lit("'"))
+        column = F.upper(F.replace(F.regexp_extract(x, _COMPARISON, 1), F.lit('"'), F.lit("")))
+        return F.struct(column.alias("column"), F.when(quoted, text).otherwise(raw).alias("literal"), F.when(~quoted, raw.try_cast("double")).alias("number"))
 
     return F.transform(F.filter(parts, lambda x: x.rlike(_COMPARISON)), one)
 
@@ -112,11 +167,12 @@ def predicate_status(parts: Column, found: Column) -> Column:
 
 def row_matches(row: Column | str, found: Column) -> Column:
     """Whether a map of text satisfies all comparisons: as numbers where the
-    literal is one (text that is none does not match), else as trimmed text."""
-    r = _col(row)
+    literal is one (text that is none does not match), else as trimmed text.
+    The map's names are compared in upper case without blanks at their ends."""
+    entries = F.map_entries(_col(row))
 
     def holds(c):
-        value = F.try_element_at(r, c["column"])
+        value = F.get(F.filter(entries, lambda e: F.upper(F.trim(e["key"])) == c["column"]), F.lit(0))["value"]
         return F.coalesce(F.when(c["number"].isNotNull(), F.trim(value).try_cast("double") == c["number"]).otherwise(F.trim(value) == F.trim(c["literal"])), F.lit(False))
 
     return F.forall(found, holds)

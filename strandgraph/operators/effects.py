@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.operators.resolve import normal_name
+from strandgraph.store import stash
 
 EFFECT = "struct<kind string, target string, source string, literal string, support string>"
 
@@ -35,8 +36,10 @@ def statement_effects(statements: DataFrame, conditions: DataFrame | None = None
     is a partial assignment each; of one name a copy, ambiguous to several
     targets; anything else is kept as it stands. Setting a condition true
     assigns its value if it has a single one without a range; setting it
-    false assigns nothing known. Arithmetic computes every target and is never
-    evaluated. Branches have no effect of their own.
+    false assigns nothing known; a condition that is not declared is unknown.
+    Setting anything else writes each target with a value that is not followed.
+    Arithmetic computes every target and is never evaluated; without a target
+    it is kept as it stands. Branches have no effect of their own.
     """
     s = statements
     if conditions is not None:
@@ -55,21 +58,22 @@ def statement_effects(statements: DataFrame, conditions: DataFrame | None = None
         .when((n_src == 1) & (n_lit == 0), F.transform(t, lambda x: _effect("COPY", x, one_src, None, "AMBIGUOUS")))
         .otherwise(F.array(_effect("PRESERVED", None, None, None, "PARTIAL")))
     )
-    sets = F.when(
+    unknown = F.array(_effect("UNKNOWN", None, None, None, "UNKNOWN"))
+    sets = F.when(F.col("condition_target").isNotNull() & F.col("condition_parent").isNull(), unknown).when(
         F.col("condition_target").isNotNull(),
         F.when(F.col("condition_value"), F.array(F.when(F.col("condition_literal").isNotNull(), _effect("SET_CONDITION", F.col("condition_parent"), F.col("condition_target"), F.col("condition_literal"))).otherwise(_effect("SET_CONDITION", F.col("condition_parent"), F.col("condition_target"), None, "PARTIAL"))))
         .otherwise(F.array(_effect("UNSET_CONDITION", F.col("condition_parent"), F.col("condition_target"), None, "PARTIAL"))),
-    ).otherwise(moved)
+    ).otherwise(F.transform(t, lambda x: _effect("SET_VALUE", x, None, one_lit, "PARTIAL")))
     kind = F.col("kind")
     each = (
         F.when(kind.isin(BRANCHING), none)
         .when(kind == "MOVE", moved).when(kind == "SET", sets)
-        .when(kind.isin(COMPUTING), F.transform(t, lambda x: _effect("COMPUTE", x)))
+        .when(kind.isin(COMPUTING), F.when(n_t > 0, F.transform(t, lambda x: _effect("COMPUTE", x))).otherwise(F.array(_effect("PRESERVED", None, None, None, "PARTIAL"))))
         .when(kind == "GO_TO", F.array(_effect("JUMP", None, None, None))).when(kind == "PERFORM", F.array(_effect("PERFORM")))
         .when(kind == "EXEC_SQL", F.when(n_t > 0, F.transform(t, lambda x: _effect("SQL_WRITE", x, None, None, "PARTIAL"))).otherwise(F.array(_effect("SQL"))))
         .when(kind == "CALL", F.array(_effect("CALL", None, None, None, "PARTIAL")))
         .when(kind.isin(ENDING), F.array(_effect("END")))
-        .otherwise(F.array(_effect("UNKNOWN", None, None, None, "UNKNOWN")))
+        .otherwise(unknown)
     )
     out = s.select("program", "paragraph", "statement_id", "pos", F.posexplode(each).alias("ordinal", "e"))
     return out.select("program", "paragraph", "statement_id", "pos", "ordinal", "e.*")
@@ -124,11 +128,50 @@ def _forget_all(env, e):
 
 #: What each effect does to the known values.
 TRANSFER = {
-    "ASSIGN_LITERAL": _assign, "SET_CONDITION": _assign, "COPY": _copy, "COMPUTE": _forget, "UNSET_CONDITION": _forget, "SQL_WRITE": _forget,
+    "ASSIGN_LITERAL": _assign, "SET_CONDITION": _assign, "COPY": _copy, "COMPUTE": _forget, "UNSET_CONDITION": _forget, "SET_VALUE": _forget, "SQL_WRITE": _forget,
     "CALL": _forget_all, "PERFORM": _forget_all, "UNKNOWN": _forget_all, "PRESERVED": _forget_all, "JUMP": _forget_all,
 }
 
 
+#: Effects by what they do: give a value, copy one, make one name unknown, make all unknown.
+GIVING = [k for k, f in TRANSFER.items() if f is _assign]
+FORGETTING = [k for k, f in TRANSFER.items() if f is _forget]
+BARRING = [k for k, f in TRANSFER.items() if f is _forget_all]
+
+
+def straight_facts(effects: DataFrame) -> DataFrame:
+    """Facts (FACT's columns) of paragraphs without branches, by windows and joins.
+
+    A copy points to the last write of its source before it, if nothing has
+    made all names unknown since. Pointers double each round until they end at
+    a literal or at a write whose value is not known.
+    """
+    g, k = ["program", "paragraph"], F.col("kind")
+    by_seq = Window.partitionBy(*g).orderBy("seq")
+    e = effects.where(k.isin(list(TRANSFER))).withColumn("seq", F.row_number().over(Window.partitionBy(*g).orderBy("pos", "statement_id", "ordinal")))
+    e = e.withColumn("barred", F.last(F.when(k.isin(BARRING), F.col("seq")), ignorenulls=True).over(by_seq.rowsBetween(Window.unboundedPreceding, -1)))
+    sure = F.col("support") == "DETERMINISTIC"
+    e = e.withColumn("given", F.when(k.isin(GIVING) & sure & F.col("target").isNotNull(), F.col("literal")))
+    e = stash(e.select(*g, "statement_id", "seq", "kind", "target", "given", "barred", F.when((k == "COPY") & sure, F.col("source")).alias("source")), "effects")
+    writes = e.where(F.col("target").isNotNull() & ~k.isin(BARRING)).select(*g, F.col("target").alias("name"), "seq", F.lit(1).alias("writes"), F.lit(None).cast("int").alias("barred"))
+    asks = e.where("source is not null").select(*g, F.col("source").alias("name"), "seq", F.lit(0).alias("writes"), "barred")
+    by_name = Window.partitionBy(*g, "name").orderBy("seq", "writes").rowsBetween(Window.unboundedPreceding, -1)
+    last = writes.union(asks).withColumn("to", F.last(F.when(F.col("writes") == 1, F.col("seq")), ignorenulls=True).over(by_name))
+    last = last.where((F.col("writes") == 0) & (F.col("to") > F.coalesce("barred", F.lit(0)))).select(*g, "seq", "to")
+    now = stash(e.select(*g, "seq", "given").join(last, [*g, "seq"], "left").select(*g, "seq", "to", "given", F.lit(1).cast("long").alias("steps")), "pointers")
+    while True:
+        going = F.col("to").isNotNull() & F.col("given").isNull()
+        if now.where(going).isEmpty():
+            break
+        ahead = now.select(*g, F.col("seq").alias("to"), F.col("to").alias("to_"), F.col("given").alias("given_"), F.col("steps").alias("steps_"))
+        moved = now.where(going).join(ahead, [*g, "to"]).select(*g, "seq", F.col("to_").alias("to"), F.col("given_").alias("given"), (F.col("steps") + F.col("steps_")).alias("steps"))
+        now = stash(now.where(~going).unionByName(moved), "pointers")
+    out = e.drop("given").join(now.select(*g, "seq", "given", "steps"), [*g, "seq"])
+    known = F.col("given").isNotNull()
+    status = F.when(k.isin(GIVING), F.when(known, "DIRECT").otherwise("PARTIAL")).when(k == "COPY", F.when(known, "PROPAGATED").otherwise("UNRESOLVED_COPY")).when(k.isin(FORGETTING), "INVALIDATED").otherwise("BARRIER")
+    return out.select(*g, "statement_id", (F.col("seq") - 1).cast("long").alias("ordinal"), status.alias("status"), "target", F.col("given").alias("literal"), F.when(known, F.col("steps")).otherwise(0).cast("long").alias("steps"))
+
+
 def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
     """One paragraph: rows of statements with their effects, in any order."""
     stmts = pdf.sort_values("pos", kind="stable").to_dict("records")
@@ -169,15 +212,24 @@ def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
 def branching_constants(statements: DataFrame, effects: DataFrame) -> DataFrame:
     """Facts (FACT's columns) of literals followed through each paragraph.
 
-    A branch body starts from a copy of what is known; after the decision any
-    name that some branch wrote is unknown, even if all wrote the same. The
-    order within a paragraph is what matters, so a paragraph is one group.
+    Paragraphs in which no statement has a parent go through ``straight_facts``.
+    In the others a branch body starts from a copy of what is known; after the decision any
+    name that some branch wrote is unknown, even if all wrote the same: a
+    nesting that windows do not express, so such a paragraph, a unit of a
+    program's source text, is one group of Python.
     """
+    nested = statements.where(F.col("parent_id").isNotNull()).select("program", "paragraph").distinct()
+    nested = stash(nested, "nested")
+    straight = straight_facts(effects.join(nested, ["program", "paragraph"], "left_anti"))
+    statements = statements.join(nested, ["program", "paragraph"], "left_semi")
+    if nested.isEmpty():
+        return straight
+    effects = effects.join(nested, ["program", "paragraph"], "left_semi")
     per = effects.groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind", "target", "source", "literal", "support"))).alias("effects"))
     empty = F.expr("cast(array() as array<struct<ordinal:int,kind:string,target:string,source:string,literal:string,support:string>>)")
     s = statements.select("program", "paragraph", "statement_id", "pos", "parent_id", "branch_kind", "branch_condition")
     s = s.join(per, "statement_id", "left").withColumn("effects", F.coalesce("effects", empty))
-    return s.groupBy("program", "paragraph").applyInPandas(_follow, FACT)
+    return s.groupBy("program", "paragraph").applyInPandas(_follow, FACT).unionByName(straight)
 
 
 # --- between programs -------------------------------------------------------
@@ -192,8 +244,6 @@ def entry_facts(bindings: DataFrame, levels: DataFrame, rounds: int | None = Non
     literals agree and conflicted if two differ; callers whose value is not
     known say nothing. Callees without a level take no part.
     """
-    from strandgraph.store import stash
-
     b = bindings.join(levels.where("level is not null").select(F.col("node").alias("callee"), F.col("level").alias("l_")), "callee")
     last = rounds if rounds is not None else (b.agg(F.max("l_")).first()[0] or 0)
     facts = None

@@ -56,10 +56,15 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src", dst:
 def two_lane_slice(first: DataFrame, second: DataFrame, seeds: DataFrame, depth: int, names: tuple[str, str] = ("DATA_DEPENDENCY", "CONTROL_DEPENDENCY"), src: str = "src", dst: str = "dst", seed: str = "seed") -> DataFrame:
     """(seed, node, reason): nodes that reach the seed over either kind of edge
     alone. The seed itself is CANDIDATE, nodes of both lanes BOTH."""
-    a = reach(first, seeds, depth, src, dst, seed).select("seed", "node", F.lit(True).alias("a"))
-    b = reach(second, seeds, depth, src, dst, seed).select("seed", "node", F.lit(True).alias("b"))
+    # One walk for both: a node of a lane is a pair, so lanes never mix.
+    at = lambda lane, c: F.struct(F.lit(lane).alias("lane"), F.col(c).alias("node"))
+    known = lambda e: e.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    lanes = [known(e).select(at(i, src).alias("src"), at(i, dst).alias("dst")) for i, e in enumerate((first, second))]
+    starts = seeds.where(F.col(seed).isNotNull()).select(F.explode(F.array(at(0, seed), at(1, seed))).alias("seed"))
+    found = reach(lanes[0].union(lanes[1]), starts, depth).select(F.col("seed.node").alias("seed"), "node.node", "node.lane")
+    both = found.groupBy("seed", "node").agg(F.bool_or(F.col("lane") == 0).alias("a"), F.bool_or(F.col("lane") == 1).alias("b"))
     own = seeds.select(F.col(seed).alias("seed"), F.col(seed).alias("node")).where("seed is not null").distinct()
-    both = a.join(b, ["seed", "node"], "full_outer").join(own.withColumn("own", F.lit(True)), ["seed", "node"], "full_outer")
+    both = both.join(own.withColumn("own", F.lit(True)), ["seed", "node"], "full_outer")
     reason = F.when(F.col("own"), "CANDIDATE").when(F.col("a") & F.col("b"), "BOTH").when(F.col("a"), names[0]).otherwise(names[1])
     return both.select("seed", "node", reason.alias("reason"))
 
@@ -189,26 +194,30 @@ def ordered_calls(calls: DataFrame, group: str, src: str = "src", dst: str = "ds
     return calls.select(group, src, dst).groupBy(group).applyInPandas(order, f"`{group}` {kind}, node string, position long")
 
 
-def ancestors(tree: DataFrame, node: str = "node", parent: str = "parent", rounds: int = 64) -> DataFrame:
-    """(node, ancestor, depth) for every node and all above it, itself at depth
-    0. Paths double each round; a cycle ends where it meets a pair it has."""
-    t = stash(tree.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")), "tree")
-    found = stash(t.where("node is not null").select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).union(t.where("ancestor is not null").select("node", "ancestor", F.lit(1))).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "paths")
-    n = found.count()
-    for _ in range(rounds):
-        more = found.alias("a").join(found.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        found = stash(more.groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "paths")
-        m = found.count()
-        if m == n:
-            return found
-        n = m
-    raise RuntimeError(f"paths did not end in {rounds} rounds")
-
+def nearest_ancestor(tree: DataFrame, wanted: DataFrame, node: str = "node", parent: str = "parent", rounds: int = 64) -> DataFrame:
+    """(node, ancestor, depth): the nearest of ``wanted`` (node) on the way up, the node itself included.
 
-def nearest_ancestor(tree: DataFrame, wanted: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
-    """(node, ancestor, depth): the nearest of ``wanted`` (node) on the way up, the node itself included."""
-    up = ancestors(tree, node, parent).join(wanted.select(F.col(node).alias("ancestor")).distinct(), "ancestor", "left_semi")
-    return up.groupBy("node").agg(F.min(F.struct("depth", "ancestor")).alias("x")).select("node", "x.ancestor", "x.depth")
+    Every node has one pointer, at first to its parent, which jumps over what
+    its target has passed: steps double each round and stop at the first
+    wanted node, so work is one row a node and round. Ways that end without
+    one, or go round a cycle, give no row.
+    """
+    goal = wanted.select(F.col(node).alias("goal")).distinct()
+    t = tree.where(F.col(node).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("to")).dropDuplicates(["node"])
+    here = F.col("goal").isNotNull()
+    t = t.join(goal, F.col("node") == F.col("goal"), "left").select("node", F.when(~here, F.col("to")).alias("to"), F.when(here, F.col("node")).alias("ancestor"), F.when(here, 0).otherwise(1).cast("long").alias("depth"))
+    now = stash(t, "pointers")
+    for _ in range(rounds):
+        open_ = now.where("ancestor is null and to is not null")
+        n = open_.count()
+        if not n:
+            break
+        ahead = now.select(F.col("node").alias("to"), F.col("to").alias("to_"), F.col("ancestor").alias("ancestor_"), F.col("depth").alias("depth_"))
+        step = open_.join(ahead, "to", "left").select("node", F.col("to_").alias("to"), F.col("ancestor_").alias("ancestor"), (F.col("depth") + F.coalesce("depth_", F.lit(0))).alias("depth"))
+        # A step of twice as many edges as there are nodes has gone round.
+        step = step.withColumn("to", F.when(F.col("depth") <= 2 * F.lit(n), F.col("to")))
+        now = stash(now.where("ancestor is not null or to is null").unionByName(step), "pointers")
+    return now.where("ancestor is not null").select("node", "ancestor", "depth")
 
 
 def pruned_descent(tree: DataFrame, roots: DataFrame, stop: Column, node: str = "node", parent: str = "parent", rounds: int = 1000) -> DataFrame:
@@ -227,10 +236,17 @@ def pruned_descent(tree: DataFrame, roots: DataFrame, stop: Column, node: str =
 
 
 def subtree_has(tree: DataFrame, flag: Column, node: str = "node", parent: str = "parent") -> DataFrame:
-    """(node, found): whether ``flag`` holds for the node or anything below it."""
-    flags = tree.select(F.col(node).alias("node"), F.coalesce(flag, F.lit(False)).alias("flag"))
-    up = ancestors(tree, node, parent)
-    return up.join(flags, "node").groupBy(F.col("ancestor").alias("node")).agg(F.bool_or("flag").alias("found"))
+    """(node, found): whether ``flag`` holds for the node or anything below it.
+
+    Marked nodes mark their parents, a level a round; each node is marked once.
+    """
+    t = stash(tree.where(F.col(node).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.coalesce(flag, F.lit(False)).alias("flag")), "tree")
+    marked = front = stash(t.where("flag").select("node").distinct(), "marked")
+    while not front.isEmpty():
+        up = t.join(front, "node", "left_semi").select(F.col("parent").alias("node")).where("node is not null").distinct()
+        front = stash(up.join(marked, "node", "left_anti"), "marked")
+        marked = marked.union(front)
+    return t.select("node").distinct().join(marked.withColumn("found", F.lit(True)), "node", "left").select("node", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def walk_chain(events: DataFrame, group: str, seq: str, event: str, previous: str) -> DataFrame:
@@ -287,9 +303,25 @@ def leads_to(start: DataFrame, hops: list[tuple[DataFrame, str, str]], goal: Dat
 
 
 def under(pairs: DataFrame, tree: DataFrame, node: str = "node", above: str = "above", parent: str = "parent") -> DataFrame:
-    """``pairs`` with ``under``: whether ``above`` is the node itself or on its way up."""
-    up = ancestors(tree, node, parent).select(F.col(node), F.col("ancestor").alias(above)).distinct().withColumn("under", F.lit(True))
-    return pairs.join(up, [node, above], "left").withColumn("under", F.coalesce("under", F.lit(False)))
+    """``pairs`` with ``under``: whether ``above`` is the node itself or on its way up.
+
+    Pairs walk up a step a round and leave when they meet, when the way ends,
+    or when it comes back to a node that the pair has passed.
+    """
+    t = stash(tree.select(F.col(node).alias("at"), F.col(parent).alias("up")).where("at is not null and up is not null").distinct(), "tree")
+    front = stash(pairs.select(F.col(node).alias("n_"), F.col(above).alias("a_")).where("n_ is not null and a_ is not null").distinct().withColumn("at", F.col("n_")), "front")
+    seen, met = front, None
+    while not front.isEmpty():
+        hit = front.where("at = a_").select("n_", "a_")
+        met = hit if met is None else met.union(hit)
+        new = front.where("at <> a_").join(t, "at").select("n_", "a_", F.col("up").alias("at")).distinct()
+        front = stash(new.join(seen, ["n_", "a_", "at"], "left_anti"), "front")
+        seen = seen.union(front)
+    if met is None:
+        return pairs.withColumn("under", F.lit(False))
+    met = met.distinct().withColumn("under", F.lit(True))
+    out = pairs.join(met, (F.col(node) == F.col("n_")) & (F.col(above) == F.col("a_")), "left")
+    return out.select(*[pairs[c] for c in pairs.columns], F.coalesce("under", F.lit(False)).alias("under"))
 
 
 def generations(rows: DataFrame, group: str, newest_first: list[Column], confirmed: Column, fallback: Column) -> DataFrame:

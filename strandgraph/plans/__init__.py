@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["graphs", "relational", "dataflow", "programs", "context", "scalars", "lanes"]
+MODULES = ["graphs", "relational", "dataflow", "programs", "context", "scalars", "lanes", "files"]
 
 
 def _load():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.operators import candidates as X
@@ -28,7 +28,7 @@ def _statements(t: Tables) -> DataFrame:
     """Each user's events as a paragraph's statements without branches."""
     k, v = F.col("event_type"), F.col("value").cast("int").cast("string")
     none = F.expr("cast(array() as array<string>)")
-    return t.events.where("event_id % 4 = 0").select(
+    return t.events.select(
         F.lit("P").alias("program"), F.col("user_id").cast("string").alias("paragraph"), F.col("event_id").cast("string").alias("statement_id"), F.col("event_id").alias("pos"),
         F.when(k.isin("purchase", "view", "click"), "MOVE").when(k == "signup", "COMPUTE").otherwise("CALL").alias("kind"),
         F.when(k == "purchase", F.array(F.lit("A"))).when(k == "view", F.array(F.lit("B"))).when(k == "click", F.array(F.lit("A"), F.lit("B"))).when(k == "signup", F.array(F.lit("A"))).otherwise(none).alias("targets"),
@@ -41,8 +41,8 @@ def _statements(t: Tables) -> DataFrame:
 _EFFECTS = """e AS (
   SELECT event_id, user_id, 0 AS ordinal, CASE event_type WHEN 'purchase' THEN 'ASSIGN_LITERAL' WHEN 'view' THEN 'COPY' WHEN 'click' THEN 'ASSIGN_LITERAL' WHEN 'signup' THEN 'COMPUTE' ELSE 'CALL' END AS kind,
     CASE event_type WHEN 'view' THEN 'B' WHEN 'error' THEN NULL ELSE 'A' END AS target, CASE WHEN event_type = 'view' THEN 'A' END AS source, CASE WHEN event_type IN ('purchase', 'click') THEN trunc(value)::INT::VARCHAR END AS literal
-  FROM events WHERE event_id % 4 = 0
-  UNION ALL SELECT event_id, user_id, 1, 'ASSIGN_LITERAL', 'B', NULL, trunc(value)::INT::VARCHAR FROM events WHERE event_id % 4 = 0 AND event_type = 'click'
+  FROM events
+  UNION ALL SELECT event_id, user_id, 1, 'ASSIGN_LITERAL', 'B', NULL, trunc(value)::INT::VARCHAR FROM events WHERE event_type = 'click'
 )"""
 
 
@@ -67,6 +67,78 @@ def e08_followed_constants(t: Tables) -> DataFrame:
     return E.branching_constants(s, E.statement_effects(s)).select("statement_id", "target", "status", "literal")
 
 
+@query("""
+SELECT p_partkey AS statement_id, CASE WHEN m = 3 THEN 'UNSET_CONDITION' WHEN m = 4 THEN 'SET_VALUE' WHEN m = 5 THEN 'UNKNOWN' ELSE 'SET_CONDITION' END AS kind,
+  CASE WHEN m = 2 THEN 'Q' WHEN m = 4 THEN 'A' WHEN m = 5 THEN NULL ELSE 'P' END AS target, CASE WHEN m IN (0, 3) THEN 'C1' WHEN m = 1 THEN 'C2' WHEN m = 2 THEN 'C3' END AS source,
+  CASE WHEN m = 0 THEN 'V1' WHEN m = 4 THEN p_size::VARCHAR END AS literal, CASE WHEN m = 0 THEN 'DETERMINISTIC' WHEN m = 5 THEN 'UNKNOWN' ELSE 'PARTIAL' END AS support
+FROM (SELECT *, p_partkey % 6 AS m FROM part)
+""")
+def e03_set_effects(t: Tables) -> DataFrame:
+    """Conditions of one value, several values and a range, set true or false; a plain SET; a condition that nobody declares."""
+    m = F.col("p_partkey") % 6
+    none = F.expr("cast(array() as array<string>)")
+    null = F.lit(None).cast("string")
+    name = F.when(m.isin(0, 3), "C1").when(m == 1, "C2").when(m == 2, "C3").when(m == 5, "C9")
+    s = t.part.select(
+        F.lit("P").alias("program"), F.lit("X").alias("paragraph"), F.col("p_partkey").alias("statement_id"), F.col("p_partkey").alias("pos"), F.lit("SET").alias("kind"),
+        F.when(m == 4, F.array(F.lit("A"))).otherwise(none).alias("targets"), none.alias("sources"), F.when(m == 4, F.array(F.col("p_size").cast("string"))).otherwise(none).alias("literals"),
+        name.alias("condition_target"), F.when(name.isNotNull(), m != 3).alias("condition_value"), null.alias("parent_id"),
+    )
+    rows = [("P", "C1", "P", ["V1"], False), ("P", "C2", "P", ["V1", "V2"], False), ("P", "C3", "Q", ["V1"], True), ("OTHER", "C9", "Z", ["V"], False)]
+    declared = t.spark.createDataFrame(rows, "program string, condition string, parent string, values array<string>, ranged boolean")
+    return E.statement_effects(s, declared).select("statement_id", "kind", "target", "source", "literal", "support")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS m FROM orders)
+SELECT o_orderkey AS statement_id, 0 AS ordinal, CASE m WHEN 0 THEN 'JUMP' WHEN 1 THEN 'PERFORM' WHEN 2 THEN 'SQL_WRITE' WHEN 3 THEN 'SQL' WHEN 4 THEN 'CALL' WHEN 5 THEN 'END' WHEN 6 THEN 'UNKNOWN' ELSE 'PRESERVED' END AS kind, CASE WHEN m = 2 THEN 'A' END AS target,
+  CASE WHEN m IN (2, 4, 8) THEN 'PARTIAL' WHEN m = 6 THEN 'UNKNOWN' ELSE 'DETERMINISTIC' END AS support FROM o WHERE m <> 7
+UNION ALL SELECT o_orderkey, 1, 'SQL_WRITE', 'B', 'PARTIAL' FROM o WHERE m = 2
+""")
+def e05_control_effects(t: Tables) -> DataFrame:
+    """Jumps, calls, embedded SQL, ends, statements of other kinds, arithmetic without a target; a branch has no effect."""
+    m = (F.col("o_orderkey") % 9).cast("int")
+    none = F.expr("cast(array() as array<string>)")
+    kinds = F.array(*[F.lit(x) for x in ("GO_TO", "PERFORM", "EXEC_SQL", "EXEC_SQL", "CALL", "STOP_RUN", "DISPLAY", "IF", "COMPUTE")])
+    s = t.orders.select(
+        F.lit("P").alias("program"), F.lit("X").alias("paragraph"), F.col("o_orderkey").alias("statement_id"), F.col("o_orderkey").alias("pos"), F.get(kinds, m).alias("kind"),
+        F.when(m == 2, F.array(F.lit("A"), F.lit("B"))).otherwise(none).alias("targets"), none.alias("sources"), none.alias("literals"), F.lit(None).cast("string").alias("condition_target"), F.lit(None).cast("boolean").alias("condition_value"),
+    )
+    return E.statement_effects(s).select("statement_id", "ordinal", "kind", "target", "support")
+
+
+@query("""
+WITH l AS (
+  SELECT l_orderkey, l_returnflag, trunc(l_quantity)::INT::VARCHAR AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem
+), c AS (
+  SELECT *, CASE WHEN l_returnflag = 'R' THEN 'THEN' ELSE 'ELSE' END AS branch FROM l WHERE n > 2 AND NOT (n = c AND c >= 4)
+), r AS (
+  SELECT *, sum(change) OVER (PARTITION BY l_orderkey ORDER BY n) AS run FROM (SELECT *, CASE WHEN lag(branch) OVER (PARTITION BY l_orderkey ORDER BY n) = branch THEN 0 ELSE 1 END AS change FROM c)
+), first AS (SELECT l_orderkey, v FROM l WHERE n = 1), k AS (
+  SELECT r.l_orderkey, n, r.v, first.v AS outer_v, last_value(CASE WHEN n % 2 = 1 THEN r.v END IGNORE NULLS) OVER (PARTITION BY r.l_orderkey, run ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM r JOIN first ON first.l_orderkey = r.l_orderkey
+), w AS (SELECT DISTINCT l_orderkey FROM c WHERE n % 2 = 1)
+SELECT l_orderkey || '.1' AS statement_id, 'A' AS target, 'DIRECT' AS status, v AS literal, 1::BIGINT AS steps FROM first
+UNION ALL SELECT l_orderkey || '.' || n, CASE WHEN n % 2 = 1 THEN 'A' ELSE 'B' END, CASE WHEN n % 2 = 1 THEN 'DIRECT' ELSE 'PROPAGATED' END, CASE WHEN n % 2 = 1 THEN v ELSE coalesce(held, outer_v) END, CASE WHEN n % 2 = 1 THEN 1 ELSE 2 END FROM k
+UNION ALL SELECT l.l_orderkey || '.' || n, 'C', CASE WHEN w.l_orderkey IS NULL THEN 'PROPAGATED' ELSE 'UNRESOLVED_COPY' END, CASE WHEN w.l_orderkey IS NULL THEN first.v END, CASE WHEN w.l_orderkey IS NULL THEN 2 ELSE 0 END
+FROM l JOIN first ON first.l_orderkey = l.l_orderkey LEFT JOIN w ON w.l_orderkey = l.l_orderkey WHERE n = c AND c >= 4
+""")
+def e07_branching(t: Tables) -> DataFrame:
+    """An order's lines as a paragraph: a literal, a decision whose branches assign or copy, and a copy after it."""
+    by_line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    line = t.lineitem.withColumn("n", F.row_number().over(by_line)).withColumn("c", F.count("*").over(Window.partitionBy("l_orderkey")))
+    n, id_ = F.col("n"), F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("n").cast("string"))
+    last = (n == F.col("c")) & (F.col("c") >= 4)
+    child, moves = (n > 2) & ~last, (n == 1) | ((n > 2) & ~last & (n % 2 == 1))
+    none, null = F.expr("cast(array() as array<string>)"), F.lit(None).cast("string")
+    s = line.select(
+        F.lit("P").alias("program"), F.col("l_orderkey").cast("string").alias("paragraph"), id_.alias("statement_id"), n.cast("long").alias("pos"), F.when(n == 2, "IF").otherwise("MOVE").alias("kind"),
+        F.when(n == 2, none).when(moves, F.array(F.lit("A"))).when(last, F.array(F.lit("C"))).otherwise(F.array(F.lit("B"))).alias("targets"), F.when(moves | (n == 2), none).otherwise(F.array(F.lit("A"))).alias("sources"),
+        F.when(moves, F.array(F.col("l_quantity").cast("int").cast("string"))).otherwise(none).alias("literals"), null.alias("condition_target"), F.lit(None).cast("boolean").alias("condition_value"),
+        F.when(child, F.concat(F.col("l_orderkey").cast("string"), F.lit(".2"))).alias("parent_id"), F.when(child, F.when(F.col("l_returnflag") == "R", "THEN").otherwise("ELSE")).alias("branch_kind"), null.alias("branch_condition"),
+    )
+    return E.branching_constants(s, E.statement_effects(s)).select("statement_id", "target", "status", "literal", "steps")
+
+
 @query("""
 WITH w AS (SELECT DISTINCT l_partkey % 50 AS part, s_nationkey AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 48),
 r AS (SELECT DISTINCT l_partkey % 50 AS part, c_nationkey AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity < 2)
@@ -148,28 +220,28 @@ def x10_corroborate(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT o_custkey, min(o_orderkey) AS i, list(DISTINCT o_orderpriority) AS e FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 = 0 GROUP BY 1), b AS (SELECT o_custkey, min(o_orderkey) AS i, list(DISTINCT o_orderpriority) AS e FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0 GROUP BY 1)
+WITH n AS (SELECT o_custkey, min(o_orderkey) AS i, list(DISTINCT o_orderpriority) AS e FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), b AS (SELECT o_custkey, min(o_orderkey) AS i, list(DISTINCT o_orderpriority) AS e FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT coalesce(n.o_custkey, b.o_custkey) AS o_custkey, coalesce(b.i, n.i) AS id, array_to_string(list_sort(list_distinct(list_concat(coalesce(b.e, []), coalesce(n.e, [])))), ',') AS evidence, CASE WHEN b.i IS NULL THEN 'NEW' WHEN n.i IS NULL THEN 'BASELINE' ELSE 'MERGED' END AS origin FROM n FULL JOIN b ON n.o_custkey = b.o_custkey
 """)
 def x11_upsert(t: Tables) -> DataFrame:
-    side = lambda s: t.orders.where((F.col("o_orderstatus") == s) & (F.col("o_orderkey") % 3 == 0)).select("o_custkey", F.col("o_orderkey").alias("id"), F.array("o_orderpriority").alias("evidence"))
+    side = lambda s: t.orders.where(F.col("o_orderstatus") == s).select("o_custkey", F.col("o_orderkey").alias("id"), F.array("o_orderpriority").alias("evidence"))
     return X.upsert(side("O"), side("F"), "o_custkey", "id", "evidence").withColumn("evidence", F.array_join("evidence", ","))
 
 
 @query("""
-WITH x AS (SELECT p_partkey, p_size AS legacy, p_brand AS n FROM part WHERE p_partkey % 25 = 0), k AS (SELECT legacy, count(DISTINCT n) = 1 AS one, bool_or(n IN (SELECT p_brand FROM part WHERE p_retailprice > 1890)) AS hit FROM x GROUP BY legacy)
+WITH x AS (SELECT p_partkey, p_size AS legacy, p_brand AS n FROM part), k AS (SELECT legacy, count(DISTINCT n) = 1 AS one, bool_or(n IN (SELECT p_brand FROM part WHERE p_retailprice > 1890)) AS hit FROM x GROUP BY legacy)
 SELECT p_partkey, CASE WHEN one AND NOT hit THEN x.legacy::VARCHAR ELSE n END AS key FROM x JOIN k ON x.legacy = k.legacy
 """)
 def x12_settled_keys(t: Tables) -> DataFrame:
-    x = t.part.where("p_partkey % 25 = 0").select("p_partkey", F.col("p_size").cast("string").alias("legacy"), F.col("p_brand").alias("n"))
+    x = t.part.select("p_partkey", F.col("p_size").cast("string").alias("legacy"), F.col("p_brand").alias("n"))
     return X.settled_keys(x, "legacy", "n", t.part.where("p_retailprice > 1890").select(F.col("p_brand").alias("n"))).select("p_partkey", "key")
 
 
 @query("""
-SELECT l_orderkey, l_linenumber::BIGINT AS line FROM lineitem l WHERE l_orderkey % 10 = 0 AND NOT (l_returnflag = 'N' AND EXISTS (SELECT 1 FROM lineitem r WHERE r.l_orderkey = l.l_orderkey AND r.l_quantity > 40))
+SELECT l_orderkey, l_linenumber::BIGINT AS line FROM lineitem l WHERE NOT (l_returnflag = 'N' AND EXISTS (SELECT 1 FROM lineitem r WHERE r.l_orderkey = l.l_orderkey AND r.l_quantity > 40))
 """)
 def x13_without_ghosts(t: Tables) -> DataFrame:
-    out = X.without_ghosts(t.lineitem.where("l_orderkey % 10 = 0"), ["l_orderkey"], F.col("l_quantity") > 40, F.col("l_returnflag") == "N")
+    out = X.without_ghosts(t.lineitem, ["l_orderkey"], F.col("l_quantity") > 40, F.col("l_returnflag") == "N")
     return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"))
 
 

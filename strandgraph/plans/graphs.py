@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.operators import graph as G
@@ -34,42 +34,40 @@ def q1_reverse_hierarchy(t: Tables) -> DataFrame:
     return out.select("o_orderkey", "c_custkey", "c_name", "n_name", "r_name")
 
 
-def _trade(t: Tables, month: int) -> DataFrame:
-    """Edges from a customer's nation to a supplier's, of large urgent lines of one month."""
-    o = t.orders.where("o_orderpriority = '1-URGENT'").where(F.month("o_orderdate") == month).select("o_orderkey", "o_custkey")
-    line = t.lineitem.where("l_quantity >= 49").select("l_orderkey", "l_suppkey")
-    out = G.chain(line, (o, "l_orderkey", "o_orderkey"), (t.customer.select("c_custkey", "c_nationkey"), "o_custkey", "c_custkey"), (t.supplier.select("s_suppkey", "s_nationkey"), "l_suppkey", "s_suppkey"))
-    return out.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).distinct()
+def _next(t: Tables, kind: int) -> DataFrame:
+    """Edges from each order to the next one: 1 of its customer, 2 of its day and priority."""
+    by = ["o_custkey"] if kind == 1 else ["o_orderdate", "o_orderpriority"]
+    after = F.lead("o_orderkey").over(Window.partitionBy(*by).orderBy("o_orderkey"))
+    return t.orders.select(F.col("o_orderkey").cast("long").alias("src"), after.cast("long").alias("dst")).where("dst is not null")
 
 
-_TRADE = """trade AS (
-  SELECT DISTINCT month(o_orderdate) AS m, c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE o_orderpriority = '1-URGENT' AND l_quantity >= 49
-)"""
+_NEXT = """steps AS (
+  SELECT 1 AS m, o_orderkey::BIGINT AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::BIGINT AS dst FROM orders
+  UNION ALL SELECT 2, o_orderkey::BIGINT, lead(o_orderkey) OVER (PARTITION BY o_orderdate, o_orderpriority ORDER BY o_orderkey)::BIGINT FROM orders
+), edge AS (SELECT DISTINCT * FROM steps WHERE dst IS NOT NULL)"""
 
 
 def _seeds(t: Tables) -> DataFrame:
-    return t.nation.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").cast("long").alias("seed"))
+    return t.orders.select(F.col("o_orderkey").cast("long").alias("seed"))
 
 
 def _walk(name: str, edges: str, depth: int) -> str:
     return f"""{name} AS (
-  SELECT n_nationkey::BIGINT AS seed, n_nationkey::BIGINT AS node, 0 AS depth FROM nation WHERE n_nationkey % 3 = 0
+  SELECT o_orderkey::BIGINT AS seed, o_orderkey::BIGINT AS node, 0 AS depth FROM orders
   UNION SELECT w.seed, e.src, w.depth + 1 FROM {name} w JOIN {edges} e ON e.dst = w.node WHERE w.depth < {depth}
 )"""
 
 
 @query(f"""
-WITH RECURSIVE {_TRADE}, one AS (SELECT src, dst FROM trade WHERE m = 1), {_walk("w", "one", 4)}
+WITH RECURSIVE {_NEXT}, one AS (SELECT src, dst FROM edge WHERE m = 1), {_walk("w", "one", 4)}
 SELECT seed, node, min(depth)::INT AS depth FROM w WHERE depth > 0 GROUP BY seed, node
 """)
 def g01_bounded_reach(t: Tables) -> DataFrame:
-    return G.reach(_trade(t, 1), _seeds(t), 4)
+    return G.reach(_next(t, 1), _seeds(t), 4)
 
 
 @query(f"""
-WITH RECURSIVE {_TRADE}, one AS (SELECT src, dst FROM trade WHERE m = 1), two AS (SELECT src, dst FROM trade WHERE m = 2),
+WITH RECURSIVE {_NEXT}, one AS (SELECT src, dst FROM edge WHERE m = 1), two AS (SELECT src, dst FROM edge WHERE m = 2),
 {_walk("a", "one", 2)}, {_walk("b", "two", 2)}, s AS (
   SELECT seed, node, bool_or(lane = 'a') AS a, bool_or(lane = 'b') AS b
   FROM (SELECT 'a' AS lane, seed, node FROM a WHERE depth > 0 UNION ALL SELECT 'b', seed, node FROM b WHERE depth > 0
@@ -78,33 +76,34 @@ WITH RECURSIVE {_TRADE}, one AS (SELECT src, dst FROM trade WHERE m = 1), two AS
 SELECT seed, node, CASE WHEN seed = node THEN 'CANDIDATE' WHEN a AND b THEN 'BOTH' WHEN a THEN 'DATA_DEPENDENCY' ELSE 'CONTROL_DEPENDENCY' END AS reason FROM s
 """)
 def q2_two_lane_slice(t: Tables) -> DataFrame:
-    return G.two_lane_slice(_trade(t, 1), _trade(t, 2), _seeds(t), 2)
+    return G.two_lane_slice(_next(t, 1), _next(t, 2), _seeds(t), 2)
 
 
 @query(f"""
-WITH RECURSIVE {_TRADE}, mixed AS (SELECT DISTINCT src, dst FROM trade WHERE m <= 2), {_walk("w", "mixed", 2)}, s AS (SELECT DISTINCT seed, node FROM w)
+WITH RECURSIVE {_NEXT}, mixed AS (SELECT DISTINCT src, dst FROM edge WHERE m <= 2), {_walk("w", "mixed", 2)}, s AS (SELECT DISTINCT seed, node FROM w)
 SELECT s.seed, s.node, list_sort(list(DISTINCT s_suppkey)) AS suppliers
-FROM s LEFT JOIN supplier ON s_nationkey = s.node AND s_acctbal > 5000 GROUP BY s.seed, s.node HAVING count(s_suppkey) > 0
+FROM s JOIN lineitem ON l_orderkey = s.node AND l_quantity > 45 JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 5000 GROUP BY s.seed, s.node
 """)
 def q3_mixed_slice_reads(t: Tables) -> DataFrame:
     """What lies in the mixed slice of each seed, gathered per node."""
-    edges = _trade(t, 1).union(_trade(t, 2))
-    rich = t.supplier.where("s_acctbal > 5000").select("s_suppkey", F.col("s_nationkey").cast("long").alias("node"))
+    edges = _next(t, 1).union(_next(t, 2))
+    line = t.lineitem.where("l_quantity > 45").select(F.col("l_orderkey").cast("long").alias("node"), "l_suppkey")
+    rich = line.join(t.supplier.where("s_acctbal > 5000").select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey")).select("node", "s_suppkey").distinct()
     return G.mixed_slice(edges, _seeds(t), 2).join(rich, "node").groupBy("seed", "node").agg(F.array_sort(F.collect_set("s_suppkey")).alias("suppliers"))
 
 
 @query(f"""
-WITH RECURSIVE {_TRADE}, mixed AS (SELECT DISTINCT src, dst FROM trade WHERE m <= 2), {_walk("w", "mixed", 1)}, s AS (SELECT DISTINCT seed, node FROM w),
-effects AS (SELECT s_nationkey::BIGINT AS node, s_suppkey AS target FROM supplier WHERE s_acctbal > 8000), home AS (SELECT n_nationkey::BIGINT AS node, n_regionkey AS program FROM nation)
+WITH RECURSIVE {_NEXT}, mixed AS (SELECT DISTINCT src, dst FROM edge WHERE m <= 2), {_walk("w", "mixed", 1)}, s AS (SELECT DISTINCT seed, node FROM w),
+effects AS (SELECT DISTINCT l_orderkey::BIGINT AS node, l_suppkey AS target FROM lineitem WHERE l_quantity = 50), home AS (SELECT o_orderkey::BIGINT AS node, o_custkey AS program FROM orders)
 SELECT seed, s.node, target, CASE WHEN seed = s.node THEN 'DIRECT' ELSE 'DEPENDENCY_SLICE' END AS scope, true AS approved FROM s JOIN effects e ON e.node = s.node
 UNION ALL
 SELECT h.node, o.node, target, 'PROGRAM_CONTEXT', false FROM home h JOIN home o ON h.program = o.program JOIN effects e ON e.node = o.node
-WHERE h.node % 3 = 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.seed = h.node AND s.node = o.node)
+WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.seed = h.node AND s.node = o.node)
 """)
 def q5_scoped_effects(t: Tables) -> DataFrame:
-    edges = _trade(t, 1).union(_trade(t, 2))
-    effects = t.supplier.where("s_acctbal > 8000").select(F.col("s_nationkey").cast("long").alias("node"), F.col("s_suppkey").alias("target"))
-    home = t.nation.select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").alias("program"))
+    edges = _next(t, 1).union(_next(t, 2))
+    effects = t.lineitem.where("l_quantity = 50").select(F.col("l_orderkey").cast("long").alias("node"), F.col("l_suppkey").alias("target")).distinct()
+    home = t.orders.select(F.col("o_orderkey").cast("long").alias("node"), F.col("o_custkey").alias("program"))
     return G.scoped_effects(G.mixed_slice(edges, _seeds(t), 1), effects, home).select("seed", "node", "target", "scope", "approved")
 
 
@@ -147,12 +146,14 @@ def q7_edge_or_node_value(t: Tables) -> DataFrame:
 
 
 def _calls(t: Tables) -> DataFrame:
-    p = t.part.where("p_size <= 10")
-    return p.select((F.col("p_partkey") % 97).alias("src"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 97).alias("dst"), F.col("p_partkey").alias("site")).where("(site * 31) % 11 < 3")
+    """Parts that follow each other among an order's returned lines."""
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    lines = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("src"), after.alias("dst"), F.col("l_orderkey").alias("site"))
+    return lines.where("dst is not null")
 
 
 _CALLS = """calls AS (
-  SELECT p_partkey % 97 AS src, (p_partkey * 7 + p_size) % 97 AS dst, p_partkey AS site FROM part WHERE p_size <= 10 AND (p_partkey * 31) % 11 < 3
+  SELECT * FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_orderkey AS site FROM lineitem WHERE l_returnflag = 'R') WHERE dst IS NOT NULL
 )"""
 _CLOSURE = "closure AS (SELECT DISTINCT src, dst FROM calls UNION SELECT c.src, e.dst FROM closure c JOIN calls e ON c.dst = e.src)"
 _SCC = f"""{_CALLS}, {_CLOSURE}, nodes AS (SELECT src AS node FROM calls UNION SELECT dst FROM calls), scc AS (
@@ -180,7 +181,7 @@ def g04_collapsed_edges(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT p_partkey % 60 AS u, p_partkey % 60 + 1 + p_size % 5 AS v FROM part WHERE p_partkey % 3 = 0),
+WITH RECURSIVE e AS (SELECT DISTINCT * FROM (SELECT p_partkey::BIGINT AS u, (p_partkey // (2 + p_size % 5))::BIGINT AS v FROM part) WHERE u <> v),
 nodes AS (SELECT u AS node FROM e UNION SELECT v FROM e), w AS (
   SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT v FROM e) UNION SELECT e.v, w.level + 1 FROM w JOIN e ON e.u = w.node
 )
@@ -188,7 +189,8 @@ SELECT node, max(level)::INT AS level FROM w GROUP BY node
 """)
 def g05_levels(t: Tables) -> DataFrame:
     """Longest-path levels of a graph without cycles."""
-    e = t.part.where("p_partkey % 3 = 0").select((F.col("p_partkey") % 60).alias("src"), (F.col("p_partkey") % 60 + 1 + F.col("p_size") % 5).alias("dst")).distinct()
+    part = F.col("p_partkey").cast("long")
+    e = t.part.select(part.alias("src"), F.floor(part / (2 + F.col("p_size") % 5)).cast("long").alias("dst")).distinct()
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst"))
     return G.levels(e, nodes)
 
@@ -252,9 +254,9 @@ def g12_chain_status(t: Tables) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, 'MISSING' AS side FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)
-UNION ALL SELECT o_orderkey, 'EXTRA' FROM (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_quantity > 25 AND l_orderkey % 25 = 0) WHERE o_orderkey % 50 <> 0
+UNION ALL SELECT o_orderkey, 'EXTRA' FROM (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_quantity > 25) WHERE o_orderkey % 50 <> 0
 """)
 def g10_drift(t: Tables) -> DataFrame:
     expected = t.orders.where("o_orderkey % 50 = 0").select("o_orderkey")
-    loaded = t.lineitem.where("l_quantity > 25 and l_orderkey % 25 = 0").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    loaded = t.lineitem.where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
     return G.drift(expected, loaded, ["o_orderkey"])

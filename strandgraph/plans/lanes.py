@@ -145,15 +145,16 @@ def x26_traceability(t: Tables) -> DataFrame:
     return V.traceability(t.orders, "o_custkey", F.col("o_totalprice") > 20000, F.col("o_orderstatus") != "P", F.col("o_orderpriority") != "5-LOW")
 
 
-_SIDES = """l AS (SELECT min(o_orderkey) AS id, o_custkey, o_orderpriority, arg_min(o_orderstatus, o_orderkey) AS v FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 2, 3),
-r AS (SELECT min(o_orderkey) AS id, o_custkey, o_orderpriority, nullif(arg_min(o_orderstatus, o_orderkey), 'P') AS v FROM orders WHERE o_orderkey % 4 = 1 GROUP BY 2, 3),
+_SIDES = """l AS (SELECT min(o_orderkey) AS id, o_custkey, o_orderpriority, arg_min(o_orderstatus, o_orderkey) AS v FROM orders WHERE month(o_orderdate) <= 6 GROUP BY 2, 3),
+r AS (SELECT min(o_orderkey) AS id, o_custkey, o_orderpriority, nullif(arg_min(o_orderstatus, o_orderkey), 'P') AS v FROM orders WHERE month(o_orderdate) > 6 GROUP BY 2, 3),
 a AS (SELECT l.id AS left_id, r.id AS right_id, l.v AS lv, r.v AS rv FROM l JOIN r USING (o_custkey, o_orderpriority)), lr AS (SELECT * FROM l WHERE id NOT IN (SELECT left_id FROM a)), rr AS (SELECT * FROM r WHERE id NOT IN (SELECT right_id FROM a)),
 f AS (SELECT min(lr.id) AS left_id, min(rr.id) AS right_id, o_custkey FROM lr JOIN rr USING (o_custkey) GROUP BY o_custkey)"""
 
 
 def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
-    side = lambda m: t.orders.where(F.col("o_orderkey") % 4 == m).groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("id"), F.min_by("o_orderstatus", "o_orderkey").alias("v"))
-    return side(0), side(1).withColumn("v", F.nullif(F.col("v"), F.lit("P")))
+    side = lambda half: t.orders.where(half).groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("id"), F.min_by("o_orderstatus", "o_orderkey").alias("v"))
+    early = F.month("o_orderdate") <= 6
+    return side(early), side(~early).withColumn("v", F.nullif(F.col("v"), F.lit("P")))
 
 
 @query(f"""
@@ -177,10 +178,10 @@ def x28_groups_by_comparison(t: Tables) -> DataFrame:
 
 @query("""
 SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_mktsegment END, o.t, CASE WHEN c_custkey % 2 = 0 THEN c_name END) AS text, CASE WHEN c_acctbal > 5000 THEN 'segment' WHEN o.t IS NOT NULL THEN 'order' WHEN c_custkey % 2 = 0 THEN 'name' ELSE 'NONE' END AS surface
-FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS t FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 3 = 0 GROUP BY 1) o ON o_custkey = c_custkey
+FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS t FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) o ON o_custkey = c_custkey
 """)
 def x32_best_surface(t: Tables) -> DataFrame:
-    orders = t.orders.where("o_orderstatus = 'P' and o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("text"))
+    orders = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("text"))
     segment = t.customer.select("c_custkey", F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")).alias("text"))
     name = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("text"))
     return V.best_surface(t.customer, [("segment", segment), ("order", orders), ("name", name)], "c_custkey", "text")

@@ -30,7 +30,7 @@ def _facts(t: Tables) -> DataFrame:
 
 
 def _inside(t: Tables) -> DataFrame:
-    return t.events.where("user_id % 2 = 0").select(F.col("event_id").alias("statement_id"), F.col("user_id").alias("decision"))
+    return t.events.where("user_id is not null").select(F.col("event_id").alias("statement_id"), F.col("user_id").alias("decision"))
 
 
 def _tags(t: Tables) -> DataFrame:
@@ -40,7 +40,7 @@ def _tags(t: Tables) -> DataFrame:
 
 @query("""
 SELECT event_id AS statement_id, event_type AS target, user_id AS decision, CASE event_type WHEN 'purchase' THEN 'DETERMINISTIC' WHEN 'error' THEN 'BLOCKED' ELSE 'PARTIAL' END AS support,
-  CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'error' THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence FROM events WHERE user_id % 2 = 0 AND event_type IN ('purchase', 'error', 'view')
+  CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'error' THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence FROM events WHERE event_type IN ('purchase', 'error', 'view')
 """)
 def x01_return_codes(t: Tables) -> DataFrame:
     return X.return_code_candidates(_facts(t), _tags(t), _inside(t)).select("statement_id", "target", "decision", "support", "confidence")
@@ -54,12 +54,12 @@ def x02_condition_codes(t: Tables) -> DataFrame:
     return X.condition_candidates(facts, conditions, tags).select("statement_id", "source", "parent", "family")
 
 
-@query("SELECT event_id AS statement_id, trunc(value)::INT::VARCHAR AS literal, user_id AS decision, 'PARTIAL' AS support FROM events WHERE event_type = 'click' AND user_id % 2 = 0")
+@query("SELECT event_id AS statement_id, trunc(value)::INT::VARCHAR AS literal, user_id AS decision, 'PARTIAL' AS support FROM events WHERE event_type = 'click'")
 def x03_state_changes(t: Tables) -> DataFrame:
     return X.state_candidates(_facts(t), _tags(t), _inside(t)).select("statement_id", "literal", "decision", "support")
 
 
-@query("SELECT event_id AS statement_id, CASE WHEN user_id % 2 = 0 THEN user_id END AS decision FROM events WHERE event_type = 'signup'")
+@query("SELECT event_id AS statement_id, user_id AS decision FROM events WHERE event_type = 'signup'")
 def x04_calculations(t: Tables) -> DataFrame:
     effects = t.events.select(F.col("event_id").alias("statement_id"), F.when(F.col("event_type") == "signup", "COMPUTE").otherwise("CALL").alias("kind"))
     return X.calculation_candidates(effects, _inside(t)).select("statement_id", "decision")
@@ -92,13 +92,13 @@ def x14_unified(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS s FROM orders WHERE o_orderkey % 10 IN (0, 3)),
+WITH d AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS s FROM orders),
 n AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n, count(s) OVER (PARTITION BY o_custkey) AS m FROM d)
 SELECT o_orderkey, CASE WHEN n = 1 OR m = 1 AND n = 2 THEN 'STANDS' ELSE 'REJECTED' END AS outcome FROM n WHERE n <> 2 OR m <> 1 OR s IS NOT NULL
 """)
 def x19_active_decisions(t: Tables) -> DataFrame:
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    d = t.orders.where("o_orderkey % 10 in (0, 3)").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, before).alias("s"))
+    d = t.orders.select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, before).alias("s"))
     stands, rejected = X.active_decisions(d, "o_custkey", "o_orderkey", "s")
     return stands.select("o_orderkey", F.lit("STANDS").alias("outcome")).union(rejected.select("o_orderkey", F.lit("REJECTED")))
 
@@ -146,7 +146,7 @@ def x40_anchored_claims(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT 'n' || c_nationkey AS program, c_mktsegment AS formal, CASE WHEN c_acctbal < 2000 THEN 'LOW' ELSE 'HIGH' END AS v FROM customer WHERE c_custkey % 20 = 0),
+WITH a AS (SELECT 'n' || c_nationkey AS program, c_mktsegment AS formal, CASE WHEN c_acctbal < 2000 THEN 'LOW' ELSE 'HIGH' END AS v FROM customer),
 one AS (SELECT program, formal, CASE WHEN min(v) = max(v) THEN min(v) END AS literal, min(v) <> max(v) AS conflicted FROM a GROUP BY 1, 2),
 b AS (SELECT 's' || s_suppkey % 37 AS program, CASE WHEN s_suppkey % 2 = 0 THEN 'LOW' ELSE one.literal END AS v FROM supplier LEFT JOIN one ON one.program = 'n' || s_nationkey AND formal = 'BUILDING')
 SELECT * FROM one UNION ALL SELECT program, 'X', CASE WHEN min(v) = max(v) THEN min(v) END, min(v) <> max(v) FROM b WHERE v IS NOT NULL GROUP BY program
@@ -155,7 +155,7 @@ def e10_entry_facts(t: Tables) -> DataFrame:
     """Literals from a root to nations, and through them to groups of suppliers."""
     null = F.lit(None).cast("string")
     nation = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
-    first = t.customer.where("c_custkey % 20 = 0").select(F.lit("root").alias("caller"), nation("c_nationkey").alias("callee"), F.col("c_mktsegment").alias("formal"), F.when(F.col("c_acctbal") < 2000, "LOW").otherwise("HIGH").alias("literal"), null.alias("via"))
+    first = t.customer.select(F.lit("root").alias("caller"), nation("c_nationkey").alias("callee"), F.col("c_mktsegment").alias("formal"), F.when(F.col("c_acctbal") < 2000, "LOW").otherwise("HIGH").alias("literal"), null.alias("via"))
     even = F.col("s_suppkey") % 2 == 0
     then = t.supplier.select(nation("s_nationkey").alias("caller"), F.concat(F.lit("s"), (F.col("s_suppkey") % 37).cast("string")).alias("callee"), F.lit("X").alias("formal"), F.when(even, "LOW").alias("literal"), F.when(~even, "BUILDING").alias("via"))
     b = first.union(then)
@@ -353,7 +353,7 @@ def s20_latest_states(t: Tables) -> DataFrame:
 
 
 @query(r"""
-SELECT p_partkey, '# ' || regexp_replace(p_name, '([\\`*_{}\[\]()#+\-.!|])', '\\\1', 'g') || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '- **Brand**: ' || regexp_replace(p_brand, '([\\`*_{}\[\]()#+\-.!|])', '\\\1', 'g') ELSE '' END AS text FROM part
+SELECT p_partkey, '# ' || regexp_replace(p_name, '([\\`#*_\[\]()!|{}+-])', '\\\1', 'g') || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '- **Brand**: ' || regexp_replace(p_brand, '([\\`#*_\[\]()!|{}+-])', '\\\1', 'g') ELSE '' END AS text FROM part
 """)
 def k06_markdown(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", K.markdown(F.col("p_name"), {"Brand": F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand"))}).alias("text"))

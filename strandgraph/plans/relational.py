@@ -90,10 +90,12 @@ def j14_contained(t: Tables) -> DataFrame:
 SELECT a.s_nationkey, a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 200
 """)
 def j16_pairs_in_group(t: Tables) -> DataFrame:
-    """Pairs of a small dimension within one nation and a narrow band."""
-    a, b = t.supplier.alias("a"), t.supplier.alias("b")
-    on = (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")) & (F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")) < 200)
-    return a.join(b, on).select("a.s_nationkey", F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"))
+    """Pairs within one nation and a narrow band: only rows of a band and the two beside it meet."""
+    band = F.floor(F.col("s_acctbal") / 200)
+    a = t.supplier.withColumn("band", band).alias("a")
+    b = t.supplier.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("b")
+    on = (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey"))
+    return a.join(b, on).where(F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")) < 200).select("a.s_nationkey", F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"))
 
 
 _RULES = [("R1", "metal", "STEEL|BRASS|COPPER|TIN|NICKEL", 0.9), ("R2", "plate", "PLATED", 0.7), ("R3", "metal", "STEEL$", 0.95), ("R4", "size", "SMALL|LARGE", 0.5)]
@@ -111,7 +113,7 @@ def j17_rule_tags(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT o_orderkey AS id, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 = 0), r AS (SELECT o_orderkey AS id, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 5 = 0),
+WITH l AS (SELECT o_orderkey AS id, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT o_orderkey AS id, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O'),
 lf AS (SELECT o_custkey, o_orderpriority, min(id) AS i FROM l GROUP BY ALL), rf AS (SELECT o_custkey, o_orderpriority, min(id) AS i FROM r GROUP BY ALL),
 la AS (SELECT * FROM l WHERE (o_custkey, o_orderpriority) NOT IN (SELECT (o_custkey, o_orderpriority) FROM rf)), ra AS (SELECT * FROM r WHERE (o_custkey, o_orderpriority) NOT IN (SELECT (o_custkey, o_orderpriority) FROM lf))
 SELECT lf.i AS left_id, rf.i AS right_id, 'ANCHOR' AS level FROM lf JOIN rf USING (o_custkey, o_orderpriority)
@@ -120,8 +122,8 @@ UNION ALL SELECT id, NULL, 'LEFT_ONLY' FROM la WHERE o_custkey NOT IN (SELECT o_
 UNION ALL SELECT NULL, id, 'RIGHT_ONLY' FROM ra WHERE o_custkey NOT IN (SELECT o_custkey FROM la)
 """)
 def j18_anchored(t: Tables) -> DataFrame:
-    side = lambda s, m: t.orders.where((F.col("o_orderstatus") == s) & (F.col("o_orderkey") % m == 0)).select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority")
-    return J.anchored(side("F", 7), side("O", 5), ["o_custkey", "o_orderpriority"], ["o_custkey"])
+    side = lambda s: t.orders.where(F.col("o_orderstatus") == s).select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority")
+    return J.anchored(side("F"), side("O"), ["o_custkey", "o_orderpriority"], ["o_custkey"])
 
 
 @query("""
@@ -340,26 +342,42 @@ def f07_differing_content(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, ('0x' || substr(sha256(c_custkey::VARCHAR), 1, 8))::BIGINT % 100 AS bucket,
-  CASE WHEN c_custkey % 50 = 0 THEN 'denylisted' WHEN c_custkey % 20 = 0 THEN 'allowlisted' WHEN ('0x' || substr(sha256(c_custkey::VARCHAR), 1, 8))::BIGINT % 100 < 25 THEN 'bucket' ELSE 'not_selected' END AS reason FROM customer
+WITH c AS (
+  SELECT c_custkey, ('0x' || substr(sha256(c_custkey::VARCHAR), 1, 8))::BIGINT % 100 AS b, c_acctbal < 0 AS deny, c_mktsegment = 'BUILDING' AS allow,
+    c_nationkey % 4 IN (0, 2) AS by_list, c_nationkey % 4 IN (1, 2) AS by_bucket FROM customer
+), r AS (
+  SELECT *, CASE WHEN deny THEN 'denylisted' WHEN by_list AND allow THEN 'allowlisted' WHEN by_bucket AND b < 25 THEN 'bucket_selected' WHEN by_bucket THEN 'bucket_not_selected'
+    WHEN by_list THEN 'not_allowlisted' ELSE 'strategy_never_selects_without_match' END AS reason FROM c
+)
+SELECT c_custkey, reason IN ('allowlisted', 'bucket_selected') AS selected, CASE WHEN by_bucket AND NOT deny THEN b END AS bucket, reason,
+  CASE WHEN deny THEN allow ELSE by_list AND allow END AS matched_allowlist, deny AS matched_denylist FROM r
 """)
 def x33_canary(t: Tables) -> DataFrame:
-    key = F.col("c_custkey").cast("string")
-    bucket = S.stable_bucket(key, 100)
-    return t.customer.select("c_custkey", bucket.alias("bucket"), S.canary(F.col("c_custkey") % 50 == 0, F.col("c_custkey") % 20 == 0, bucket, 25).alias("reason"))
+    """Four strategies by nation; who owes is denied, one segment is allowed."""
+    n = F.col("c_nationkey") % 4
+    strategy = F.when(n == 0, S.BY_LIST).when(n == 1, S.BY_BUCKET).when(n == 2, S.BY_EITHER)
+    picked = S.canary(F.col("c_acctbal") < 0, F.col("c_mktsegment") == "BUILDING", F.col("c_custkey").cast("string"), 25, strategy)
+    return t.customer.select("c_custkey", picked.alias("x")).select("c_custkey", "x.*")
 
 
 @query("""
-WITH p AS (SELECT p_partkey, p_brand, p_size, CASE p_partkey % 4 WHEN 0 THEN 'BRAND = ''' || p_brand || ''' AND SIZE = ' || p_size WHEN 1 THEN 'BRAND = :V' WHEN 2 THEN 'BRAND = ''x AND y'' AND SIZE IN (1)' ELSE 'SIZE = 10.0' END AS predicate FROM part)
-SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'UNRESOLVED' WHEN 2 THEN 'PARTIAL' ELSE 'EXACT' END AS status, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 1 END AS conjuncts,
-  CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE p_size = 10 END AS applies FROM p
+WITH p AS (SELECT p_partkey, p_size, p_partkey % 12 AS m FROM part)
+SELECT p_partkey, CASE WHEN m IN (1, 7, 11) THEN 'UNRESOLVED' WHEN m IN (2, 9) THEN 'PARTIAL' ELSE 'EXACT' END AS status,
+  CASE WHEN m IN (0, 2, 6, 8, 9) THEN 2 ELSE 1 END AS conjuncts,
+  CASE WHEN m IN (1, 2, 7, 9, 11) THEN NULL WHEN m IN (3, 6, 10) THEN p_size = 10 WHEN m = 8 THEN false ELSE true END AS applies FROM p
 """)
 def f10_predicates(t: Tables) -> DataFrame:
-    """Predicates made from the parts, read back and tried on the part's own values."""
+    """Predicates made from the parts, read back and tried on the part's own values: doubled
+    quotes, quoted columns, nested parentheses, ANDs in quotes and in parentheses."""
     brand, size = F.col("p_brand"), F.col("p_size").cast("string")
-    m = F.col("p_partkey") % 4
-    text = F.when(m == 0, F.concat(F.lit("BRAND = '"), brand, F.lit("' AND SIZE = "), size)).when(m == 1, "BRAND = :V").when(m == 2, "BRAND = 'x AND y' AND SIZE IN (1)").otherwise("SIZE = 10.0")
-    p = t.part.select("p_partkey", text.alias("predicate"), F.create_map(F.lit("BRAND"), brand, F.lit("SIZE"), size).alias("row"))
+    texts = [
+        F.concat(F.lit("BRAND = '"), brand, F.lit("' AND SIZE = "), size), F.lit("BRAND = :V"), F.lit("BRAND = 'x AND y' AND SIZE IN (1)"), F.lit("SIZE = 10.0"), F.lit("NAME = 'O''BRIEN'"),
+        F.concat(F.lit('("size" = '), size, F.lit(")")), F.concat(F.lit("((SIZE = 10) and (BRAND = '"), brand, F.lit("'))")), F.lit("A.B = 1"), F.lit("NAME = 'a'' AND ''b' and SIZE = -1"), F.lit("SIZE = 10 AND (A = 1 AND B = 2)"),
+        F.lit("( ( (SIZE=10) ) )"), F.lit("(A = 1) OR (B = 2)"),
+    ]
+    text = F.get(F.array(*texts), (F.col("p_partkey") % 12).cast("int"))
+    row = F.create_map(F.lit("BRAND"), brand, F.lit(" size "), size, F.lit("NAME"), F.lit("O'BRIEN "))
+    p = t.part.select("p_partkey", text.alias("predicate"), row.alias("row"))
     p = p.withColumn("parts", S.conjuncts(F.col("predicate"))).withColumn("cmp", S.comparisons(F.col("parts")))
     p = p.withColumn("status", S.predicate_status(F.col("parts"), F.col("cmp")))
     return p.select("p_partkey", "status", F.size("parts").alias("conjuncts"), F.when(F.col("status") == "EXACT", S.row_matches(F.col("row"), F.col("cmp"))).alias("applies"))

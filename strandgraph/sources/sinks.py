@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,18 +12,24 @@ from strandgraph.operators.checks import dangling, duplicates, enforce
 
 
 def replace_graph(nodes: DataFrame, edges: DataFrame, path: str, part: str = "package_hash") -> None:
-    """Write a graph's tables, replacing the packages it holds and no other.
+    """Write a graph, replacing the packages it holds and no other.
 
-    Nodes must have one row per id and edges both ends; else nothing is written.
+    Nodes must have one row per id and edges both ends; else nothing is
+    written. Nodes and edges are rows of one table, so one commit of Spark's
+    writer replaces both.
     """
     enforce(duplicates(nodes, ["id"]), "nodes with one id")
     enforce(dangling(edges, nodes, "src", "dst", "id"), "edges without a node")
-    for df, name in ((nodes, "nodes"), (edges, "edges")):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(f"{path}/{name}")
+    each = lambda df, kind: df.select(F.lit(kind).alias("record"), F.col(part), F.to_json(F.struct(*[c for c in df.columns if c != part]), {"ignoreNullFields": "false"}).alias("value"))
+    both = each(nodes, "node").union(each(edges, "edge"))
+    both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+def read_graph(spark: SparkSession, path: str, node_schema: str = "id string", edge_schema: str = "src string, dst string", part: str = "package_hash") -> tuple[DataFrame, DataFrame]:
+    """The nodes and the edges of all packages, with the columns asked for."""
+    rows = spark.read.parquet(path)
+    read = lambda kind, schema: rows.where(F.col("record") == kind).select(part, F.from_json("value", schema).alias("x")).select("x.*", part)
+    return read("node", node_schema), read("edge", edge_schema)
 
 
 def markdown(title: Column, fields: dict[str, Column]) -> Column:
@@ -31,11 +39,26 @@ def markdown(title: Column, fields: dict[str, Column]) -> Column:
 
 
 def write_rendered(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
-    """Write texts into a folder per key, and give the manifest (key, path, bytes, sha256)."""
-    docs.select(key, text).write.mode("overwrite").partitionBy(key).text(path)
-    return docs.select(F.col(key), F.concat(F.lit(f"{path}/{key}="), F.col(key)).alias("path"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+    """Write texts by key, and give the manifest (key, path, bytes, sha256).
+
+    Rows are packed into as many files as there are partitions, sorted by key,
+    so the number of files follows the size, not the number of keys.
+    """
+    docs.select(key, text).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    read = docs.sparkSession.read.parquet(path)
+    return read.select(F.col(key), F.col("_metadata.file_path").alias("path"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
 
 
 def write_artifact(df: DataFrame, path: str, run: str, stage: str) -> None:
-    """One stage's table of one run; written again, it takes the old one's place."""
-    df.write.mode("overwrite").parquet(f"{path}/run_id={run}/stage={stage}")
+    """One stage's table of one run; written again, it takes the old one's place.
+
+    The new table is written aside and then renamed, so readers see the old
+    one, for a moment none, or the whole new one, never a part of it.
+    """
+    spark = df.sparkSession
+    to, aside = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run}/{x}") for x in (f"stage={stage}", f"_aside-{uuid.uuid4().hex}"))
+    files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.parquet(aside.toString())
+    files.delete(to, True)
+    if not files.rename(aside, to):
+        raise OSError(f"could not rename {aside} to {to}")
