@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 from strandgraph.llm.words import chunks, plain_words
 from strandgraph.store import stash
 
-#: Languages that a country's address suffix speaks for.
-SUFFIX_LANGUAGE = {"at": "de", "de": "de", "es": "es", "fr": "fr", "mx": "es", "uk": "en", "us": "en"}
+#: Languages that a country's address suffix speaks for, most
+#: spoken first. They only start a suffix off; its pages' own evidence adds to it.
+SUFFIX_LANGUAGES = {
+    "ad": "ca es fr", "ar": "es", "at": "de", "au": "en", "be": "nl fr de", "bg": "bg", "bo": "es", "br": "pt", "by": "ru be", "ca": "en fr", "ch": "de fr it", "cl": "es", "cn": "zh", "co": "es", "cr": "es", "cz": "cs",
+    "de": "de", "dk": "da", "do": "es", "ec": "es", "ee": "et", "es": "es ca", "fi": "fi sv", "fr": "fr", "gr": "el", "gt": "es", "hn": "es", "hr": "hr", "hu": "hu", "ie": "en ga", "il": "he", "in": "en hi", "ir": "fa", "is": "is", "it": "it",
+    "jp": "ja", "kr": "ko", "li": "de", "lt": "lt", "lu": "fr de", "lv": "lv", "ma": "ar fr", "mc": "fr", "mx": "es", "nl": "nl", "no": "no nb", "nz": "en", "pa": "es", "pe": "es", "pl": "pl", "pt": "pt", "py": "es", "ro": "ro", "rs": "sr",
+    "ru": "ru", "se": "sv", "si": "sl", "sk": "sk", "sn": "fr", "sv": "es", "th": "th", "tn": "ar fr", "tr": "tr", "tw": "zh", "ua": "uk ru", "uk": "en", "us": "en", "uy": "es", "ve": "es", "vn": "vi", "za": "en af",
+}
 
 SLOTS = 1 << 14
 
@@ -139,8 +145,9 @@ def host_priors(evidence: DataFrame, languages: list[str], strength: float) -> D
 
     Responsibilities add up per host, then hosts to domains, domains to
     suffixes and suffixes to one root: each level is smoothed towards the one
-    above with ``strength`` rows' weight, and a country suffix adds that much
-    for its language. Sums combine before each shuffle.
+    above with ``strength`` rows' weight, and a country suffix adds that much,
+    shared by its languages (each half as much as the one before). Sums combine
+    before each shuffle.
     """
     n = len(languages)
     sums = [F.sum(F.get("resp", F.lit(i))).alias(f"s{i}") for i in range(n)]
@@ -159,8 +166,12 @@ def host_priors(evidence: DataFrame, languages: list[str], strength: float) -> D
         total = _add(total, extra) if extra is not None else total
         return F.transform(total, lambda x: x / mass(total))
 
-    spoken = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])
-    extra = F.array(*[F.when(F.try_element_at(spoken, F.col("suffix")) == x, F.lit(strength)).otherwise(F.lit(0.0)) for x in languages])
+    def shares(spoken: str) -> list[float]:
+        each = {x: 0.5**i for i, x in enumerate(x for x in spoken.split() if x in languages)}
+        return [strength * each.get(x, 0.0) / (sum(each.values()) or 1.0) for x in languages]
+
+    spoken = F.create_map(*[x for k, v in SUFFIX_LANGUAGES.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in shares(v)]))])
+    extra = F.coalesce(F.try_element_at(spoken, F.col("suffix")), F.array(*[F.lit(0.0)] * n))
     suffixes = suffixes.select(F.col("suffix").alias("x_"), smooth(pack, p0, extra).alias("p1"))
     domains = domains.join(suffixes, F.col("suffix").eqNullSafe(F.col("x_")))
     domains = domains.select(F.col("domain").alias("y_"), F.col("suffix").alias("x_"), smooth(pack, F.col("p1")).alias("p2"))
@@ -168,14 +179,33 @@ def host_priors(evidence: DataFrame, languages: list[str], strength: float) -> D
     return hosts.select("host", "domain", "suffix", pack.alias("own"), "p2")
 
 
+def declared_table(scored: DataFrame, languages: list[str], weight: float, strength: float) -> np.ndarray:
+    """P(declared d | language l), a row per d, from all rows that declare one of ``languages``.
+
+    Rows count for the languages as their text alone says. Each language
+    starts with ``strength`` rows of which the share ``weight`` declares it and
+    the others share the rest, so without rows that is the table. At most a
+    row per language comes to the driver.
+    """
+    n = len(languages)
+    sums = [F.sum(F.get("own", F.lit(i))).alias(f"s{i}") for i in range(n)]
+    known = scored.where(F.col("declared").isin(languages) & (F.col("grams") > 0)).withColumn("own", _posterior(F.col("logs")))
+    counts = np.full((n, n), strength * (1 - weight) / max(1, n - 1))
+    np.fill_diagonal(counts, strength * (weight if n > 1 else 1.0))
+    for r in known.groupBy("declared").agg(*sums).collect():
+        counts[languages.index(r.declared)] += [r[f"s{i}"] or 0.0 for i in range(n)]
+    return counts / counts.sum(axis=0)
+
+
 def fuse(rows: DataFrame, model: TextModel, keys: list[str], strength: float = 5.0, declared_weight: float = 0.8, weight: int = 40) -> DataFrame:
     """``keys`` plus (declared, text_language, language, confidence, grams) per row.
 
+    What a declared language says is learned from all rows: see ``declared_table``.
+
     ``rows``: the keys and text, declared, host, domain and suffix. Each row
     weighs its text (mean log likelihood times at most ``weight`` trigrams, so
     long texts are no surer than they should be) with its declared language
-    (right with probability ``declared_weight``, other languages share the
-    rest; no evidence where it is null or unknown to the model). Those
+    (no evidence where it is null or unknown to the model). Those
     responsibilities give the hosts' priors, from which a row's own share is
     taken out again before it is judged. Ties go to the first language by name.
     """
@@ -185,10 +215,11 @@ def fuse(rows: DataFrame, model: TextModel, keys: list[str], strength: float = 5
     kept = rows.select(*keys, F.lower(F.trim("declared")).alias("declared"), "host", "domain", "suffix", "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text") + ", logs array<double>, grams long"
     scored = kept.mapInArrow(_log_likelihoods(model, weight), schema)
-    other = (1 - declared_weight) / max(1, n - 1)
-    said = F.array(*[F.when(F.col("declared") == x, F.log(F.lit(declared_weight))).when(F.col("declared").isin(langs), F.log(F.lit(other))).otherwise(F.lit(0.0)) for x in langs])
+    scored = stash(scored, "likelihoods")
+    table = declared_table(scored, langs, declared_weight, strength)
+    said = F.create_map(*[x for d, row in zip(langs, np.log(table).tolist(), strict=True) for x in (F.lit(d), F.array(*[F.lit(y) for y in row]))])
+    said = F.coalesce(F.try_element_at(said, F.col("declared")), F.array(*[F.lit(0.0)] * n))
     scored = scored.withColumn("both", _add(F.col("logs"), said)).withColumn("resp", _posterior(F.col("both")))
-    scored = stash(scored, "evidence")
     priors = stash(host_priors(scored, langs, strength), "priors").select(F.col("host").alias("h_"), F.col("domain").alias("d_"), F.col("suffix").alias("x_"), "own", "p2")
     same = F.col("host").eqNullSafe(F.col("h_")) & F.col("domain").eqNullSafe(F.col("d_")) & F.col("suffix").eqNullSafe(F.col("x_"))
     out = scored.join(priors, same)

@@ -69,7 +69,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     found = [op1_simhash, op2_warc, op3_line_dedup, op4_mixing, op5_substring_dedup, op6_preferences, op7_language, op8_topk, op9_licenses, op10_decontamination]
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found}
