@@ -15,7 +15,7 @@ from strandgraph.llm.linededup import dedup_lines
 from strandgraph.llm.mixing import mix_rows
 from strandgraph.llm.rows import fresh, numbered, without
 from strandgraph.llm.simhash import one_of_each
-from strandgraph.store import stash
+from strandgraph.store import drop_stash, passing, stash
 
 
 #: The languages that the corpus is meant to hold.
@@ -75,7 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage wrote on its way goes when its own
+    table is written, and that goes when the next stage's is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        with passing(spark, lambda: [docs] if hasattr(docs, "stash_path") else []):
+            docs = stash(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_stash(before)
+        before = docs
     return docs

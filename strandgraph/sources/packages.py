@@ -56,14 +56,14 @@ def manifests(spark: SparkSession, path: str, row_tag: str, schema: str) -> Data
     return spark.read.format("xml").schema(schema).option("rowTag", row_tag).option("mode", "FAILFAST").load(path)
 
 
-def snapshot_rows(lines: DataFrame, file: str = "file", number: str = "line_no", text: str = "line", max_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def snapshot_rows(lines: DataFrame, file: str = "file", number: str = "line_no", text: str = "line", max_rows: int | None = 100_000) -> tuple[DataFrame, DataFrame]:
     """CSV lines with their file and number, to (file, row_number, row_hash, raw,
     normalized) and (file, status).
 
     Row 1 is the header. Short rows are filled with empty text and long rows
     cut, either makes the file PARTIAL. Headers that are equal once trimmed
-    and upper-cased, or over ``max_rows`` rows, make it UNSUPPORTED, and its
-    rows go. Quoted fields may hold commas and doubled quotes, not line feeds.
+    and upper-cased, or over ``max_rows`` rows (a limit of the file format;
+    None sets none), make it UNSUPPORTED, and its rows go. Quoted fields may hold commas and doubled quotes, not line feeds.
     """
     field = F.regexp_extract_all(F.concat(F.lit(","), F.col(text)), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
     plain = F.transform(field, lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
@@ -72,7 +72,7 @@ def snapshot_rows(lines: DataFrame, file: str = "file", number: str = "line_no",
     rows = cut.where("n > 1").join(heads, F.col("file") == F.col("f_"))
     width = F.size("head")
     counted = heads.join(rows.groupBy("file").agg(F.count("*").alias("rows"), F.bool_or(F.size("v") != width).alias("uneven")), F.col("file") == F.col("f_"), "left")
-    odd = (F.size(F.array_distinct("keys")) < F.size("keys")) | (F.coalesce("rows", F.lit(0)) > max_rows)
+    odd = (F.size(F.array_distinct("keys")) < F.size("keys")) | (F.lit(False) if max_rows is None else F.coalesce("rows", F.lit(0)) > max_rows)
     status = counted.select(F.col("f_").alias("file"), F.when(odd, "UNSUPPORTED").when(F.coalesce("uneven", F.lit(False)), "PARTIAL").otherwise("SUPPORTED").alias("status"))
     good = rows.join(status.where("status <> 'UNSUPPORTED'").select(F.col("file").alias("g_")), F.col("file") == F.col("g_"), "left_semi")
     even = F.transform("head", lambda _, i: F.coalesce(F.get("v", i), F.lit("")))

@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,18 +39,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths written since the outermost ``passing`` began, by its depth.
+_SCOPES: list[list[str]] = []
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for scope in _SCOPES:
+        scope.append(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.stash_path = path
+    return held
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def drop_stash(df: DataFrame) -> None:
-    """Delete the files of a stashed table that no later step reads."""
-    spark = df.sparkSession
-    roots = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for root in roots:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the files of a table that ``stash`` gave and that no later step reads."""
+    _delete(df.sparkSession, df.stash_path)
+
+
+@contextmanager
+def passing(spark: SparkSession, keep: Callable[[], list[DataFrame]]) -> Iterator[None]:
+    """Delete at the end all that was stashed within, but for the tables that ``keep`` then names.
+
+    Results that are not written yet still read what was stashed for them, so
+    the block has to write (stash) what it keeps.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        kept = {x.stash_path for x in keep()}
+        for path in _SCOPES.pop():
+            if path not in kept:
+                _delete(spark, path)
