@@ -7,7 +7,9 @@ names), literals (array), condition_target, condition_value (boolean).
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,9 +174,8 @@ def straight_facts(effects: DataFrame) -> DataFrame:
     return out.select(*g, "statement_id", (F.col("seq") - 1).cast("long").alias("ordinal"), status.alias("status"), "target", F.col("given").alias("literal"), F.when(known, F.col("steps")).otherwise(0).cast("long").alias("steps"))
 
 
-def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One paragraph: rows of statements with their effects, in any order."""
-    stmts = pdf.sort_values("pos", kind="stable").to_dict("records")
+def _follow(stmts: list[dict]) -> list[tuple]:
+    """Facts of one paragraph, from its statements with their effects."""
     below: dict = {}
     ids = {s["statement_id"] for s in stmts}
     for s in stmts:
@@ -187,7 +188,7 @@ def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
             for e in s["effects"]:
                 if e["kind"] in TRANSFER:
                     status, literal, steps = TRANSFER[e["kind"]](env, e)
-                    facts.append((s["program"], s["paragraph"], s["statement_id"], len(facts), status, e["target"], literal, steps))
+                    facts.append((s["statement_id"], len(facts), status, e["target"], literal, steps))
                     written |= {e["target"]} if status != "BARRIER" else {None}
             inner = below.get(s["statement_id"], [])
             touched, branch, last = set(), [], object()
@@ -206,7 +207,16 @@ def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
         return written
 
     sequence(below.get(None, []), {})
-    return pd.DataFrame(facts, columns=[c.split()[0] for c in FACT.split(", ")])
+    return facts
+
+
+def _follow_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paragraphs, a row each, to FACT's rows."""
+    kinds = [pa.int64() if c.endswith(" long") else pa.string() for c in FACT.split(", ")]
+    for b in batches:
+        found = [(program, paragraph, *f) for program, paragraph, stmts in zip(*(b[c].to_pylist() for c in ("program", "paragraph", "stmts")), strict=True) for f in _follow(stmts)]
+        cols = list(zip(*found, strict=True)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in FACT.split(", ")])
 
 
 def branching_constants(statements: DataFrame, effects: DataFrame) -> DataFrame:
@@ -216,7 +226,7 @@ def branching_constants(statements: DataFrame, effects: DataFrame) -> DataFrame:
     In the others a branch body starts from a copy of what is known; after the decision any
     name that some branch wrote is unknown, even if all wrote the same: a
     nesting that windows do not express, so such a paragraph, a unit of a
-    program's source text, is one group of Python.
+    program's source text, is one row that Python follows.
     """
     nested = statements.where(F.col("parent_id").isNotNull()).select("program", "paragraph").distinct()
     nested = stash(nested, "nested")
@@ -229,7 +239,9 @@ def branching_constants(statements: DataFrame, effects: DataFrame) -> DataFrame:
     empty = F.expr("cast(array() as array<struct<ordinal:int,kind:string,target:string,source:string,literal:string,support:string>>)")
     s = statements.select("program", "paragraph", "statement_id", "pos", "parent_id", "branch_kind", "branch_condition")
     s = s.join(per, "statement_id", "left").withColumn("effects", F.coalesce("effects", empty))
-    return s.groupBy("program", "paragraph").applyInPandas(_follow, FACT).unionByName(straight)
+    whole = F.array_sort(F.collect_list(F.struct("pos", "statement_id", "parent_id", "branch_kind", "branch_condition", "effects")))
+    s = s.select(F.col("program").cast("string"), F.col("paragraph").cast("string"), "pos", F.col("statement_id").cast("string"), F.col("parent_id").cast("string"), "branch_kind", "branch_condition", "effects")
+    return s.groupBy("program", "paragraph").agg(whole.alias("stmts")).mapInArrow(_follow_each, FACT).unionByName(straight)
 
 
 # --- between programs -------------------------------------------------------
