@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import xxhash
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,3 +164,45 @@ def license_labels(rows, templates, drift=3, least=0.6):
                 labels.add(x[2])
         out.append((d, ",".join(sorted(labels)), score))
     return out
+
+
+def languages(pages, model, trigrams, spoken, strength=5.0, most=40, declared_weight=0.8):
+    """pages: (id, url, html); (id, declared, text_language, language, confidence, grams) from the evidence of all pages."""
+    names, n = model.languages, len(model.languages)
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    def group(pattern, text):
+        m = re.search(pattern, text or "", re.I | re.S)
+        return m[1].lower() if m else None
+
+    rows = []
+    for i, url, html in pages:
+        host = group(r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", url)
+        text = re.sub(r"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&[#a-z0-9]+;", " ", html or "", flags=re.I | re.S)
+        slots = trigrams(text)
+        logs = model.logs[slots].mean(axis=0, dtype=np.float64) * min(len(slots), most) if len(slots) else np.zeros(n)
+        rows.append((i, group(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", html), (host, group(r"([^.]+\.[^.]+)$", host), group(r"\.([^.]+)$", host)), logs, len(slots)))
+    table = np.full((n, n), strength * (1 - declared_weight) / (n - 1))
+    np.fill_diagonal(table, strength * declared_weight)
+    for _, d, _, logs, grams in rows:
+        if d in names and grams:
+            table[names.index(d)] += softmax(logs)
+    table /= table.sum(axis=0)
+    both = [logs + (np.log(table[names.index(d)]) if d in names else 0) for _, d, _, logs, _ in rows]
+    own = [softmax(b) for b in both]
+    sums = defaultdict(lambda: np.zeros(n))
+    for (_, _, (host, domain, suffix), _, _), r in zip(rows, own, strict=True):
+        for key in (("root",), (suffix,), (domain, suffix), (host, domain, suffix)):
+            sums[key] += r
+    root = (sums[("root",)] + 1) / (sums[("root",)] + 1).sum()
+    out = []
+    for (i, d, (host, domain, suffix), logs, grams), b, r in zip(rows, both, own, strict=True):
+        extra = np.array([0.5 ** [x for x in spoken.get(suffix, "").split() if x in names].index(x) if x in spoken.get(suffix, "").split() else 0.0 for x in names])
+        p1 = sums[(suffix,)] + strength * root + strength * extra / (extra.sum() or 1)
+        p2 = sums[(domain, suffix)] + strength * p1 / p1.sum()
+        post = softmax(b + np.log(np.maximum(sums[(host, domain, suffix)] - r, 0) + strength * p2 / p2.sum()))
+        out.append((i, d, names[logs.argmax()] if grams else None, names[post.argmax()], round(float(post.max()), 6), grams))
+    return out

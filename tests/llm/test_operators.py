@@ -326,6 +326,16 @@ def test_preference_pairs(spark):
     assert chat.preference_pairs(t.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
 
 
+def test_preference_pairs_run_no_python_and_take_long_conversations(spark):
+    turns = [(c, i, "user" if i % 2 == 0 else "assistant", f"turn {i}" if i < 2000 else f"turn {i} of {c}") for c in (0, 1) for i in range(2500)]
+    t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = chat.preference_pairs(t, F.floor(F.col("conv_id") / 2).cast("long"), F.col("conv_id") % 2 == 0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    r = out.first()
+    assert (r.n_prefix, r.n_chosen, r.n_rejected) == (2000, 500, 500) and r.prompt.count("<|im_start|>") == 2000
+
+
 # --- language ----------------------------------------------------------------------
 
 
@@ -376,6 +386,19 @@ def test_evidence_beside_text(spark):
     assert language.identify_pages(pages_.limit(0), model).count() == 0
 
 
+def test_language_evidence_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs, rows_per_language=40, limits=False)
+    texts = [r.text for r in docs.where("length(text) between 40 and 4000").orderBy("doc_id").limit(60).collect()]
+    rng = random.Random(6)
+    hosts = ["www.firma.de", "de.firma.de", "a.example.ch", "b.example.ch", "shop.example.fr", "x.org", "y.x.org", "localhost"]
+    rows = [(i, f"https://{rng.choice(hosts)}/p{i}", f'<html lang="{rng.choice(["de", "en", "fr", "xx", "EN-us"])}"><script>var x</script><p>{t[:rng.choice([20, 200, 4000])]}</p>') for i, t in enumerate(texts)]
+    rows += [(100, "https://user@www.firma.de:8/b?x", "<p>12 34</p>"), (101, None, None), (102, "not an address", "<html lang=FR>"), (103, "ftp://Z.Example.CH", ""), (104, "https://x.org", "<p>" + texts[0] * 300 + "</p>"), (None, "https://x.org", "<p>the</p>")]
+    got = language.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), model)
+    got = got.withColumn("confidence", F.round("confidence", 6))
+    same(collected(got, "page_id", "declared", "text_language", "language", "confidence", "grams"), brute.languages(rows, model, language.trigrams, language.SUFFIX_LANGUAGES))
+
+
 # --- top k ----------------------------------------------------------------------------
 
 
