@@ -9,6 +9,10 @@ from strandgraph.llm.rows import fresh, numbered, unique_ids
 from strandgraph.store import stash
 
 
+#: Buckets whose counts are summed in one window.
+SHELF = 64
+
+
 def word_count(text: Column) -> Column:
     """Number of words: runs of anything but 0x20 and 0x09 to 0x0D; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -53,9 +57,10 @@ def mix_sources(
     document of the target. Reruns agree.
 
     Prefix sums never gather a source: counts per (source, size, digest
-    bucket) combine before their shuffle, bucket offsets add up within a size
-    and size offsets within a source, and only the rows of one bucket are
-    ranked together (``spread`` buckets a size).
+    bucket) combine before their shuffle, bucket offsets add up within a shelf
+    of SHELF buckets, shelf offsets within a size and size offsets within a
+    source, and only the rows of one bucket are ranked together (``spread``
+    buckets a size).
 
     Null text counts as size 0; a source of size 0 has target 0 and takes
     nothing; null is a source of its own. Rows that repeat wholly are told
@@ -69,8 +74,13 @@ def mix_sources(
     targets = stash(targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).withColumn("offset", unit), "targets")
     rows = rows.withColumn("bucket", (F.conv(F.substring("h", 1, 4), 16, 10).cast("long") * F.lit(spread) / F.lit(1 << 16)).cast("int"))
     counts = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
-    in_size = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = stash(counts.withColumn("bucket_before", F.coalesce(F.sum("n").over(in_size), F.lit(0))), "buckets")
+    before = lambda n, by, order: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = stash(counts.withColumn("shelf", F.floor(F.col("bucket") / SHELF)), "buckets")
+    shelves = counts.groupBy("source", "size", "shelf").agg(F.sum("n").alias("m"))
+    shelves = shelves.select(F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("shelf").alias("f_"), before("m", ["source", "size"], "shelf").alias("shelf_before"))
+    counts = counts.withColumn("inner_before", before("n", ["source", "size", "shelf"], "bucket"))
+    counts = counts.join(shelves, F.col("source").eqNullSafe(F.col("s_")) & (F.col("size") == F.col("z_")) & (F.col("shelf") == F.col("f_")))
+    counts = stash(counts.select("source", "size", "bucket", "n", (F.col("shelf_before") + F.col("inner_before")).alias("bucket_before")), "buckets")
     per_size = counts.groupBy("source", "size").agg(F.sum("n").alias("m"))
     in_source = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     per_size = per_size.withColumn("size_before", F.coalesce(F.sum("m").over(in_source), F.lit(0)))
