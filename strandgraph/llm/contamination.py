@@ -79,7 +79,7 @@ def term_counts(docs: DataFrame, wanted: Wanted) -> DataFrame:
     """(term, n): how often terms that pass the filter occur in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", 16_000_000):
+        for b in chunks(batches, "text", 4_000_000):
             h = _flat(b)[0]
             term, n = np.unique(h[wanted.where(h)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "n"])
