@@ -105,17 +105,20 @@ def templates(phrases: dict[str, str] | None = None, notices: dict[str, list[str
 
 
 def template_grams(spark: SparkSession, found: list[Template]) -> DataFrame:
-    """(gram, template, at, exact, total): hashes of the templates' k-grams."""
+    """(gram, said, template, at, k, exact, total): hashes and words of the templates' k-grams."""
     parts = []
     for number, t in enumerate(found):
         grams = window_hashes(word_hashes(t.words), t.k).view(np.int64)
-        parts.append(pd.DataFrame({"gram": grams, "template": number, "at": np.arange(len(grams)), "exact": t.exact, "total": len(grams)}))
-    schema = "gram long, template int, at int, exact boolean, total int"
+        said = [b" ".join(t.words[i : i + t.k]).decode() for i in range(len(grams))]
+        parts.append(pd.DataFrame({"gram": grams, "said": said, "template": number, "at": np.arange(len(grams)), "k": t.k, "exact": t.exact, "total": len(grams)}))
+    schema = "gram long, said string, template int, at int, k int, exact boolean, total int"
     return spark.createDataFrame(pd.concat(parts), schema) if parts else spark.createDataFrame([], schema)
 
 
-def _grams(sizes: list[int]):
-    """A row per rolling gram of each size, and one without a gram per document that holds its number of words."""
+def _grams(found: list[Template]):
+    """A row, with its words, per rolling gram whose hash a template has, and
+    one without a gram per document that holds its number of words."""
+    known = {k: np.unique(np.concatenate([window_hashes(word_hashes(t.words), k).view(np.int64) for t in found if t.k == k])) for k in sorted({t.k for t in found})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
@@ -126,44 +129,35 @@ def _grams(sizes: list[int]):
                 counts.append(len(w))
             n = np.array(counts, np.int64)
             ord_ = b["ord"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ord_), pa.array(n), pa.nulls(len(n), pa.int64())], ["ord", "pos", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(ord_), pa.array(n), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.string())], ["ord", "pos", "gram", "words"])
             h = word_hashes(words)
             owner = np.repeat(np.arange(len(n)), n)
             pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            for k in sizes:
+            for k, some in known.items():
                 grams = window_hashes(h, k).view(np.int64)
-                for at in range(0, len(grams), 1 << 18):
-                    who, p = owner[: len(grams)][at : at + (1 << 18)], pos[: len(grams)][at : at + (1 << 18)]
-                    keep = p + k <= n[who]
-                    yield pa.RecordBatch.from_arrays([pa.array(ord_[who[keep]]), pa.array(p[keep]), pa.array(grams[at : at + (1 << 18)][keep])], ["ord", "pos", "gram"])
+                hit = np.flatnonzero((some[np.minimum(np.searchsorted(some, grams), len(some) - 1)] == grams) & (pos[: len(grams)] + k <= n[owner[: len(grams)]]))
+                said = [b" ".join(words[i : i + k]).decode("utf-8", "surrogatepass") for i in hit.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ord_[owner[hit]]), pa.array(pos[hit]), pa.array(grams[hit]), pa.array(said, pa.string())], ["ord", "pos", "gram", "words"])
 
     return run
 
 
-def _verify(found: list[Template], least: float):
-    """Documents with voted spans to (ord, label, base, start, end, share) of the spans whose words are the template's.
+def _settle(found: list[Template]):
+    """Documents' spans to (ord, label, base, start, end, share) of those that stand.
 
-    The words on the span's diagonals, from the first to the last vote of
-    each, are compared with those of the template. All must be equal for exact
-    templates, else the share ``least``. Of overlapping spans of templates that
-    are not exact, the one with the most equal words stands, or of these the
-    greatest share: licence texts hold parts of one another.
+    Of overlapping spans of templates that are not exact, the one with the most
+    equal words stands, or of these the one with the greatest share of its
+    template: licence texts hold parts of one another.
     """
 
-    def words_of(spans: list[dict], words: list[bytes]) -> Iterator[tuple]:
+    def standing(spans: list[dict]) -> Iterator[tuple]:
         loose = []
-        for s in spans:
-            t = found[s["template"]]
-            equal = np.zeros(len(t.words), bool)
-            for d in s["diagonals"]:
-                a, z = d["first"], min(d["last"] + t.k, len(words))
-                at = d["diagonal"]
-                equal[a - at : z - at] |= [x == y for x, y in zip(words[a:z], t.words[a - at : z - at], strict=True)]
-            share, start, end = equal.mean(), min(d["first"] for d in s["diagonals"]), max(d["last"] for d in s["diagonals"]) + t.k
-            if t.exact and share == 1:
-                yield t.label, t.base, start, end, 1.0
-            elif not t.exact and share >= least:
-                loose.append((-int(equal.sum()), -share, t.label, start, end))
+        for x in spans:
+            t = found[x["template"]]
+            if t.exact:
+                yield t.label, t.base, x["start"], x["end"], 1.0
+            else:
+                loose.append((-x["equal"], -x["equal"] / len(t.words), t.label, x["start"], x["end"]))
         taken: list[tuple[int, int]] = []
         for _, share, label, start, end in sorted(loose):
             i = bisect(taken, (start, end))
@@ -172,8 +166,8 @@ def _verify(found: list[Template], least: float):
                 yield label, False, start, end, -share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
-            out = [(o, *r) for o, t, s in zip(b["ord"].to_pylist(), b["text"].to_pylist(), b["spans"].to_pylist(), strict=True) for r in words_of(s, plain_words(t))]
+        for b in batches:
+            out = [(o, *r) for o, s in zip(b["ord"].to_pylist(), b["spans"].to_pylist(), strict=True) for r in standing(s)]
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["ord", "label", "base", "start", "end", "share"])
@@ -192,11 +186,13 @@ def scan_licenses(
     position in the template). Phrases and grants stand at a place where one
     diagonal holds all their grams; a grant gives a label but no base label.
     For notices and whole licence texts, diagonals of one template within
-    ``drift`` of the next are merged, and a merged span with the share
-    ``least`` of the template's grams may hold it. The words of such spans are
-    then compared with the template's (``_verify``); only texts with a span
-    are read again for that. score is the largest share of votes of any
-    template, phrases included.
+    ``drift`` of the next are merged. A gram votes only where its words are
+    the template's, not its hash alone, so a span is verified word by word: a
+    merged span holds the template if its different grams are the share
+    ``least`` of the template's grams, and the words in them that share of its
+    words. Overlapping spans are settled by ``_settle``. Texts are read once
+    and not shuffled. score is the largest share of votes of any template,
+    phrases included.
 
     Null text is empty; an empty text has no labels, null first_word and
     score 0. Each input row gets one row, repeated rows and null ids
@@ -205,26 +201,27 @@ def scan_licenses(
     spark = docs.sparkSession
     found = templates(phrases, notices, grants, texts)
     d = ordered(docs, id_col, text_col)
-    grams = d.select("ord", "text").mapInArrow(_grams(sorted({t.k for t in found})), "ord long, pos long, gram long")
-    hits = grams.join(F.broadcast(template_grams(spark, found)), "gram", "left").where("gram is null or template is not null")
+    grams = d.select("ord", "text").mapInArrow(_grams(found), "ord long, pos long, gram long, words string")
+    hits = grams.join(F.broadcast(template_grams(spark, found)), "gram", "left").where("gram is null or words = said").drop("words", "said")
     hits = hits.withColumn("diagonal", F.col("pos") - F.col("at"))
-    by_diagonal = hits.groupBy("ord", "template", "exact", "total", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    by_diagonal = hits.groupBy("ord", "template", "k", "exact", "total", "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     near = Window.partitionBy("ord", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(near) > drift)).cast("int"), F.lit(1))
     merged = by_diagonal.withColumn("apart", apart).withColumn("span", F.sum("apart").over(near))
-    merged = merged.groupBy("ord", "template", "exact", "total", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.max("last").alias("n"), F.collect_list(F.struct("diagonal", "first", "last")).alias("diagonals")
+    merged = merged.groupBy("ord", "template", "k", "exact", "total", "span").agg(
+        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.max("last").alias("n"), F.min("first").alias("start"), (F.max("last") + F.max("k")).alias("end")
     )
+    merged = merged.withColumn("votes", F.size("ats"))
+    covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("k") - 1))))
+    merged = merged.withColumn("equal", F.when(F.col("votes") > 0, F.size(covered)).otherwise(0))
     share = F.when(F.col("template").isNotNull(), F.col("votes") / F.col("total"))
-    may = share >= F.when(F.col("exact"), 1.0).otherwise(least)
+    may = F.when(F.col("exact"), share == 1).otherwise((share >= least) & (F.col("equal") / (F.col("total") + F.col("k") - 1) >= least))
     voted = merged.groupBy("ord").agg(
         F.max(F.when(F.col("template").isNull(), F.col("n"))).alias("n_words"), F.coalesce(F.max(share), F.lit(0.0)).alias("score"),
-        F.collect_list(F.when(may, F.struct("template", "diagonals"))).alias("spans"),
+        F.collect_list(F.when(may, F.struct("template", "start", "end", "equal"))).alias("spans"),
     )
     voted = stash(voted, "votes")
-    some = voted.where("size(spans) > 0").select(F.col("ord").alias("o_"), "spans")
-    some = d.select("ord", "text").join(some, F.col("ord") == F.col("o_")).dropDuplicates(["ord"]).select("ord", "text", "spans")
-    right = some.mapInArrow(_verify(found, least), "ord long, label string, base boolean, start long, end long, share double")
+    right = voted.where("size(spans) > 0").select("ord", "spans").mapInArrow(_settle(found), "ord long, label string, base boolean, start long, end long, share double")
     right = right.groupBy("ord").agg(
         F.count(F.when(F.col("base"), 1)).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),

@@ -152,7 +152,7 @@ def license_labels(rows, templates, drift=3, least=0.6):
                 share = len(set().union(*(votes[g] for g in span))) / (len(t.words) - t.k + 1)
                 score = max(score, share)
                 if share >= (1 if t.exact else least):
-                    equal = {i for g in span for i in range(min(votes[g]), max(votes[g]) + t.k) if w[g + i] == t.words[i]}
+                    equal = {i + j for g in span for i in votes[g] for j in range(t.k)}
                     if t.exact:
                         labels.add(t.label)
                     elif len(equal) / len(t.words) >= least:
