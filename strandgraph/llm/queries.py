@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from strandgraph.llm.archives import archive_pages
 from strandgraph.llm.chat import preference_pairs
+from strandgraph.llm.codes import encode_vectors
 from strandgraph.llm.contamination import find_passages
 from strandgraph.llm.language import identify_pages, train
 from strandgraph.llm.licenses import scan_licenses
 from strandgraph.llm.linededup import dedup_lines
 from strandgraph.llm.mixing import mix_sources
+from strandgraph.llm.repair import damaged, repair_report
+from strandgraph.llm.secrets import find_secrets, span_list
 from strandgraph.llm.simhash import near_duplicates
 from strandgraph.llm.spans import remove_repeats
 from strandgraph.llm.topk import nearest
@@ -68,6 +71,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is an owner, its documents of one language are a repository."""
+    found = find_secrets(_table(spark, sf_dir, "documents"), F.col("source"), F.col("lang"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair_report(damaged(turns), turns)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_vectors(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash, op2_warc, op3_line_dedup, op4_mixing, op5_substring_dedup, op6_preferences, op7_language, op8_topk, op9_licenses, op10_decontamination]
+    found = [op1_simhash, op2_warc, op3_line_dedup, op4_mixing, op5_substring_dedup, op6_preferences, op7_language, op8_topk, op9_licenses, op10_decontamination, op11_secrets, op12_repair, op13_vector_codes]
     return {f.__name__: f for f in found}

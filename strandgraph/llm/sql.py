@@ -161,9 +161,102 @@ SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
 """
 
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda c: ord(c)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda i: 0::BIGINT)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))))"""
+
+OP12 = f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), kinds AS (
+  SELECT k, {_CRC.format("k")} % 20 AS kind FROM (SELECT DISTINCT k FROM raw)
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM raw JOIN kinds USING (k) WHERE kind <> 0
+), placed AS (
+  SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt
+), turns AS MATERIALIZED (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') OR row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS gone,
+    CASE WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 0 ELSE 3 END AS cut,
+    CASE initial WHEN 's' THEN [1, -1, -1, -1] WHEN 'u' THEN [2, 2, -1, 2] WHEN 'a' THEN [-1, -1, 3, -1] WHEN '' THEN [0, 1, 2, 3] ELSE [-1, -1, -1, -1] END AS step,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS prior
+  FROM placed
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE gone AND NOT blank) AS duplicate, count(*) FILTER (WHERE NOT gone AND cut > 0) AS truncated,
+    count(*) FILTER (WHERE prior || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id
+), best AS (
+  SELECT conv_id, n AS i, [0, 6, 3, 0]::BIGINT[] AS d FROM counts
+  UNION ALL
+  SELECT conv_id, i, [least(r[1], 3 + least(r[3], 3 + r[4])), least(r[2], 3 + least(r[3], 3 + r[4])), least(r[3], 3 + r[4]), least(r[4], 3 + r[3])]
+  FROM (
+    SELECT b.conv_id, t.i - 1 AS i, list_transform([1, 2, 3, 4], lambda q: least(4 + b.d[q],
+      CASE WHEN gone THEN 999999999 ELSE 3 + cut + b.d[([3, 3, 4, 3])[q]] END,
+      CASE WHEN gone OR step[q] < 0 THEN 999999999 ELSE cut + b.d[step[q] + 1] END)) AS r
+    FROM best b JOIN turns t ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND b.i = t.i
+  )
+), kept AS MATERIALIZED (
+  SELECT * FROM best
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, '' AS audit, []::VARCHAR[] AS lines FROM counts
+  UNION ALL
+  SELECT conv_id, i + CASE WHEN letter = 'I' THEN 0 ELSE 1 END, CASE letter WHEN 'D' THEN q WHEN 'K' THEN step[q + 1] ELSE ([2, 2, 3, 2])[q + 1] END, audit || letter,
+    CASE letter WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+      ELSE list_append(lines, (['user:', 'user:', 'assistant:', 'user:'])[q + 1] || CASE WHEN letter = 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT w.*, t.role, t.text, t.step, CASE WHEN a.d[w.q + 1] = 4 + b.d[w.q + 1] THEN 'D' WHEN a.d[w.q + 1] = 3 + a.d[([3, 3, 4, 3])[w.q + 1]] THEN 'I'
+      WHEN NOT gone AND step[w.q + 1] >= 0 AND a.d[w.q + 1] = cut + b.d[step[w.q + 1] + 1] THEN 'K' ELSE 'R' END AS letter
+    FROM walk w JOIN kept a ON w.conv_id IS NOT DISTINCT FROM a.conv_id AND w.i = a.i
+    LEFT JOIN kept b ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND w.i + 1 = b.i
+    LEFT JOIN turns t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND w.i + 1 = t.i
+    WHERE a.d[w.q + 1] > 0 OR b.i IS NOT NULL
+  )
+), last AS (
+  SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(lines, length(audit)) AS lines FROM walk GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(k.d[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts n ON c.conv_id IS NOT DISTINCT FROM n.conv_id
+LEFT JOIN kept k ON c.conv_id IS NOT DISTINCT FROM k.conv_id AND k.i = 0
+LEFT JOIN last l ON c.conv_id IS NOT DISTINCT FROM l.conv_id
+"""
+
+_ASSIGN = """, a{i} AS MATERIALIZED (
+  SELECT vec_id, part, x, (m % 256)::INT AS k, m // 256 AS d FROM (
+    SELECT p.vec_id, p.part, p.x, min((list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x))::BIGINT * 256 + c.k) AS m
+    FROM p JOIN c{i} c ON p.part = c.part GROUP BY ALL)
+)"""
+_MOVE = """, c{j} AS MATERIALIZED (
+  SELECT c.part, c.k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT part, k, list(floor_s ORDER BY pos) AS x FROM (
+      SELECT part, k, pos, ((s - ((s % n) + n) % n) // n)::DOUBLE AS floor_s FROM (
+        SELECT part, k, pos, sum(x[pos]::BIGINT) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS pos FROM a{i}) GROUP BY part, k, pos)
+    ) GROUP BY part, k) m ON c.part = m.part AND c.k = m.k
+)"""
+
+OP13 = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS x FROM v, range(4) r(part)
+), c0 AS MATERIALIZED (
+  SELECT part, k, x FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, x FROM p) WHERE k < 256
+){"".join(_ASSIGN.format(i=i) + _MOVE.format(i=i, j=i + 1) for i in range(4))}{_ASSIGN.format(i=4)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id
+)
+SELECT v.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: y::BIGINT), ','), ',' ORDER BY part, k)) FROM c4) AS codebooks_sha256
+FROM v JOIN coded ON v.vec_id = coded.vec_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": OP2, "op3_line_dedup": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5,
         "op6_preferences": OP6, "op8_topk": OP8, "op10_decontamination": OP10,
+        "op12_repair": OP12, "op13_vector_codes": OP13,
     }
