@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,26 +25,29 @@ SUFFIX_LANGUAGES = {
 }
 
 SLOTS = 1 << 14
+#: The label that stands for all labels without a column of their own.
+OTHER = "und"
 
 
 @dataclass
 class TextModel:
-    """Log likelihoods of hashed byte trigrams, one column per language.
-
-    ``limits``: the mean log likelihood under which a long text is in none of
-    the languages, by language; None where it was not asked for.
-    """
+    """Log likelihoods of hashed byte trigrams, one column per language."""
 
     languages: list[str]
     logs: np.ndarray
-    limits: np.ndarray | None = None
 
-    def least_mean(self, grams: np.ndarray) -> np.ndarray:
-        """The limit for texts of so many trigrams, a row per text: three standard errors lower, as the mean of few trigrams varies."""
+    def known(self, label: Column) -> Column:
+        """The language that a label names: OTHER, if the model has it, for labels without a column."""
+        label = F.lower(F.trim(label))
+        label = F.when(label != "", label)
+        return F.when(label.isin(self.languages), label).when(label.isNotNull() & F.lit(OTHER in self.languages), F.lit(OTHER))
+
+    def least_mean(self, limits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The ``limits`` for texts of so many trigrams, a row per text: three standard errors lower, as the mean of few trigrams varies."""
         p = np.exp(self.logs.astype(np.float64))
         p /= p.sum(axis=0)
         deviation = np.sqrt((p * self.logs**2).sum(axis=0) - (p * self.logs).sum(axis=0) ** 2)
-        return self.limits - 3 * deviation / np.sqrt(np.maximum(grams, 1))[:, None]
+        return limits - 3 * deviation / np.sqrt(np.maximum(grams, 1))[:, None]
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -55,20 +59,24 @@ def trigrams(text: str | None) -> np.ndarray:
     return (b[:-2] * 9973 + b[1:-1] * 131 + b[2:]) % SLOTS
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, languages: int | None = 64, limits: bool = True) -> TextModel:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 400, languages: int = 64, always: Sequence[str] = ()) -> TextModel:
     """A model from about ``rows_per_language`` different texts of each of the
-    ``languages`` commonest labels (None: of all labels); trigrams are counted
-    in the tasks. With ``limits``, all rows are scored for ``text_limits``.
-
-    The sample's bound is the product of the two. A text is in it if its hash
-    is under a limit that follows from the number of different texts, so no
-    task gathers a language's rows, and copies count once. Labels are compared
-    in lower case without blanks; null and empty ones are left out.
+    ``languages`` commonest labels and of those ``always`` kept; trigrams are
+    counted in the tasks.
+
+    All other labels together are one more language, OTHER, so that a column
+    of dirty labels makes the model no larger. The sample's bound is
+    ``rows_per_language`` times the languages. A text is in it if its hash is
+    under a limit that follows from the number of different texts, so no task
+    gathers a language's rows, and copies count once. Labels are compared in
+    lower case without blanks; null and empty ones are left out.
     """
     lang = F.lower(F.trim(F.col(lang_col)))
     rows = labelled.select(lang.alias("lang"), F.col(text_col).alias("text")).where("lang <> '' and text is not null").withColumn("h", F.xxhash64("text"))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang")
-    found = (found if languages is None else found.limit(languages)).collect()
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang").collect()
+    own = sorted({r.lang for r in common} | set(always))
+    rows = rows.withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(OTHER))
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).collect()  # as many rows as the model has languages
     names = sorted(r.lang for r in found)
     if not names:
         return TextModel([], np.zeros((SLOTS, 0), np.float32))
@@ -89,38 +97,63 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", r
     total = np.full((SLOTS, len(names)), 0.05)
     for r in counts:
         total[r.slot, names.index(r.lang)] += r.n
-    model = TextModel(names, np.log(total / total.sum(axis=0)).astype(np.float32))
-    if limits:
-        model.limits = text_limits(model, rows)
-    return model
+    return TextModel(names, np.log(total / total.sum(axis=0)).astype(np.float32))
 
 
-def text_limits(model: TextModel, rows: DataFrame, tail: float = 0.05, times: float = 3.0, spread: float = 0.5) -> np.ndarray:
-    """The limits of a model's languages from all labelled ``rows`` (lang, text).
+def text_limits(scored: DataFrame, model: TextModel, weight: int, tail: float = 0.05, times: float = 3.0, spread: float = 0.5) -> np.ndarray:
+    """The mean log likelihood under which a long text is in none of a model's
+    languages, by language, from all rows of ``score`` that declare one.
 
     A text's score is the mean log likelihood of its trigrams under its label.
     The limit is ``times`` as far under the label's median score as the lowest
     ``tail`` of its texts begins, which counts as ``spread`` at least; so
     wrong labels and junk do not move it while they are fewer than the tail.
     """
+    at = F.create_map(*[x for i, n in enumerate(model.languages) for x in (F.lit(n), F.lit(i))])
+    mean = F.get("logs", F.element_at(at, F.col("known"))) / F.least("grams", F.lit(weight))
+    known = scored.where("known is not null and grams > 0").select("known", mean.alias("score"))
+    found = known.groupBy("known").agg(F.percentile_approx("score", [0.5, tail], 10_000).alias("q")).collect()  # a row a language
+    by_name = {r.known: r.q[0] - times * max(spread, r.q[0] - r.q[1]) for r in found}
+    return np.array([by_name.get(x, -np.inf) for x in model.languages])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {x: i for i, x in enumerate(model.languages)}
-        for b in chunks(batches, "text"):
-            out = [(n, float(model.logs[slots, at[n]].mean(dtype=np.float64))) for n, t in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True) if n in at and len(slots := trigrams(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["lang", "score"])
 
-    found = rows.select("lang", "text").mapInArrow(score, "lang string, score double").groupBy("lang").agg(F.percentile_approx("score", [0.5, tail], 10_000).alias("q")).collect()
-    by_name = {r.lang: r.q[0] - times * max(spread, r.q[0] - r.q[1]) for r in found}
-    return np.array([by_name.get(x, -np.inf) for x in model.languages])
+#: Markup that opens here hides what follows up to its end: comments, scripts and styles with their content, tags.
+_OPENING = re.compile(r"<(?:(?P<comment>!--)|(?P<hidden>script|style)\b|[a-z/!?])", re.IGNORECASE | re.ASCII)
+_CLOSING = {x: re.compile(rf"</{x}\s*>", re.IGNORECASE | re.ASCII) for x in ("script", "style")}
+_ENTITY = re.compile(r"&#?[a-z0-9]{1,32};", re.IGNORECASE | re.ASCII)
+
 
+def visible_text(html: str | None) -> str:
+    """The text of a page, markup and entities as blanks, in one pass.
 
-def _log_likelihoods(model: TextModel, weight: int):
+    What opens and is not closed (a tag, a comment, a script or a style) goes
+    on to the end of the page, so the end is looked for once at most. A ``<``
+    that opens nothing is text.
+    """
+    html, out, at = html or "", [], 0
+    while at < len(html):
+        m = _OPENING.search(html, at)
+        out.append(html[at : m.start() if m else len(html)])
+        if m is None:
+            break
+        if m["comment"]:
+            end = html.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(html)
+        elif m["hidden"]:
+            close = _CLOSING[m["hidden"].lower()].search(html, m.end())
+            at = close.end() if close else len(html)
+        else:
+            end = html.find(">", m.end() - 1)
+            at = end + 1 if end >= 0 else len(html)
+    return _ENTITY.sub(" ", " ".join(out))
+
+
+def _log_likelihoods(model: TextModel, weight: int, read: Callable[[str | None], str | None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             scores, counts = [], []
             for t in b["text"].to_pylist():
-                slots = trigrams(t)
+                slots = trigrams(read(t))
                 counts.append(len(slots))
                 scores.append((model.logs[slots].mean(axis=0, dtype=np.float64) * min(len(slots), weight)).tolist() if len(slots) else [0.0] * len(model.languages))
             keep = [b[n] for n in b.schema.names if n != "text"]
@@ -189,36 +222,40 @@ def declared_table(scored: DataFrame, languages: list[str], weight: float, stren
     """
     n = len(languages)
     sums = [F.sum(F.get("own", F.lit(i))).alias(f"s{i}") for i in range(n)]
-    known = scored.where(F.col("declared").isin(languages) & (F.col("grams") > 0)).withColumn("own", _posterior(F.col("logs")))
+    known = scored.where(F.col("known").isNotNull() & (F.col("grams") > 0)).withColumn("own", _posterior(F.col("logs")))
     counts = np.full((n, n), strength * (1 - weight) / max(1, n - 1))
     np.fill_diagonal(counts, strength * (weight if n > 1 else 1.0))
-    for r in known.groupBy("declared").agg(*sums).collect():
-        counts[languages.index(r.declared)] += [r[f"s{i}"] or 0.0 for i in range(n)]
+    for r in known.groupBy("known").agg(*sums).collect():
+        counts[languages.index(r.known)] += [r[f"s{i}"] or 0.0 for i in range(n)]
     return counts / counts.sum(axis=0)
 
 
-def fuse(rows: DataFrame, model: TextModel, keys: list[str], strength: float = 5.0, declared_weight: float = 0.8, weight: int = 40) -> DataFrame:
+def score(rows: DataFrame, model: TextModel, keys: list[str], weight: int, read: Callable[[str | None], str | None] = lambda x: x) -> DataFrame:
+    """``keys``, declared, host, domain and suffix with (logs, grams): the mean
+    log likelihood of the text under each language, times at most ``weight``
+    trigrams so that long texts are no surer than they should be. ``read``
+    makes text of what the column text holds."""
+    kept = rows.select(*keys, model.known(F.col("declared")).alias("known"), F.lower(F.trim("declared")).alias("declared"), "host", "domain", "suffix", "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text") + ", logs array<double>, grams long"
+    return stash(kept.mapInArrow(_log_likelihoods(model, weight, read), schema), "likelihoods")
+
+
+def fuse(rows: DataFrame, model: TextModel, keys: list[str], strength: float = 5.0, declared_weight: float = 0.8, weight: int = 40, read: Callable[[str | None], str | None] = lambda x: x) -> DataFrame:
     """``keys`` plus (declared, text_language, language, confidence, grams) per row.
 
     What a declared language says is learned from all rows: see ``declared_table``.
 
-    ``rows``: the keys and text, declared, host, domain and suffix. Each row
-    weighs its text (mean log likelihood times at most ``weight`` trigrams, so
-    long texts are no surer than they should be) with its declared language
-    (no evidence where it is null or unknown to the model). Those
-    responsibilities give the hosts' priors, from which a row's own share is
-    taken out again before it is judged. Ties go to the first language by name.
+    ``rows``: the keys and text (see ``read`` of ``score``), declared, host,
+    domain and suffix. Each row weighs its text with its declared language (no
+    evidence where it is null or unknown to the model). Those responsibilities
+    give the hosts' priors, from which a row's own share is taken out again
+    before it is judged. Ties go to the first language by name.
     """
     langs, n = model.languages, len(model.languages)
     if not n:
         return rows.select(*keys, "declared", *[F.lit(None).cast(t).alias(c) for c, t in (("text_language", "string"), ("language", "string"), ("confidence", "double"), ("grams", "long"))])
-    kept = rows.select(*keys, F.lower(F.trim("declared")).alias("declared"), "host", "domain", "suffix", "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text") + ", logs array<double>, grams long"
-    scored = kept.mapInArrow(_log_likelihoods(model, weight), schema)
-    scored = stash(scored, "likelihoods")
-    table = declared_table(scored, langs, declared_weight, strength)
-    said = F.create_map(*[x for d, row in zip(langs, np.log(table).tolist(), strict=True) for x in (F.lit(d), F.array(*[F.lit(y) for y in row]))])
-    said = F.coalesce(F.try_element_at(said, F.col("declared")), F.array(*[F.lit(0.0)] * n))
+    scored = score(rows, model, keys, weight, read)
+    said = _said(declared_table(scored, langs, declared_weight, strength), langs)
     scored = scored.withColumn("both", _add(F.col("logs"), said)).withColumn("resp", _posterior(F.col("both")))
     priors = stash(host_priors(scored, langs, strength), "priors").select(F.col("host").alias("h_"), F.col("domain").alias("d_"), F.col("suffix").alias("x_"), "own", "p2")
     same = F.col("host").eqNullSafe(F.col("h_")) & F.col("domain").eqNullSafe(F.col("d_")) & F.col("suffix").eqNullSafe(F.col("x_"))
@@ -231,16 +268,28 @@ def fuse(rows: DataFrame, model: TextModel, keys: list[str], strength: float = 5
     return out.select(*keys, "declared", F.when(F.col("grams") > 0, best(F.col("logs"))).alias("text_language"), best(F.col("post")).alias("language"), F.array_max("post").alias("confidence"), "grams")
 
 
+def _said(table: np.ndarray, languages: list[str]) -> Column:
+    """Log evidence of column ``known`` by a ``declared_table``."""
+    rows = F.create_map(*[x for d, row in zip(languages, np.log(table).tolist(), strict=True) for x in (F.lit(d), F.array(*[F.lit(y) for y in row]))])
+    return F.coalesce(F.try_element_at(rows, F.col("known")), F.array(*[F.lit(0.0)] * len(languages)))
+
+
 def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, declared, host, domain, suffix, text) of raw web pages; parts that are missing are null."""
-    url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    text = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&[#a-z0-9]+;", " ")
+    """(page_id, declared, host, domain, suffix, text) of raw web pages, text
+    still with its markup (see ``visible_text``); parts that are missing are null.
+
+    The first html tag of a page declares its language. Every pattern takes
+    one pass, whatever the page or address holds.
+    """
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    tag = F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?i)<html\b([^>]*)", 1)
     null = lambda c: F.when(c != "", c)
-    return pages.select(
-        F.col(id_col).alias("page_id"), null(F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))).alias("declared"),
-        null(host).alias("host"), null(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).alias("domain"), null(F.regexp_extract(host, r"\.([^.]+)$", 1)).alias("suffix"), text.alias("text"),
-    )
+    last = lambda n: F.substring_index(host, ".", -n)
+    domain = F.when(last(2).rlike(r"^[^.]+\.[^.]+$"), last(2))
+    suffix = F.when(F.contains(host, F.lit(".")), null(last(1)))
+    declared = null(F.lower(F.regexp_extract(tag, r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})", 1)))
+    return pages.select(F.col(id_col).alias("page_id"), declared.alias("declared"), null(host).alias("host"), domain.alias("domain"), suffix.alias("suffix"), F.col(html_col).alias("text"))
 
 
 def identify_pages(pages: DataFrame, model: TextModel, **columns: str) -> DataFrame:
@@ -251,50 +300,41 @@ def identify_pages(pages: DataFrame, model: TextModel, **columns: str) -> DataFr
     Repeated rows and null ids stay. Without languages in the model, language
     is null. Other columns are not read.
     """
-    return fuse(page_evidence(pages, **columns), model, ["page_id"])
+    return fuse(page_evidence(pages, **columns), model, ["page_id"], read=visible_text)
 
 
-def reject_languages(docs: DataFrame, model: TextModel, allowed: list[str] | None = None, least: float = 0.5, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def reject_languages(
+    docs: DataFrame, model: TextModel, allowed: list[str] | None = None, least: float = 0.5, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    strength: float = 5.0, declared_weight: float = 0.8, weight: int = 40,
+) -> DataFrame:
     """The rows of ``docs`` in an allowed language (default: any of the model).
 
     A document goes if its text has no trigram of a word with a letter, if
     the most probable language is not allowed, if its probability is under
-    ``least``, or if the text is less likely in that language than the model's
-    limit: one of the languages is always the most probable, also for noise
-    and for a language that no label names. The source stands for the host. The source priors are a small
-    table; texts are scored again while they pass, so no text is shuffled
-    unless that table is large. Null source is a source of its own; null text
-    goes; rows pass with all their columns, repeated rows as often as they are.
+    ``least``, or if the text is less likely in that language than the limit
+    of ``text_limits``: one of the languages is always the most probable, also
+    for noise and for a language that no label names. The source stands for
+    the host. One pass over the texts scores them; the table of declared
+    languages, the limits and the source priors all come from those scores.
+    Texts are scored once more while they pass, so no text is shuffled unless
+    the table of source priors is large. Null source is a source of its own;
+    null text goes; rows pass with all their columns, repeated rows as often
+    as they are.
     """
     langs = model.languages
     if not langs:
         return docs.limit(0)
     known = docs[lang_col].cast("string"), docs[source_col].cast("string")
     nothing = F.lit(None).cast("string")
-    first = docs.where(docs[text_col].isNotNull()).select(
-        known[1].alias("host"), nothing.alias("domain"), nothing.alias("suffix"), _responsibility(model)(docs[text_col], known[0]).alias("resp")
-    )
-    priors = stash(host_priors(first, langs, 5.0), "priors").select(F.col("host").alias("h_"), "own", "p2")
-    joined = docs.where(docs[text_col].isNotNull()).join(priors, known[1].eqNullSafe(priors["h_"]))
-    verdict = _verdict(model, sorted(set(langs if allowed is None else allowed)), least)
-    return joined.where(verdict(docs[text_col], known[0], priors["own"], priors["p2"])).select(*[docs[c] for c in docs.columns])
-
-
-def _evidence(model: TextModel, texts, declared, declared_weight: float = 0.8, weight: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log evidence of text and declared language, a row per document, the number of trigrams, and their mean log likelihoods."""
-    n = len(model.languages)
-    sure, other = np.log(declared_weight), np.log((1 - declared_weight) / max(1, n - 1))
-    out, grams, means = np.zeros((len(texts), n)), np.zeros(len(texts), np.int64), np.zeros((len(texts), n))
-    for i, (t, d) in enumerate(zip(texts, declared, strict=True)):
-        slots = trigrams(t)
-        grams[i] = len(slots)
-        if len(slots):
-            means[i] = model.logs[slots].mean(axis=0, dtype=np.float64)
-            out[i] = means[i] * min(len(slots), weight)
-        d = d.strip().lower() if isinstance(d, str) else None
-        if d in model.languages:
-            out[i] += [sure if x == d else other for x in model.languages]
-    return out, grams, means
+    whole = docs.where(docs[text_col].isNotNull())
+    scored = score(whole.select(known[0].alias("declared"), known[1].alias("host"), nothing.alias("domain"), nothing.alias("suffix"), docs[text_col].alias("text")), model, [], weight)
+    table = declared_table(scored, langs, declared_weight, strength)
+    limits = text_limits(scored, model, weight)
+    scored = scored.withColumn("resp", _posterior(_add(F.col("logs"), _said(table, langs))))
+    priors = stash(host_priors(scored, langs, strength), "priors").select(F.col("host").alias("h_"), "own", "p2")
+    joined = whole.join(priors, known[1].eqNullSafe(priors["h_"]))
+    verdict = _verdict(model, np.log(table), limits, sorted(set(langs if allowed is None else allowed)), least, strength, weight)
+    return joined.where(verdict(docs[text_col], model.known(known[0]), priors["own"], priors["p2"])).select(*[docs[c] for c in docs.columns])
 
 
 def _normal(logs: np.ndarray) -> np.ndarray:
@@ -302,25 +342,20 @@ def _normal(logs: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _responsibility(model: TextModel):
-    @F.pandas_udf("array<double>")
-    def resp(texts: pd.Series, declared: pd.Series) -> pd.Series:
-        return pd.Series(list(_normal(_evidence(model, texts, declared)[0])))
-
-    return resp
-
+def _verdict(model: TextModel, said: np.ndarray, limits: np.ndarray, allowed: list[str], least: float, strength: float, weight: int):
+    """Whether documents stay, from text, known declared language, and their source's sums and prior."""
+    at = {x: i for i, x in enumerate(model.languages)}
 
-def _verdict(model: TextModel, allowed: list[str], least: float, strength: float = 5.0):
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series, declared: pd.Series, own: pd.Series, above: pd.Series) -> pd.Series:
-        logs, grams, means = _evidence(model, texts, declared)
+        slots = [trigrams(t) for t in texts]
+        grams = np.array([len(s) for s in slots], np.int64)
+        means = np.stack([model.logs[s].mean(axis=0, dtype=np.float64) if len(s) else np.zeros(len(at)) for s in slots])
+        logs = means * np.minimum(grams, weight)[:, None] + np.stack([said[at[d]] if d in at else np.zeros(len(at)) for d in declared])
         prior = np.maximum(np.stack(own) - _normal(logs), 0) + strength * np.stack(above)
         post = _normal(logs + np.log(prior))
-        best = post.argmax(axis=1)
-        right = np.isin(np.array(model.languages)[best], allowed)
-        if model.limits is not None:
-            each = np.arange(len(best))
-            right &= means[each, best] >= model.least_mean(grams)[each, best]
+        best, each = post.argmax(axis=1), np.arange(len(post))
+        right = np.isin(np.array(model.languages)[best], allowed) & (means[each, best] >= model.least_mean(limits, grams)[each, best])
         return pd.Series((grams > 0) & right & (post.max(axis=1) >= least))
 
     return keep

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import brute
 import numpy as np
@@ -388,7 +389,7 @@ def test_evidence_beside_text(spark):
 
 def test_language_evidence_by_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = language.train(docs, rows_per_language=40, limits=False)
+    model = language.train(docs, rows_per_language=40)
     texts = [r.text for r in docs.where("length(text) between 40 and 4000").orderBy("doc_id").limit(60).collect()]
     rng = random.Random(6)
     hosts = ["www.firma.de", "de.firma.de", "a.example.ch", "b.example.ch", "shop.example.fr", "x.org", "y.x.org", "localhost"]
@@ -399,6 +400,35 @@ def test_language_evidence_by_brute_force(spark):
     same(collected(got, "page_id", "declared", "text_language", "language", "confidence", "grams"), brute.languages(rows, model, language.trigrams, language.SUFFIX_LANGUAGES))
 
 
+@pytest.mark.parametrize("unit", ["<", "<!--", "<script ", "<style>", "<html ", "<a href='x' ", "&amp", "</script", "<html lang=", "a < b ", "<p>x</p>"])
+def test_long_pages_take_linear_time(spark, unit):
+    html = unit * (1_000_000 // len(unit))
+    began = time.time()
+    language.visible_text(html)
+    assert time.time() - began < 5
+    df = spark.createDataFrame([(1, "http://" + "a" * 1_000_000, html), (2, "http://" + "a." * 500_000, html)], "page_id long, url string, html string")
+    began = time.time()
+    assert df.select("page_id", "url", "html").transform(language.page_evidence).select("declared", "host", "domain", "suffix").collect() is not None
+    assert time.time() - began < 5
+
+
+def test_visible_text():
+    cases = {
+        "<p>a</p>b": "a b", "a<!-- x <b> -->b": "a b", "a<script>if (x < 1) </b></SCRIPT >b": "a b", "a < b": "a < b", "a<b": "a", "a<style>x": "a", "a<!-- b": "a", "a&amp;b&#65;c&;": "a b c&;",
+        "<scripted>a</scripted>": "a", "a<>b": "a<>b", "": "", None: "",
+    }
+    for html, want in cases.items():
+        assert language.visible_text(html).split() == want.split(), html
+
+
+def test_many_labels_make_one_more_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    dirty = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
+    model = language.train(dirty, rows_per_language=40, languages=2, always=["es"])
+    assert len(model.languages) in (3, 4) and language.OTHER in model.languages and "es" in model.languages and model.logs.shape[1] == len(model.languages)
+    assert dirty.select(model.known(F.lit(" ES ")), model.known(F.lit("x9")), model.known(F.lit("")), model.known(F.lit(None).cast("string"))).first()[:] == ("es", language.OTHER, None, None)
+
+
 # --- top k ----------------------------------------------------------------------------
 
 
