@@ -25,9 +25,9 @@ TARGET_LANGUAGES = ["de", "en", "es", "fr"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a target language, with a probability of one half or more and a text that is usual for it.
 
-    All labels are in the model, so that a text in another labelled language is told from the targets.
+    The commonest labels are in the model, and all others together, so that a text in another labelled language is told from the targets.
     """
-    return reject_languages(docs, train(docs, languages=None), allowed=TARGET_LANGUAGES)
+    return reject_languages(docs, train(docs, always=TARGET_LANGUAGES), allowed=TARGET_LANGUAGES)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
