@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +40,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths written since the outermost ``passing`` began, by its depth.
-_SCOPES: list[list[str]] = []
+#: Paths written since the outermost ``passing`` of this thread began, by its depth.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
@@ -48,21 +49,22 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    for scope in _SCOPES:
+    for scope in _SCOPES.get():
         scope.append(path)
     held = spark.read.schema(df.schema).parquet(path)
     held.stash_path = path
     return held
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the store that its path names."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def drop_stash(df: DataFrame) -> None:
     """Delete the files of a table that ``stash`` gave and that no later step reads."""
-    _delete(df.sparkSession, df.stash_path)
+    delete_path(df.sparkSession, df.stash_path)
 
 
 @contextmanager
@@ -72,11 +74,13 @@ def passing(spark: SparkSession, keep: Callable[[], list[DataFrame]]) -> Iterato
     Results that are not written yet still read what was stashed for them, so
     the block has to write (stash) what it keeps.
     """
-    _SCOPES.append([])
+    mine: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), mine))
     try:
         yield
     finally:
+        _SCOPES.reset(token)
         kept = {x.stash_path for x in keep()}
-        for path in _SCOPES.pop():
+        for path in mine:
             if path not in kept:
-                _delete(spark, path)
+                delete_path(spark, path)
