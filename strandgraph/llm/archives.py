@@ -31,7 +31,7 @@ _NAMES = {"1": "URL IP-address Archive-date Content-type Archive-length", "2": "
 RECORD = "file string, at long, kind string, url string, ip string, date string, mime string, key string, digest string, payload_bytes long, problem string, head binary, payload binary"
 
 
-def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "19700101000000", file_bytes: int = 64 << 20) -> None:
+def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "19700101000000", file_bytes: int = 64 << 20) -> int:
     """Write a record per row into gzipped ARC files of about ``file_bytes``
     before compression, version 1 and 2 in turn by partition.
 
@@ -39,9 +39,10 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
     percent-encoded, so that line ends in a key add no header; a null key has
     no such header. Null html is an empty payload. Blanks in an
     address are percent-encoded; a null or empty one becomes ``urn:unknown``.
+    Returns the number of rows.
     """
     p = pages.select(F.url_encode(F.col(id_col).cast("string")).alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    total = p.agg(F.sum(F.octet_length("html") + 400)).first()[0] or 0
+    total, rows = p.agg(F.coalesce(F.sum(F.octet_length("html") + 400), F.lit(0)), F.count("*")).first()
     files = -(-total // file_bytes) or 1
     if files > p.rdd.getNumPartitions():
         p = p.repartition(files)
@@ -63,6 +64,7 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
 
     start = F.when(F.col("row") == 0, F.when(two, opening("2")).otherwise(opening("1"))).otherwise("")
     p.select(F.concat(start, record).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    return rows
 
 
 def _bytes(content: bytes) -> bytes:
@@ -250,47 +252,95 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: i
     r.select(F.concat(header.cast("binary"), block).cast("string").alias("value")).write.option("lineSep", crlf + crlf).option("compression", "gzip").text(warc_path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers by lower-case name, block) of each record, by declared lengths."""
+_WARC_LINE = re.compile(rb"(?:\A|(?<=\n))WARC/[0-9]")
+#: No record header is longer.
+HEADER_BYTES = 1 << 20
+
+
+def _warc_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
+    """Headers of the record at ``at`` by lower-case name, and where its block
+    begins; None if lines up to a blank one are no header with a length."""
+    headers, name, end = {}, None, data.find(b"\n", at, at + HEADER_BYTES)
+    while end >= 0:
+        begin, end = end + 1, data.find(b"\n", end + 1, at + HEADER_BYTES)
+        line = data[begin:end].rstrip(b"\r").decode("utf-8", "replace")
+        if end >= 0 and not line:
+            return (headers, end + 1) if headers.get("content-length", "").isdecimal() else None
+        if line[:1] in (" ", "\t") and name:  # a folded line goes on
+            headers[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
+            return None
+        headers[name] = value.strip()
+    return None
+
+
+def parse_warc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes, str | None]]:
+    """(offset, headers by lower-case name, block, problem) of each record, by declared lengths.
+
+    Lines may end in CRLF or LF. No bytes are lost: where no header with a
+    length stands, the bytes up to the next ``WARC/`` line are a record
+    without headers, and its problem is ``no record header``. A declared
+    length is right if blank lines and a record, or nothing, follow the block.
+    Else the block ends at the next ``WARC/`` line, with the problem ``wrong
+    length``, if that line comes before the declared end; a block that the end
+    of the file cuts is what is there, with the problem ``cut short``.
+    """
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        length = int(headers.get("content-length", "0"))
-        yield at, headers, data[end + 4 : end + 4 + length]
-        at = end + 4 + length
+    while at < len(data):
+        if data[at : at + 1] in (b"\n", b"\r"):
+            at += 1
+            continue
+        found = _warc_header(data, at) if _WARC_LINE.match(data, at) else None
+        if found is None:
+            after = _WARC_LINE.search(data, at + 1)
+            to = after.start() if after else len(data)
+            yield at, {}, data[at:to], "no record header"
+            at = to
+            continue
+        headers, begin = found
+        end, problem = begin + int(headers["content-length"]), None
+        follows = data[end : end + 16].lstrip(b"\r\n")
+        if end > len(data) or (follows and not follows.startswith(b"WARC/")):
+            after = _WARC_LINE.search(data, begin, min(end, len(data)))
+            problem = "wrong length" if after else "cut short" if end > len(data) else None
+            end = after.start() if after else min(end, len(data))
+        yield at, headers, data[begin:end], problem
+        at = end
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, kind, url, date, key, digest, payload_bytes, refers, intact) per record.
+    """(record_id, kind, url, date, key, digest, payload_bytes, refers, intact, problem) per record.
 
     Digest and size of a stored payload are those of the bytes read back;
     intact tells whether the header names the same digest. A revisit stores no
     payload: its digest is the one its header names, payload_bytes what its
-    HTTP header declares, and intact is null.
+    HTTP header declares, and intact is null. Bytes that are no record are
+    rows of kind ``malformed``; ``problem`` is that of ``parse_warc``. A file
+    of 2 GB or more is refused by Spark's reader of whole files.
     """
-    names = ["record_id", "kind", "url", "date", "key", "digest", "payload_bytes", "refers", "intact"]
-    kinds = [*[pa.string()] * 6, pa.int64(), pa.string(), pa.bool_()]
+    names = ["record_id", "kind", "url", "date", "key", "digest", "payload_bytes", "refers", "intact", "problem"]
+    kinds = [*[pa.string()] * 6, pa.int64(), pa.string(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b["content"]:
                 rows = []
-                for _, h, block in parse_warc(_bytes(content.as_py())):
-                    head, payload = _split_http(block)
-                    stored, kind = h.get("warc-type") != "revisit", h.get("warc-type")
+                for _, h, block, problem in parse_warc(_bytes(content.as_py())):
+                    head, payload = _split_http(block) if h else (b"", block)
+                    kind = h.get("warc-type") if h else "malformed"
+                    stored = kind != "revisit"
                     declared = _header(head, b"Content-Length")
                     digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
                     size = len(payload) if stored else int(declared) if declared and declared.isdecimal() else None
                     there = base32_sha1(payload) if stored else digest
-                    rows.append((h.get("warc-record-id", "").strip("<>"), kind, h.get("warc-target-uri"), h.get("warc-date"), _header(head, b"X-Page-Id"), there, size, h.get("warc-refers-to", "").strip("<>") or None, there == digest if stored else None))
+                    rows.append((h.get("warc-record-id", "").strip("<>"), kind, h.get("warc-target-uri"), h.get("warc-date"), _header(head, b"X-Page-Id"), there, size, h.get("warc-refers-to", "").strip("<>") or None, there == digest if stored else None, problem))
                 cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    schema = "record_id string, kind string, url string, date string, key string, digest string, payload_bytes long, refers string, intact boolean"
+    schema = "record_id string, kind string, url string, date string, key string, digest string, payload_bytes long, refers string, intact boolean, problem string"
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
@@ -303,13 +353,17 @@ def archive_pages(pages: DataFrame, arc_path: str, warc_path: str, min_bytes: in
     that is written about a payload agrees with it. Null html is an
     empty payload; a null id stays null and yields to others in being stored;
     repeated rows are records of their own. An empty table gives no rows.
-    Other columns are not read.
+    Other columns are not read. Records read back are counted against those
+    written: a difference, or a record with a problem, is an error.
     """
     spark = pages.sparkSession
-    write_arc(pages, arc_path, id_col, url_col, html_col)
+    written = write_arc(pages, arc_path, id_col, url_col, html_col)
     arc_to_warc(spark, arc_path, warc_path, min_bytes)
     kind = pages.schema[id_col].dataType.simpleString()
     records = stash(read_warc(spark, warc_path).where("kind <> 'warcinfo'"), "warc-records")
+    back = records.agg(F.count("*").alias("n"), F.count("problem").alias("problems")).first()
+    if (back.n, back.problems) != (written, 0):
+        raise ValueError(f"{written} records were written; {back.n} came back, {back.problems} of them with a problem")
     named = records.where("refers is not null").select(F.col("refers").alias("record_id")).distinct()
     ids = records.where("kind = 'response'").join(named, "record_id", "left_semi")
     ids = ids.select(F.col("record_id").alias("r_"), F.col("key").alias("k_"), F.col("digest").alias("d_"), F.col("payload_bytes").alias("b_"))

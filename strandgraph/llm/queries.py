@@ -20,7 +20,7 @@ from strandgraph.llm.secrets import find_secrets, span_list
 from strandgraph.llm.simhash import near_duplicates
 from strandgraph.llm.spans import remove_repeats
 from strandgraph.llm.topk import nearest
-from strandgraph.store import new_path
+from strandgraph.store import delete_path, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = archive_pages(_table(spark, sf_dir, "pages"), new_path(spark, "arc"), new_path(spark, "warc"))
+    paths = new_path(spark, "arc"), new_path(spark, "warc")
+    out = archive_pages(_table(spark, sf_dir, "pages"), *paths)
+    for path in paths:  # what was read back is a table of its own
+        delete_path(spark, path)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -167,6 +167,46 @@ def test_keys_with_line_ends_and_changed_payloads(spark, tmp_path):
     assert r.digest == archives.base32_sha1(b"other") and r.intact is False
 
 
+def _warc(block, length=None, end="\r\n", kind="resource"):
+    head = f"WARC/1.1{end}WARC-Type: {kind}{end}Content-Length: {len(block) if length is None else length}{end}{end}"
+    return head.encode() + block + 2 * end.encode()
+
+
+def test_warc_reader_loses_no_bytes(spark, tmp_path):
+    good = _warc(b"one")
+    cases = {
+        "letters for a length": (good + _warc(b"two", "abc") + good, ["one", None, "one"]),
+        "no length": (b"WARC/1.1\r\nWARC-Type: resource\r\n\r\nxx\r\n\r\n" + good, [None, "one"]),
+        "bytes between": (good + b"rubbish\r\n\r\nmore" + b"\r\n" + good, ["one", None, "one"]),
+        "no blank line": (b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n" + good, [None, "one"]),
+        "length beyond the data": (good + _warc(b"two", 10**9) + good, ["one", "two\r\n\r\n", "one"]),
+        "length into the next record": (_warc(b"two", 30) + good + good, ["two\r\n\r\n", "one", "one"]),
+        "length too short": (_warc(b"two and more", 3) + good, ["two", None, "one"]),
+        "line feeds": (_warc(b"two", end="\n") + good, ["two", "one"]),
+        "cut short": (good + _warc(b"two", 50), ["one", "two\r\n\r\n"]),
+        "cut in a header": (good + b"WARC/1.1\r\nWARC-Ty", ["one", None]),
+        "a record in a payload": (_warc(b"a\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n") + good, ["a\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n", "one"]),
+        "nothing": (b"", []), "rubbish alone": (b"rubbish", [None]),
+    }
+    for name, (data, want) in cases.items():
+        found = list(archives.parse_warc(data))
+        assert [b.decode() if h else None for _, h, b, _ in found] == want, name
+        assert all(p == "no record header" if not h else True for _, h, _, p in found)
+        blank = data.replace(b"\r", b"").replace(b"\n", b"")
+        spans = [data[at : data.index(b, at) + len(b)] for at, _, b, _ in found]
+        assert b"".join(spans).replace(b"\r", b"").replace(b"\n", b"") == blank, name
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.warc").write_bytes(cases["letters for a length"][0])
+    assert collected(archives.read_warc(spark, f"{tmp_path}/in"), "kind", "payload_bytes", "problem") == sorted([("resource", 3, None), ("malformed", 61, "no record header"), ("resource", 3, None)], key=repr)
+
+
+def test_warc_reader_is_linear():
+    for unit in (b"WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 99999999\r\n\r\n", b"\r\n", b"x: y\n"):
+        began = time.time()
+        assert sum(len(b) for _, _, b, _ in archives.parse_warc(b"WARC/1.1\r\n" + unit * (1_000_000 // len(unit)))) >= 0
+        assert time.time() - began < 5
+
+
 # --- lines and spans -------------------------------------------------------------
 
 
