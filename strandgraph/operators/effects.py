@@ -2,21 +2,21 @@
 
 A statement row has program, paragraph, statement_id, pos (execution order),
 kind, parent_id, branch_kind, branch_condition, targets, sources (arrays of
-names), literals (array), condition_target, condition_value (boolean).
+names), literals (array), condition_target, condition_value (boolean), and may
+have target_paragraphs (array), call_kind (LITERAL or DYNAMIC), arguments
+(array of name, mode, literal, omitted) and returning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.operators.resolve import normal_name
 from strandgraph.store import stash
 
-EFFECT = "struct<kind string, target string, source string, literal string, support string>"
+EFFECT = "struct<kind string, target string, source string, literal string, support string, note string>"
+ARGUMENTS = "array<struct<name:string, mode:string, literal:string, omitted:boolean>>"
 
 #: Statement kinds that compute, that end a program, and that only branch.
 COMPUTING = ["COMPUTE", "ADD", "SUBTRACT", "MULTIPLY", "DIVIDE"]
@@ -24,61 +24,91 @@ ENDING = ["STOP_RUN", "GOBACK", "EXIT_PROGRAM"]
 BRANCHING = ["IF", "EVALUATE"]
 
 
-def _effect(kind: str, target: Column | None = None, source: Column | None = None, literal: Column | None = None, support: str = "DETERMINISTIC") -> Column:
+def _effect(kind: str, target: Column | None = None, source: Column | None = None, literal: Column | None = None, support: str = "DETERMINISTIC", note: Column | str | None = None) -> Column:
     null = F.lit(None).cast("string")
-    pick = lambda c: null if c is None else c.cast("string")
-    return F.struct(F.lit(kind).alias("kind"), pick(target).alias("target"), pick(source).alias("source"), pick(literal).alias("literal"), F.lit(support).alias("support"))
+    pick = lambda c: null if c is None else F.lit(c) if isinstance(c, str) else c.cast("string")
+    return F.struct(F.lit(kind).alias("kind"), pick(target).alias("target"), pick(source).alias("source"), pick(literal).alias("literal"), F.lit(support).alias("support"), pick(note).alias("note"))
 
 
 def statement_effects(statements: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
     """A row per effect: (program, paragraph, statement_id, pos, ordinal, kind,
-    target, source, literal, support).
+    target, source, literal, support, note, control_targets, arguments, returning).
 
     A move of one literal assigns it to every target; of several literals it
     is a partial assignment each; of one name a copy, ambiguous to several
-    targets; anything else is kept as it stands. Setting a condition true
-    assigns its value if it has a single one without a range; setting it
-    false assigns nothing known; a condition that is not declared is unknown.
-    Setting anything else writes each target with a value that is not followed.
-    Arithmetic computes every target and is never evaluated; without a target
-    it is kept as it stands. Branches have no effect of their own.
+    targets or from several names; anything else is kept as it stands. Setting
+    a condition true assigns its value if it has a single one without a range;
+    setting it false assigns nothing known; a condition that is not declared
+    is unknown. Setting anything else writes each target with a value that is
+    not followed. Arithmetic computes every target and is never evaluated;
+    without a target it is kept as it stands.
+
+    GO TO and PERFORM name their targets; without one they are kept as they
+    stand. A call has its arguments and what it returns to; it is sure only
+    with a literal program, arguments that are all known by mode and shape,
+    and nothing returned, and unknown where its kind is null. Statements that
+    end a program and all others are kept as they stand; a branch has no
+    effect of its own.
     """
     s = statements
+    for name, kind in (("target_paragraphs", "array<string>"), ("arguments", ARGUMENTS), ("returning", "string")):
+        if name not in s.columns:
+            s = s.withColumn(name, F.lit(None).cast(kind))
+    if "call_kind" not in s.columns:
+        s = s.withColumn("call_kind", F.lit("LITERAL"))
     if conditions is not None:
-        c = conditions.select(F.col("program").alias("cp_"), F.col("condition").alias("cc_"), F.col("parent").alias("condition_parent"), F.when((F.size("values") == 1) & ~F.coalesce("ranged", F.lit(False)), F.get("values", F.lit(0))).alias("condition_literal"))
+        ranged = F.coalesce("ranged", F.lit(False))
+        c = conditions.select(
+            F.col("program").alias("cp_"), F.col("condition").alias("cc_"), F.col("parent").alias("condition_parent"), F.when((F.size("values") == 1) & ~ranged, F.get("values", F.lit(0))).alias("condition_literal"),
+            F.when(ranged, "CONDITION_VALUE_RANGE").otherwise("MULTIPLE_CONDITION_VALUES").alias("condition_note"),
+        )
         s = s.join(c, (F.col("program") == F.col("cp_")) & (F.col("condition_target") == F.col("cc_")), "left")
     else:
-        s = s.withColumn("condition_parent", F.lit(None).cast("string")).withColumn("condition_literal", F.lit(None).cast("string"))
+        s = s.withColumns({x: F.lit(None).cast("string") for x in ("condition_parent", "condition_literal", "condition_note")})
     none = F.expr(f"cast(array() as array<{EFFECT}>)")
     t, src, lit = F.col("targets"), F.col("sources"), F.col("literals")
     n_lit, n_src, n_t = F.size(lit), F.size(src), F.size(t)
     one_lit, one_src = F.get(lit, F.lit(0)), F.get(src, F.lit(0))
+    kept = lambda note, support="PRESERVED": F.array(_effect("PRESERVED", None, None, None, support, note))
     moved = (
         F.when((n_lit == 1) & (n_src == 0), F.transform(t, lambda x: _effect("ASSIGN_LITERAL", x, None, one_lit)))
         .when((n_lit > 1) & (n_src == 0), F.flatten(F.transform(t, lambda x: F.transform(lit, lambda y: _effect("ASSIGN_LITERAL", x, None, y, "PARTIAL")))))
         .when((n_src == 1) & (n_lit == 0) & (n_t == 1), F.transform(t, lambda x: _effect("COPY", x, one_src)))
-        .when((n_src == 1) & (n_lit == 0), F.transform(t, lambda x: _effect("COPY", x, one_src, None, "AMBIGUOUS")))
-        .otherwise(F.array(_effect("PRESERVED", None, None, None, "PARTIAL")))
+        .when((n_src == 1) & (n_lit == 0) & (n_t > 1), F.transform(t, lambda x: _effect("COPY", x, one_src, None, "AMBIGUOUS")))
+        .when((n_src > 1) & (n_lit == 0) & (n_t > 0), F.transform(t, lambda x: _effect("COPY", x, None, None, "AMBIGUOUS")))
+        .otherwise(kept("MOVE_NOT_EXPANDED", "PARTIAL"))
     )
-    unknown = F.array(_effect("UNKNOWN", None, None, None, "UNKNOWN"))
-    sets = F.when(F.col("condition_target").isNotNull() & F.col("condition_parent").isNull(), unknown).when(
+    unknown = lambda note: F.array(_effect("UNKNOWN", None, None, None, "UNKNOWN", note))
+    parent = F.col("condition_parent")
+    sets = F.when(F.col("condition_target").isNotNull() & parent.isNull(), unknown("CONDITION_NOT_DECLARED")).when(
         F.col("condition_target").isNotNull(),
-        F.when(F.col("condition_value"), F.array(F.when(F.col("condition_literal").isNotNull(), _effect("SET_CONDITION", F.col("condition_parent"), F.col("condition_target"), F.col("condition_literal"))).otherwise(_effect("SET_CONDITION", F.col("condition_parent"), F.col("condition_target"), None, "PARTIAL"))))
-        .otherwise(F.array(_effect("UNSET_CONDITION", F.col("condition_parent"), F.col("condition_target"), None, "PARTIAL"))),
+        F.when(F.col("condition_value"), F.array(F.when(F.col("condition_literal").isNotNull(), _effect("SET_CONDITION", parent, F.col("condition_target"), F.col("condition_literal"))).otherwise(_effect("SET_CONDITION", parent, F.col("condition_target"), None, "PARTIAL", F.col("condition_note")))))
+        .otherwise(F.array(_effect("UNSET_CONDITION", parent, F.col("condition_target"), None, "PARTIAL"))),
     ).otherwise(F.transform(t, lambda x: _effect("SET_VALUE", x, None, one_lit, "PARTIAL")))
-    kind = F.col("kind")
+    kind, args = F.col("kind"), F.col("arguments")
+    away = F.coalesce(F.size("target_paragraphs") > 0, F.lit(False))
+    whole = F.coalesce(F.forall(args, lambda a: (F.coalesce(a["mode"], F.lit("UNKNOWN")) != "UNKNOWN") & (F.coalesce(a["omitted"], F.lit(False)) | a["name"].isNotNull() | a["literal"].isNotNull())), F.lit(True))
+    sure = (F.col("call_kind") == "LITERAL") & whole & F.col("returning").isNull()
+    doubts = F.concat_ws(
+        ",", F.when(~whole, "CALL_ARGUMENT_PARTIAL"), F.when(F.col("call_kind") == "DYNAMIC", "CALL_DYNAMIC_TARGET_UNRESOLVED"),
+        F.when(F.col("returning").isNotNull(), "CALL_RETURNING_PARTIAL"), F.when(~F.col("call_kind").isin("LITERAL", "DYNAMIC"), "CALL_TARGET_NOT_IDENTIFIABLE"),
+    )
+    doubts = F.when(doubts != "", doubts)
+    called = F.when(F.col("call_kind").isNull(), unknown("CALL_WITHOUT_TARGET_KIND")).when(sure, F.array(_effect("CALL", note=doubts))).otherwise(F.array(_effect("CALL", None, None, None, "PARTIAL", doubts)))
     each = (
         F.when(kind.isin(BRANCHING), none)
         .when(kind == "MOVE", moved).when(kind == "SET", sets)
-        .when(kind.isin(COMPUTING), F.when(n_t > 0, F.transform(t, lambda x: _effect("COMPUTE", x))).otherwise(F.array(_effect("PRESERVED", None, None, None, "PARTIAL"))))
-        .when(kind == "GO_TO", F.array(_effect("JUMP", None, None, None))).when(kind == "PERFORM", F.array(_effect("PERFORM")))
-        .when(kind == "EXEC_SQL", F.when(n_t > 0, F.transform(t, lambda x: _effect("SQL_WRITE", x, None, None, "PARTIAL"))).otherwise(F.array(_effect("SQL"))))
-        .when(kind == "CALL", F.array(_effect("CALL", None, None, None, "PARTIAL")))
-        .when(kind.isin(ENDING), F.array(_effect("END")))
-        .otherwise(unknown)
+        .when(kind.isin(COMPUTING), F.when(n_t > 0, F.transform(t, lambda x: _effect("COMPUTE", x))).otherwise(kept("CALCULATION_TARGET_UNAVAILABLE")))
+        .when(kind.isin("GO_TO", "PERFORM") & ~away, kept("CONTROL_TRANSFER_TARGET_UNAVAILABLE"))
+        .when(kind == "GO_TO", F.array(_effect("JUMP"))).when(kind == "PERFORM", F.array(_effect("PERFORM", None, None, None, "PARTIAL", "PERFORM_LOOP_CONTROL_NOT_FULLY_REPRESENTED")))
+        .when(kind == "EXEC_SQL", F.when(n_t > 0, F.transform(t, lambda x: _effect("SQL_WRITE", x, None, None, "PARTIAL"))).otherwise(F.array(_effect("SQL", None, None, None, "PARTIAL"))))
+        .when(kind == "CALL", called)
+        .when(kind.isin(ENDING), kept("PROGRAM_TERMINATION_HAS_NO_DATA_EFFECT"))
+        .otherwise(kept("STATEMENT_TEXT_PRESERVED_WITHOUT_SEMANTIC_EFFECT"))
     )
-    out = s.select("program", "paragraph", "statement_id", "pos", F.posexplode(each).alias("ordinal", "e"))
-    return out.select("program", "paragraph", "statement_id", "pos", "ordinal", "e.*")
+    more = [F.when(kind.isin("GO_TO", "PERFORM") & away, F.col("target_paragraphs")).alias("control_targets"), F.when(kind == "CALL", args).alias("arguments"), F.when(kind == "CALL", F.col("returning")).alias("returning")]
+    out = s.select("program", "paragraph", "statement_id", "pos", *more, F.posexplode(each).alias("ordinal", "e"))
+    return out.select("program", "paragraph", "statement_id", "pos", "ordinal", "e.*", "control_targets", "arguments", "returning")
 
 
 def unsupported_effects(messages: DataFrame, message: str = "message", mark: str = " en paragraph ") -> DataFrame:
@@ -98,152 +128,6 @@ def straight_constants(rows: DataFrame, assigns: Column, clears: Column, value:
     return rows.withColumn("l_", last).withColumn("known", F.when(~F.col("l_.c"), F.col("l_.v"))).drop("l_")
 
 
-FACT = "program string, paragraph string, statement_id string, ordinal long, status string, target string, literal string, steps long"
-
-
-def _assign(env, e):
-    if e["support"] != "DETERMINISTIC" or e["target"] is None or e["literal"] is None:
-        env.pop(e["target"], None)
-        return "PARTIAL", None, 0
-    env[e["target"]] = (e["literal"], 1)
-    return "DIRECT", e["literal"], 1
-
-
-def _copy(env, e):
-    held = env.get(e["source"]) if e["support"] == "DETERMINISTIC" else None
-    if held is None:
-        env.pop(e["target"], None)
-        return "UNRESOLVED_COPY", None, 0
-    env[e["target"]] = (held[0], held[1] + 1)
-    return "PROPAGATED", held[0], held[1] + 1
-
-
-def _forget(env, e):
-    env.pop(e["target"], None)
-    return "INVALIDATED", None, 0
-
-
-def _forget_all(env, e):
-    env.clear()
-    return "BARRIER", None, 0
-
-
-#: What each effect does to the known values.
-TRANSFER = {
-    "ASSIGN_LITERAL": _assign, "SET_CONDITION": _assign, "COPY": _copy, "COMPUTE": _forget, "UNSET_CONDITION": _forget, "SET_VALUE": _forget, "SQL_WRITE": _forget,
-    "CALL": _forget_all, "PERFORM": _forget_all, "UNKNOWN": _forget_all, "PRESERVED": _forget_all, "JUMP": _forget_all,
-}
-
-
-#: Effects by what they do: give a value, copy one, make one name unknown, make all unknown.
-GIVING = [k for k, f in TRANSFER.items() if f is _assign]
-FORGETTING = [k for k, f in TRANSFER.items() if f is _forget]
-BARRING = [k for k, f in TRANSFER.items() if f is _forget_all]
-
-
-def straight_facts(effects: DataFrame) -> DataFrame:
-    """Facts (FACT's columns) of paragraphs without branches, by windows and joins.
-
-    A copy points to the last write of its source before it, if nothing has
-    made all names unknown since. Pointers double each round until they end at
-    a literal or at a write whose value is not known.
-    """
-    g, k = ["program", "paragraph"], F.col("kind")
-    by_seq = Window.partitionBy(*g).orderBy("seq")
-    e = effects.where(k.isin(list(TRANSFER))).withColumn("seq", F.row_number().over(Window.partitionBy(*g).orderBy("pos", "statement_id", "ordinal")))
-    e = e.withColumn("barred", F.last(F.when(k.isin(BARRING), F.col("seq")), ignorenulls=True).over(by_seq.rowsBetween(Window.unboundedPreceding, -1)))
-    sure = F.col("support") == "DETERMINISTIC"
-    e = e.withColumn("given", F.when(k.isin(GIVING) & sure & F.col("target").isNotNull(), F.col("literal")))
-    e = stash(e.select(*g, "statement_id", "seq", "kind", "target", "given", "barred", F.when((k == "COPY") & sure, F.col("source")).alias("source")), "effects")
-    writes = e.where(F.col("target").isNotNull() & ~k.isin(BARRING)).select(*g, F.col("target").alias("name"), "seq", F.lit(1).alias("writes"), F.lit(None).cast("int").alias("barred"))
-    asks = e.where("source is not null").select(*g, F.col("source").alias("name"), "seq", F.lit(0).alias("writes"), "barred")
-    by_name = Window.partitionBy(*g, "name").orderBy("seq", "writes").rowsBetween(Window.unboundedPreceding, -1)
-    last = writes.union(asks).withColumn("to", F.last(F.when(F.col("writes") == 1, F.col("seq")), ignorenulls=True).over(by_name))
-    last = last.where((F.col("writes") == 0) & (F.col("to") > F.coalesce("barred", F.lit(0)))).select(*g, "seq", "to")
-    now = stash(e.select(*g, "seq", "given").join(last, [*g, "seq"], "left").select(*g, "seq", "to", "given", F.lit(1).cast("long").alias("steps")), "pointers")
-    while True:
-        going = F.col("to").isNotNull() & F.col("given").isNull()
-        if now.where(going).isEmpty():
-            break
-        ahead = now.select(*g, F.col("seq").alias("to"), F.col("to").alias("to_"), F.col("given").alias("given_"), F.col("steps").alias("steps_"))
-        moved = now.where(going).join(ahead, [*g, "to"]).select(*g, "seq", F.col("to_").alias("to"), F.col("given_").alias("given"), (F.col("steps") + F.col("steps_")).alias("steps"))
-        now = stash(now.where(~going).unionByName(moved), "pointers")
-    out = e.drop("given").join(now.select(*g, "seq", "given", "steps"), [*g, "seq"])
-    known = F.col("given").isNotNull()
-    status = F.when(k.isin(GIVING), F.when(known, "DIRECT").otherwise("PARTIAL")).when(k == "COPY", F.when(known, "PROPAGATED").otherwise("UNRESOLVED_COPY")).when(k.isin(FORGETTING), "INVALIDATED").otherwise("BARRIER")
-    return out.select(*g, "statement_id", (F.col("seq") - 1).cast("long").alias("ordinal"), status.alias("status"), "target", F.col("given").alias("literal"), F.when(known, F.col("steps")).otherwise(0).cast("long").alias("steps"))
-
-
-def _follow(stmts: list[dict]) -> list[tuple]:
-    """Facts of one paragraph, from its statements with their effects."""
-    below: dict = {}
-    ids = {s["statement_id"] for s in stmts}
-    for s in stmts:
-        below.setdefault(s["parent_id"] if s["parent_id"] in ids else None, []).append(s)
-    facts: list[tuple] = []
-
-    def sequence(items, env):
-        written = set()
-        for s in items:
-            for e in s["effects"]:
-                if e["kind"] in TRANSFER:
-                    status, literal, steps = TRANSFER[e["kind"]](env, e)
-                    facts.append((s["statement_id"], len(facts), status, e["target"], literal, steps))
-                    written |= {e["target"]} if status != "BARRIER" else {None}
-            inner = below.get(s["statement_id"], [])
-            touched, branch, last = set(), [], object()
-            for child in [*inner, None]:
-                if branch and (child is None or child["branch_kind"] != last or isinstance(child["branch_condition"], str)):
-                    touched |= sequence(branch, dict(env))
-                    branch = []
-                if child is not None:
-                    branch.append(child)
-                    last = child["branch_kind"]
-            if None in touched:
-                env.clear()
-            for name in touched:
-                env.pop(name, None)
-            written |= touched
-        return written
-
-    sequence(below.get(None, []), {})
-    return facts
-
-
-def _follow_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs, a row each, to FACT's rows."""
-    kinds = [pa.int64() if c.endswith(" long") else pa.string() for c in FACT.split(", ")]
-    for b in batches:
-        found = [(program, paragraph, *f) for program, paragraph, stmts in zip(*(b[c].to_pylist() for c in ("program", "paragraph", "stmts")), strict=True) for f in _follow(stmts)]
-        cols = list(zip(*found, strict=True)) or [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in FACT.split(", ")])
-
-
-def branching_constants(statements: DataFrame, effects: DataFrame) -> DataFrame:
-    """Facts (FACT's columns) of literals followed through each paragraph.
-
-    Paragraphs in which no statement has a parent go through ``straight_facts``.
-    In the others a branch body starts from a copy of what is known; after the decision any
-    name that some branch wrote is unknown, even if all wrote the same: a
-    nesting that windows do not express, so such a paragraph, a unit of a
-    program's source text, is one row that Python follows.
-    """
-    nested = statements.where(F.col("parent_id").isNotNull()).select("program", "paragraph").distinct()
-    nested = stash(nested, "nested")
-    straight = straight_facts(effects.join(nested, ["program", "paragraph"], "left_anti"))
-    statements = statements.join(nested, ["program", "paragraph"], "left_semi")
-    if nested.isEmpty():
-        return straight
-    effects = effects.join(nested, ["program", "paragraph"], "left_semi")
-    per = effects.groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind", "target", "source", "literal", "support"))).alias("effects"))
-    empty = F.expr("cast(array() as array<struct<ordinal:int,kind:string,target:string,source:string,literal:string,support:string>>)")
-    s = statements.select("program", "paragraph", "statement_id", "pos", "parent_id", "branch_kind", "branch_condition")
-    s = s.join(per, "statement_id", "left").withColumn("effects", F.coalesce("effects", empty))
-    whole = F.array_sort(F.collect_list(F.struct("pos", "statement_id", "parent_id", "branch_kind", "branch_condition", "effects")))
-    s = s.select(F.col("program").cast("string"), F.col("paragraph").cast("string"), "pos", F.col("statement_id").cast("string"), F.col("parent_id").cast("string"), "branch_kind", "branch_condition", "effects")
-    return s.groupBy("program", "paragraph").agg(whole.alias("stmts")).mapInArrow(_follow_each, FACT).unionByName(straight)
-
-
 # --- between programs -------------------------------------------------------
 
 

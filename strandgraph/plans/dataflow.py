@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandgraph.operators import candidates as X
 from strandgraph.operators import derive as D
 from strandgraph.operators import effects as E
+from strandgraph.operators import propagation as N
 from strandgraph.plans.registry import Tables, query
 
 
@@ -53,18 +54,82 @@ def e01_effects(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH {_EFFECTS}, a AS (
-  SELECT *, last_value(CASE WHEN target = 'A' OR kind = 'CALL' THEN kind END IGNORE NULLS) OVER w AS ak, last_value(CASE WHEN target = 'A' OR kind = 'CALL' THEN literal END RESPECT NULLS) OVER w AS raw,
+  SELECT *, last_value(CASE WHEN target = 'A' THEN kind END IGNORE NULLS) OVER w AS ak,
     last_value(CASE WHEN kind = 'ASSIGN_LITERAL' AND target = 'A' THEN literal END IGNORE NULLS) OVER w AS al
   FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 )
-SELECT event_id::VARCHAR AS statement_id, target, CASE WHEN kind = 'ASSIGN_LITERAL' THEN 'DIRECT' WHEN kind = 'COMPUTE' THEN 'INVALIDATED' WHEN kind = 'CALL' THEN 'BARRIER' WHEN ak = 'ASSIGN_LITERAL' THEN 'PROPAGATED' ELSE 'UNRESOLVED_COPY' END AS status,
+SELECT event_id::VARCHAR AS statement_id, target,
+  CASE WHEN kind = 'ASSIGN_LITERAL' THEN 'DIRECT' WHEN kind = 'COMPUTE' THEN 'INVALIDATED' WHEN ak = 'ASSIGN_LITERAL' THEN 'PROPAGATED' ELSE 'UNRESOLVED_COPY' END AS status,
   CASE WHEN kind = 'ASSIGN_LITERAL' THEN literal WHEN kind = 'COPY' AND ak = 'ASSIGN_LITERAL' THEN al END AS literal
-FROM a
+FROM a WHERE kind <> 'CALL'
 """)
 def e08_followed_constants(t: Tables) -> DataFrame:
-    """Literals followed statement by statement within each user's paragraph."""
+    """Literals followed statement by statement within each user's paragraph; calls without arguments change nothing."""
     s = _statements(t)
-    return E.branching_constants(s, E.statement_effects(s)).select("statement_id", "target", "status", "literal")
+    return N.branching_constants(s, E.statement_effects(s)).select("statement_id", "target", "status", "literal")
+
+
+#: An order's lines as a paragraph: A gets a literal or B a copy of it, and a call passes A on in some way.
+_CALLS = """l AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_orderkey::VARCHAR AS p,
+    l_partkey % 3 AS m, l_suppkey % 7 AS way, trunc(l_quantity)::INT::VARCHAR AS v
+  FROM lineitem
+), kinds AS (
+  SELECT p, n, p || '.' || n AS statement_id, v, CASE m WHEN 0 THEN 'LITERAL' WHEN 1 THEN 'COPY' ELSE 'CALL' END AS kind, way,
+    m = 2 AND way IN (2, 3, 5) AS forgets, m = 2 AND way = 4 AS clears
+  FROM l
+), seen AS (
+  SELECT *, last_value(CASE WHEN kind = 'LITERAL' THEN n WHEN forgets OR clears THEN 0 END IGNORE NULLS) OVER w AS a_at,
+    last_value(CASE WHEN kind = 'LITERAL' THEN v END IGNORE NULLS) OVER w AS a,
+    max(CASE WHEN kind = 'COPY' THEN n END) OVER w AS b_at, max(CASE WHEN clears THEN n END) OVER w AS cleared
+  FROM kinds WINDOW w AS (PARTITION BY p ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), known AS (
+  SELECT *, coalesce(a_at, 0) > 0 AS a_known FROM seen
+), live AS (
+  SELECT k.*, c.a_known AND coalesce(k.b_at, 0) > coalesce(k.cleared, 0) AS b_known FROM known k LEFT JOIN known c ON k.p = c.p AND k.b_at = c.n
+)"""
+
+
+def _calls(t: Tables) -> DataFrame:
+    """The statements of ``_CALLS``: seven ways to pass A, by content, by value, by reference, in an unknown mode, without a shape, as what is returned, or not at all."""
+    by_line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    line = t.lineitem.withColumn("n", F.row_number().over(by_line))
+    m, way, p = F.col("l_partkey") % 3, (F.col("l_suppkey") % 7).cast("int"), F.col("l_orderkey").cast("string")
+    none, text = F.expr("cast(array() as array<string>)"), lambda x: F.lit(x).cast("string")
+    a = lambda name, mode: F.array(F.struct(text(name).alias("name"), text(mode).alias("mode"), text(None).alias("literal"), F.lit(False).alias("omitted")))
+    passed = F.when(way == 0, a("A", "CONTENT")).when(way == 1, a("A", "VALUE")).when(way == 2, a("A", "REFERENCE")).when(way == 3, a("A", "UNKNOWN")).when(way == 4, a(None, "UNKNOWN"))
+    return line.select(
+        F.lit("P").alias("program"), p.alias("paragraph"), F.concat_ws(".", p, F.col("n").cast("string")).alias("statement_id"), F.col("n").alias("pos"), F.when(m == 2, "CALL").otherwise("MOVE").alias("kind"),
+        F.when(m == 0, F.array(F.lit("A"))).when(m == 1, F.array(F.lit("B"))).otherwise(none).alias("targets"), F.when(m == 1, F.array(F.lit("A"))).otherwise(none).alias("sources"),
+        F.when(m == 0, F.array(F.col("l_quantity").cast("int").cast("string"))).otherwise(none).alias("literals"), text(None).alias("condition_target"), F.lit(None).cast("boolean").alias("condition_value"),
+        text(None).alias("parent_id"), text(None).alias("branch_kind"), text(None).alias("branch_condition"), F.when(m == 2, passed).alias("arguments"), F.when((m == 2) & (way == 5), "A").alias("returning"),
+    )
+
+
+@query(f"""
+WITH {_CALLS}
+SELECT statement_id, 'A' AS target, 'DIRECT' AS status, v AS literal FROM live WHERE kind = 'LITERAL'
+UNION ALL SELECT statement_id, 'B', CASE WHEN a_known THEN 'PROPAGATED' ELSE 'UNRESOLVED_COPY' END, CASE WHEN a_known THEN a END FROM live WHERE kind = 'COPY'
+UNION ALL SELECT statement_id, 'A', 'INVALIDATED', NULL FROM live WHERE forgets OR (clears AND a_known)
+UNION ALL SELECT statement_id, 'B', 'INVALIDATED', NULL FROM live WHERE clears AND b_known
+""")
+def e08_calls(t: Tables) -> DataFrame:
+    """What calls make unknown, by how they pass a name: what goes by reference, in an unknown mode or comes back; all, if an argument has no shape."""
+    s = _calls(t)
+    return N.branching_constants(s, E.statement_effects(s)).select("statement_id", "target", "status", "literal")
+
+
+@query(f"""
+WITH {_CALLS}
+SELECT statement_id, 'CALL_BOUNDARY' AS reason, clears, CASE WHEN forgets THEN 'A' ELSE concat_ws(',', CASE WHEN a_known THEN 'A' END, CASE WHEN b_known THEN 'B' END) END AS affected,
+  'barrier::P::' || p || '::P::' || p || '::root::' || statement_id || '::CALL_BOUNDARY::0' AS barrier_id
+FROM live WHERE forgets OR clears
+""")
+def e09_barriers(t: Tables) -> DataFrame:
+    """Barriers with their reason, the names they make unknown, and stable ids."""
+    s = _calls(t)
+    barriers = N.numbered_barriers(N.propagate(s, E.statement_effects(s))[1])
+    return barriers.select("statement_id", "reason", "clears", F.array_join("affected", ",").alias("affected"), "barrier_id")
 
 
 @query("""
@@ -90,21 +155,36 @@ def e03_set_effects(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS m FROM orders)
-SELECT o_orderkey AS statement_id, 0 AS ordinal, CASE m WHEN 0 THEN 'JUMP' WHEN 1 THEN 'PERFORM' WHEN 2 THEN 'SQL_WRITE' WHEN 3 THEN 'SQL' WHEN 4 THEN 'CALL' WHEN 5 THEN 'END' WHEN 6 THEN 'UNKNOWN' ELSE 'PRESERVED' END AS kind, CASE WHEN m = 2 THEN 'A' END AS target,
-  CASE WHEN m IN (2, 4, 8) THEN 'PARTIAL' WHEN m = 6 THEN 'UNKNOWN' ELSE 'DETERMINISTIC' END AS support FROM o WHERE m <> 7
-UNION ALL SELECT o_orderkey, 1, 'SQL_WRITE', 'B', 'PARTIAL' FROM o WHERE m = 2
+WITH o AS (
+  SELECT o_orderkey, o_orderkey % 13 AS m, o_custkey % 5 AS way, 'PARA-' || (o_custkey % 10) AS away FROM orders
+), e AS (
+  SELECT *, CASE m WHEN 0 THEN 'JUMP' WHEN 1 THEN 'PERFORM' WHEN 2 THEN 'SQL_WRITE' WHEN 3 THEN 'SQL' WHEN 4 THEN 'CALL' ELSE 'PRESERVED' END AS kind FROM o WHERE m <> 7 AND NOT (m = 4 AND way = 4)
+)
+SELECT o_orderkey AS statement_id, 0 AS ordinal, kind, CASE WHEN m = 2 THEN 'A' END AS target,
+  CASE WHEN m IN (1, 2, 3) OR (m = 4 AND way > 0) THEN 'PARTIAL' WHEN kind = 'PRESERVED' THEN 'PRESERVED' ELSE 'DETERMINISTIC' END AS support,
+  CASE m WHEN 1 THEN 'PERFORM_LOOP_CONTROL_NOT_FULLY_REPRESENTED' WHEN 4 THEN CASE way WHEN 1 THEN 'CALL_ARGUMENT_PARTIAL' WHEN 2 THEN 'CALL_DYNAMIC_TARGET_UNRESOLVED' WHEN 3 THEN 'CALL_RETURNING_PARTIAL' END
+    WHEN 5 THEN 'PROGRAM_TERMINATION_HAS_NO_DATA_EFFECT' WHEN 6 THEN 'STATEMENT_TEXT_PRESERVED_WITHOUT_SEMANTIC_EFFECT' WHEN 8 THEN 'CALCULATION_TARGET_UNAVAILABLE'
+    WHEN 9 THEN 'CONTROL_TRANSFER_TARGET_UNAVAILABLE' WHEN 10 THEN 'CONTROL_TRANSFER_TARGET_UNAVAILABLE' WHEN 11 THEN 'PROGRAM_TERMINATION_HAS_NO_DATA_EFFECT' WHEN 12 THEN 'STATEMENT_TEXT_PRESERVED_WITHOUT_SEMANTIC_EFFECT' END AS note,
+  CASE WHEN m IN (0, 1) THEN CASE WHEN way = 0 THEN away || ',PARA-X' ELSE away END END AS control_targets, CASE WHEN m = 4 THEN CASE WHEN way = 1 THEN '?:UNKNOWN' ELSE 'X:REFERENCE' END END AS arguments
+FROM e
+UNION ALL SELECT o_orderkey, 1, 'SQL_WRITE', 'B', 'PARTIAL', NULL, NULL, NULL FROM o WHERE m = 2
+UNION ALL SELECT o_orderkey, 0, 'UNKNOWN', NULL, 'UNKNOWN', 'CALL_WITHOUT_TARGET_KIND', NULL, 'X:REFERENCE' FROM o WHERE m = 4 AND way = 4
 """)
 def e05_control_effects(t: Tables) -> DataFrame:
-    """Jumps, calls, embedded SQL, ends, statements of other kinds, arithmetic without a target; a branch has no effect."""
-    m = (F.col("o_orderkey") % 9).cast("int")
-    none = F.expr("cast(array() as array<string>)")
-    kinds = F.array(*[F.lit(x) for x in ("GO_TO", "PERFORM", "EXEC_SQL", "EXEC_SQL", "CALL", "STOP_RUN", "DISPLAY", "IF", "COMPUTE")])
+    """Jumps with and without targets, calls with their arguments, embedded SQL, ends, statements of other kinds, arithmetic without a target; a branch has no effect."""
+    m, way = (F.col("o_orderkey") % 13).cast("int"), F.col("o_custkey") % 5
+    none, text = F.expr("cast(array() as array<string>)"), lambda x: F.lit(x).cast("string")
+    kinds = F.array(*[F.lit(x) for x in ("GO_TO", "PERFORM", "EXEC_SQL", "EXEC_SQL", "CALL", "STOP_RUN", "DISPLAY", "IF", "COMPUTE", "GO_TO", "PERFORM", "GOBACK", "ACCEPT")])
+    away = F.concat(F.lit("PARA-"), (F.col("o_custkey") % 10).cast("string"))
+    argument = F.struct(F.when(way != 1, "X").alias("name"), F.when(way == 1, "UNKNOWN").otherwise("REFERENCE").alias("mode"), text(None).alias("literal"), F.lit(False).alias("omitted"))
     s = t.orders.select(
         F.lit("P").alias("program"), F.lit("X").alias("paragraph"), F.col("o_orderkey").alias("statement_id"), F.col("o_orderkey").alias("pos"), F.get(kinds, m).alias("kind"),
-        F.when(m == 2, F.array(F.lit("A"), F.lit("B"))).otherwise(none).alias("targets"), none.alias("sources"), none.alias("literals"), F.lit(None).cast("string").alias("condition_target"), F.lit(None).cast("boolean").alias("condition_value"),
+        F.when(m == 2, F.array(F.lit("A"), F.lit("B"))).otherwise(none).alias("targets"), none.alias("sources"), none.alias("literals"), text(None).alias("condition_target"), F.lit(None).cast("boolean").alias("condition_value"),
+        F.when(m.isin(0, 1), F.when(way == 0, F.array(away, F.lit("PARA-X"))).otherwise(F.array(away))).when(m == 9, none).alias("target_paragraphs"),
+        F.when(m == 4, F.array(argument)).alias("arguments"), F.when((m == 4) & (way == 3), "R").alias("returning"), F.when(way == 2, "DYNAMIC").when(way != 4, "LITERAL").alias("call_kind"),
     )
-    return E.statement_effects(s).select("statement_id", "ordinal", "kind", "target", "support")
+    passed = F.array_join(F.transform("arguments", lambda a: F.concat_ws(":", F.coalesce(a["name"], F.lit("?")), a["mode"])), ",")
+    return E.statement_effects(s).select("statement_id", "ordinal", "kind", "target", "support", "note", F.array_join("control_targets", ",").alias("control_targets"), passed.alias("arguments"))
 
 
 @query("""
@@ -136,7 +216,7 @@ def e07_branching(t: Tables) -> DataFrame:
         F.when(moves, F.array(F.col("l_quantity").cast("int").cast("string"))).otherwise(none).alias("literals"), null.alias("condition_target"), F.lit(None).cast("boolean").alias("condition_value"),
         F.when(child, F.concat(F.col("l_orderkey").cast("string"), F.lit(".2"))).alias("parent_id"), F.when(child, F.when(F.col("l_returnflag") == "R", "THEN").otherwise("ELSE")).alias("branch_kind"), null.alias("branch_condition"),
     )
-    return E.branching_constants(s, E.statement_effects(s)).select("statement_id", "target", "status", "literal", "steps")
+    return N.branching_constants(s, E.statement_effects(s)).select("statement_id", "target", "status", "literal", "steps")
 
 
 @query("""

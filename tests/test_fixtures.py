@@ -8,6 +8,7 @@ from strandgraph.operators import candidates as X
 from strandgraph.operators import effects as E
 from strandgraph.operators import graph as G
 from strandgraph.operators import joins as J
+from strandgraph.operators import propagation as N
 from strandgraph.operators import resolve as R
 
 EDGE = "src string, dst string"
@@ -88,7 +89,7 @@ def statements(spark, rows):
 
 def follow(spark, rows):
     s = statements(spark, rows)
-    return [(r.statement_id, r.status, r.literal, r.steps) for r in E.branching_constants(s, E.statement_effects(s)).orderBy("ordinal").collect()]
+    return [(r.statement_id, r.status, r.literal, r.steps) for r in N.branching_constants(s, E.statement_effects(s)).orderBy("ordinal").collect()]
 
 
 def test_copies_and_branches(spark):
