@@ -9,11 +9,14 @@ nothing; the driver sees counts alone.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandgraph.operators.lists import tour
+from strandgraph.operators.prefix import running
 from strandgraph.store import stash
 
 
@@ -91,48 +94,94 @@ def collapse(sites: DataFrame, src: str, dst: str, site: str) -> DataFrame:
     return sites.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst")).agg(F.array_sort(F.collect_set(site)).alias("sites")).withColumn("recursive", F.col("src") == F.col("dst"))
 
 
+def _inner(edges: DataFrame) -> DataFrame:
+    """(node, before, after) of nodes with one edge in and one out."""
+    ins = edges.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"), F.min("u").alias("before"))
+    outs = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_out"), F.min("v").alias("after"))
+    return ins.join(outs, "node").where("n_in = 1 and n_out = 1").select("node", "before", "after")
+
+
+def _path_ends(inner: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, before, after) of ``inner`` with the first nodes outside of it on
+    both sides, and (node, ring) of those on a ring without any, ring its
+    greatest node. Pointers double, so a path of n nodes takes log2(n) rounds."""
+    ids = inner.select(F.col("node").alias("n_"))
+    seen = lambda df, side: df.join(ids, df[side] == F.col("n_"), "left").withColumn(f"open_{side}", F.col("n_").isNotNull()).drop("n_")
+    now = stash(seen(seen(inner, "before"), "after").withColumn("ring", F.col("node")), "paths")
+    for _ in range(max(1, inner.count().bit_length())):
+        going = F.col("open_before") | F.col("open_after")
+        if now.where(going).isEmpty():
+            break
+        back = now.select(F.col("node").alias("before"), F.col("before").alias("b_"), F.col("open_before").alias("ob_"))
+        on = now.select(F.col("node").alias("after"), F.col("after").alias("a_"), F.col("open_after").alias("oa_"), F.col("ring").alias("r_"))
+        moved = now.where(going).join(back, "before", "left").join(on, "after", "left")
+        now = stash(now.where(~going).unionByName(moved.select(
+            "node", F.coalesce("b_", "before").alias("before"), F.coalesce("a_", "after").alias("after"), F.coalesce("ob_", F.lit(False)).alias("open_before"), F.coalesce("oa_", F.lit(False)).alias("open_after"), F.greatest("ring", "r_").alias("ring"),
+        )), "paths")
+    return now.where("not open_before").select("node", "before", "after"), now.where("open_before").select("node", "ring")
+
+
 def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of a directed graph; component is its largest member.
 
-    Colours: every node takes the largest node that reaches it; a node with
-    its own colour is the root of a component, which is what leads back to the
-    root within the colour. Those go and the rest starts again. Nodes without
-    an edge in or out on either side are components of their own at once.
+    Paths of nodes with one edge in and one out become one edge first, each
+    time anew, so a long chain takes few rounds: what lies on a path is in the
+    component of its ends if they share one, else alone. Then nodes without an
+    edge in or out are components of their own. In what is left every node
+    takes the largest node that reaches it as its colour; a node with its own
+    colour is the root of a component, which is what leads back to the root
+    within the colour. Those go and the rest starts again.
     """
     e = stash(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct(), "edges")
     left = stash(e.select(F.col("u").alias("node")).union(e.select("v")).distinct(), "nodes")
-    e, done = e.where("u <> v"), None
-    while True:
+    e, done, folded = stash(e.where("u <> v"), "edges"), [], []
+    while not left.isEmpty():
+        inner = stash(_inner(e), "inner")
+        if not inner.isEmpty():
+            paths, rings = _path_ends(inner)
+            done.append(rings.select("node", F.col("ring").alias("component")))
+            folded.append(stash(paths, "folded"))
+            left = stash(left.join(inner, "node", "left_anti"), "nodes")
+            outer = e.join(inner, e["u"] == inner["node"], "left_anti")
+            ends = folded[-1].select(F.col("node").alias("v"), F.col("after").alias("end"))
+            e = stash(outer.join(ends, "v", "left").select("u", F.coalesce("end", "v").alias("v")).where("u <> v").distinct(), "edges")
         outs, ins = e.select(F.col("u").alias("node")).distinct(), e.select(F.col("v").alias("node")).distinct()
         core = stash(left.join(outs, "node", "left_semi").join(ins, "node", "left_semi"), "core")
-        single = left.join(core, "node", "left_anti").select("node", F.col("node").alias("component"))
-        done = single if done is None else done.union(single)
-        if core.isEmpty():
-            return done
-        inner = stash(e.join(core, F.col("u") == core["node"], "left_semi").join(core, F.col("v") == core["node"], "left_semi"), "edges")
+        alone = left.join(core, "node", "left_anti")
+        done.append(stash(alone.select("node", F.col("node").alias("component")), "alone"))
+        within = lambda df, nodes: df.join(nodes, df["u"] == nodes["node"], "left_semi").join(nodes, df["v"] == nodes["node"], "left_semi")
+        cut, left = stash(within(e, core), "edges"), core
+        if not done[-1].isEmpty() or left.isEmpty():  # that may have opened new paths
+            e = cut
+            continue
         colour = core.select("node", F.col("node").alias("colour"))
         while True:
-            push = inner.join(colour, F.col("u") == F.col("node")).select(F.col("v").alias("node"), "colour")
+            push = cut.join(colour, F.col("u") == F.col("node")).select(F.col("v").alias("node"), "colour")
             new = stash(colour.union(push).groupBy("node").agg(F.max("colour").alias("colour")), "colours")
             moved = new.join(colour.withColumnRenamed("colour", "old"), "node").where("colour <> old")
-            stop = moved.isEmpty()
-            colour = new
+            stop, colour = moved.isEmpty(), new
             if stop:
                 break
-        same = inner.join(colour.select(F.col("node").alias("u"), F.col("colour").alias("cu")), "u").join(colour.select(F.col("node").alias("v"), F.col("colour").alias("cv")), "v").where("cu = cv").select("u", "v")
+        same = cut.join(colour.select(F.col("node").alias("u"), F.col("colour").alias("cu")), "u").join(colour.select(F.col("node").alias("v"), F.col("colour").alias("cv")), "v").where("cu = cv").select("u", "v")
         same = stash(same, "edges")
-        found = stash(colour.where("node = colour"), "found")
-        front = found
-        while True:
+        found = front = stash(colour.where("node = colour"), "found")
+        while not front.isEmpty():
             new = same.join(front, F.col("v") == F.col("node")).select(F.col("u").alias("node"), "colour").distinct().join(found, "node", "left_anti")
             front = stash(new, "front")
-            if front.isEmpty():
-                break
-            found = found.union(front)
-        found = stash(found, "found")
-        done = done.union(found.select("node", F.col("colour").alias("component")))
+            found = stash(found.union(front), "found")
+        done.append(found.select("node", F.col("colour").alias("component")))
         left = stash(core.join(found, "node", "left_anti"), "nodes")
-        e = stash(inner.join(left, F.col("u") == left["node"], "left_semi").join(left, F.col("v") == left["node"], "left_semi"), "edges")
+        e = stash(within(cut, left), "edges")
+    if not done:
+        return left.select("node", F.col("node").alias("component"))
+    out = stash(reduce(DataFrame.union, done), "components")
+    for paths in reversed(folded):
+        ends = paths.join(out.select(F.col("node").alias("before"), F.col("component").alias("cb")), "before").join(out.select(F.col("node").alias("after"), F.col("component").alias("ca")), "after")
+        out = stash(out.union(ends.select("node", F.when(F.col("cb") == F.col("ca"), F.col("cb")).otherwise(F.col("node")))), "components")
+    if not folded:
+        return out
+    largest = out.groupBy("component").agg(F.max("node").alias("largest"))
+    return out.join(largest, "component").select("node", F.col("largest").alias("component"))
 
 
 def cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame]:
@@ -149,19 +198,70 @@ def cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[DataFr
     return big.join(held, "component"), marked.select("src", "dst", (F.col("ca").isNotNull() & F.col("cb").isNotNull()).alias("part_of_cycle"))
 
 
-def levels(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", fold_every: int = 8) -> DataFrame:
     """(node, level): the longest path that leads to the node from one without
-    an edge in; nodes on or behind a cycle have a null level."""
-    e = stash(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct(), "edges")
-    left, done, level = stash(nodes.select(F.col(node).alias("node")).distinct(), "nodes"), None, 0
+    an edge in; nodes on or behind a cycle have a null level.
+
+    A round takes the nodes that nothing leads to any more and passes their
+    levels on. At first, and every ``fold_every`` rounds, paths of nodes with
+    one edge in and one out become one edge with their length, so chains take
+    few rounds. A level on a path is the level where it begins plus the way,
+    or what was passed to a node of the path plus the way from there if that
+    is more; both come by pointer doubling.
+    """
+    e = stash(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct().withColumn("way", F.lit(1)), "edges")
+    left = stash(nodes.select(F.col(node).alias("node")).distinct().withColumn("best", F.lit(0)), "nodes")
+    done, folded, rounds = None, [], 0
+    none = left.select("node").limit(0)
+    circling = none
     while True:
-        now = stash(left.join(e.select(F.col("v").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)), "level")
-        done = now if done is None else done.union(now)
+        if rounds % fold_every == 0:
+            inner = _inner(e).join(left, "node").select("node", F.col("before").alias("to"), "best")
+            inner = stash(inner.join(e.select(F.col("v").alias("node"), "way"), "node"), "inner")
+            if not inner.isEmpty():
+                begun, rings = _from_begin(inner)
+                folded.append(stash(begun, "folded"))
+                circling = circling.union(rings.select("node"))
+                left = stash(left.join(inner, "node", "left_anti"), "nodes")
+                last = folded[-1].select(F.col("node").alias("u"), F.col("to").alias("begin"), F.col("way").alias("before"), F.col("best").alias("passed"))
+                tied = e.join(inner.select(F.col("node").alias("v")), "v", "left_anti").join(rings.select(F.col("node").alias("u")), "u", "left_anti").join(last, "u", "left")
+                tied = stash(tied.select(F.coalesce("begin", "u").alias("u"), "v", (F.col("way") + F.coalesce("before", F.lit(0))).alias("way"), (F.col("passed") + F.col("way")).alias("passed")), "tied")
+                left = _raised(left, tied.where("passed is not null").select(F.col("v").alias("node"), "passed"))
+                # An edge of a path to its own begin is a cycle: it stays and holds its end up.
+                e = stash(tied.groupBy("u", "v").agg(F.max("way").alias("way")), "edges")
+        now = stash(left.join(e.select(F.col("v").alias("node")).distinct(), "node", "left_anti").select("node", F.col("best").alias("level")), "level")
+        done = now if done is None else stash(done.union(now), "done")
         if now.isEmpty():
-            return done.union(left.select("node", F.lit(None).cast("int").alias("level")))
-        left = stash(left.join(now, "node", "left_anti"), "nodes")
-        e = stash(e.join(now, F.col("u") == now["node"], "left_anti"), "edges")
-        level += 1
+            break
+        passed = e.join(now, e["u"] == now["node"]).select(F.col("v").alias("node"), (F.col("level") + F.col("way")).alias("passed"))
+        left = _raised(left.join(now, "node", "left_anti"), passed)
+        e = stash(e.join(now, e["u"] == now["node"], "left_anti"), "edges")
+        rounds += 1
+    out = done.union(left.select("node", F.lit(None).cast("int"))).union(circling.select("node", F.lit(None).cast("int")))
+    for paths in reversed(folded):
+        begin = out.select(F.col("node").alias("to"), "level")
+        out = stash(out.union(paths.join(begin, "to", "left").select("node", F.when(F.col("level").isNotNull(), F.greatest(F.col("level") + F.col("way"), "best")))), "levels")
+    return out
+
+
+def _raised(left: DataFrame, passed: DataFrame) -> DataFrame:
+    more = passed.groupBy("node").agg(F.max("passed").alias("passed"))
+    return stash(left.join(more, "node", "left").select("node", F.greatest("best", F.coalesce("passed", F.lit(0))).alias("best")), "nodes")
+
+
+def _from_begin(inner: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, to, way, best) of ``inner``, whose ``to`` is the node before, with
+    the first node outside of it instead, the way from there, and the most that
+    was passed to the path up to the node plus the way; and the nodes of rings."""
+    ids = inner.select(F.col("node").alias("n_"))
+    now = stash(inner.join(ids, inner["to"] == F.col("n_"), "left").select("node", "to", "way", "best", F.col("n_").isNotNull().alias("open")), "paths")
+    for _ in range(max(1, inner.count().bit_length())):
+        if now.where("open").isEmpty():
+            break
+        back = now.select(F.col("node").alias("to"), F.col("to").alias("t_"), F.col("way").alias("w_"), F.col("best").alias("b_"), F.col("open").alias("o_"))
+        moved = now.where("open").join(back, "to").select("node", F.col("t_").alias("to"), (F.col("way") + F.col("w_")).alias("way"), F.greatest(F.col("best"), F.col("b_") + F.col("way")).alias("best"), F.col("o_").alias("open"))
+        now = stash(now.where("not open").unionByName(moved), "paths")
+    return now.where("not open").drop("open"), now.where("open").select("node")
 
 
 def ordered_calls(calls: DataFrame, group: str, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -238,33 +338,27 @@ def pruned_descent(tree: DataFrame, roots: DataFrame, stop: Column, node: str =
 def subtree_has(tree: DataFrame, flag: Column, node: str = "node", parent: str = "parent") -> DataFrame:
     """(node, found): whether ``flag`` holds for the node or anything below it.
 
-    Marked nodes mark their parents, a level a round; each node is marked once.
+    Nodes are numbered by a tour; the running number of marked nodes, in order
+    of entering, is looked up where a node is entered and left. Nodes of a
+    cyclic part are not numbered: their marks go up a level a round.
     """
-    t = stash(tree.where(F.col(node).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.coalesce(flag, F.lit(False)).alias("flag")), "tree")
-    marked = front = stash(t.where("flag").select("node").distinct(), "marked")
+    t = stash(tree.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(parent).alias("parent"), F.max(F.coalesce(flag, F.lit(False))).alias("flag")), "tree")
+    numbers = stash(tour(t), "tour")
+    marks = numbers.join(t.where("flag").select("node"), "node", "left_semi")
+    places = numbers.select("root", F.col("enter").alias("at"), F.lit(0).alias("mark"), "node", F.lit(True).alias("enters"))
+    places = places.unionByName(numbers.select("root", F.col("leave").alias("at"), F.lit(0).alias("mark"), "node", F.lit(False).alias("enters")))
+    places = places.unionByName(marks.select("root", F.col("enter").alias("at"), F.lit(1).alias("mark"), F.lit(None).cast(t.schema["node"].dataType).alias("node"), F.lit(True).alias("enters")))
+    counted = running(places, ["root", "at", "mark"], "mark", "marks").where("node is not null")
+    found = counted.groupBy("node").agg((F.max(F.when(~F.col("enters"), F.col("before"))) > F.max(F.when(F.col("enters"), F.col("before")))).alias("found"))
+    found = stash(found, "found")
+    rest = stash(t.join(found, "node", "left_anti"), "cyclic")
+    marked = front = stash(rest.where("flag").select("node"), "marked")
     while not front.isEmpty():
-        up = t.join(front, "node", "left_semi").select(F.col("parent").alias("node")).where("node is not null").distinct()
-        front = stash(up.join(marked, "node", "left_anti"), "marked")
+        up = rest.join(front, "node", "left_semi").select(F.col("parent").alias("node")).where("node is not null").distinct()
+        front = stash(up.join(rest, "node", "left_semi").join(marked, "node", "left_anti"), "marked")
         marked = marked.union(front)
-    return t.select("node").distinct().join(marked.withColumn("found", F.lit(True)), "node", "left").select("node", F.coalesce("found", F.lit(False)).alias("found"))
-
-
-def walk_chain(events: DataFrame, group: str, seq: str, event: str, previous: str) -> DataFrame:
-    """(group, status, length): whether each group's linked list is whole.
-
-    EMPTY without events, CYCLIC if an event is named as the previous one of
-    two, BROKEN if a link or number is missing, else VALID. The head has the
-    highest number, the first event number 1 and no previous one.
-    """
-    w = Window.partitionBy(group).orderBy(seq)
-    e = events.withColumn("b_", F.lag(event).over(w)).withColumn("n_", F.lag(seq).over(w))
-    first = F.col("n_").isNull()
-    ok = F.when(first, (F.col(seq) == 1) & F.col(previous).isNull()).otherwise((F.col(seq) == F.col("n_") + 1) & F.col(previous).eqNullSafe(F.col("b_")))
-    back = events.select(F.col(group).alias("g_"), F.col(event).alias("e_"), F.col(seq).alias("s_"))
-    loops = events.join(back, (F.col(group) == F.col("g_")) & (F.col(previous) == F.col("e_")) & (F.col("s_") >= F.col(seq))).select(group).distinct().withColumn("loop", F.lit(True))
-    out = e.groupBy(group).agg(F.count(event).alias("length"), F.coalesce(F.bool_and(ok), F.lit(False)).alias("ok")).join(loops, group, "left")
-    status = F.when(F.col("length") == 0, "EMPTY").when(F.col("loop"), "CYCLIC").when(~F.col("ok"), "BROKEN").otherwise("VALID")
-    return out.select(group, status.alias("status"), "length")
+    others = rest.select("node").join(marked.withColumn("found", F.lit(True)), "node", "left").select("node", F.coalesce("found", F.lit(False)).alias("found"))
+    return found.unionByName(others)
 
 
 def drift(expected: DataFrame, loaded: DataFrame, keys: list[str]) -> DataFrame:
@@ -305,23 +399,36 @@ def leads_to(start: DataFrame, hops: list[tuple[DataFrame, str, str]], goal: Dat
 def under(pairs: DataFrame, tree: DataFrame, node: str = "node", above: str = "above", parent: str = "parent") -> DataFrame:
     """``pairs`` with ``under``: whether ``above`` is the node itself or on its way up.
 
-    Pairs walk up a step a round and leave when they meet, when the way ends,
-    or when it comes back to a node that the pair has passed.
+    Nodes are numbered by a tour, so a pair is one comparison of ranges. Pairs
+    with a node that a cycle leaves without numbers walk up a step a round and
+    leave when they meet, when the way ends, or when it comes back.
     """
-    t = stash(tree.select(F.col(node).alias("at"), F.col(parent).alias("up")).where("at is not null and up is not null").distinct(), "tree")
-    front = stash(pairs.select(F.col(node).alias("n_"), F.col(above).alias("a_")).where("n_ is not null and a_ is not null").distinct().withColumn("at", F.col("n_")), "front")
+    t = stash(tree.select(F.col(node).alias("at"), F.col(parent).alias("up")).where("at is not null").groupBy("at").agg(F.min("up").alias("up")), "tree")
+    numbers = stash(tour(t, "at", "up"), "tour")
+    low = numbers.select(F.col("node").alias("n_"), F.col("root").alias("r_"), F.col("enter").alias("in_"))
+    high = numbers.select(F.col("node").alias("a_"), F.col("root").alias("ar_"), F.col("enter").alias("from_"), F.col("leave").alias("to_"))
+    out = pairs.join(low, F.col(node) == F.col("n_"), "left").join(high, F.col(above) == F.col("a_"), "left")
+    inside = (F.col("r_") == F.col("ar_")) & F.col("in_").between(F.col("from_"), F.col("to_"))
+    same = F.col(node) == F.col(above)
+    out = out.withColumn("under", F.coalesce(inside | same, F.lit(False)))
+    circling = stash(t.join(numbers, t["at"] == numbers["node"], "left_anti"), "cyclic")
+    if circling.isEmpty():
+        return out.select(*[pairs[c] for c in pairs.columns], "under")
+    steps = circling.where("up is not null")
+    front = stash(pairs.select(F.col(node).alias("n_"), F.col(above).alias("a_")).where("n_ is not null and a_ is not null").distinct().join(circling.select(F.col("at").alias("n_")), "n_", "left_semi").withColumn("at", F.col("n_")), "front")
     seen, met = front, None
     while not front.isEmpty():
         hit = front.where("at = a_").select("n_", "a_")
         met = hit if met is None else met.union(hit)
-        new = front.where("at <> a_").join(t, "at").select("n_", "a_", F.col("up").alias("at")).distinct()
+        new = front.where("at <> a_").join(steps, "at").select("n_", "a_", F.col("up").alias("at")).distinct()
         front = stash(new.join(seen, ["n_", "a_", "at"], "left_anti"), "front")
         seen = seen.union(front)
+    out = out.select(*[pairs[c] for c in pairs.columns], "under")
     if met is None:
-        return pairs.withColumn("under", F.lit(False))
-    met = met.distinct().withColumn("under", F.lit(True))
-    out = pairs.join(met, (F.col(node) == F.col("n_")) & (F.col(above) == F.col("a_")), "left")
-    return out.select(*[pairs[c] for c in pairs.columns], F.coalesce("under", F.lit(False)).alias("under"))
+        return out
+    met = met.distinct().withColumn("met_", F.lit(True))
+    out = out.join(met, (F.col(node) == F.col("n_")) & (F.col(above) == F.col("a_")), "left")
+    return out.select(*pairs.columns, (F.col("under") | F.coalesce("met_", F.lit(False))).alias("under"))
 
 
 def generations(rows: DataFrame, group: str, newest_first: list[Column], confirmed: Column, fallback: Column) -> DataFrame:

@@ -211,15 +211,14 @@ def g15_shared_places(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE up AS (SELECT p_partkey AS node, p_partkey AS a FROM part WHERE p_partkey < 400 UNION ALL SELECT node, a // 3 FROM up WHERE a > 0)
-SELECT p_partkey AS node, p_partkey // 7 AS above, EXISTS (SELECT 1 FROM up WHERE node = p_partkey AND a = p_partkey // 7) AS under FROM part WHERE p_partkey < 400
+WITH RECURSIVE up AS (SELECT p_partkey AS node, p_partkey AS a FROM part UNION ALL SELECT node, a // 3 FROM up WHERE a > 0)
+SELECT p_partkey AS node, p_partkey // 7 AS above, EXISTS (SELECT 1 FROM up WHERE node = p_partkey AND a = p_partkey // 7) AS under FROM part
 """)
 def g16_under(t: Tables) -> DataFrame:
     """Whether a node is under another in a tree where the parent of n is n / 3."""
     n = F.col("p_partkey")
-    small = t.part.where("p_partkey < 400")
-    tree = small.select(n.alias("node"), F.when(n > 0, F.floor(n / 3).cast("long")).alias("parent"))
-    return G.under(small.select(n.alias("node"), F.floor(n / 7).cast("long").alias("above")), tree)
+    tree = t.part.select(n.alias("node"), F.when(n > 0, F.floor(n / 3).cast("long")).alias("parent"))
+    return G.under(t.part.select(n.alias("node"), F.floor(n / 7).cast("long").alias("above")), tree)
 
 
 @query("""

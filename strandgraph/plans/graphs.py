@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.operators import graph as G
+from strandgraph.operators import lists as L
 from strandgraph.operators.components import connected_components
 from strandgraph.plans.registry import Tables, query
 
@@ -242,14 +243,50 @@ def g11_subtree_has(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE (conv_id * 13 + turn) % 17 <> 0)
-SELECT conv_id, CASE WHEN bool_and(CASE WHEN p IS NULL THEN turn = 0 ELSE turn = p + 1 END) THEN 'VALID' ELSE 'BROKEN' END AS status, count(*)::BIGINT AS length FROM c GROUP BY conv_id
+WITH RECURSIVE e AS (
+  SELECT conv_id, turn AS event, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 3 WHEN turn > 0 THEN turn - 1 END AS previous FROM conversations WHERE (conv_id * 13 + turn) % 17 <> 0
+), p AS (
+  SELECT conv_id, CASE WHEN conv_id % 11 <> 0 THEN max(turn) - conv_id % 2 END AS head FROM conversations GROUP BY conv_id
+), w AS (
+  SELECT conv_id, head AS here, []::BIGINT[] AS passed FROM p
+  UNION ALL SELECT w.conv_id, e.previous, list_append(w.passed, w.here) FROM w JOIN e ON w.conv_id = e.conv_id AND w.here = e.event WHERE NOT list_contains(w.passed, w.here)
+), z AS (
+  SELECT conv_id, arg_max(here, len(passed)) AS stopped, max(len(passed)) AS length FROM (SELECT conv_id, coalesce(here, -1) AS here, passed FROM w) GROUP BY conv_id
+)
+SELECT z.conv_id, CASE WHEN head IS NULL THEN 'EMPTY' WHEN stopped = -1 THEN 'VALID' WHEN e.event IS NULL THEN 'BROKEN' ELSE 'CYCLIC' END AS status, length,
+  CASE WHEN stopped >= 0 THEN stopped END AS stopped_at
+FROM z JOIN p ON z.conv_id = p.conv_id LEFT JOIN e ON z.conv_id = e.conv_id AND z.stopped = e.event
 """)
 def g12_chain_status(t: Tables) -> DataFrame:
-    """Turns as a linked list, with some turns taken out."""
-    c = t.conversations.where("(conv_id * 13 + turn) % 17 <> 0")
-    c = c.select("conv_id", (F.col("turn") + 1).alias("seq"), F.col("turn").alias("event"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("previous"))
-    return G.walk_chain(c, "conv_id", "seq", "event", "previous")
+    """Turns as a linked list from a pointer, with some turns taken out, some that lead back, some behind the pointer, and some pointers missing."""
+    n = F.col("turn")
+    e = t.conversations.where("(conv_id * 13 + turn) % 17 <> 0").select("conv_id", n.alias("event"), F.when((F.col("conv_id") % 5 == 0) & (n == 1), 3).when(n > 0, n - 1).alias("previous"))
+    head = F.when(F.col("conv_id") % 11 != 0, F.max("turn") - F.col("conv_id") % 2)
+    p = t.conversations.groupBy("conv_id").agg(head.alias("head"))
+    return L.chain_status(p, e, "conv_id", "head", "event", "previous").drop("issues")
+
+
+@query("""
+WITH n AS (
+  SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events
+), e AS (
+  SELECT *, i + CASE WHEN user_id % 7 = 0 AND i > 2 THEN 1 ELSE 0 END AS seq FROM n
+), p AS (
+  SELECT user_id, max(i) AS length, arg_max(event_type, i) AS newest, CASE WHEN user_id % 3 = 0 THEN 'view' ELSE arg_max(event_type, i) END AS active FROM n GROUP BY user_id
+)
+SELECT user_id, length, CASE WHEN (user_id % 7 = 0 AND length > 2) OR newest <> active THEN 'BROKEN' ELSE 'VALID' END AS status,
+  CASE WHEN user_id % 7 = 0 AND length > 2 THEN 'EVENT_SEQUENCE_INVALID' WHEN newest <> active THEN 'EVENT_POINTER_MISMATCH' ELSE '' END AS issues
+FROM p
+""")
+def g13_event_chains(t: Tables) -> DataFrame:
+    """Each user's events as a chain from the latest one: links, numbers that fall by one to 1, and the head's type against the pointer's."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = t.events.select("user_id", "event_id", "event_type", F.row_number().over(order).alias("i"), F.lag("event_id").over(order).alias("previous"))
+    e = e.withColumn("seq", F.col("i") + F.when((F.col("user_id") % 7 == 0) & (F.col("i") > 2), 1).otherwise(0))
+    newest = F.max_by("event_type", "i")
+    p = e.groupBy("user_id").agg(F.max_by("event_id", "i").alias("head"), F.when(F.col("user_id") % 3 == 0, "view").otherwise(newest).alias("active"))
+    out = L.chain_status(p, e, "user_id", "head", "event_id", "previous", "seq", "active", "event_type")
+    return out.select("user_id", "length", "status", F.array_join("issues", ",").alias("issues"))
 
 
 @query("""
