@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandgraph.operators.windows import at_most
 
 
 def three_way(left: DataFrame, right: DataFrame, keys: list[str], value: str, names: tuple[str, str] = ("LEFT_ONLY", "RIGHT_ONLY")) -> DataFrame:
@@ -83,17 +82,6 @@ def anchored(left: DataFrame, right: DataFrame, anchors: list[str], fallback: li
     return full.unionByName(loose).unionByName(only_a).unionByName(only_b)
 
 
-#: Rules that are tried on every text, at most.
-MOST_RULES = 10_000
-
-
-def by_rules(items: DataFrame, rules: DataFrame, text: Column) -> DataFrame:
-    """Every item with each rule (rule_id, tag, pattern, confidence) whose
-    pattern its text holds. Rules are sent to all tasks, so more than
-    MOST_RULES are an error."""
-    return items.join(F.broadcast(at_most(rules, MOST_RULES, "rules")), F.rlike(text, F.col("pattern")))
-
-
 def allowed_endpoints(edges: DataFrame, signatures: DataFrame) -> DataFrame:
     """Edges (type, src_labels, dst_labels) that no signature (type, src_label, dst_label) allows."""
     s = signatures.select(F.col("type").alias("t_"), "src_label", "dst_label")

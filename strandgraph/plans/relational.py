@@ -11,6 +11,7 @@ from strandgraph.operators import checks as C
 from strandgraph.operators import joins as J
 from strandgraph.operators import resolve as R
 from strandgraph.operators import windows as W
+from strandgraph.operators.rules import by_rules
 from strandgraph.plans.registry import Tables, query
 
 
@@ -108,10 +109,23 @@ SELECT p_partkey, CASE WHEN len(tags) = 1 THEN tags[1] END AS tag, CASE WHEN len
 """)
 def j17_rule_tags(t: Tables) -> DataFrame:
     rules = t.spark.createDataFrame(_RULES, "rule_id string, tag string, pattern string, confidence double")
-    m = J.by_rules(t.part.select("p_partkey", "p_type"), rules, F.upper("p_type"))
+    m = by_rules(t.part.select("p_partkey", "p_type"), rules, F.upper("p_type"))
     return A.one_tag_each(m, ["p_partkey"], "tag", "confidence", "rule_id").withColumn("rules", F.array_join("rules", ","))
 
 
+@query("""
+SELECT c_custkey, s_suppkey AS rule_id, s_name AS tag
+FROM customer JOIN supplier ON regexp_matches(c_name, '^(Customer|Supplier)#' || lpad((s_suppkey * 3)::VARCHAR, 9, '0') || '$')
+UNION ALL SELECT c_custkey, -1, 'sevens' FROM customer WHERE regexp_matches(c_name, '7.?7')
+""")
+def j17_rule_per_supplier(t: Tables) -> DataFrame:
+    """A rule for each supplier, met through its literal, and one without a literal that is tried on all names."""
+    pattern = F.concat(F.lit("^(Customer|Supplier)#"), F.lpad((F.col("s_suppkey") * 3).cast("string"), 9, "0"), F.lit("$"))
+    rules = t.supplier.select(F.col("s_suppkey").cast("long").alias("rule_id"), F.col("s_name").alias("tag"), pattern.alias("pattern"))
+    rules = rules.union(t.spark.createDataFrame([(-1, "sevens", "7.?7")], "rule_id long, tag string, pattern string"))
+    return by_rules(t.customer.select("c_custkey", "c_name"), rules, F.col("c_name")).select("c_custkey", "rule_id", "tag")
+
+
 @query("""
 WITH l AS (SELECT o_orderkey AS id, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT o_orderkey AS id, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O'),
 lf AS (SELECT o_custkey, o_orderpriority, min(id) AS i FROM l GROUP BY ALL), rf AS (SELECT o_custkey, o_orderpriority, min(id) AS i FROM r GROUP BY ALL),
