@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandgraph.operators import candidates as X
 from strandgraph.operators import derive as D
 from strandgraph.operators import effects as E
+from strandgraph.operators import guardrail as V
 from strandgraph.operators import propagation as N
 from strandgraph.plans.registry import Tables, query
 
@@ -384,6 +385,68 @@ def x38_unsupported_tokens(t: Tables) -> DataFrame:
     return X.unsupported_tokens(t.documents, t.documents.where("doc_id % 2 = 0"), "source", "doc_id", "text", "text")
 
 
+@query("""
+WITH d AS (
+  SELECT doc_id, coalesce(n_chars, 0) AS n, doc_id % 5 AS way, doc_id % 2 = 0 AS code_ok, doc_id % 3 <> 0 AS table_ok, 'C' || (doc_id % 7) AS code FROM documents
+), c AS (
+  SELECT *, (['$.decision', '$.effects.table_effects[0].table', '$.effects.return_codes[0]', '$.data_context.parameter_tables[0].context_rows[0].value', '$.missing.path'])[way + 1] AS path FROM d
+)
+SELECT doc_id, 'unknown_evidence_path' AS code, path AS detail FROM c WHERE way = 4
+UNION ALL SELECT doc_id, 'unknown_evidence_id', 'nobody' FROM c WHERE doc_id % 11 = 0
+UNION ALL SELECT doc_id, 'unapproved_table_effect', '$.effects.table_effects[0]' FROM c WHERE way = 1 AND NOT table_ok
+UNION ALL SELECT doc_id, 'unapproved_return_code', '$.effects.return_codes[0]' FROM c WHERE way = 2 AND NOT code_ok
+UNION ALL SELECT doc_id, 'unapproved_parameter_row', '$.data_context.parameter_tables[0].context_rows[0]' FROM c WHERE way = 3
+UNION ALL SELECT doc_id, 'unsupported_explicit_literal', code FROM c WHERE NOT (way = 2 AND code_ok)
+UNION ALL SELECT doc_id, 'unsupported_explicit_number', n::VARCHAR FROM c WHERE way <> 3 AND NOT (way = 0 AND contains('limit ' || (n + 1), n::VARCHAR))
+UNION ALL SELECT doc_id, 'unsupported_explicit_date', '2024-01-0' || (way + 1) FROM c WHERE NOT way = 0
+UNION ALL SELECT doc_id, 'ambiguous_date_format', '3/4/2024' FROM c
+""")
+def x38_claim_violations(t: Tables) -> DataFrame:
+    """A context package, a claim and a drafted statement per document: paths and ids that are not there, parts without approval, dates, numbers and quoted codes that nothing cited holds."""
+    n, way, text = F.coalesce("n_chars", F.lit(0)), (F.col("doc_id") % 5).cast("int"), lambda c: c.cast("string")
+    code, day = F.concat(F.lit("C"), text(F.col("doc_id") % 7)), F.concat(F.lit("2024-01-0"), text(way + 1))
+    decision = F.struct(F.concat(F.lit("limit "), text(n + 1)).alias("condition"), day.alias("since"))
+    tables = F.array(F.struct(F.col("source").alias("table"), (F.col("doc_id") % 3 != 0).alias("approved_for_rule_text")))
+    codes = F.array(F.struct(code.alias("code"), (F.col("doc_id") % 2 == 0).alias("approved_for_rule_text")))
+    rows = F.struct(F.array(F.struct(F.array(F.struct(n.alias("value"))).alias("context_rows"))).alias("parameter_tables"))
+    package = F.to_json(F.struct(decision.alias("decision"), F.struct(tables.alias("table_effects"), codes.alias("return_codes")).alias("effects"), rows.alias("data_context")))
+    paths = F.array(*[F.lit(p) for p in ("$.decision", "$.effects.table_effects[0].table", "$.effects.return_codes[0]", "$.data_context.parameter_tables[0].context_rows[0].value", "$.missing.path")])
+    own = F.concat(F.lit("e"), text(F.col("doc_id")))
+    d = t.documents.select(
+        "doc_id", package.alias("package"), F.lit("c1").alias("claim"), F.lit("statement").alias("field"), F.array(F.get(paths, way)).alias("paths"), F.array(F.when(F.col("doc_id") % 11 == 0, "nobody").otherwise(own)).alias("ids"),
+        F.concat(F.lit("code '"), code, F.lit("' with "), text(n), F.lit(" from "), day, F.lit(" or 3/4/2024")).alias("text"), own.alias("id"),
+    )
+    found = V.claim_violations(d, d, V.json_nodes(d, "doc_id", "package"), d, "doc_id")
+    return found.select("doc_id", "code", "detail")
+
+
+@query("""
+WITH r AS (
+  SELECT p_partkey AS id, p_brand AS program, split_part(p_type, ' ', 1) AS family, split_part(p_type, ' ', 2) AS paragraph, split_part(p_type, ' ', 3) AS literal FROM part
+), p AS (
+  SELECT program, count(*) FILTER (WHERE family = 'SMALL' AND literal = 'STEEL') AS a, count(*) FILTER (WHERE family = 'LARGE' AND paragraph = 'PLATED') AS b,
+    count(*) FILTER (WHERE family = 'SMALL' AND literal <> 'STEEL') AS stray, count(*) FILTER (WHERE family <> 'UNKNOWN') AS known FROM r GROUP BY program
+)
+SELECT 'pos ' || program AS case_id, CASE WHEN program LIKE '%3' THEN 'NOT_EVALUATED' WHEN a >= 2 AND b >= 1 THEN 'MATCHED' ELSE 'MISSING' END AS outcome,
+  CASE WHEN program LIKE '%3' THEN 0 ELSE 2 END::BIGINT AS expected, CASE WHEN program LIKE '%3' THEN 0 ELSE (a >= 2)::INT + (b >= 1)::INT END::BIGINT AS matched, CASE WHEN program LIKE '%3' THEN 0 ELSE stray END::BIGINT AS unexpected FROM p
+UNION ALL SELECT 'neg ' || program, 'UNEXPECTED_CANDIDATES', 0, 0, known FROM p
+UNION ALL SELECT 'absent ' || program, 'CONFIRMED_ABSENT', 0, 0, 0 FROM p
+""")
+def x36_cases(t: Tables) -> DataFrame:
+    """Positive and negative cases per brand over all parts: two expectations, stray rows of their scope, a closed world, and fixtures that are not there."""
+    word = lambda i: F.split_part("p_type", F.lit(" "), F.lit(i))
+    rows = t.part.select(F.col("p_partkey").alias("id"), word(1).alias("family"), F.col("p_brand").alias("program"), word(2).alias("paragraph"), word(3).alias("literal"), F.lit(None).cast("string").alias("condition"))
+    brand = t.part.select(F.col("p_brand").alias("b")).distinct()
+    case = lambda name, kind, program, fixture: brand.select(F.concat(F.lit(f"{name} "), "b").alias("case_id"), F.lit(kind).alias("kind"), program.alias("program"), F.array(fixture).alias("fixtures"))
+    there = F.lit("here")
+    cases = case("pos", "POSITIVE", F.col("b"), F.when(F.endswith("b", F.lit("3")), "gone").otherwise("here"))
+    cases = cases.union(case("neg", "NEGATIVE", F.col("b"), there)).union(case("absent", "NEGATIVE", F.concat("b", F.lit("-none")), there))
+    null = F.lit(None).cast("string")
+    want = lambda name, family, paragraph, literal, n: brand.select(F.concat(F.lit("pos "), "b").alias("case_id"), F.lit(name).alias("expectation_id"), F.lit(family).alias("family"), paragraph.alias("paragraph"), literal.alias("literal"), null.alias("condition"), F.lit(n).alias("min_count"))
+    expected = want("a", "SMALL", null, F.lit("STEEL "), 2).union(want("b", "LARGE", F.lit("PLATED"), null, 1))
+    return V.case_verdicts(cases, expected, rows, t.spark.createDataFrame([("here",)], "digest string"))[0].drop("kind")
+
+
 @query("""
 SELECT source, CASE WHEN count(*) FILTER (WHERE quality = 1) = 0 THEN NULL ELSE count(*) FILTER (WHERE quality = 1) / count(*) END AS value, 0.85::DOUBLE AS threshold,
   CASE WHEN count(*) FILTER (WHERE quality = 1) / count(*) >= 0.85 THEN 'PASSED' ELSE 'FAILED' END AS outcome FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY source
