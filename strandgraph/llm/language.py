@@ -148,6 +148,12 @@ def visible_text(html: str | None) -> str:
     return _ENTITY.sub(" ", " ".join(out))
 
 
+def mean_logs(model: TextModel, slots: np.ndarray) -> np.ndarray:
+    """Mean log likelihoods of trigrams, a block of them at a time."""
+    blocks = range(0, len(slots), 1 << 14)
+    return sum(model.logs[slots[i : i + (1 << 14)]].sum(axis=0, dtype=np.float64) for i in blocks) / len(slots)
+
+
 def _log_likelihoods(model: TextModel, weight: int, read: Callable[[str | None], str | None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
@@ -155,7 +161,7 @@ def _log_likelihoods(model: TextModel, weight: int, read: Callable[[str | None],
             for t in b["text"].to_pylist():
                 slots = trigrams(read(t))
                 counts.append(len(slots))
-                scores.append((model.logs[slots].mean(axis=0, dtype=np.float64) * min(len(slots), weight)).tolist() if len(slots) else [0.0] * len(model.languages))
+                scores.append((mean_logs(model, slots) * min(len(slots), weight)).tolist() if len(slots) else [0.0] * len(model.languages))
             keep = [b[n] for n in b.schema.names if n != "text"]
             names = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(scores, pa.list_(pa.float64())), pa.array(counts, pa.int64())], [*names, "logs", "grams"])
@@ -348,9 +354,11 @@ def _verdict(model: TextModel, said: np.ndarray, limits: np.ndarray, allowed: li
 
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series, declared: pd.Series, own: pd.Series, above: pd.Series) -> pd.Series:
-        slots = [trigrams(t) for t in texts]
-        grams = np.array([len(s) for s in slots], np.int64)
-        means = np.stack([model.logs[s].mean(axis=0, dtype=np.float64) if len(s) else np.zeros(len(at)) for s in slots])
+        grams, means = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(at)))
+        for i, t in enumerate(texts):  # one text's trigrams at a time
+            slots = trigrams(t)
+            if len(slots):
+                grams[i], means[i] = len(slots), mean_logs(model, slots)
         logs = means * np.minimum(grams, weight)[:, None] + np.stack([said[at[d]] if d in at else np.zeros(len(at)) for d in declared])
         prior = np.maximum(np.stack(own) - _normal(logs), 0) + strength * np.stack(above)
         post = _normal(logs + np.log(prior))
