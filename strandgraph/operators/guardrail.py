@@ -93,7 +93,7 @@ def claim_violations(claims: DataFrame, drafts: DataFrame, nodes: DataFrame, evi
     quoted = F.regexp_extract_all(F.col("text"), F.lit("""(['"])([A-Z0-9]{1,8})\\1"""), F.lit(2))
     kinds = {"unsupported_explicit_date": iso_dates(F.col("text")), "unsupported_explicit_number": number, "unsupported_explicit_literal": quoted, "ambiguous_date_format": vague}
     each = F.array(*[F.struct(F.lit(code).alias("code"), F.array_distinct(found).alias("found")) for code, found in kinds.items()])
-    tokens = d.select(key, "field", F.explode(each).alias("k")).select(key, "field", "k.code", F.explode("k.found").alias("token")).distinct()
+    tokens = d.select(key, "field", F.explode(each).alias("kind_")).select(key, "field", "kind_.code", F.explode("kind_.found").alias("token")).distinct()
     tokens = stash(tokens, "tokens")
     part = F.nullif(F.regexp_extract("path", RETURN_CODE, 1), F.lit(""))
     ranked = known.withColumn("part", part).join(flags, [key, "part"], "left").select(key, "field", "value", (F.col("path").rlike(DECISION) | (F.col("part").isNotNull() & F.coalesce("ok", F.lit(False)))).alias("ranks"))

@@ -43,11 +43,3 @@ def terminal_name(name: Column) -> Column:
     """The last part of a dotted name, a dot within double quotes not counting; quotes go."""
     last = F.regexp_extract(name, r'("(?:[^"]|"")*"|[^."]+)\s*$', 1)
     return F.when(F.startswith(last, F.lit('"')), F.replace(F.substr(last, F.lit(2), F.length(last) - 2), F.lit('""'), F.lit('"'))).otherwise(F.trim(last))
-
-
-def parameterless_reader(sql: str, **values):
-    """A query text with named parameters, to be run with ``spark.sql(sql, args=values)``."""
-    missing = [k for k in values if f":{k}" not in sql]
-    if missing:
-        raise ValueError(f"no such parameters: {', '.join(missing)}")
-    return lambda spark: spark.sql(sql, args=values)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandgraph.operators import graph as G
 from strandgraph.operators import lists as L
 from strandgraph.operators.components import connected_components
+from strandgraph.operators.templates import Template
 from strandgraph.plans.registry import Tables, query
 
 
@@ -119,6 +123,57 @@ def q4_point_lookup(t: Tables) -> DataFrame:
     return G.chain(o, (line, "o_orderkey", "l_orderkey"), (t.supplier, "l_suppkey", "s_suppkey")).select("o_orderkey", "o_totalprice", "s_suppkey", "s_acctbal")
 
 
+#: The lines Q1, Q4, Q5a and Q6 as texts with parameters, and the values they are asked with.
+TEMPLATES = {
+    "q1": (
+        "SELECT l_orderkey AS id, r_name AS answer FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey "
+        "JOIN {region} ON n_regionkey = r_regionkey WHERE l_returnflag = :flag AND l_quantity >= :least",
+        [{"flag": "R", "least": 49}, {"flag": "A", "least": 50}, {"flag": "it's", "least": 1}],
+    ),
+    "q4": ("SELECT o_orderkey AS id, o_orderpriority AS answer FROM {orders} WHERE o_orderkey = :decision OR o_custkey = :decision", [{"decision": 7}, {"decision": 33}, {"decision": -1}]),
+    "q5a": (
+        "SELECT l_orderkey AS id, l_returnflag AS answer FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE o_orderkey BETWEEN :decision AND :decision + :width",
+        [{"decision": 7, "width": 0}, {"decision": 100, "width": 50}, {"decision": 5, "width": -1}],
+    ),
+    "q6": ("SELECT l_orderkey AS id, l_linestatus AS answer FROM {lineitem} WHERE l_linenumber = :line AND l_quantity = :amount -- not :this", [{"line": 1, "amount": 50}, {"line": 2, "amount": 50.0}, {"line": None, "amount": 50}]),
+}
+
+
+def _templates() -> list[tuple[Template, dict]]:
+    count = lambda text: {n: len(re.findall(rf":{n}\b", text)) for n in re.findall(r":(?!this)(\w+)", text)}
+    return [(Template(name, text, count(text)), values) for name, (text, asked) in TEMPLATES.items() for values in asked]
+
+
+def _asked_sql() -> str:
+    each = []
+    for template, values in _templates():
+        effective = template.effective(**values)
+        table = re.sub(r"\{(\w+)\}", r"\1", effective).replace("-- not :this", "")
+        quoted = lambda x: "'" + x.replace("'", "''") + "'"
+        each.append(f"SELECT *, '{template.name}' AS query, sha256({quoted(template.text)}) AS template_sha256, sha256({quoted(effective)}) AS effective_sha256 FROM ({table})")
+    return " UNION ALL ".join(each)
+
+
+@query(_asked_sql())
+def q9_bound_queries(t: Tables) -> DataFrame:
+    """Four lines as templates, each bound to three sets of values, with the digests of what was meant and of what was run."""
+    tables = {n: getattr(t, n) for n in ("lineitem", "supplier", "nation", "region", "orders")}
+    used = lambda text: {n: df for n, df in tables.items() if f"{{{n}}}" in text}
+    return reduce(DataFrame.unionByName, [template.run(t.spark, used(template.text), **values) for template, values in _templates()])
+
+
+@query("""
+SELECT o_orderkey, max(CASE WHEN l_returnflag = 'R' THEN 'RETURNED' WHEN l_returnflag = 'A' THEN 'ACCEPTED' ELSE 'OPEN' END) AS outcome, count(DISTINCT l_returnflag) AS flags
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey
+""")
+def q5a_outcomes(t: Tables) -> DataFrame:
+    """The outcome of every decision: of an order, by the flags of its lines."""
+    flag = F.col("l_returnflag")
+    word = F.when(flag == "R", "RETURNED").when(flag == "A", "ACCEPTED").otherwise("OPEN")
+    lines = G.chain(t.orders.select("o_orderkey"), (t.lineitem.select("l_orderkey", "l_returnflag"), "o_orderkey", "l_orderkey"))
+    return lines.groupBy("o_orderkey").agg(F.max(word).alias("outcome"), F.count_distinct("l_returnflag").alias("flags"))
+
+
 @query("""
 WITH x AS (SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_quantity = 50)
 SELECT DISTINCT a.l_orderkey, a.l_partkey, p.l_partkey AS before_part, n.l_partkey AS after_part

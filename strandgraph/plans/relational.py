@@ -9,6 +9,7 @@ from strandgraph.functions import scalar as S
 from strandgraph.operators import aggregates as A
 from strandgraph.operators import checks as C
 from strandgraph.operators import joins as J
+from strandgraph.operators import propagation as N
 from strandgraph.operators import resolve as R
 from strandgraph.operators import windows as W
 from strandgraph.operators.rules import by_rules
@@ -99,6 +100,26 @@ def j16_pairs_in_group(t: Tables) -> DataFrame:
     return a.join(b, on).where(F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")) < 200).select("a.s_nationkey", F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"))
 
 
+@query("""
+WITH i AS (
+  SELECT (p_size % 5)::VARCHAR AS program, p_brand || '.' || p_type AS qualified, p_type AS name FROM part
+), s AS (
+  SELECT program, name, count(*) AS n, min(qualified) AS one FROM (SELECT DISTINCT * FROM i) GROUP BY program, name
+), tokens AS (
+  SELECT DISTINCT (p_size % 5)::VARCHAR AS program, unnest([p_type, p_brand || '.' || p_type, upper(p_type) || ' ']) AS token FROM part
+)
+SELECT t.program, token, CASE WHEN q.qualified IS NOT NULL THEN token WHEN s.n = 1 THEN s.one ELSE token END AS identity, q.qualified IS NULL AND coalesce(s.n, 0) > 1 AS ambiguous
+FROM tokens t LEFT JOIN (SELECT DISTINCT program, qualified FROM i) q ON q.program = t.program AND q.qualified = token LEFT JOIN s ON s.program = t.program AND s.name = token
+""")
+def j02_symbols(t: Tables) -> DataFrame:
+    """Names as they are written, without normalising: qualified ones are themselves (the last of equal ones, which are one), simple ones the only item of that name."""
+    items = t.part.select((F.col("p_size") % 5).cast("string").alias("program"), F.concat_ws(".", "p_brand", "p_type").alias("qualified"), F.col("p_type").alias("simple"))
+    tokens = t.part.select((F.col("p_size") % 5).cast("string").alias("program"), F.explode(F.array("p_type", F.concat_ws(".", "p_brand", "p_type"), F.concat(F.upper("p_type"), F.lit(" ")))).alias("token")).distinct()
+    table = N.symbol_table(items.distinct()).withColumnRenamed("name", "token")
+    out = tokens.join(table, ["program", "token"], "left")
+    return out.select("program", "token", F.coalesce("key", "token").alias("identity"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+
+
 _RULES = [("R1", "metal", "STEEL|BRASS|COPPER|TIN|NICKEL", 0.9), ("R2", "plate", "PLATED", 0.7), ("R3", "metal", "STEEL$", 0.95), ("R4", "size", "SMALL|LARGE", 0.5)]
 _RULES_SQL = "rules(rule_id, tag, pattern, confidence) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}::DOUBLE)" for a, b, c, d in _RULES) + ")"
 

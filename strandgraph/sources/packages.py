@@ -56,6 +56,33 @@ def manifests(spark: SparkSession, path: str, row_tag: str, schema: str) -> Data
     return spark.read.format("xml").schema(schema).option("rowTag", row_tag).option("mode", "FAILFAST").load(path)
 
 
+#: What becomes of a manifest file, the first that holds.
+OUTCOMES = ["UNSAFE", "NOT_WELL_FORMED", "SCHEMA_INVALID", "VALUE_INVALID", "VALID"]
+
+
+def manifest_outcomes(files: DataFrame, schema: str, required: dict[str, Column], allowed: dict[str, Column], path: str = "path", content: str = "content") -> DataFrame:
+    """(path, outcome, problems, manifest) per XML file, none of which fails the job.
+
+    UNSAFE has a document type or an entity of its own and is not read;
+    NOT_WELL_FORMED is no XML; SCHEMA_INVALID lacks something ``required``,
+    conditions over columns of ``schema`` by name, all of whose fields are read
+    as text; VALUE_INVALID breaks something ``allowed``. ``problems`` names the
+    conditions that do not hold, sorted; a null condition does not hold.
+    ``manifest`` is null but for VALID ones.
+    """
+    text = F.col(content).cast("string")
+    unsafe = F.coalesce(text.rlike(r"(?i)<!(DOCTYPE|ENTITY)\b"), F.lit(False))
+    read = F.from_xml(F.when(~unsafe, text), f"{schema}, broken_ string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken_"})
+    held = files.select(F.col(path).alias("path"), unsafe.alias("unsafe_"), F.coalesce(F.trim(text) == "", F.lit(True)).alias("blank_"), read.alias("m_")).select("*", "m_.*")
+    wrong = lambda rules: F.array_sort(F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()])))
+    held = held.withColumns({"lacks_": wrong(required), "bad_": wrong(allowed)})
+    broken = F.col("blank_") | F.col("m_").isNull() | F.col("broken_").isNotNull()
+    outcome = F.when(F.col("unsafe_"), OUTCOMES[0]).when(broken, OUTCOMES[1]).when(F.size("lacks_") > 0, OUTCOMES[2]).when(F.size("bad_") > 0, OUTCOMES[3]).otherwise(OUTCOMES[4])
+    out = held.withColumn("outcome", outcome)
+    problems = F.when(F.col("outcome") == OUTCOMES[2], F.col("lacks_")).when(F.col("outcome") == OUTCOMES[3], F.col("bad_")).otherwise(F.expr("cast(array() as array<string>)"))
+    return out.select("path", "outcome", problems.alias("problems"), F.when(F.col("outcome") == OUTCOMES[4], F.col("m_").dropFields("broken_")).alias("manifest"))
+
+
 def snapshot_rows(lines: DataFrame, file: str = "file", number: str = "line_no", text: str = "line", max_rows: int | None = 100_000) -> tuple[DataFrame, DataFrame]:
     """CSV lines with their file and number, to (file, row_number, row_hash, raw,
     normalized) and (file, status).

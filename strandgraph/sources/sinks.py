@@ -52,13 +52,23 @@ def write_rendered(docs: DataFrame, path: str, key: str, text: str) -> DataFrame
 def write_artifact(df: DataFrame, path: str, run: str, stage: str) -> None:
     """One stage's table of one run; written again, it takes the old one's place.
 
-    The new table is written aside and then renamed, so readers see the old
-    one, for a moment none, or the whole new one, never a part of it.
+    The new table is written aside, the old one is renamed aside, and the new
+    one renamed into its place; if that fails, the old one comes back, and only
+    after it the old one goes. Readers see the old one, for a moment none, or
+    the whole new one. Where no reader may ever see none, or where several
+    tables change together, ``versions.publish`` is the way.
     """
     spark = df.sparkSession
-    to, aside = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run}/{x}") for x in (f"stage={stage}", f"_aside-{uuid.uuid4().hex}"))
+    name = uuid.uuid4().hex
+    to, aside, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run}/{x}") for x in (f"stage={stage}", f"_aside-{name}", f"_old-{name}"))
     files = to.getFileSystem(spark._jsc.hadoopConfiguration())
     df.write.parquet(aside.toString())
-    files.delete(to, True)
+    held = files.exists(to)
+    if held and not files.rename(to, old):
+        raise OSError(f"could not rename {to} to {old}")
     if not files.rename(aside, to):
+        if held and not files.rename(old, to):
+            raise OSError(f"could not rename {aside} to {to}, nor {old} back to it")
         raise OSError(f"could not rename {aside} to {to}")
+    if held:
+        files.delete(old, True)
