@@ -36,6 +36,10 @@ def collapse_space(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(text), r"\s+", " "))
 
 
+#: Characters that Markdown reads as markup, and the most digits that open a list.
+MARKUP, LIST_DIGITS = "\\`*_#+-!|(){}[]", 9
+
+
 def markdown_safe(text: Column | str) -> Column:
     """One line with markup characters escaped, for Markdown and HTML.
 
@@ -46,9 +50,12 @@ def markdown_safe(text: Column | str) -> Column:
     t = F.regexp_replace(t, r"^[ \t]+|[ \t]+$", "")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(t, r"([\\`#*_\[\]()!|{}+-])", r"\\$1")
+    t = F.regexp_replace(t, "([" + "".join(f"\\{c}" for c in MARKUP) + "])", r"\\$1")
     t = F.replace(F.replace(t, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
-    return F.regexp_replace(t, r"^(\d{1,9})\.(?=[ \t]|$)", r"$1\\.")
+    number = F.substring_index(t, ".", 1)
+    after = F.substr(t, F.length(number) + 2, F.lit(1))
+    opens = F.contains(t, F.lit(".")) & (F.length(number) <= LIST_DIGITS) & number.rlike("^[0-9]+$") & after.isin("", " ")
+    return F.when(opens, F.concat(number, F.lit("\\."), F.substr(t, F.length(number) + 2, F.length(t)))).otherwise(t)
 
 
 def is_numeric_picture(pic: Column | str) -> Column:
@@ -92,6 +99,7 @@ def canary(denied: Column, allowed: Column, key: Column, percent: int, strategy:
     listed, hashed = strategy.isin(BY_LIST, BY_EITHER), strategy.isin(BY_BUCKET, BY_EITHER)
     listed, hashed = F.coalesce(listed, F.lit(False)), F.coalesce(hashed, F.lit(False))
     bucket = F.when(hashed & ~denied, stable_bucket(key, 100))
+    # The reasons.
     reason = (
         F.when(denied, "denylisted").when(listed & allowed, "allowlisted").when(hashed & (bucket < percent), "bucket_selected")
         .when(hashed, "bucket_not_selected").when(listed, "not_allowlisted").otherwise("strategy_never_selects_without_match")
@@ -142,21 +150,33 @@ def conjuncts(predicate: Column | str, strip_where: bool = False) -> Column:
     return F.when(p != "", F.transform(parts, _bare))
 
 
-#: A column, perhaps quoted, equals a quoted text or a number.
-_COMPARISON = r"^\s*\(?\s*(\"[A-Za-z_][A-Za-z0-9_]*\"|[A-Za-z_][A-Za-z0-9_]*)\s*=\s*('(?:[^']|'')*'|[+-]?\d+(?:\.\d+)?)\s*\)?\s*$"
+_BLANKS = " \t\n\r\x0b\x0c"
 
 
 def comparisons(parts: Column) -> Column:
-    """(column, literal, number) of each ``column = literal``; number is null for quoted text, in which doubled quotes are one."""
+    """(column, literal, number) of each ``column = literal``; number is null for quoted text, in which doubled quotes are one.
 
-    def one(x):
-        raw = F.regexp_extract(x, _COMPARISON, 2)
-        quoted = F.startswith(raw, F.lit("'"))
-        text = F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit("''"), F.lit("'"))
-        column = F.upper(F.replace(F.regexp_extract(x, _COMPARISON, 1), F.lit('"'), F.lit("")))
-        return F.struct(column.alias("column"), F.when(quoted, text).otherwise(raw).alias("literal"), F.when(~quoted, raw.try_cast("double")).alias("number"))
-
-    return F.transform(F.filter(parts, lambda x: x.rlike(_COMPARISON)), one)
+    The column is a name, in double quotes or not. One parenthesis that was
+    left open before it, or closed after the literal, does not count.
+    """
+    blanks = F.lit(_BLANKS)
+    # A transform a step, as what a lambda names twice is worked out twice.
+    x = F.transform(parts, lambda x: F.trim(x, blanks))
+    x = F.transform(x, lambda x: F.when(F.startswith(x, F.lit("(")), F.substr(x, F.lit(2), F.length(x))).otherwise(x))
+    x = F.transform(x, lambda x: F.when(F.endswith(x, F.lit(")")), F.left(x, F.length(x) - 1)).otherwise(x))
+    x = F.transform(x, lambda x: F.struct(F.substring_index(x, "=", 1).alias("l"), x.alias("x")))
+    x = F.filter(x, lambda s: F.length(s["l"]) < F.length(s["x"]))
+    x = F.transform(x, lambda s: F.struct(F.trim(s["l"], blanks).alias("l"), F.trim(F.substr(s["x"], F.length(s["l"]) + 2, F.length(s["x"])), blanks).alias("r")))
+    around = lambda c, mark: (F.length(c) > 1) & F.startswith(c, F.lit(mark)) & F.endswith(c, F.lit(mark))
+    within = lambda c: F.substr(c, F.lit(2), F.length(c) - 2)
+    x = F.transform(x, lambda s: F.struct(
+        F.when(around(s["l"], '"'), within(s["l"])).otherwise(s["l"]).alias("name"), F.when(around(s["r"], "'"), within(s["r"])).alias("inner"), s["r"].alias("r")
+    ))
+    single = lambda s: F.contains(F.replace(s["inner"], F.lit("''"), F.lit("")), F.lit("'"))
+    good = lambda s: s["name"].rlike(r"^[A-Za-z_]\w*$") & F.coalesce(~single(s), s["r"].rlike(r"^[+-]?\d+([.]\d+)?$"))
+    return F.transform(F.filter(x, good), lambda s: F.struct(
+        F.upper(s["name"]).alias("column"), F.coalesce(F.replace(s["inner"], F.lit("''"), F.lit("'")), s["r"]).alias("literal"), F.when(s["inner"].isNull(), s["r"].try_cast("double")).alias("number")
+    ))
 
 
 def predicate_status(parts: Column, found: Column) -> Column:
