@@ -274,12 +274,18 @@ def d15_edge_keys(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_nationkey, coalesce(array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(coalesce(b, []), x))), ','), '') AS only_left, coalesce(array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(coalesce(a, []), x))), ','), '') AS only_right
-FROM (SELECT coalesce(x.c_nationkey, y.c_nationkey) AS c_nationkey, coalesce(a, []) AS a, coalesce(b, []) AS b FROM (SELECT c_nationkey, list(DISTINCT c_mktsegment) AS a FROM customer WHERE c_acctbal > 8500 GROUP BY 1) x FULL JOIN (SELECT c_nationkey, list(DISTINCT c_mktsegment) AS b FROM customer WHERE c_acctbal < 500 GROUP BY 1) y ON x.c_nationkey = y.c_nationkey)
+WITH x AS (
+  SELECT o_custkey, coalesce(list(DISTINCT o_orderpriority) FILTER (WHERE o_orderstatus = 'F'), []) AS a, coalesce(list(DISTINCT o_orderpriority) FILTER (WHERE o_orderstatus <> 'F'), []) AS b FROM orders GROUP BY o_custkey
+)
+SELECT o_custkey, coalesce(array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ','), '') AS only_left,
+  coalesce(array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ','), '') AS only_right
+FROM x
 """)
 def d17_column_sets(t: Tables) -> DataFrame:
-    out = D.column_sets(t.customer.where("c_acctbal > 8500"), t.customer.where("c_acctbal < 500"), ["c_nationkey"], "c_mktsegment")
-    return out.select("c_nationkey", F.array_join("only_left", ",").alias("only_left"), F.array_join("only_right", ",").alias("only_right"))
+    """Priorities of each customer's finished orders and of all others, by what only one side has."""
+    done = F.col("o_orderstatus") == "F"
+    out = D.column_sets(t.orders.where(done), t.orders.where(~done), ["o_custkey"], "o_orderpriority")
+    return out.select("o_custkey", F.array_join("only_left", ",").alias("only_left"), F.array_join("only_right", ",").alias("only_right"))
 
 
 @query("""

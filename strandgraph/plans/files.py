@@ -13,23 +13,28 @@ from strandgraph.store import new_path, stash
 
 
 def _one_file_each(df: DataFrame, key: str, name: str) -> str:
-    """Write (key, value) as a text file per key; the keys are a small dimension."""
+    """Write (key, value) as a text file per key, lines in order."""
     path = new_path(df.sparkSession, name)
-    df.repartition(key).write.partitionBy(key).text(path)
+    df.repartition(key).sortWithinPartitions(key, "value").write.partitionBy(key).text(path)
     return path
 
 
-@query("SELECT n_nationkey::BIGINT AS file, strlen(n_name) + 1 AS size, sha256(n_name || chr(10)) AS sha256, 'UTF-8' AS encoding, NULL::VARCHAR AS kind FROM nation")
-def s04_inventory(t: Tables) -> DataFrame:
-    path = _one_file_each(t.nation.select("n_nationkey", F.col("n_name").alias("value")), "n_nationkey", "package")
-    files = P.inventory(t.spark, path).where("name not like '%_SUCCESS'")
-    return files.select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("long").alias("file"), "size", "sha256", "encoding", "kind")
-
-
 #: Rows of a file that a query writes, so that files stay small at any scale.
 FILE_ROWS = 1000
 
 
+@query("""
+WITH l AS (SELECT p_partkey // 1000 AS file, p_partkey, lpad(p_partkey::VARCHAR, 12, '0') || ' ' || p_name || chr(10) AS line FROM part)
+SELECT file::BIGINT AS file, sum(strlen(line))::BIGINT AS size, sha256(string_agg(line, '' ORDER BY p_partkey)) AS sha256, 'UTF-8' AS encoding, NULL::VARCHAR AS kind FROM l GROUP BY file
+""")
+def s04_inventory(t: Tables) -> DataFrame:
+    """All parts as lines of files, FILE_ROWS in a file."""
+    line = F.concat_ws(" ", F.lpad(F.col("p_partkey").cast("string"), 12, "0"), "p_name")
+    path = _one_file_each(t.part.select(F.floor(F.col("p_partkey") / FILE_ROWS).alias("file"), line.alias("value")), "file", "package")
+    files = P.inventory(t.spark, path).where("name not like '%_SUCCESS'")
+    return files.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("long").alias("file"), "size", "sha256", "encoding", "kind")
+
+
 @query("SELECT p_partkey, upper(p_name) AS name FROM part")
 def s06_manifests(t: Tables) -> DataFrame:
     """Elements of XML manifests by a fixed schema, FILE_ROWS in a file."""
@@ -102,17 +107,17 @@ def k01_artifacts(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT 'node' AS record, n_regionkey::BIGINT AS package, 'n' || n_nationkey AS id, NULL::VARCHAR AS dst FROM nation UNION ALL SELECT 'node', n_regionkey, 'r' || n_regionkey, NULL FROM (SELECT DISTINCT n_regionkey FROM nation)
-UNION ALL SELECT 'edge', n_regionkey, 'n' || n_nationkey, 'r' || n_regionkey FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'edge', 1, 'r1', 'n' || n_nationkey FROM nation WHERE n_regionkey = 1
+SELECT 'node' AS record, s_nationkey::BIGINT AS package, 's' || s_suppkey AS id, NULL::VARCHAR AS dst FROM supplier UNION ALL SELECT 'node', s_nationkey, 'n' || s_nationkey, NULL FROM (SELECT DISTINCT s_nationkey FROM supplier)
+UNION ALL SELECT 'edge', s_nationkey, 's' || s_suppkey, 'n' || s_nationkey FROM supplier WHERE s_nationkey <> 1 UNION ALL SELECT 'edge', 1, 'n1', 's' || s_suppkey FROM supplier WHERE s_nationkey = 1
 """)
 def k03_replaced_graph(t: Tables) -> DataFrame:
-    """A graph of a package per region, of which one is replaced by its reverse."""
+    """Suppliers as a graph of a package per nation, of which one is replaced by its reverse."""
     path = new_path(t.spark, "graph")
-    package = F.col("n_regionkey").cast("long").alias("package_hash")
-    nation, region = F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
-    nodes = t.nation.select(nation.alias("id"), package).union(t.nation.select(region, package).distinct())
-    K.replace_graph(nodes, t.nation.select(nation.alias("src"), region.alias("dst"), package), path)
-    K.replace_graph(nodes.where("package_hash = 1"), t.nation.where("n_regionkey = 1").select(region.alias("src"), nation.alias("dst"), package), path)
+    package = F.col("s_nationkey").cast("long").alias("package_hash")
+    supplier, nation = F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
+    nodes = t.supplier.select(supplier.alias("id"), package).union(t.supplier.select(nation, package).distinct())
+    K.replace_graph(nodes, t.supplier.select(supplier.alias("src"), nation.alias("dst"), package), path)
+    K.replace_graph(nodes.where("package_hash = 1"), t.supplier.where("s_nationkey = 1").select(nation.alias("src"), supplier.alias("dst"), package), path)
     n, e = K.read_graph(t.spark, path)
     package = F.col("package_hash").cast("long").alias("package")
     return n.select(F.lit("node").alias("record"), package, "id", F.lit(None).cast("string").alias("dst")).union(e.select(F.lit("edge"), package, "src", "dst"))

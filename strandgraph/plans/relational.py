@@ -80,12 +80,15 @@ def j12_latest_unless_barred(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_nationkey, len(list(DISTINCT c_mktsegment)) > 0 AND bool_and(c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_nationkey = 0)) AS contained FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey
+WITH have AS (SELECT DISTINCT o_orderpriority AS p FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders))
+SELECT o_custkey, bool_and(o_orderpriority IN (SELECT p FROM have)) AS contained FROM orders GROUP BY o_custkey
 """)
 def j14_contained(t: Tables) -> DataFrame:
-    need = t.customer.where("c_acctbal > 9000").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("need"))
-    have = t.customer.where("c_nationkey = 0").agg(F.collect_set("c_mktsegment").alias("have"))
-    return need.join(F.broadcast(have)).select("c_nationkey", J.contained(F.col("need"), F.col("have")).alias("contained"))
+    """Whether the priorities of each customer's orders are among those of the first customer."""
+    need = t.orders.groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("need"))
+    first = t.orders.agg(F.min("o_custkey").alias("k"))
+    have = t.orders.join(F.broadcast(first), F.col("o_custkey") == F.col("k")).agg(F.collect_set("o_orderpriority").alias("have"))  # a row
+    return need.join(F.broadcast(have)).select("o_custkey", J.contained(F.col("need"), F.col("have")).alias("contained"))
 
 
 @query("""
@@ -252,10 +255,10 @@ def a17_value_conflicts(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS families FROM customer WHERE c_mktsegment <> 'UNKNOWN' AND c_acctbal < -900 GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) > 1
+SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS families FROM orders WHERE o_orderpriority <> 'UNKNOWN' GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) > 1
 """)
 def a18_family_conflicts(t: Tables) -> DataFrame:
-    return A.family_conflicts(t.customer.where("c_acctbal < -900"), ["c_nationkey"], "c_mktsegment").select("c_nationkey", F.array_join("families", ",").alias("families"))
+    return A.family_conflicts(t.orders, ["o_custkey"], "o_orderpriority").select("o_custkey", F.array_join("families", ",").alias("families"))
 
 
 @query("""
