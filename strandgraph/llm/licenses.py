@@ -54,21 +54,44 @@ def _gnu(name: str, short: str, versions: dict[str, list[str]]) -> dict[str, lis
     }
 
 
+#: SPDX identifiers, in words, by label; they stand after ``spdx license identifier``.
+SPDX = {
+    "mit": ["mit"], "apache-2": ["apache 2 0"], "bsd": ["bsd 2 clause", "bsd 3 clause"], "0bsd": ["0bsd"], "isc": ["isc"], "mpl-2": ["mpl 2 0"], "epl-2": ["epl 2 0"], "epl-1": ["epl 1 0"],
+    "gpl-2": ["gpl 2 0"], "gpl-3": ["gpl 3 0"], "lgpl-2.1": ["lgpl 2 1"], "lgpl-3": ["lgpl 3 0"], "agpl-3": ["agpl 3 0"],
+    "cc-by": ["cc by 2 0", "cc by 2 5", "cc by 3 0", "cc by 4 0"], "cc-by-sa": ["cc by sa"], "cc-by-nd": ["cc by nd"], "cc0": ["cc0 1 0"], "unlicense": ["unlicense"],
+}
+
+#: Words before a short name that make it a grant.
+GRANTING = ["licensed under", "licensed under the", "released under", "released under the", "under the terms of the"]
+
+
+def _granted(*names: str) -> list[str]:
+    return [f"{before} {name}" for before in GRANTING for name in names]
+
+
 #: Names of licences as short grants give them. Names of two
-#: versions share most k-grams, so all words must stand there, in a row.
+#: versions share most k-grams, so all words must stand there, in a row. The
+#: short names of attribution licences need their version or a granting word,
+#: as plain words follow one another in the same way.
 GRANTS = {
     **_gnu("general ", "gpl", {"2": ["2"], "3": ["3"]}), **_gnu("lesser general ", "lgpl", {"2.1": ["2 1"], "3": ["3"]}), **_gnu("affero general ", "agpl", {"3": ["3"]}),
     "bsd": ["bsd 2 clause", "bsd 3 clause", "2 clause bsd", "3 clause bsd", "two clause bsd", "three clause bsd", "under the bsd license", "new bsd license", "modified bsd license", "simplified bsd license"],
     "mpl-2": ["mozilla public license version 2", "mozilla public license v2", "mozilla public license 2 0", "mpl version 2", "mpl v2 0", "mpl 2 0"],
+    "epl-2": ["eclipse public license version 2", "eclipse public license v2", "eclipse public license 2 0", "epl v2 0"], "epl-1": ["eclipse public license version 1", "eclipse public license v1", "eclipse public license 1 0", "epl v1 0"],
+    "isc": ["the isc license", *_granted("isc license", "isc")],
     "apache-2": ["apache license v2", "apache license 2 0", "apache 2 0 license"],
     "mit": ["the mit license", "under mit license", "licensed under mit"],
-    "cc-by": ["cc by 2", "cc by 3", "cc by 4", "creative commons attribution license", *(f"creative commons attribution {v}" for v in (2, 3, 4))],
+    "cc-by": ["cc by 2 0", "cc by 2 5", "cc by 3 0", "cc by 4 0", *_granted("cc by 2", "cc by 3", "cc by 4"), "creative commons attribution license", *(f"creative commons attribution {v}" for v in (2, 3, 4))],
     "cc-by-sa": ["cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"],
     "cc-by-nd": ["cc by nd", "creative commons attribution noderivatives", "creative commons attribution noderivs", "creative commons attribution no derivatives"],
     "cc-by-nc-sa": ["cc by nc sa", "creative commons attribution noncommercial sharealike", "creative commons attribution non commercial share alike"],
     "cc-by-nc-nd": ["cc by nc nd", "creative commons attribution noncommercial noderivatives", "creative commons attribution noncommercial noderivs", "creative commons attribution non commercial no derivatives"],
     "cc0": ["cc0 1 0", "under cc0 license", "creative commons zero", "creative commons cc0"],
 }
+for _label, _names in {"gpl-2": ["gplv2", "gpl 2"], "gpl-3": ["gplv3", "gpl 3"], "lgpl-2.1": ["lgplv2 1", "lgpl 2 1"], "lgpl-3": ["lgplv3", "lgpl 3"], "agpl-3": ["agplv3", "agpl 3"]}.items():
+    GRANTS[_label] = GRANTS[_label] + _granted(*_names)
+for _label, _names in SPDX.items():
+    GRANTS[_label] = [*GRANTS.get(_label, []), *(f"spdx license identifier {n}" for n in _names)]
 
 
 #: Words per hashed gram: of short templates and of whole licence texts, whose

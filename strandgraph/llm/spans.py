@@ -127,14 +127,29 @@ def _unpack(z: bytes | None) -> list[bytes]:
     return [] if z is None else zstandard.ZstdDecompressor().decompress(z).split()
 
 
+#: Windows that are told apart at once, but for a single text that has more.
+OPEN_WINDOWS = 1 << 20
+
+
+def _by_windows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``b`` cut where its runs hold about OPEN_WINDOWS windows."""
+    ends = np.cumsum([int(r.values.field("n").to_numpy().sum()) for r in b["runs"]])
+    begin = 0
+    while begin < len(b):
+        base = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, base + OPEN_WINDOWS, "right")))
+        yield b.slice(begin, end - begin)
+        begin = end
+
+
 def _open(k: int, m: int):
     """Runs to be opened, to rows of (anchor, window hash, ord, start); of equal
     windows in a batch only the first is kept open, others are copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 512):
-                part, rows = b.slice(at, 512), []
+            for part in _by_windows(b):
+                rows = []
                 for ord_, z, runs in zip(part["ord"].to_pylist(), part["z"].to_pylist(), part["runs"], strict=True):
                     h = word_hashes(_unpack(z))
                     a, w = _anchors(h, k, m), mix(window_hashes(h, k, _OTHER))

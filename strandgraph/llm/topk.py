@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 from math import isqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +47,33 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ x.astype(np.int64).T
 
 
-def _assign(pivots: np.ndarray):
+@dataclass
+class Pivots:
+    """Pivots of each vector length, numbered through: (number of the first, rows)."""
+
+    of: dict[int, tuple[int, np.ndarray]]
+
+    def __len__(self) -> int:
+        return sum(len(p) for _, p in self.of.values())
+
+    def blocks(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+        """Rows of one length, STEP at most, with the pivots of that length."""
+        lengths = pc.list_value_length(batch["v"]).to_numpy(zero_copy_only=False)
+        for n in np.unique(lengths):
+            some = batch if (lengths == n).all() else batch.take(pa.array(np.flatnonzero(lengths == n)))
+            for at in range(0, len(some), STEP):
+                yield some.slice(at, STEP), *self.of[int(n)]
+
+
+def _assign(pivots: Pivots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = (pivots**2).sum(axis=1)
         for batch in batches:
-            for at in range(0, len(batch), STEP):
-                b = batch.slice(at, STEP)
+            for b, first, p in pivots.blocks(batch):
                 x = _matrix(b["v"])
-                d2 = (x**2).sum(axis=1)[:, None] + norms - 2 * x @ pivots.T
+                d2 = (x**2).sum(axis=1)[:, None] + (p**2).sum(axis=1) - 2 * x @ p.T
                 g = d2.argmin(axis=1)
                 far = np.sqrt(np.maximum(d2[np.arange(len(x)), g], 0)) + 1e-3
-                yield pa.RecordBatch.from_arrays([*(b[c] for c in ("row", "vec_id", "v")), pa.array(g.astype(np.int32)), pa.array(far), pa.array(np.sqrt((x**2).sum(axis=1)) + 1e-3)], ["row", "vec_id", "v", "g", "far", "norm"])
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in ("row", "vec_id", "v")), pa.array((g + first).astype(np.int32)), pa.array(far), pa.array(np.sqrt((x**2).sum(axis=1)) + 1e-3)], ["row", "vec_id", "v", "g", "far", "norm"])
 
     return run
 
@@ -89,7 +106,7 @@ def _solve(k: int):
     return run
 
 
-def _reach(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, norm: np.ndarray):
+def _reach(pivots: Pivots, counts: np.ndarray, radius: np.ndarray, norm: np.ndarray):
     """(query row, g): the groups that may hold one of a query's best, but for its own.
 
     A group's vectors lie within ``radius`` of its pivot and have at most
@@ -98,24 +115,24 @@ def _reach(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray, norm: np.
     distance to the pivot less the radius and by the distance to the plane
     between the query's pivot and the group's.
     """
-    norms = (pivots**2).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), STEP):
-                b = batch.slice(at, STEP)
-                q, home, least = _matrix(b["v"]), b["g"].to_numpy(), b["least"].to_numpy()
+            for b, first, p in pivots.blocks(batch):
+                mine = slice(first, first + len(p))
+                norms, far, most = (p**2).sum(axis=1), radius[mine], norm[mine]
+                q, home, least = _matrix(b["v"]), b["g"].to_numpy() - first, b["least"].to_numpy()
                 length2, each = (q**2).sum(axis=1)[:, None], np.arange(len(q))
-                dots = q @ pivots.T
+                dots = q @ p.T
                 d2 = np.maximum(length2 + norms - 2 * dots, 0)
-                apart = np.sqrt(np.maximum(norms[home][:, None] + norms - 2 * pivots[home] @ pivots.T, 1e-12))
+                apart = np.sqrt(np.maximum(norms[home][:, None] + norms - 2 * p[home] @ p.T, 1e-12))
                 plane = (d2 - d2[each, home][:, None]) / (2 * apart)
-                lower = np.maximum(np.maximum(np.sqrt(d2) - radius, plane) - 1e-3, 0)
-                bound = np.minimum(dots + np.sqrt(length2) * radius, (length2 + norm**2 - lower**2) / 2)
-                take = (counts > 0) & (bound + 1 >= least[:, None])
+                lower = np.maximum(np.maximum(np.sqrt(d2) - far, plane) - 1e-3, 0)
+                bound = np.minimum(dots + np.sqrt(length2) * far, (length2 + most**2 - lower**2) / 2)
+                take = (counts[mine] > 0) & (bound + 1 >= least[:, None])
                 take[each, home] = False
                 row, g = np.nonzero(take)
-                yield pa.RecordBatch.from_arrays([b["row"].take(pa.array(row)), pa.array(g.astype(np.int32))], ["row", "g"])
+                yield pa.RecordBatch.from_arrays([b["row"].take(pa.array(row)), pa.array((g + first).astype(np.int32))], ["row", "g"])
 
     return run
 
@@ -148,32 +165,33 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_i
     ``asked`` is a condition on vec_id. Vectors and queries are grouped by the
     nearest of ``pivots`` vectors (those of least id hash: a bounded sample
     that only shapes the groups; by default as many as the root of the number
-    of vectors, 16 to PIVOTS). A first join, inside the query's own group,
+    of vectors of the same length, 16 to PIVOTS). A first join, inside the query's own group,
     gives a score that its k-th best must reach. Group summaries (count,
     radius, greatest length: a row per pivot) then bound what any vector of a
     group can score, and a query is sent only to groups that may reach it; see
     ``deal``. A hot pivot is many tasks.
 
     Left out are vectors that are null, empty, or hold null or non-finite
-    components. Vectors of one length are scored among themselves, each length
-    on its own (a search per length). Rows are told apart even where ids
+    components. Vectors of one length are scored among themselves: each length
+    has pivots of its own, and one search does all. Rows are told apart even where ids
     repeat: each is a candidate for all others, and a query of its own with
     ranks of its own. A null id is a candidate, after all others in ties, and
     asks where ``asked`` says so. Fewer than k others give all. Other columns
     are not read.
     """
     v = stash(whole_vectors(vectors, id_col, vector_col, scale), "vectors")
-    sizes = sorted((r[0], r[1]) for r in v.groupBy(F.size("v").alias("n")).count().collect())
-    found = [_nearest(v.where(F.size("v") == n), total, asked, k, pivots, block_rows, query_rows) for n, total in sizes]
-    if not found:
-        return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return reduce(DataFrame.unionByName, found)
-
-
-def _nearest(v: DataFrame, total: int, asked: Column, k: int, pivots: int | None, block_rows: int, query_rows: int) -> DataFrame:
-    """The search among ``total`` vectors of one length."""
-    seeds = v.orderBy(F.xxhash64("vec_id", "row"), "row").limit(pivots or min(PIVOTS, max(16, isqrt(total)))).select("v").collect()
-    p = np.unique(np.array([r.v for r in seeds], np.float64), axis=0)
+    many = {r.n: r["count"] for r in v.groupBy(F.size("v").alias("n")).count().collect()}  # a row a length
+    by_hash = Window.partitionBy("n").orderBy(F.xxhash64("vec_id", "row"), "row")
+    seeds = v.select("v", "vec_id", "row", F.size("v").alias("n")).withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= (pivots or PIVOTS))
+    held: dict[int, list] = {}
+    for r in seeds.select("n", "rank", "v").collect():  # PIVOTS a length at most
+        if r.rank <= (pivots or max(16, isqrt(many[r.n]))):
+            held.setdefault(r.n, []).append(r.v)
+    of, first = {}, 0
+    for n, rows in sorted(held.items()):
+        of[n] = (first, np.unique(np.array(rows, np.float64), axis=0))
+        first += len(of[n][1])
+    p = Pivots(of)
     v = stash(v.mapInArrow(_assign(p), "row long, vec_id long, v array<long>, g int, far double, norm double"), "groups")
     counts, radius, norm = np.zeros(len(p), np.int64), np.zeros(len(p)), np.zeros(len(p))
     for r in v.groupBy("g").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect():

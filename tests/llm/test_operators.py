@@ -532,6 +532,23 @@ def test_top_k_small_tables(spark):
     assert topk.nearest(twice, F.col("vec_id") == 0).count() == 6
 
 
+def test_many_lengths_in_one_search(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(3 + i % 12).astype(np.float32).tolist()) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    began = time.time()
+    got = topk.nearest(df, F.col("vec_id") % 20 == 0, k=3).collect()
+    took = time.time() - began
+    by_query = {}
+    for r in got:
+        by_query.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = {i: np.floor(64 * np.array(v, np.float64)).astype(np.int64) for i, v in rows}
+    for q in range(0, 240, 20):
+        others = sorted((-int(whole[q] @ x), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))[:3]
+        assert sorted(by_query[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(others)]
+    assert took < 40
+
+
 # --- licenses ---------------------------------------------------------------------------
 
 
@@ -559,6 +576,8 @@ def test_license_grants(spark):
         ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"), ("Licensed under the GNU General Public License, version 2.", "gpl-2"), ("under the GNU Lesser General Public License v3", "lgpl-3"),
         ("GNU LGPL version 2.1 or later", "lgpl-2.1"), ("under the GNU Affero General Public License, Version 3", "agpl-3"), ("released under the BSD 3-Clause License", "bsd"), ("Mozilla Public License, version 2.0", "mpl-2"),
         ("licensed under CC BY-SA 4.0", "cc-by-sa"), ("licensed under CC BY 4.0", "cc-by"), ("This work is licensed under the laws of the land, version 3.", ""), ("the GNU General Public License", ""), (None, ""),
+        ("// SPDX-License-Identifier: GPL-3.0-only", "gpl-3"), ("# SPDX-License-Identifier: ISC", "isc"), ("SPDX-License-Identifier: EPL-2.0", "epl-2"), ("Licensed under GPLv3.", "gpl-3"), ("released under the ISC license", "isc"),
+        ("carbon copies: cc by 2 friends", ""), ("licensed under CC BY 4", "cc-by"), ("cc-by-3.0", "cc-by"), ("Eclipse Public License - v 2.0", ""), ("Eclipse Public License, version 2.0", "epl-2"), ("under the terms of the AGPLv3", "agpl-3"),
     ]
     out = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.labels for r in out} == {i: x for i, (_, x) in enumerate(rows)}
