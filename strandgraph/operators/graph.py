@@ -121,13 +121,20 @@ def _path_ends(inner: DataFrame) -> tuple[DataFrame, DataFrame]:
     return now.where("not open_before").select("node", "before", "after"), now.where("open_before").select("node", "ring")
 
 
+#: Nodes on paths that are not worth folding: their paths are no longer than that.
+FEW = 32
+#: Nodes on the rim of a graph are taken off before it is coloured if they are one in so many.
+MANY = 8
+
+
 def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of a directed graph; component is its largest member.
 
     Paths of nodes with one edge in and one out become one edge first, each
     time anew, so a long chain takes few rounds: what lies on a path is in the
     component of its ends if they share one, else alone. Then nodes without an
-    edge in or out are components of their own. In what is left every node
+    edge in or out are components of their own, again and again while these
+    are one in MANY at least. In what is left every node
     takes the largest node that reaches it as its colour; a node with its own
     colour is the root of a component, which is what leads back to the root
     within the colour. Those go and the rest starts again.
@@ -136,8 +143,8 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
     left = stash(e.select(F.col("u").alias("node")).union(e.select("v")).distinct(), "nodes")
     e, done, folded = stash(e.where("u <> v"), "edges"), [], []
     while not left.isEmpty():
-        inner = stash(_inner(e), "inner")
-        if not inner.isEmpty():
+        inner, n = stash(_inner(e), "inner"), left.count()
+        if inner.count() >= FEW:
             paths, rings = _path_ends(inner)
             done.append(rings.select("node", F.col("ring").alias("component")))
             folded.append(stash(paths, "folded"))
@@ -151,7 +158,7 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
         done.append(stash(alone.select("node", F.col("node").alias("component")), "alone"))
         within = lambda df, nodes: df.join(nodes, df["u"] == nodes["node"], "left_semi").join(nodes, df["v"] == nodes["node"], "left_semi")
         cut, left = stash(within(e, core), "edges"), core
-        if not done[-1].isEmpty() or left.isEmpty():  # that may have opened new paths
+        if MANY * done[-1].count() >= n:  # that may have opened new paths, and bared more such nodes
             e = cut
             continue
         colour = core.select("node", F.col("node").alias("colour"))
@@ -218,7 +225,7 @@ def levels(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst
         if rounds % fold_every == 0:
             inner = _inner(e).join(left, "node").select("node", F.col("before").alias("to"), "best")
             inner = stash(inner.join(e.select(F.col("v").alias("node"), "way"), "node"), "inner")
-            if not inner.isEmpty():
+            if inner.count() >= FEW:
                 begun, rings = _from_begin(inner)
                 folded.append(stash(begun, "folded"))
                 circling = circling.union(rings.select("node"))

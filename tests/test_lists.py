@@ -142,7 +142,8 @@ def some_graphs():
 
 
 @pytest.mark.parametrize(("name", "edges"), list(some_graphs()))
-def test_components_and_levels(spark, name, edges):
+def test_components_and_levels(spark, name, edges, monkeypatch):
+    monkeypatch.setattr(G, "FEW", 1)
     e = spark.createDataFrame(edges, "src int, dst int")
     got = {r.node: r.component for r in G.strong_components(e).collect()}
     assert got == components(edges)
