@@ -157,3 +157,79 @@ def case_metrics(verdicts: DataFrame) -> DataFrame:
         total(F.when(positive, F.col("matched"))).alias("tp"), total(F.when(positive, F.col("expected") - F.col("matched"))).alias("fn"),
         total(F.when(positive, F.col("unexpected")).when(F.col("outcome") == "UNEXPECTED_CANDIDATES", 1)).alias("fp"), total(F.when(F.col("outcome") == "CONFIRMED_ABSENT", 1)).alias("tn"),
     )
+
+
+def _parts(nodes: DataFrame, key: str, pattern: str, field: str) -> DataFrame:
+    """(key, part, value, ok) of the parts of documents by ``pattern``: a field's text, and whether the part is approved."""
+    part = nodes.withColumn("part", F.regexp_extract("path", pattern, 1)).where("part <> '' and value is not null")
+    own = lambda name: F.max(F.when(F.col("path") == F.concat("part", F.lit(f".{name}")), F.col("value")))
+    return part.groupBy(key, "part").agg(own(field).alias("value"), F.coalesce(own(APPROVED) == "true", F.lit(False)).alias("ok"))
+
+
+def _evidence_ids(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, part, ids): the ids that a part lists as its evidence."""
+    found = nodes.withColumn("part", F.regexp_extract("path", r"^(.*)\.evidence_ids\[\d+\]$", 1)).where("part <> '' and value is not null")
+    return found.groupBy(key, "part").agg(F.array_sort(F.collect_set("value")).alias("own_ids"))
+
+
+def anchored_citations(claims: DataFrame, nodes: DataFrame, violations: DataFrame, key: str) -> DataFrame:
+    """``claims`` with (anchored) and more paths and ids where evidence was there but not cited.
+
+    A number, date or quoted code that no cited node holds may stand in the
+    decision, or else in the code of an approved return code, the first that
+    holds it as a token. If that is so for all such findings of a package,
+    their claims cite these parts and their evidence as well; if one has no
+    anchor, or no claim, the package stays as it is. No text is changed.
+    """
+    codes = ["unsupported_explicit_number", "unsupported_explicit_date", "unsupported_explicit_literal"]
+    found = violations.where(F.col("code").isin(codes)).select(key, "claim", "code", F.col("detail").alias("token")).distinct()
+    found = stash(found.withColumn("at_", F.monotonically_increasing_id()), "findings")
+    decision = nodes.where(F.col("path").rlike(DECISION) & F.col("value").isNotNull() & ~F.contains("path", F.lit(".evidence_ids"))).select(key, F.lit("$.decision").alias("part"), F.lit(0).alias("rank"), "value")
+    number = F.regexp_extract("part", r"\[(\d+)\]$", 1).cast("int") + 1
+    anchors = decision.union(_parts(nodes, key, RETURN_CODE, "code").where("ok and value is not null").select(key, "part", number.alias("rank"), "value"))
+    undated = F.regexp_replace(F.regexp_replace("value", r"\b\d{4}-\d{2}-\d{2}\b", " "), r"\b\d{1,2}[/.]\d{1,2}[/.]\d{2,4}\b", " ")
+    bounded = F.rlike(undated, F.concat(F.lit(r"(?<![\w.])\Q"), F.col("token"), F.lit(r"\E(?![\w.])")))
+    holds = F.when(F.col("code") == codes[0], bounded).otherwise(_word_in(F.col("value"), F.col("token")))
+    first = found.join(anchors, key).where(holds).groupBy("at_").agg(F.min(F.struct("rank", "part")).alias("a"))
+    each = stash(found.join(first, "at_", "left").select(key, "claim", "a"), "anchors")
+    whole = each.groupBy(key).agg(F.bool_and(F.col("a").isNotNull() & F.col("claim").isNotNull()).alias("all_")).where("all_").select(key)
+    ids = _evidence_ids(nodes, key)
+    more = each.join(whole, key, "left_semi").select(key, "claim", "a.rank", "a.part").distinct().join(ids, [key, "part"], "left")
+    listed = F.array_sort(F.collect_list(F.struct("rank", "part", F.coalesce("own_ids", F.array()).alias("ids"))))
+    more = more.groupBy(key, "claim").agg(listed.alias("more_"))
+    out = claims.join(more, [key, "claim"], "left").withColumn("anchored", F.col("more_").isNotNull())
+    plus = lambda c, new: F.when(F.col("more_").isNotNull(), F.array_distinct(F.concat(c, new))).otherwise(F.col(c))
+    out = out.withColumns({"paths": plus("paths", F.transform("more_", lambda m: m["part"])), "ids": plus("ids", F.flatten(F.transform("more_", lambda m: m["ids"])))})
+    return out.select(*claims.columns, "anchored")
+
+
+def retargeted_citations(claims: DataFrame, drafts: DataFrame, nodes: DataFrame, violations: DataFrame, key: str) -> DataFrame:
+    """``claims`` with (retargeted) and the right table effect cited in place of one without approval.
+
+    The text of the claim's field has to name, as a word, the table of exactly
+    one approved effect and not the table that is cited. If that is so for all
+    such findings of a package, path and evidence ids change places; if not for
+    one, or if it is cited by a longer path, the package stays as it is.
+    """
+    wrong = violations.where("code = 'unapproved_table_effect'").select(key, "claim", "field", F.col("detail").alias("part")).distinct()
+    parts = stash(_parts(nodes, key, APPROVABLE["unapproved_table_effect"], "table"), "tables")
+    cited = claims.select(key, "claim", "paths")
+    wrong = wrong.join(drafts.select(key, "field", "text"), [key, "field"], "left").join(parts.select(key, "part", F.col("value").alias("table_")), [key, "part"], "left").join(cited, [key, "claim"], "left")
+    wrong = stash(wrong.withColumn("at_", F.monotonically_increasing_id()), "findings")
+    named = wrong.join(parts.where("ok").select(key, F.col("part").alias("to"), "value"), key).where(_word_in(F.col("text"), F.col("value")))
+    named = named.groupBy("at_").agg(F.count("*").alias("n"), F.min("to").alias("to"))
+    each = wrong.join(named, "at_", "left")
+    right = (F.col("n") == 1) & ~_word_in(F.col("text"), F.col("table_")) & F.array_contains("paths", F.col("part"))
+    each = stash(each.withColumn("right", F.coalesce(right, F.lit(False))).select(key, "claim", "part", "to", "right"), "targets")
+    whole = each.groupBy(key).agg(F.bool_and("right").alias("all_")).where("all_").select(key)
+    ids = _evidence_ids(nodes, key)
+    swap = each.join(whole, key, "left_semi").join(ids.withColumnRenamed("own_ids", "old_ids"), [key, "part"], "left")
+    swap = swap.join(ids.select(key, F.col("part").alias("to"), F.col("own_ids").alias("new_ids")), [key, "to"], "left")
+    none = F.array().cast("array<string>")
+    swap = swap.groupBy(key, "claim").agg(
+        F.map_from_entries(F.collect_list(F.struct("part", "to"))).alias("swap_"), F.flatten(F.collect_list(F.coalesce("old_ids", none))).alias("old_"), F.flatten(F.collect_list(F.coalesce("new_ids", none))).alias("new_"),
+    )
+    out = claims.join(swap, [key, "claim"], "left").withColumn("retargeted", F.col("swap_").isNotNull())
+    paths = F.transform("paths", lambda p: F.coalesce(F.try_element_at("swap_", p), p))
+    out = out.withColumns({"paths": F.when(F.col("retargeted"), paths).otherwise(F.col("paths")), "ids": F.when(F.col("retargeted"), F.array_distinct(F.concat(F.array_except("ids", "old_"), "new_"))).otherwise(F.col("ids"))})
+    return out.select(*claims.columns, "retargeted")

@@ -11,6 +11,7 @@ from strandgraph.operators import effects as E
 from strandgraph.operators import guardrail as V
 from strandgraph.operators import propagation as N
 from strandgraph.plans.registry import Tables, query
+from strandgraph.store import stash
 
 
 @query("""
@@ -426,6 +427,38 @@ def x38_claim_violations(t: Tables) -> DataFrame:
     return found.select("doc_id", "code", "detail")
 
 
+@query("""
+WITH d AS (
+  SELECT doc_id, doc_id % 2 = 0 AS anchored, doc_id % 3 = 0 AND doc_id % 5 = 0 AS retargeted, '$.effects.table_effects[' || CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 0 ELSE 1 END || ']' AS path,
+    CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 't1' ELSE 't2' END AS id FROM documents
+)
+SELECT doc_id, anchored, retargeted, path || CASE WHEN anchored THEN ',$.decision,$.effects.return_codes[0]' ELSE '' END AS paths,
+  CASE WHEN anchored THEN CASE WHEN retargeted THEN 'd' || doc_id || ',r' || doc_id || ',t2' ELSE id || ',d' || doc_id || ',r' || doc_id END ELSE id END AS ids FROM d
+""")
+def x40_repaired_citations(t: Tables) -> DataFrame:
+    """Claims that gain the decision and the approved code that their text needs, and the table effect that it names."""
+    text, n = lambda c: c.cast("string"), F.coalesce("n_chars", F.lit(0)) + 1000
+    own = lambda mark: F.array(F.concat(F.lit(mark), text(F.col("doc_id"))))
+    code = F.concat(F.lit("C"), text(F.col("doc_id") % 7))
+    table = lambda name, ok, mark: F.struct(F.lit(name).alias("table"), F.lit(ok).alias("approved_for_rule_text"), F.array(F.lit(mark)).alias("evidence_ids"))
+    codes = F.array(F.struct(code.alias("code"), (F.col("doc_id") % 2 == 0).alias("approved_for_rule_text"), own("r").alias("evidence_ids")))
+    effects = F.struct(F.array(table("T1", False, "t1"), table("T2", True, "t2")).alias("table_effects"), codes.alias("return_codes"))
+    decision = F.struct(F.concat(F.lit("X > "), text(n)).alias("expression"), own("d").alias("evidence_ids"))
+    wrong = F.col("doc_id") % 3 == 0
+    named = F.when(F.col("doc_id") % 5 == 0, " on T2").when(F.col("doc_id") % 5 == 1, " on T1 and T2").otherwise("")
+    d = t.documents.select(
+        "doc_id", F.to_json(F.struct(decision.alias("decision"), effects.alias("effects"))).alias("package"), F.lit("c1").alias("claim"), F.lit("effect").alias("field"),
+        F.array(F.when(wrong, "$.effects.table_effects[0]").otherwise("$.effects.table_effects[1]")).alias("paths"), F.array(F.when(wrong, "t1").otherwise("t2")).alias("ids"),
+        F.concat(F.lit("returns '"), code, F.lit("' above "), text(n), named).alias("text"),
+    )
+    nodes = stash(V.json_nodes(d, "doc_id", "package"), "nodes")
+    evidence = d.select("doc_id", F.explode(F.array(F.lit("t1"), F.lit("t2"))).alias("id"))
+    found = stash(V.claim_violations(d, d, nodes, evidence, "doc_id"), "violations")
+    claims = d.select("doc_id", "claim", "field", "paths", "ids")
+    out = V.retargeted_citations(V.anchored_citations(claims, nodes, found, "doc_id"), d, nodes, found, "doc_id")
+    return out.select("doc_id", "anchored", "retargeted", F.array_join("paths", ",").alias("paths"), F.array_join("ids", ",").alias("ids"))
+
+
 @query("""
 WITH r AS (
   SELECT p_partkey AS id, p_brand AS program, split_part(p_type, ' ', 1) AS family, split_part(p_type, ' ', 2) AS paragraph, split_part(p_type, ' ', 3) AS literal FROM part

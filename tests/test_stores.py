@@ -133,3 +133,21 @@ def test_cases(spark):
     assert got == {"p1": ("MATCHED", 2, 1), "p2": ("NOT_EVALUATED", 0, 0), "p3": ("MISSING", 0, 0), "n1": ("UNEXPECTED_CANDIDATES", 0, 3), "n2": ("CONFIRMED_ABSENT", 0, 0), "n3": ("NOT_EVALUATED", 0, 0), "p4": ("MATCHED", 0, 0)}
     assert sorted((r.case_id, r.id) for r in stray.collect()) == [("n1", 1), ("n1", 2), ("n1", 3), ("p1", 2)]
     assert tuple(V.case_metrics(verdicts).first()) == (2, 1, 2, 1)
+
+
+def test_citations_are_repaired_or_left(spark):
+    doc = '{"decision": {"expression": "X > 30 AND Y = D203", "evidence_ids": ["d1"]}, "effects": {"return_codes": [{"code": "77"}, {"code": "40", "approved_for_rule_text": true, "evidence_ids": ["r1"]}], "table_effects": [{"table": "PAG_AUD", "evidence_ids": ["a"]}, {"table": "PAG_OPER", "approved_for_rule_text": true, "evidence_ids": ["o"]}, {"table": "PAG", "approved_for_rule_text": true}]}}'
+    drafts = {
+        "both": "over 30 gives 40", "one lacks": "over 30 gives 77", "quoted": "is 'D203'", "part of a word": "is 'D2'", "names one": "writes PAG_OPER", "names the wrong one": "PAG_OPER, not PAG_AUD", "names two": "PAG_OPER and PAG", "names none": "writes",
+    }
+    cite = lambda k: ["$.effects.table_effects[0]"] if k.startswith("names") else ["$.effects.table_effects[2].table"]
+    rows = [(k, doc, "c", "effect", cite(k), ["a", "z"], text) for k, text in drafts.items()]
+    d = spark.createDataFrame(rows, "k string, j string, claim string, field string, paths array<string>, ids array<string>, text string")
+    nodes = V.json_nodes(d, "k", "j")
+    found = V.claim_violations(d, d, nodes, d.select("k", F.explode(F.array(F.lit("a"), F.lit("z"))).alias("id")), "k")
+    more = {r.k: (r.anchored, r.paths[1:], r.ids) for r in V.anchored_citations(d, nodes, found, "k").collect()}
+    assert more["both"] == (True, ["$.decision", "$.effects.return_codes[1]"], ["a", "z", "d1", "r1"]) and more["quoted"] == (True, ["$.decision"], ["a", "z", "d1"])
+    assert all(more[k] == (False, [], ["a", "z"]) for k in drafts if k not in ("both", "quoted"))
+    moved = {r.k: (r.retargeted, r.paths, r.ids) for r in V.retargeted_citations(d, d, nodes, found, "k").collect()}
+    assert moved["names one"] == (True, ["$.effects.table_effects[1]"], ["z", "o"])
+    assert all(moved[k] == (False, cite(k), ["a", "z"]) for k in drafts if k != "names one")
