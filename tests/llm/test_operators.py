@@ -287,6 +287,37 @@ def test_repeated_spans(spark, k, m, wide):
     same(got, brute.repeats(corpus(), k))
 
 
+def test_paths_compact_to_their_full_length(spark):
+    """A copy of a whole text is one path; so is a passage on each side of a changed word."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(3000)]
+    spans_of = [(2, 0, 30, 1, 70), (2, 30, 500, 1, 100), (2, 540, 100, 1, 610), (2, 640, 1, 3, 0)]
+    df = spark.createDataFrame(spans_of, "ord long, start long, n long, source_ord long, source_start long")
+    got = collected(spans._compacted(df), "ord", "start", "length", "source_ord", "source_start")
+    same(got, [(2, 0, 530, 1, 70), (2, 540, 100, 1, 610), (2, 640, 1, 3, 0)])
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words[:1500], "other", *words[1500:]]))]
+    same(collected(spans.remove_repeats(frame(spark, rows)), "doc_id", "n_words", "n_removed"), [(1, 3000, 0), (2, 3000, 3000), (3, 3001, 3000)])
+
+
+def test_words_that_differ_from_their_source_stay(spark):
+    """Coordinates alone remove nothing: the words at both places must be equal."""
+    texts = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d x")], "ord long, text string").withColumn("doc_id", F.col("ord"))
+    paths = spark.createDataFrame([(2, 0, 2, 1, 0), (2, 0, 3, 1, 0)], "ord long, start long, length long, source_ord long, source_start long")
+    packed = spans._packed(texts)
+    known = spans._with_digests(paths, packed, 3).groupBy("ord").agg(F.collect_list(F.struct("start", "length", "digest")).alias("runs"))
+    out = packed.join(known, "ord").select("doc_id", "z", "runs").mapInArrow(spans._finish(3, True, "bigint"), "doc_id bigint, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    same(collected(out, "doc_id", "n_removed", "kept_text"), [(2, 4, "x")])
+
+
+def test_one_passage_in_every_chunk(spark):
+    """A passage in a third of all texts, over many partitions, and a text of over 1 MB."""
+    rng = random.Random(9)
+    passage, long_one = prose(rng, 60), prose(rng, 180_000)
+    rows = [(i, f"{prose(rng, 30)} {passage} {i}" if i % 3 == 0 else prose(rng, 60)) for i in range(300)] + [(300, long_one), (301, long_one)]
+    got = collected(spans.remove_repeats(frame(spark, rows).repartition(40)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    same(got, brute.repeats(rows, 20))
+
+
 def test_repeated_spans_ties(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(1, text), (1, text), (None, text), (2, None)]
