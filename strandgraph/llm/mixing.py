@@ -12,6 +12,9 @@ from strandgraph.store import stash
 #: Buckets whose counts are summed in one window.
 SHELF = 64
 
+#: Rows of one id, source and size that one row stands for, at most, when they are written out.
+BLOCK = 4096
+
 
 def word_count(text: Column) -> Column:
     """Number of words: runs of anything but 0x20 and 0x09 to 0x0D; 0 for null."""
@@ -59,22 +62,26 @@ def mix_sources(
     Prefix sums never gather a source: counts per (source, size, digest
     bucket) combine before their shuffle, bucket offsets add up within a shelf
     of SHELF buckets, shelf offsets within a size and size offsets within a
-    source, and only the rows of one bucket are ranked together (``spread``
-    buckets a size).
+    source, and only the ids of one bucket are ranked together (``spread``
+    buckets a size). Rows that share id, source and size stand next to each
+    other and are counted before they are shuffled: one null or common id in
+    a third of all rows is one row of its bucket, and is written out again in
+    blocks of BLOCK rows that are dealt over the tasks.
 
     Null text counts as size 0; a source of size 0 has target 0 and takes
-    nothing; null is a source of its own. Rows that repeat wholly are told
-    apart by rank alone, so their multiset of results is still fixed.
+    nothing; null is a source of its own. Rows of one id, source and size are
+    told apart by rank alone, so their multiset of results is still fixed.
     """
     rows = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    rows = rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     targets = source_targets(sizes, weights or [5, 2, 1], share, limit)
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     targets = stash(targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).withColumn("offset", unit), "targets")
+    rows = rows.groupBy("source", "size", "doc_id").agg(F.count("*").alias("repeats"))
+    rows = rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("bucket", (F.conv(F.substring("h", 1, 4), 16, 10).cast("long") * F.lit(spread) / F.lit(1 << 16)).cast("int"))
-    counts = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
-    before = lambda n, by, order: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy("source", "size", "bucket").agg(F.sum("repeats").alias("n"))
+    before = lambda n, by, *order: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = stash(counts.withColumn("shelf", F.floor(F.col("bucket") / SHELF)), "buckets")
     shelves = counts.groupBy("source", "size", "shelf").agg(F.sum("n").alias("m"))
     shelves = shelves.select(F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("shelf").alias("f_"), before("m", ["source", "size"], "shelf").alias("shelf_before"))
@@ -84,12 +91,14 @@ def mix_sources(
     per_size = counts.groupBy("source", "size").agg(F.sum("n").alias("m"))
     in_source = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     per_size = per_size.withColumn("size_before", F.coalesce(F.sum("m").over(in_source), F.lit(0)))
-    in_bucket = Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id")
-    ranked = rows.withColumn("rank", F.row_number().over(in_bucket))
+    ranked = rows.withColumn("ahead", before("repeats", ["source", "size", "bucket"], "h", "doc_id"))
     starts = counts.alias("c").join(per_size.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source")) & (F.col("c.size") == F.col("p.size")))
     starts = starts.select(F.col("c.source").alias("s_"), F.col("c.size").alias("z_"), F.col("c.bucket").alias("b_"), (F.col("bucket_before") + F.col("size_before")).alias("before"))
     ranked = ranked.join(starts, F.col("source").eqNullSafe(F.col("s_")) & (F.col("size") == F.col("z_")) & (F.col("bucket") == F.col("b_")))
-    ranked = ranked.select("doc_id", "source", "size", (F.col("before") + F.col("rank")).alias("rank"))
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("repeats") - 1) / BLOCK))
+    ranked = ranked.select("doc_id", "source", "size", "repeats", (F.col("before") + F.col("ahead")).alias("ahead"), F.explode(blocks).alias("block")).repartition("doc_id", "size", "block")
+    within = F.sequence(F.col("block") * BLOCK + 1, F.least("repeats", (F.col("block") + 1) * BLOCK))
+    ranked = ranked.select("doc_id", "source", "size", "ahead", F.explode(within).alias("number")).select("doc_id", "source", "size", (F.col("ahead") + F.col("number")).alias("rank"))
     named = targets.select(F.col("source").alias("s_"), "source_size", "target", "rate", "offset")
     out = ranked.join(named, F.col("source").eqNullSafe(F.col("s_")))
     copies = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))

@@ -1,6 +1,7 @@
 """Operators against plain versions, on awkward small tables."""
 
 import hashlib
+import math
 import random
 import time
 
@@ -366,6 +367,24 @@ def test_mix_edge_cases(spark):
     assert rows.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_mix_with_one_id_in_many_rows(spark, monkeypatch, block):
+    """Null and common ids: ranks go on through all rows of one id, however they are cut into blocks."""
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    rng = random.Random(4)
+    rows = [(rng.choice([None, None, 7, i]), " ".join("w" * rng.choice([1, 1, 2])), "s" if i % 3 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix_sources(df)
+    rate = {r.source: r.target / r.source_size for r in got.select("source", "target", "source_size").distinct().collect()}
+    for source in ("s", None):
+        offset = int(hashlib.md5(f"7:{source or ''}".encode()).hexdigest()[:8], 16) / 2**32
+        digest = lambda k: hashlib.md5(("" if k is None else str(k)).encode()).hexdigest()
+        mine = sorted((len(t.split()), digest(k), k is not None, k or 0) for k, t, s in rows if s == source)
+        steps = [math.floor((i + 1) * rate[source] + offset) - math.floor(i * rate[source] + offset) for i in range(len(mine))]
+        want = sorted((size, -1 if not known else k, c) for (size, _, known, k), c in zip(mine, steps, strict=True))
+        assert sorted((r["size"], -1 if r.doc_id is None else r.doc_id, r.copies) for r in got.where(F.col("source").eqNullSafe(F.lit(source))).collect()) == want
+
+
 def test_mix_runs_no_python(spark):
     plan = mixing.mix_sources(sources(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
