@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.functions.scalar import comparisons, conjuncts, predicate_status, row_matches
+from strandgraph.store import stash
 
 
 def packages(candidates: DataFrame, dimensions: dict[str, DataFrame], key: str, evidence: str) -> DataFrame:
@@ -29,21 +31,41 @@ def over_limit(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > limit)
 
 
-def split_by_predicate(accesses: DataFrame, entries: DataFrame, table: str, predicate: str, row: str, entry_id: str, access_id: str) -> DataFrame:
+#: Accesses that ask the same are dealt over so many tasks, as what they are given may be long.
+DEALT = 8
+
+
+def split_by_predicate(accesses: DataFrame, entries: DataFrame, table: str, predicate: str, row: str, entry_id: str, access_id: str, shown: Callable[[str], Column] = F.col) -> DataFrame:
     """(access id, status, applicable, context): a table's entries that an access's
     predicate surely takes, and those that it may take.
 
     An EXACT predicate takes the entries that satisfy it and no others; with a
     PARTIAL one the entries that satisfy the known parts are context; without
-    any known part all entries are.
+    any known part all entries are. What is asked of a table meets its entries
+    once, however many accesses ask it; ``shown`` makes of the two arrays what
+    is to be returned, once too.
     """
-    a = accesses.withColumn("parts_", conjuncts(predicate)).withColumn("found_", comparisons(F.col("parts_")))
-    a = a.withColumn("status", predicate_status(F.col("parts_"), F.col("found_")))
-    j = a.join(entries, table, "left")
-    fits = F.col(entry_id).isNotNull() & (F.coalesce(F.size("found_") <= 0, F.lit(True)) | row_matches(row, F.col("found_")))
+    a = accesses.select(access_id, F.col(table).alias("t_"), F.col(predicate).alias("p_"))
+    read = a.select(F.col("p_").alias("q_")).distinct().withColumn("parts_", conjuncts("q_")).withColumn("found_", comparisons(F.col("parts_")))
+    read = stash(read.select("q_", "found_", predicate_status(F.col("parts_"), F.col("found_")).alias("status")), "predicates")
+    asks = F.array_sort(F.collect_list(F.struct("t_", "found_"))).alias("asks_")
+    who = stash(a.join(read, F.col("p_").eqNullSafe(F.col("q_"))).groupBy(access_id, "status").agg(asks), "accesses")
+    asked = stash(who.select("status", "asks_").distinct(), "asks")
+    each = asked.select("status", "asks_", F.explode("asks_").alias("ask_")).select("status", "asks_", "ask_.*")
+    # Few bytes in, many out: numbers of tasks are given, as Spark would take one for so little to read.
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = entries.withColumnRenamed(table, "t_").where(F.col(entry_id).isNotNull()).repartition(n, entry_id).join(each, "t_")
+    fits = (F.coalesce(F.size("found_") <= 0, F.lit(True)) | row_matches(row, F.col("found_")))
     exact = F.col("status") == "EXACT"
     pick = lambda c: F.array_sort(F.collect_list(F.when(c, F.col(entry_id))))
-    return j.groupBy(access_id, "status").agg(pick(fits & exact).alias("applicable"), pick(fits & ~exact).alias("context"))
+    split = j.groupBy("status", "asks_").agg(pick(fits & exact).alias("applicable"), pick(fits & ~exact).alias("context"))
+    none = F.array().cast(split.schema["context"].dataType)
+    split = asked.join(split, ["status", "asks_"], "left").withColumns({c: F.coalesce(c, none) for c in ("applicable", "context")})
+    split = stash(split.select("status", "asks_", shown("applicable").alias("applicable"), shown("context").alias("context")), "split")
+    dealt = split.withColumn("deal_", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    who = who.withColumn("deal_", F.pmod(F.xxhash64(access_id), F.lit(DEALT)).cast("int"))
+    keys = ["status", "asks_", "deal_"]
+    return who.repartition(n, *keys).join(dealt.hint("shuffle_hash"), keys).select(access_id, "status", "applicable", "context")
 
 
 def named_evidence(rows: DataFrame, keys: list[str], id_col: str, name: str, evidence: str) -> tuple[DataFrame, DataFrame]:
