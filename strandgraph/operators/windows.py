@@ -78,8 +78,9 @@ def preview(df: DataFrame, keys: list[str], id_col: str, n: int = 5) -> DataFram
     return first.groupBy(*keys).agg(F.max("n_").alias("n"), F.array_sort(F.collect_list(id_col)).alias("ids"))
 
 
-def out_of_order(df: DataFrame, partition: list[str], order: list[str], value: str, id_col: str) -> DataFrame:
-    """Rows whose value is below that of the row before, with that row's id as ``before``."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    out = df.withColumn("v_", F.lag(value).over(w)).withColumn("before", F.lag(id_col).over(w))
+def out_of_order(df: DataFrame, partition: list[str], order: list[str], value: str, id_col: str, was: str | None = None) -> DataFrame:
+    """Rows whose value is below that of the row before, with that row's id as
+    ``before``. With ``was``, the row before counts with that column instead."""
+    w = Window.partitionBy(*partition).orderBy(*[F.asc_nulls_last(c) for c in order])
+    out = df.withColumn("v_", F.lag(was or value).over(w)).withColumn("before", F.lag(id_col).over(w))
     return out.where(F.col(value) < F.col("v_")).drop("v_")
