@@ -106,17 +106,24 @@ def unify(sources: dict[str, DataFrame], columns: list[str]) -> DataFrame:
 # --- comparison -------------------------------------------------------------
 
 
-def relations(refs: DataFrame, scope: str, id_col: str, target: str, literal: str, conflicts: DataFrame) -> DataFrame:
+def relations(refs: DataFrame, scope: str, id_col: str, target: str, literal: str, conflicts: DataFrame | Column) -> DataFrame:
     """(a, b, relation) of pairs that share a scope and a target.
 
     EXACT_MATCH with an equal literal, else RELATED; CONFLICT where the pair is
-    in ``conflicts`` (a, b). References of a scope that share nothing have no
-    row: NO_RELATION is what is not listed.
+    in ``conflicts`` (a, b), or where that is a condition on a and b and holds.
+    References of a scope that share nothing have no row: NO_RELATION is what
+    is not listed.
     """
-    a = refs.select(scope, target, F.col(id_col).alias("a"), F.col(literal).alias("la"))
+    # Few bytes in, many pairs out: the number of tasks is given, as Spark would take one for so little to read.
+    n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = refs.select(scope, target, F.col(id_col).alias("a"), F.col(literal).alias("la")).repartition(n, scope, target)
     b = refs.select(scope, target, F.col(id_col).alias("b"), F.col(literal).alias("lb"))
-    c = conflicts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("c_", F.lit(True))
-    p = a.join(b, [scope, target]).where(F.col("a") < F.col("b")).join(c, ["a", "b"], "left")
+    p = a.join(b.hint("shuffle_hash"), [scope, target]).where(F.col("a") < F.col("b"))
+    if isinstance(conflicts, Column):
+        p = p.withColumn("c_", conflicts)
+    else:
+        c = conflicts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("c_", F.lit(True))
+        p = p.join(c, ["a", "b"], "left")
     return p.select("a", "b", F.when(F.col("c_"), "CONFLICT").when(F.col("la").eqNullSafe(F.col("lb")), "EXACT_MATCH").otherwise("RELATED").alias("relation"))
 
 
