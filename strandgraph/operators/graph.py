@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandgraph.operators.lists import tour
 from strandgraph.operators.prefix import running
-from strandgraph.store import stash
+from strandgraph.store import stash_dealt as stash
 
 
 def chain(start: DataFrame, *steps: tuple[DataFrame, str, str]) -> DataFrame:

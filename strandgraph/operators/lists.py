@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandgraph.store import stash
+from strandgraph.store import stash_dealt as stash
 
 
 def walk_from(heads: DataFrame, links: DataFrame, keys: list[str], node: str = "node", following: str = "following") -> DataFrame:

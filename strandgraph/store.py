@@ -56,6 +56,16 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     return held
 
 
+def stash_dealt(df: DataFrame, name: str = "table") -> DataFrame:
+    """``stash`` for tables of loops that grow with the input: joins with them
+    are shuffled. Spark would broadcast each while it is small, and what many
+    rounds of many joins broadcast adds up on the driver."""
+    held = stash(df, name)
+    out = held.hint("merge")
+    out.stash_path = held.stash_path
+    return out
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder of the store that its path names."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
