@@ -9,7 +9,7 @@ from strandgraph.plans.registry import Tables, query
 from strandgraph.sources import packages as P
 from strandgraph.sources import sinks as K
 from strandgraph.sources import versions as R
-from strandgraph.store import new_path, stash
+from strandgraph.store import delete_path, new_path, stash
 
 
 def _one_file_each(df: DataFrame, key: str, name: str) -> str:
@@ -89,11 +89,17 @@ def k02_versions(t: Tables) -> DataFrame:
         status = o.agg(F.max("o_orderstatus").alias("status"), F.count("*").alias("orders"))
         seen.append(stash(status.join(n.agg(F.count("*").alias("lines"))).select(F.lit(name).alias("seen"), "status", "orders", "lines"), "seen"))
 
+    # Lines meet their orders once for both versions: whole lines are shuffled once, and not sorted.
+    keys = t.orders.where(F.col("o_orderstatus").isin("O", "F")).select("o_orderkey", F.col("o_orderstatus").alias("status")).distinct()
+    both = new_path(t.spark, "lines")
+    t.lineitem.join(keys.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey").write.partitionBy("status").parquet(both)
+    lines = t.spark.read.schema(t.lineitem.schema.add("status", "string")).parquet(both)
     for status in ("O", "F"):
         o = t.orders.where(F.col("o_orderstatus") == status)
-        tables = {"orders": o, "lines": t.lineitem.join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")}
+        tables = {"orders": o, "lines": lines.where(F.col("status") == status).drop("status")}
         R.publish(t.spark, tables, path, before_pointer=(lambda: look("reader between")) if status == "F" else None)
     look("reader after")
+    delete_path(t.spark, both)
     return seen[0].union(seen[1])
 
 
