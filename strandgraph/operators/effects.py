@@ -30,7 +30,7 @@ def _effect(kind: str, target: Column | None = None, source: Column | None = Non
     return F.struct(F.lit(kind).alias("kind"), pick(target).alias("target"), pick(source).alias("source"), pick(literal).alias("literal"), F.lit(support).alias("support"), pick(note).alias("note"))
 
 
-def statement_effects(statements: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
+def statement_effects(statements: DataFrame, conditions: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """A row per effect: (program, paragraph, statement_id, pos, ordinal, kind,
     target, source, literal, support, note, control_targets, arguments, returning).
 
@@ -48,7 +48,7 @@ def statement_effects(statements: DataFrame, conditions: DataFrame | None = None
     with a literal program, arguments that are all known by mode and shape,
     and nothing returned, and unknown where its kind is null. Statements that
     end a program and all others are kept as they stand; a branch has no
-    effect of its own.
+    effect of its own. Columns to ``keep`` follow.
     """
     s = statements
     for name, kind in (("target_paragraphs", "array<string>"), ("arguments", ARGUMENTS), ("returning", "string")):
@@ -107,8 +107,8 @@ def statement_effects(statements: DataFrame, conditions: DataFrame | None = None
         .otherwise(kept("STATEMENT_TEXT_PRESERVED_WITHOUT_SEMANTIC_EFFECT"))
     )
     more = [F.when(kind.isin("GO_TO", "PERFORM") & away, F.col("target_paragraphs")).alias("control_targets"), F.when(kind == "CALL", args).alias("arguments"), F.when(kind == "CALL", F.col("returning")).alias("returning")]
-    out = s.select("program", "paragraph", "statement_id", "pos", *more, F.posexplode(each).alias("ordinal", "e"))
-    return out.select("program", "paragraph", "statement_id", "pos", "ordinal", "e.*", "control_targets", "arguments", "returning")
+    out = s.select("program", "paragraph", "statement_id", "pos", *more, *(keep or []), F.posexplode(each).alias("ordinal", "e"))
+    return out.select("program", "paragraph", "statement_id", "pos", "ordinal", "e.*", "control_targets", "arguments", "returning", *(keep or []))
 
 
 def unsupported_effects(messages: DataFrame, message: str = "message", mark: str = " en paragraph ") -> DataFrame:

@@ -5,16 +5,18 @@ straight run of statements. What is known in a region starts from what is
 known where its decision stands, so a name is looked up in its own region
 first, then where the decision stands in the region above, and so on. Writes,
 the ends of decisions and barriers are events of a region; every lookup is the
-last event before it, and chains of copies and lookups end by pointer doubling.
+last event before it, and chains of copies end by pointer doubling.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandgraph.operators.effects import BRANCHING
-from strandgraph.store import stash
+from strandgraph.operators.effects import BRANCHING, statement_effects
+from strandgraph.store import dealt, stash
 
 G = ["program", "paragraph"]
 _HERE = [*G, "region"]
@@ -22,6 +24,9 @@ _HERE = [*G, "region"]
 #: What an effect does: gives a name a value, copies one, makes a name unknown, or makes all names unknown.
 MOVE_TYPE = "array<struct<sub:int, act:string, name:string, source:string, literal:string, status:string, reason:string>>"
 
+#: The regions above a paragraph's top level.
+_TOP = "cast(array() as array<struct<region:string, seq:int>>)"
+
 
 def _move(act: str, name: Column | None = None, source: Column | None = None, literal: Column | None = None, status: str | None = None, reason: Column | str | None = None, sub: Column | None = None) -> Column:
     text = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x.cast("string")
@@ -86,47 +91,48 @@ def _resolved(moves: DataFrame, items: DataFrame | None) -> DataFrame:
     return out.drop("pa_", "na_", "ka_", "aa_", "pb_", "nb_", "kb_", "ab_", "blocked")
 
 
-def regions(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(program, paragraph, statement_id, seq, region, above) of the statements that run,
-    and (program, paragraph, statement_id, seq, region, above) of decisions whose branches cannot be told.
+def _numbered(statements: DataFrame) -> DataFrame:
+    """``statements``, written, with ``seq``, their place in the paragraph, ``run``,
+    the branch among those of their parent, and ``whole``: all of the parent's children have a branch.
 
-    A branch starts where the branch kind changes or a condition is named;
-    ``above`` lists (region, seq) of the decisions a region lies in. Children
-    of other statements than decisions do not run here. Regions are numbered
-    level by level of nesting; a level handles all paragraphs at once.
+    A branch starts where the branch kind changes or a condition is named.
     """
-    order = Window.partitionBy(*G).orderBy("pos", "statement_id")
-    s = statements.select(*G, "statement_id", "parent_id", "kind", "branch_kind", "branch_condition", F.row_number().over(order).alias("seq"))
+    s = statements.withColumn("seq", F.row_number().over(Window.partitionBy(*G).orderBy("pos", "statement_id")))
     siblings = Window.partitionBy(*G, "parent_id").orderBy("seq")
     new = F.coalesce((F.col("branch_kind") != F.lag("branch_kind").over(siblings)) | F.col("branch_condition").isNotNull(), F.lit(True))
     whole = F.min(F.col("branch_kind").isNotNull()).over(Window.partitionBy(*G, "parent_id"))
     s = s.withColumn("new", new.cast("int"))
-    s = stash(s.withColumns({"run": F.sum("new").over(siblings) - 1, "whole": whole}).drop("new", "branch_condition"), "statements")
-    top = s.where("parent_id is null")
-    root = F.concat_ws("::", F.col("program"), F.col("paragraph"), F.lit("root"))
-    none = F.expr("cast(array() as array<struct<region:string, seq:int>>)")
-    now = top.select(*G, "statement_id", "kind", "seq", root.alias("region"), none.alias("above"))
+    return stash(s.withColumns({"run": F.sum("new").over(siblings) - 1, "whole": whole}).drop("new", "branch_condition"), "statements")
+
+
+def regions(s: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(program, paragraph, parent_id, run, region, above) of the branches that run, and (program,
+    paragraph, statement_id, seq, region, above) of decisions whose branches cannot be told; None without any.
+
+    ``s`` are numbered statements. ``region`` is a branch's path below the
+    top level, whose own is empty; ``above`` lists (region, seq) of the
+    decisions it lies in. Children of other statements than decisions do not
+    run here. Regions are numbered level by level of nesting; a level handles
+    all paragraphs at once, and reads decisions and branches alone.
+    """
     below = s.where("parent_id is not null")
     runs = stash(below.groupBy(*G, "parent_id", "run").agg(F.min("branch_kind").alias("branch_kind"), F.bool_and("whole").alias("whole")), "runs")
+    if runs.isEmpty():
+        return None
+    decides = F.col("kind").isin(BRANCHING)
+    nested = not below.where(decides).isEmpty()
+    now = s.where("parent_id is null").where(decides).select(*G, F.col("statement_id").alias("parent_id"), "seq", F.lit("").alias("region"), F.expr(_TOP).alias("above"))
     found, vague = [], []
     while True:
-        now = stash(now, "level")
-        found.append(now)
-        decisions = now.where(F.col("kind").isin(BRANCHING)).select(*G, F.col("statement_id").alias("parent_id"), "seq", "region", "above")
-        inner = stash(decisions.join(runs, [*G, "parent_id"]), "branches")
-        if inner.isEmpty():
-            break
+        inner = stash(now.join(runs, [*G, "parent_id"]), "branches")
         vague.append(inner.where("not whole").select(*G, F.col("parent_id").alias("statement_id"), "seq", "region", "above").distinct())
-        path = F.concat_ws("::", F.col("region"), F.col("parent_id"), F.col("branch_kind"), F.col("run").cast("string"))
-        inner = inner.where("whole").select(*G, "parent_id", "run", path.alias("region"), F.concat(F.array(F.struct("region", "seq")), "above").alias("above"))
-        now = below.join(inner, [*G, "parent_id", "run"]).select(*G, "statement_id", "kind", "seq", "region", "above")
-    placed = found[0]
-    for f in found[1:]:
-        placed = placed.union(f)
-    unclear = vague[0] if vague else now.drop("kind").limit(0)
-    for v in vague[1:]:
-        unclear = unclear.union(v)
-    return placed.drop("kind"), unclear.select(*G, "statement_id", "seq", "region", "above")
+        path = F.concat("region", F.lit("::"), F.concat_ws("::", F.col("parent_id"), F.col("branch_kind"), F.col("run").cast("string")))
+        inside = inner.where("whole").select(*G, "parent_id", "run", path.alias("region"), F.concat(F.array(F.struct("region", "seq")), "above").alias("above"))
+        found.append(inside)
+        if not nested or inner.isEmpty():
+            break
+        now = below.where(decides).join(inside, [*G, "parent_id", "run"]).select(*G, F.col("statement_id").alias("parent_id"), "seq", "region", "above")
+    return reduce(DataFrame.union, found), reduce(DataFrame.union, vague)
 
 
 def _at(seq: Column, ordinal: Column | int, sub: Column | int) -> Column:
@@ -134,22 +140,106 @@ def _at(seq: Column, ordinal: Column | int, sub: Column | int) -> Column:
     return F.struct(seq.cast("int").alias("seq"), number(ordinal).alias("ordinal"), number(sub).alias("sub"))
 
 
-def _pointers(asks: DataFrame, events: DataFrame, bars: DataFrame) -> DataFrame:
-    """(node, to, literal, steps) for ``asks`` (program, paragraph, region, key, at, node, up):
-    a literal, or the node to go on with, or neither where nothing is known."""
+def _placed_moves(statements: DataFrame, effects: DataFrame | None, items: DataFrame | None) -> DataFrame:
+    """Moves with (region, above, at, key, from_key, seen, eid), written; a decision whose branches cannot be told is a BAR.
+
+    Without ``effects`` the statements' own are taken from the rows that hold
+    them, so only the moves of branches are joined, with their regions.
+    """
+    place = ["seq", "parent_id", "run"]
+    if effects is None:
+        s = _numbered(statements)
+        e = statement_effects(s, keep=place)
+    else:
+        s, e = _numbered(statements.select(*G, "statement_id", "pos", "parent_id", "kind", "branch_kind", "branch_condition")), effects
+    for name, kind in (("arguments", "array<struct<name:string, mode:string, literal:string, omitted:boolean>>"), ("returning", "string"), ("note", "string")):
+        if name not in e.columns:
+            e = e.withColumn(name, F.lit(None).cast(kind))
+    own = [] if effects is not None else place
+    moves = e.select(*G, "statement_id", "ordinal", *own, F.explode(_moves()).alias("m")).select(*G, "statement_id", "ordinal", *own, "m.*")
+    moves = moves.where("act = 'BAR' or name is not null")
+    if items is not None:
+        moves = _resolved(moves, items)
+    if effects is not None:
+        moves = moves.join(s.select(*G, "statement_id", *place), [*G, "statement_id"])
+    if effects is not None or items is not None:
+        # Names of one call that are one item are forgotten once.
+        twice = Window.partitionBy(*G, "statement_id", "ordinal", "name" if items is None else "key", F.col("sub") < 0).orderBy("sub")
+        moves = moves.withColumn("nth", F.when(F.col("reason") == "CALL_BOUNDARY", F.row_number().over(twice)).otherwise(1)).where("nth = 1").drop("nth")
+    moves = moves.withColumn("at", _at(F.col("seq"), F.col("ordinal"), F.when(F.col("sub") < 0, 1 << 30).otherwise(F.col("sub")))).drop("seq", "ordinal", "sub")
+    placed = moves.where("parent_id is null").drop("parent_id", "run").withColumns({"region": F.lit(""), "above": F.expr(_TOP)})
+    inside = regions(s)
+    if inside is not None:
+        branches, vague = inside
+        placed = placed.unionByName(moves.where("parent_id is not null").join(branches, [*G, "parent_id", "run"]).drop("parent_id", "run"))
+        barred = vague.withColumns({"act": F.lit("BAR"), "reason": F.lit("UNDETERMINED_BRANCHES"), "at": _at(F.col("seq"), 0, 0)}).drop("seq")
+        placed = placed.unionByName(barred, allowMissingColumns=True)
+    held = stash(placed.withColumn("eid", F.monotonically_increasing_id()), "moves")
+    return held if items is not None else _resolved(held, None)
+
+
+def _above(a: Column, ordinal: int) -> Column:
+    """Where a decision stands in the region above: 0, or less for what comes before its end."""
+    return _at(a["seq"], ordinal, 0)
+
+
+def _events(moves: DataFrame) -> DataFrame:
+    """(program, paragraph, region, key, at, w) of writes, in their own region and as ends of the decisions above."""
+    return moves.select(*G, F.explode(_happenings(False)).alias("h")).select(*G, "h.*").where("w is not null").select(*_HERE, "key", "at", "w")
+
+
+def _happenings(barred: bool) -> Column:
+    """What a move is in its region and in those above: ``w`` a write (its literal,
+    or the copy that it is, or neither), or ``node`` and ``level`` a question for
+    the last write of a name. A copy asks in its own region and where each
+    decision above stands, a WANT in the regions above alone. With ``barred``
+    writes hold where they are, and ``bar`` is a barrier.
+    """
+    place = "struct<seq:int,ordinal:int,sub:int>"
+    kind = f"struct<literal:string,to:bigint{',at:' + place if barred else ''}>"
+    more = f",bar:{place}" if barred else ""
+    null = lambda c, as_: (F.lit(None) if c is None else c).cast(as_)
+    row = lambda region, at, key=None, w=None, node=None, level=None, bar=None: F.struct(
+        region.alias("region"), null(key, "string").alias("key"), at.alias("at"), null(w, kind).alias("w"), null(node, "long").alias("node"), null(level, "int").alias("level"), *([null(bar, place).alias("bar")] if barred else [])
+    )
+    none = F.expr(f"cast(array() as array<struct<region:string,key:string,at:{place},w:{kind},node:bigint,level:int{more}>>)")
+    if_ = lambda condition, rows: F.when(condition, rows).otherwise(none)
+    act, region, key, asked, at, eid, above = (F.col(c) for c in ("act", "region", "key", "from_key", "at", "eid", "above"))
+    write = lambda where, literal=None, to=None: F.struct(null(literal, "string"), null(to, "long"), *([where] if barred else []))
+    given = write(at, F.when(act == "GIVE", F.col("literal")), F.when(act == "COPY", eid))
+    writes = F.concat(F.array(row(region, at, key, given)), F.transform(above, lambda a: row(a["region"], _above(a, 0), key, write(_above(a, 0)))))
+    asks = F.transform(above, lambda a, i: row(a["region"], _above(a, -2), asked, None, eid, i + 1))
+    bars = [if_(act == "BAR", F.concat(F.array(row(region, at, bar=at)), F.transform(above, lambda a: row(a["region"], _above(a, 0), bar=_above(a, 0)))))] if barred else []
+    return F.concat(if_(act.isin("GIVE", "COPY", "KILL"), writes), if_(act == "COPY", F.array(row(region, at, asked, None, eid, F.lit(0)))), if_(act.isin("COPY", "WANT"), asks), *bars)
+
+
+def _pointers(moves: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """(node, to, literal, steps) of copies, by ``eid``, and of names ``wanted`` (program,
+    paragraph, region, above, key, node) where a region begins: a literal, or the
+    copy to go on with; no row where nothing is known.
+
+    A name is known by the last write in the nearest region that has one or a
+    barrier. Moves are shuffled once, by paragraph, before they are taken
+    apart; windows and groups below stay within it. ``wanted`` is None if
+    there are no barriers.
+    """
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    null = F.lit(None)
-    both = asks.withColumn("bar", null.cast("struct<seq:int, ordinal:int, sub:int>")).unionByName(bars.select(*_HERE, "at", F.col("at").alias("bar")), allowMissingColumns=True)
-    barred = F.last("bar", ignorenulls=True).over(before(Window.partitionBy(*_HERE).orderBy("at")))
-    asks = both.withColumn("barred", barred).where("node is not null").drop("bar").withColumn("late", F.lit(0))
-    writes = events.select(*_HERE, "key", "at", F.lit(1).alias("late"), F.struct("at", "act", "literal", F.concat(F.lit("C"), F.col("eid").cast("string")).alias("node")).alias("w"))
-    both = asks.unionByName(writes, allowMissingColumns=True)
-    last = F.last("w", ignorenulls=True).over(before(Window.partitionBy(*_HERE, "key").orderBy("at", "late")))
-    q = both.withColumn("w", last).where("node is not null")
-    own = F.col("w").isNotNull() & (F.col("barred").isNull() | (F.col("w.at") > F.col("barred")))
-    literal = F.when(own & (F.col("w.act") == "GIVE"), F.col("w.literal"))
-    to = F.when(own & (F.col("w.act") == "COPY"), F.col("w.node")).when(~own & F.col("barred").isNull(), F.col("up"))
-    return q.select("node", to.alias("to"), literal.alias("literal"), F.when(own, 1).otherwise(0).cast("long").alias("steps"))
+    rows = moves.select(*_HERE, "above", "key", "from_key", "at", "act", "literal", "eid")
+    if wanted is not None:
+        rows = rows.unionByName(wanted.select(*_HERE, "above", F.col("key").alias("from_key"), F.lit("WANT").alias("act"), F.col("node").alias("eid")), allowMissingColumns=True)
+    rows = dealt(rows, *G).select(*G, F.explode(_happenings(wanted is not None)).alias("h")).select(*G, "h.*")
+    own = F.col("last").isNotNull()
+    stops = own
+    if wanted is not None:
+        barred = F.last("bar", ignorenulls=True).over(before(Window.partitionBy(*_HERE).orderBy("at")))
+        rows = rows.withColumn("barred", barred).where("bar is null").drop("bar")
+        own = own & (F.col("barred").isNull() | (F.col("last.at") > F.col("barred")))
+        stops = own | F.col("barred").isNotNull()
+    # A copy asks before it writes.
+    last = F.last("w", ignorenulls=True).over(before(Window.partitionBy(*_HERE, "key").orderBy("at", F.asc_nulls_last("level"))))
+    q = rows.withColumn("last", last).where("node is not null").where(stops)
+    nearest = q.groupBy(*G, "node").agg(F.min(F.struct("level", F.when(own, F.col("last.to")).alias("to"), F.when(own, F.col("last.literal")).alias("literal"))).alias("s"))
+    return nearest.where("s.to is not null or s.literal is not null").select("node", "s.to", "s.literal", F.lit(1).cast("long").alias("steps"))
 
 
 def _doubled(now: DataFrame) -> DataFrame:
@@ -163,12 +253,7 @@ def _doubled(now: DataFrame) -> DataFrame:
     return now.select("node", "literal", "steps")
 
 
-def _entry(region: str = "region") -> Column:
-    """The node that stands for what is known of a name where a region begins."""
-    return F.concat(F.lit("E"), F.col(region), F.lit("\x1f"), F.col("key"))
-
-
-def propagate(statements: DataFrame, effects: DataFrame, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def propagate(statements: DataFrame, effects: DataFrame | None = None, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Facts and barriers of literals followed through each paragraph.
 
     Facts are (program, paragraph, region, statement_id, at, status, target,
@@ -189,75 +274,61 @@ def propagate(statements: DataFrame, effects: DataFrame, items: DataFrame | None
     barrier of its region, so each value meets one barrier at most in its own
     region, and one in each branch that inherits it. ``items`` (program,
     qualified, simple) resolves names; without it names are as they are
-    written. Null targets and names are left out.
+    written. Null targets and names are left out. Without ``effects`` they
+    are those of the statements, without declared conditions, which saves a join.
     """
-    placed, vague = regions(statements)
-    e = effects
-    for name, kind in (("arguments", "array<struct<name:string, mode:string, literal:string, omitted:boolean>>"), ("returning", "string"), ("note", "string")):
-        if name not in e.columns:
-            e = e.withColumn(name, F.lit(None).cast(kind))
-    moves = e.select(*G, "statement_id", "ordinal", F.explode(_moves()).alias("m")).select(*G, "statement_id", "ordinal", "m.*")
-    moves = _resolved(moves.where("act = 'BAR' or name is not null"), items)
-    moves = moves.join(placed, [*G, "statement_id"])
-    twice = Window.partitionBy(*G, "statement_id", "ordinal", "key", F.col("sub") < 0).orderBy("sub")
-    moves = moves.withColumn("nth", F.when(F.col("reason") == "CALL_BOUNDARY", F.row_number().over(twice)).otherwise(1)).where("nth = 1").drop("nth")
-    moves = moves.withColumn("at", _at(F.col("seq"), F.col("ordinal"), F.when(F.col("sub") < 0, 1 << 30).otherwise(F.col("sub"))))
-    moves = stash(moves.withColumn("eid", F.monotonically_increasing_id()), "moves")
-
-    own = moves.where("act <> 'BAR'").select(*_HERE, "key", "at", "act", "literal", "eid")
-    up = lambda df, *cols: df.select(*G, F.explode("above").alias("a"), *cols).select(*G, "a.region", _at(F.col("a.seq"), 0, 0).alias("at"), *cols)
-    ended = up(moves.where("act <> 'BAR'"), "key").distinct()
-    events = stash(own.unionByName(ended.withColumns({"act": F.lit("KILL")}), allowMissingColumns=True), "events")
+    moves = _placed_moves(statements, effects, items)
     direct = moves.where("act = 'BAR'").select(*_HERE, "above", "at", "statement_id", "reason")
-    direct = stash(direct.unionByName(vague.select(*_HERE, "above", _at(F.col("seq"), 0, 0).alias("at"), "statement_id", F.lit("UNDETERMINED_BRANCHES").alias("reason"))), "barriers")
-    bars = direct.select(*_HERE, "at").union(up(direct).select(*_HERE, "at").distinct())
-    bars = stash(bars.distinct(), "bars")
-
-    known = placed.select(*_HERE, "above").distinct()
-    firsts = bars.groupBy(*_HERE).agg(F.min("at").alias("bar"))
-    first_own = direct.join(firsts, _HERE).where("at = bar").drop("bar")
-    # What regions with a barrier inherit: names given or copied before it further up.
-    outer = first_own.select(*_HERE, F.explode("above").alias("a")).select(*G, "region", F.col("a.region").alias("r_"), F.col("a.seq").alias("s_"))
-    given = own.where("act <> 'KILL'").select(*G, F.col("region").alias("r_"), "key", F.col("at.seq").alias("seq"))
-    inherited = outer.join(given, [*G, "r_"]).where("seq < s_").select(*_HERE, "key").distinct()
-    copies = moves.where("act = 'COPY'").select(*_HERE, F.col("from_key").alias("key"), "at", F.concat(F.lit("C"), F.col("eid").cast("string")).alias("node"))
-    wanted = copies.select(*_HERE, "key").union(inherited).distinct().join(known.where("size(above) > 0"), _HERE)
-    # An entry for the region itself and every region above it but the last.
-    chain = F.transform(F.sequence(F.lit(0), F.size("above") - 1), lambda i: F.struct(F.when(i == 0, F.col("region")).otherwise(F.get("above", i - 1)["region"]).alias("mine"), F.get("above", i).alias("next")))
-    entries = wanted.select(*G, "key", F.explode(chain).alias("c")).select(*G, "key", "c.mine", F.col("c.next.region").alias("region"), _at(F.col("c.next.seq"), -2, 0).alias("at")).distinct()
-    entries = entries.withColumn("node", _entry("mine")).drop("mine")
-    root = F.concat_ws("::", F.col("program"), F.col("paragraph"), F.lit("root"))
-    asks = copies.unionByName(entries).withColumn("up", F.when(F.col("region") != root, _entry()))
-    found = stash(_doubled(_pointers(asks, events, bars)), "values")
-
-    value = found.where("literal is not null")
-    copied = moves.where("act = 'COPY'").withColumn("node", F.concat(F.lit("C"), F.col("eid").cast("string"))).drop("literal").join(value, "node", "left")
+    barred = not direct.isEmpty()
+    inherited = None
+    if barred:
+        up = direct.select(*G, F.explode("above").alias("a")).select(*G, "a.region", _above(F.col("a"), 0).alias("at"))
+        bars = stash(direct.select(*_HERE, "at").union(up).distinct(), "bars")
+        firsts = bars.groupBy(*_HERE).agg(F.min("at").alias("bar"))
+        first_own = direct.join(firsts, _HERE).where("at = bar")
+        # What regions with a barrier inherit: names given or copied before it further up.
+        outer = first_own.select(*_HERE, "above", F.explode("above").alias("a")).select(*_HERE, "above", F.col("a.region").alias("r_"), F.col("a.seq").alias("s_"))
+        given = moves.where("act in ('GIVE', 'COPY')").select(*G, F.col("region").alias("r_"), "key", F.col("at.seq").alias("seq"))
+        inherited = outer.join(given, [*G, "r_"]).where("seq < s_").groupBy(*_HERE, "key").agg(F.first("above").alias("above"))
+        inherited = stash(inherited.withColumn("node", -1 - F.monotonically_increasing_id()), "inherited")
+    value = _doubled(_pointers(moves, inherited)).where("literal is not null")
+
+    whole = F.concat(F.concat_ws("::", F.col("program"), F.col("paragraph"), F.lit("root")), F.col("region"))
+    copied = moves.where("act = 'COPY'").drop("literal").join(value.withColumnRenamed("node", "eid"), "eid", "left")
     copied = copied.withColumn("status", F.when(F.col("literal").isNotNull(), "PROPAGATED").otherwise("UNRESOLVED_COPY")).withColumn("steps", F.when(F.col("literal").isNotNull(), F.col("steps") + 1).otherwise(0).cast("long"))
     plain = moves.where("act in ('GIVE', 'KILL')").withColumn("steps", F.when(F.col("act") == "GIVE", 1).otherwise(0).cast("long"))
     fact = [*_HERE, "statement_id", "at", "status", F.col("name").alias("target"), "key", "literal", "steps"]
-    written = stash(copied.select(*fact, "eid").unionByName(plain.select(*fact, "eid")), "written")
+    facts = copied.select(*fact).unionByName(plain.select(*fact))
 
-    # Values that meet a barrier: of the region's own writes, and inherited ones.
-    later = Window.partitionBy(*_HERE, "key").orderBy("at")
-    ends = events.withColumn("next", F.lead("at").over(later)).where("act <> 'KILL'").select("eid", "next")
-    alive = written.where("literal is not null").join(ends, "eid").select(*_HERE, "key", "at", "next")
+    single = moves.where("act = 'KILL' and reason is not null").withColumn("part", F.when(F.col("reason").isin("COMPUTED_VALUE", "AMBIGUOUS_SYMBOL"), F.col("at.ordinal")).otherwise(-1))
+    single = single.groupBy(*_HERE, "statement_id", "reason", "part").agg(F.min("at").alias("at"), F.array_sort(F.collect_set("seen")).alias("affected")).withColumn("clears", F.lit(False))
+    barrier = [*_HERE, "statement_id", "at", "reason", "affected", "clears"]
+    barriers = single.select(*barrier)
+    if barred:
+        lost = _lost(moves, direct, bars, firsts, inherited, value)
+        null = F.lit(None).cast("string")
+        gone = lost.where("reason <> 'UNDETERMINED_BRANCHES'").select(*_HERE, "statement_id", "at", F.lit("INVALIDATED").alias("status"), F.col("key").alias("target"), "key", null.alias("literal"), F.lit(0).cast("long").alias("steps"))
+        listed = lost.groupBy(*_HERE, "statement_id", "at").agg(F.array_sort(F.collect_set("key")).alias("affected"))
+        clears = direct.drop("above").join(listed, [*_HERE, "statement_id", "at"], "left").withColumn("affected", F.coalesce("affected", F.expr("cast(array() as array<string>)")))
+        clears = clears.withColumns({"reason": F.when(F.col("reason") == "UNDETERMINED_BRANCHES", "CONTROL_FLOW_BOUNDARY").otherwise(F.col("reason")), "clears": F.lit(True)})
+        facts, barriers = facts.unionByName(gone), clears.select(*barrier).unionByName(barriers)
+    return facts.withColumn("region", whole), barriers.withColumn("region", whole)
+
+
+def _lost(moves: DataFrame, direct: DataFrame, bars: DataFrame, firsts: DataFrame, inherited: DataFrame, value: DataFrame) -> DataFrame:
+    """(program, paragraph, region, statement_id, at, reason, key) of values that meet a
+    barrier, of the region's own writes and inherited ones; reads regions with barriers alone."""
+    events = _events(moves).join(firsts.select(*_HERE), _HERE, "left_semi")
+    ends = events.withColumn("next", F.lead("at").over(Window.partitionBy(*_HERE, "key").orderBy("at"))).where("w.literal is not null or w.to is not null")
+    known = value.select(F.col("node").alias("node_"))
+    alive = ends.join(known, F.col("w.to") == F.col("node_"), "left").where("w.literal is not null or node_ is not null").select(*_HERE, "key", "at", "next")
     ahead = Window.partitionBy(*_HERE).orderBy("at").rowsBetween(1, Window.unboundedFollowing)
     met = alive.unionByName(bars.withColumn("bar", F.col("at")), allowMissingColumns=True).withColumn("bar", F.first("bar", ignorenulls=True).over(ahead))
     met = met.where("key is not null and bar is not null and (next is null or bar < next)").select(*_HERE, "key", "bar")
     begun = events.groupBy(*_HERE, "key").agg(F.min("at").alias("first"))
-    taken = inherited.withColumn("node", _entry()).join(value.select("node"), "node").drop("node").join(firsts, _HERE).join(begun, [*_HERE, "key"], "left")
+    taken = inherited.join(value, "node", "left_semi").select(*_HERE, "key").join(firsts, _HERE).join(begun, [*_HERE, "key"], "left")
     met = met.unionByName(taken.where("first is null or bar < first").select(*_HERE, "key", "bar")).withColumnRenamed("bar", "at")
-    lost = stash(direct.join(met, [*_HERE, "at"]).select(*_HERE, "statement_id", "at", "reason", "key"), "lost")
-
-    null = F.lit(None).cast("string")
-    gone = lost.where("reason <> 'UNDETERMINED_BRANCHES'").select(*_HERE, "statement_id", "at", F.lit("INVALIDATED").alias("status"), F.col("key").alias("target"), "key", null.alias("literal"), F.lit(0).cast("long").alias("steps"))
-    listed = lost.groupBy(*_HERE, "statement_id", "at").agg(F.array_sort(F.collect_set("key")).alias("affected"))
-    clears = direct.drop("above").join(listed, [*_HERE, "statement_id", "at"], "left").withColumn("affected", F.coalesce("affected", F.expr("cast(array() as array<string>)")))
-    clears = clears.withColumns({"reason": F.when(F.col("reason") == "UNDETERMINED_BRANCHES", "CONTROL_FLOW_BOUNDARY").otherwise(F.col("reason")), "clears": F.lit(True)})
-    single = moves.where("act = 'KILL' and reason is not null").withColumn("part", F.when(F.col("reason").isin("COMPUTED_VALUE", "AMBIGUOUS_SYMBOL"), F.col("ordinal")).otherwise(-1))
-    single = single.groupBy(*_HERE, "statement_id", "reason", "part").agg(F.min("at").alias("at"), F.array_sort(F.collect_set("seen")).alias("affected")).withColumn("clears", F.lit(False))
-    barrier = [*_HERE, "statement_id", "at", "reason", "affected", "clears"]
-    return written.drop("eid").unionByName(gone), clears.select(*barrier).unionByName(single.select(*barrier))
+    return stash(direct.join(met, [*_HERE, "at"]).select(*_HERE, "statement_id", "at", "reason", "key"), "lost")
 
 
 def numbered_facts(facts: DataFrame) -> DataFrame:
@@ -275,7 +346,7 @@ def numbered_barriers(barriers: DataFrame) -> DataFrame:
     return out.withColumn("barrier_id", F.concat_ws("::", F.lit("barrier"), "program", "paragraph", "region", "statement_id", "reason", F.col("ordinal").cast("string")))
 
 
-def branching_constants(statements: DataFrame, effects: DataFrame, items: DataFrame | None = None) -> DataFrame:
+def branching_constants(statements: DataFrame, effects: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
     """(program, paragraph, statement_id, ordinal, status, target, literal, steps)
     of the facts of ``propagate``, numbered within their paragraph."""
     facts, _ = propagate(statements, effects, items)

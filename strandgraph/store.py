@@ -66,6 +66,13 @@ def stash_dealt(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` shuffled by ``keys`` into as many parts as Spark is set to, never
+    fewer: for what is sorted wider than it is shuffled, which would spill in
+    the parts that Spark sizes by what it has shuffled."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder of the store that its path names."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
